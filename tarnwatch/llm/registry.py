@@ -6,10 +6,12 @@ from .line_dedup import OP6_SQL, op6_line_dedup
 from .near_dup import op10_near_dup
 from .packing import op9_packing
 from .quality import OP1_SQL, op1_quality_rules
+from .secrets import op8_secrets
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op6_line_dedup": op6_line_dedup,
+    "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
     "op10_near_dup": op10_near_dup,
 }
