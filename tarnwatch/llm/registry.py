@@ -5,11 +5,15 @@ from __future__ import annotations
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .near_dup import op10_near_dup
 from .packing import op9_packing
+from .phrases import op2_phrases
 from .quality import OP1_SQL, op1_quality_rules
 from .secrets import op8_secrets
+from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_phrases": op2_phrases,
+    "op4_toxicity": op4_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
