@@ -9,12 +9,14 @@ from .phrases import op2_phrases
 from .quality import OP1_SQL, op1_quality_rules
 from .secrets import op8_secrets
 from .toxicity import op4_toxicity
+from .urls import op7_url_filters
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_phrases": op2_phrases,
     "op4_toxicity": op4_toxicity,
     "op6_line_dedup": op6_line_dedup,
+    "op7_url_filters": op7_url_filters,
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
     "op10_near_dup": op10_near_dup,
