@@ -10,10 +10,12 @@ from .quality import OP1_SQL, op1_quality_rules
 from .secrets import op8_secrets
 from .toxicity import op4_toxicity
 from .urls import op7_url_filters
+from .warc import op3_warc
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_phrases": op2_phrases,
+    "op3_warc": op3_warc,
     "op4_toxicity": op4_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op7_url_filters": op7_url_filters,
