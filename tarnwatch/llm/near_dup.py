@@ -5,9 +5,10 @@
 3. Within a bucket every class is paired with the smallest only (a star), so a bucket of n
    classes gives n - 1 candidate pairs. Links are confirmed on the full sets.
 4. A star can miss a link between two classes of which neither is the centre. Buckets whose
-   classes are still in different components are gone through in blocks by signature; only
-   pairs across components that look alike are emitted, and confirmed on the full sets too.
-   That step makes the result that of all pairs which share a bucket.
+   classes are still in different components are gone through in blocks: pairs across
+   components are compared by signature, then by 32-bit sets, and what links two components
+   is confirmed on the full sets too. Rows stay in proportion to the members; the result is
+   that of all pairs which share a bucket.
 
 32 bands of 5 rows: two sets of similarity 0.8 share no bucket with a chance of 3e-6.
 
@@ -77,36 +78,79 @@ def _confirmed(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> It
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(keep)
 
 
-def _alike(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, i, j, block, id, comp, n, sig) sorted by the first three: pairs of ids of
-    different components whose signatures nearly reach the similarity."""
+def _outlined(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(id, text) to (id, n, bands, sig, set): the set's hashes cut to 32 bits."""
+    oph, words = OnePermutation(BANDS * ROWS), Words()
+    for batch in batches:
+        rows, ids = [], []
+        for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            s = shingles(text, size, words)
+            if not len(s):
+                continue  # a blank text that repeats the doc_id of another
+            values = oph(s)
+            ids.append(id_)
+            rows.append((len(s), band_hashes(values, ROWS).tobytes(), short(values).tobytes(), np.unique((s >> np.uint64(32)).astype("<u4")).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3)]], names=["id", "n", "bands", "sig", "set"])
+
+
+class _Union(dict):
+    """Components that links of one block have joined."""
+
+    def root(self, x: int) -> int:
+        while self.get(x, x) != x:
+            x = self[x]
+        return x
+
+
+def _linked_in_block(rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
+    """Links across components between two parts of a bucket. Each pair is looked at in the
+    first bucket that it shares, by signature and then by its 32-bit sets; once a link joins
+    two components, their other pairs are left out, so there are fewer links than rows."""
+    bucket, i, j = rows[0][:3]
+    left = [r for r in rows if r[3] == i]
+    right = left if i == j else [r for r in rows if r[3] == j]
+    if not left or not right:
+        return
     least = int((percent / 100 - SLACK) * BANDS * ROWS)
-
-    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        i, j = rows[0][1], rows[0][2]
-        left = [r for r in rows if r[3] == i]
-        right = left if i == j else [r for r in rows if r[3] == j]
-        if not left or not right:
-            return
-        sig = np.frombuffer(b"".join(r[7] for r in right), dtype="<u2").reshape(len(right), -1)
-        comp, n, ids = (np.array([r[k] for r in right], dtype=np.int64) for k in (5, 6, 4))
-        for r in left:
-            near = np.flatnonzero((comp != r[5]) & (100 * np.minimum(n, r[6]) >= percent * np.maximum(n, r[6])) & (ids > r[4] if i == j else True))
-            if len(near):
-                agree = (sig[near] == np.frombuffer(r[7], dtype="<u2")).sum(axis=1)
-                yield from ((r[4], x) for x in ids[near[agree >= least]].tolist())
-
+    sig = np.frombuffer(b"".join(r[8] for r in right), dtype="<u2").reshape(len(right), -1)
+    bands = np.frombuffer(b"".join(r[7] for r in right), dtype="<i8").reshape(len(right), -1)
+    ids, comp, n = (np.array([r[k] for r in right], dtype=np.int64) for k in (4, 5, 6))
+    sets = [np.frombuffer(r[9], dtype="<u4") for r in right]
+    joined = _Union()
+    for r in left:
+        near = np.flatnonzero((comp != r[5]) & (100 * np.minimum(n, r[6]) >= percent * np.maximum(n, r[6])) & ((ids > r[4]) | (i != j)))
+        if not len(near):
+            continue
+        agree = (sig[near] == np.frombuffer(r[8], dtype="<u2")).sum(axis=1)
+        near = near[agree >= least]
+        own = np.frombuffer(r[7], dtype="<i8")
+        near = near[own[(bands[near] == own).argmax(axis=1)] == bucket]
+        mine = np.frombuffer(r[9], dtype="<u4")
+        for k in near.tolist():
+            a, b = joined.root(r[5]), joined.root(int(comp[k]))
+            if a == b:
+                continue
+            both = len(np.intersect1d(mine, sets[k], assume_unique=True))
+            likeness = 100 * both / (len(mine) + len(sets[k]) - both)
+            if likeness >= percent - 1:  # 32 bits may err by a shingle; full sets decide
+                if likeness >= percent + 1:
+                    joined[max(a, b)] = min(a, b)
+                yield r[4], int(ids[k])
+
+
+def _missed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, i, j, block, id, comp, n, bands, sig, set) sorted by the first three."""
     held: list[tuple] = []
     for batch in batches:
         found: list[tuple[int, int]] = []
         for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if held and held[-1][:3] != row[:3]:
-                found += pairs(held)
+                found += _linked_in_block(held, percent)
                 held = []
             held.append(row)
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
     if held:
-        found = list(pairs(held))
+        found = list(_linked_in_block(held, percent))
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
 
@@ -136,19 +180,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     links = stored(_confirm(first, texts, shingle, percent), "links")
     found = stored(components(links), "components")
 
-    # The links that stars missed, between classes of a bucket that are still apart.
-    apart = shared.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
-    mixed = apart.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high AND size > 2")
-    facts = heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig").dropDuplicates(["id", "sig"])
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = (
-        apart.join(mixed.select("bucket", "size"), "bucket").join(facts, "id")
-        .withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "n", "sig")
-    )
+    # The links that stars missed, between classes of a bucket that are still apart. The
+    # bucket's largest component need not be compared with itself: its blocks only meet the
+    # blocks of the others.
+    apart = stored(shared.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp")), "apart")
+    held = apart.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
+    mixed = held.groupBy("bucket").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("main")).filter("size > 2 AND main.c < size")
+    mixed = mixed.select("bucket", F.col("main.comp").alias("main"), F.ceil((F.col("size") - F.col("main.c")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("main.c") / BLOCK).cast("int").alias("many"))
+    rows = stored(apart.join(mixed, "bucket"), "mixed")
+    wanted = texts.withColumnRenamed("doc_id", "id").join(rows.select("id").distinct().hint("shuffle_hash"), "id", "left_semi")
+    outlines = wanted.select("id", "text").mapInArrow(lambda it: _outlined(it, shingle), "id long, n long, bands binary, sig binary, set binary")
+    main = F.col("comp") == F.col("main")
+    block = F.when(main, F.col("few") + F.pmod(F.xxhash64("id"), F.col("many")).cast("int")).otherwise(F.pmod(F.xxhash64("id"), F.col("few")).cast("int"))
+    others = F.sequence(F.lit(0), F.when(main, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
+    placed = rows.join(outlines, "id").withColumn("block", block).withColumn("other", F.explode(others))
+    placed = placed.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "n", "bands", "sig", "set")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    more = rows.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(lambda it: _alike(it, percent), "u long, v long")
+    more = placed.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(lambda it: _missed(it, percent), "u long, v long")
     tried = first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     more = stored(more.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"), "missed")
     if not more.isEmpty():

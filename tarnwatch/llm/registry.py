@@ -6,6 +6,7 @@ from .line_dedup import OP6_SQL, op6_line_dedup
 from .near_dup import op10_near_dup
 from .packing import op9_packing
 from .phrases import op2_phrases
+from .pieces import op5_sentencepiece
 from .quality import OP1_SQL, op1_quality_rules
 from .secrets import op8_secrets
 from .toxicity import op4_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_phrases": op2_phrases,
     "op3_warc": op3_warc,
     "op4_toxicity": op4_toxicity,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_line_dedup": op6_line_dedup,
     "op7_url_filters": op7_url_filters,
     "op8_secrets": op8_secrets,

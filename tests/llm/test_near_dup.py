@@ -49,6 +49,7 @@ def corpus(seed):
             for k in range(5):
                 copy[(i * 8 + k * 2) % 100] = f"x{i}y{k}"
         rows.append((len(rows), " ".join(copy)))
+    rows += [(hub, ""), (hub + 1, None), (6, "another text of six")]
     rng.shuffle(rows)
     return rows
 
