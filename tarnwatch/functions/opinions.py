@@ -183,7 +183,7 @@ def bcf(x: Opinion, y: Opinion) -> Opinion:
 
 def ccf(x: Opinion, y: Opinion) -> Opinion:
     """Consensus and compromise: what both believe stays, conflicting rests split by base rate."""
-    a = mean_rate(x, y)
+    a = tuple((p + q) / 2 for p, q in zip(x.a, y.a, strict=True))  # of two simplexes
     agreed = tuple(F.least(p, q) for p, q in zip(x.b, y.b, strict=True))
     rx, ry = (tuple(F.greatest(p - c, F.lit(0.0)) for p, c in zip(o.b, agreed, strict=True)) for o in (x, y))
     b = []
