@@ -17,11 +17,13 @@ documents; texts longer than a window are cut; an empty table gives no pieces.
 from __future__ import annotations
 
 import bisect
+import gc
 import os
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -34,15 +36,44 @@ TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 POOL_TOKENS = 4_000_000
 STEP_GROUPS = 8
-CACHE_WORDS = 800_000
+CACHE_WORDS = 600_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group int"
 #: A space beside other white space: there a text can't be cut at its spaces alone.
 _UNEVEN = re.compile(r" \s|\s ")
 
 
+_NOT_LATIN = re.compile("[^\\x00-\u024f]")
+#: The pattern of byte-level pre-tokenisation: a fixed value of the format.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_level(path: str):
+    """The same model in tiktoken if the file is plain byte-level BPE, else None."""
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and model.get("type") == "BPE" and not spec.get("normalizer") and not model.get("ignore_merges")
+    if not plain:
+        return None
+    # The format writes bytes as printable characters: these stand for themselves, the others follow from 256 on.
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    return tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes (as array("I") has them on Spark's platforms).
 
+    The ids are those of the tokenizers library. It spends most of its time on set-up for each
+    short string, so Latin chunks not met before go to tiktoken with the same file's merges
+    (ranks are ids in this format); everything else goes to the library itself.
+
     Byte-level pre-tokenisation always begins a new piece at a single space between two
     other characters, so a text is looked up chunk by chunk in a bounded cache; chunks not
     met yet go to the tokenizer together.
@@ -58,9 +89,26 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
         self.cache_words = cache_words
+        self.latin = _byte_level(path)
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # No cycles here, and the collector would walk the whole cache again and again.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        finally:
+            if collects:
+                gc.enable()
+
+    def _chunks(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+        latin, other = [], []
+        for c in chunks:
+            (other if self.latin is None or _NOT_LATIN.search(c) else latin).append(c)
+        yield from zip(other, self._raw(other), strict=True)
+        if latin:
+            encode = self.latin.encode_ordinary
+            yield from ((c, array("I", encode(c)).tobytes()) for c in latin)
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), self.group):
@@ -73,12 +121,18 @@ class Encoder:
         if len(self.cache) + len(missing) > self.cache_words:
             self.cache.clear()
             missing = list(distinct)
-        self.cache.update(zip(missing, self._raw(missing), strict=True))
+        self.cache.update(self._chunks(missing))
         get = self.cache.__getitem__
         for text, parts in zip(texts, chunks, strict=True):
             yield self._raw([text])[0] if parts is None else b"".join(map(get, parts))
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker: its next task finds the tokenizer loaded and the cache filled."""
+    return Encoder(path)
+
+
 class _Open:
     """A sequence that still has room."""
 
@@ -164,7 +218,7 @@ def pack_pool(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[t
 
 
 def _packed(batches: Iterator[pa.RecordBatch], path: str, tiers: tuple[int, ...], end_id: int, pool_tokens: int, groups: int) -> Iterator[pa.RecordBatch]:
-    encode = Encoder(path)
+    encode = encoder(path)
     end = end_id.to_bytes(4, "little")
     first = TaskContext.get().partitionId() << 36
     ids: list[int | None] = []

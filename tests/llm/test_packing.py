@@ -58,6 +58,20 @@ def test_cache_that_overflows_gives_the_same_ids():
     assert list(Encoder(default_tokenizer(), cache_words=25)(texts)) == list(Encoder(default_tokenizer())(texts))
 
 
+def test_ids_equal_the_library_on_mixed_texts():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(default_tokenizer())
+    plain.encode_special_tokens = True
+    rng = random.Random(9)
+    parts = ["don't", "WE'LL", "naïve", "Ærø", "12½", "x²", "漢字", "😀!", "ʒ", "\u00a0", "\u00ad", "\x1c", "…", "<|endoftext|>", "a\nb", "\r\n", "'s", "''", "ẞ", "\u0300", "tab\t", "ªº", "٣"]
+    texts = [" ".join(rng.choices(parts, k=20)) + rng.choice(["", "  ", "\n\n", " \n "]) + "".join(rng.choices(parts, k=9)) for _ in range(400)]
+    texts += ["".join(map(chr, range(a, a + 60))) + " x" for a in range(0, 0x260, 20)]
+    got = list(Encoder(default_tokenizer())(texts))
+    for text, raw in zip(texts, got):
+        assert raw == b"".join(x.to_bytes(4, "little") for x in plain.encode(text, add_special_tokens=False).ids)
+
+
 def test_empty_table_and_bad_tiers(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pack_documents(empty, default_tokenizer()).count() == 0
