@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .line_dedup import OP6_SQL, op6_line_dedup
-from .near_dup import op10_near_dup
+from .near_dup import OP10_SQL, op10_near_dup
 from .packing import op9_packing
 from .phrases import op2_phrases
 from .pieces import op5_sentencepiece
@@ -29,4 +29,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_quality_rules": OP1_SQL,
     "op6_line_dedup": OP6_SQL,
+    "op10_near_dup": OP10_SQL,
 }

@@ -67,12 +67,9 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPI
     if flow.isEmpty() or not total:
         return rank
     for _ in range(steps):
-        moved = flow.join(rank, flow.src == rank.host).groupBy("dst").agg((damping * F.sum(F.col("part") * F.col("rank"))).alias("come"))
-        arrived = moved.agg(F.coalesce(F.sum("come"), F.lit(0.0)).alias("arrived"))  # one row
-        new = (
-            moved.withColumnRenamed("dst", "host").join(start, "host", "full").crossJoin(F.broadcast(arrived))
-            .select("host", (F.coalesce("come", F.lit(0.0)) + F.coalesce("seed", F.lit(0.0)) * (1 - F.col("arrived"))).alias("rank"))
-        )
+        moved = stored(flow.join(rank, flow.src == rank.host).groupBy("dst").agg((damping * F.sum(F.col("part") * F.col("rank"))).alias("come")), "moved")
+        left = 1 - (moved.agg(F.sum("come")).first()[0] or 0.0)
+        new = moved.withColumnRenamed("dst", "host").join(start, "host", "full").select("host", (F.coalesce("come", F.lit(0.0)) + F.coalesce("seed", F.lit(0.0)) * left).alias("rank"))
         new = stored(new, "rank")
         change = new.join(rank.withColumnRenamed("rank", "old"), "host", "full").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
         rank = new
