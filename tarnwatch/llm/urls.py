@@ -2,8 +2,8 @@
 
 Rules name a host and a path prefix; a rule fits its host and all subdomains, the longest
 fitting one decides. Where none fits, the host's place in the link graph does: trust is a
-personalised PageRank from hosts with allowed pages along links, distrust one from hosts
-with blocked pages against them (who links to a blocked host is suspect). A host is blocked
+personalised PageRank from hosts of mostly allowed pages along links, distrust one from hosts
+of mostly blocked pages against them (who links to a blocked host is suspect). A host is blocked
 if distrust has at least SHARE of the two.
 
 Both walks are joins and sums over host edges; ranks are written to the shared folder after
@@ -82,11 +82,13 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, share
     """pages with host, path, rule and verdict."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     ruled = pages.select(*[F.col(c) for c in pages.columns], host.alias("_h"), path.alias("_p"), matched_rule(host, path, rules).alias("_rule"))
-    # One row for each host from each task.
-    seeds = stored(
-        ruled.filter("_rule IS NOT NULL").groupBy(F.col("_h").alias("host"))
-        .agg(F.sum((F.col("_rule.verdict") == "allow").cast("double")).alias("good"), F.sum((F.col("_rule.verdict") == "block").cast("double")).alias("bad")), "seeds",
-    )
+    # One row for each host from each task. A host is a seed if rules of one kind decide at
+    # least half of its pages; its mass is their number.
+    count = lambda c: F.sum(F.coalesce(c.cast("double"), F.lit(0.0)))
+    good, bad = count(F.col("_rule.verdict") == "allow"), count(F.col("_rule.verdict") == "block")
+    hosts = ruled.filter("_h <> ''").groupBy(F.col("_h").alias("host")).agg(good.alias("good"), bad.alias("bad"), F.count(F.lit(1)).alias("n"))
+    seed = lambda c: F.when(2 * F.col(c) >= F.col("n"), F.col(c)).otherwise(0.0).alias(c)
+    seeds = stored(hosts.filter("good + bad > 0").select("host", seed("good"), seed("bad")), "seeds")
     edges = stored(host_edges(pages), "edges")
     trust = personalised_rank(edges, seeds.select("host", F.col("good").alias("mass"))).withColumnRenamed("rank", "trust")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
