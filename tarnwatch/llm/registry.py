@@ -11,7 +11,7 @@ from .quality import OP1_SQL, op1_quality_rules
 from .secrets import op8_secrets
 from .toxicity import op4_toxicity
 from .urls import op7_url_filters
-from .warc import op3_warc
+from .warc import OP3_SQL, op3_warc
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
@@ -28,6 +28,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_quality_rules": OP1_SQL,
+    "op3_warc": OP3_SQL,
     "op6_line_dedup": OP6_SQL,
     "op10_near_dup": OP10_SQL,
 }
