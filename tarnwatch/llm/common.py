@@ -72,3 +72,9 @@ def words_of(text: Column) -> Column:
     """Array of the maximal runs of non-space characters; empty for null or blank text."""
     body = ascii_strip(F.coalesce(text, F.lit("")))
     return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, SPACE_CLASS + "+"))
+
+
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once: a name in a lambda, which no rewrite of the
+    plan replaces by the expression it stands for."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

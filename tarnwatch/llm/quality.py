@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, ascii_strip, read, words_of
+from .common import ascii_lower, ascii_strip, let, read, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -51,23 +51,31 @@ def repeated_window_words(words: Column, bits: Column, window: int = 3) -> Colum
 
     starts = F.sequence(F.lit(0), F.size(words) - window)
     coded = F.transform(starts, lambda i: F.call_function("shiftleft", F.xxhash64(*[F.get(words, i + k) for k in range(window)]), bits).bitwiseOR(i.cast("long")))
-    # An array of one array, so that the sorted array is computed once and then named.
-    return F.when(F.size(words) <= window, F.lit(0).cast("long")).otherwise(F.get(F.transform(F.array(F.sort_array(coded)), covered), F.lit(0)))
+    return F.when(F.size(words) <= window, F.lit(0).cast("long")).otherwise(let(F.sort_array(coded), covered))
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     own = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(own, "\n", -1), lambda x: ascii_strip(x) != "")
-    out = docs.withColumn("_words", words_of(F.col("text"))).withColumn("_bits", F.length(F.bin(F.size("_words")))).select(
+
+    def counted(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        repeated = let(F.length(F.bin(n)), lambda bits: repeated_window_words(words, bits))
+        return let(repeated, lambda r: F.struct(
+            n.alias("n_words"), F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"), r.alias("n_repeat_words"),
+            ((n < MIN_WORDS) | (100 * r > MAX_REPEAT_PERCENT * n)).alias("base_failed"),
+        ))
+
+    return docs.withColumn("_m", let(words_of(F.col("text")), counted)).select(
         *docs.columns,
-        F.size("_words").cast("long").alias("n_words"),
-        F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        "_m.n_words",
+        "_m.word_chars",
         F.when(own.rlike(SYMBOLS), F.regexp_count(own, F.lit(SYMBOLS))).otherwise(0).cast("long").alias("n_symbols"),
-        F.get(F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x))), F.lit(0)).cast("long").alias("n_dup_lines"),
-        repeated_window_words(F.col("_words"), F.col("_bits")).alias("n_repeat_words"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        "_m.n_repeat_words",
+        "_m.base_failed",
     )
-    return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
 def line_frequency(docs: DataFrame, host: str = "source", min_docs: int = MIN_LINE_DOCS, min_share: float = MIN_LINE_SHARE, min_kept: float = MIN_KEPT_SHARE) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import let, read, stored
 
 #: (kind, pattern, group that is measured, its least length)
 BASE = (
@@ -90,8 +90,8 @@ def battery(tokens: DataFrame) -> DataFrame:
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
     counts = F.transform(F.array_distinct("_x"), lambda v: F.size(F.filter("_x", lambda x: x == v)).cast("double"))
     df = df.withColumn("_chi", F.col("_k") / F.col("n") * square(counts) - F.col("n"))
-    df = df.withColumn("_mean", total(F.col("_x")) / F.col("n")).withColumn("_high", F.transform("_x", lambda x: (x > F.col("_k") / 2).cast("int")))
-    df = df.withColumn("_c", F.transform("_x", lambda x: x - F.col("_mean")))
+    df = df.withColumn("_high", F.transform("_x", lambda x: (x > F.col("_k") / 2).cast("int")))
+    df = df.withColumn("_c", let(total(F.col("_x")) / F.col("n"), lambda mean: F.transform("_x", lambda x: x - mean)))
     pairs = F.sequence(F.lit(0), F.col("n") - 2)
     df = df.withColumn("_runs", 1 + total(F.transform(pairs, lambda i: (F.get("_high", i) != F.get("_high", i + 1)).cast("double"))))
     df = df.withColumn("_r", total(F.transform(pairs, lambda i: F.get("_c", i) * F.get("_c", i + 1)))).withColumn("_s", square(F.col("_c")))
