@@ -154,3 +154,70 @@ def bootstrap_f1(df: DataFrame, order: str, y: str, p: str, block: int = 50, rep
     f1 = M.ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
     interval = reps.agg(F.percentile(f1, F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))
     return counts.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn")]).select(f1.alias("f1")).crossJoin(F.broadcast(interval)).select("f1", F.get("ci", F.lit(0)).alias("low"), F.get("ci", F.lit(1)).alias("high"))
+
+
+def _drawn(df: DataFrame, train: Column, metrics: Sequence[str], most: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At most so many training rows, the smallest by hash, standardised; and their mean and scale."""
+    rows = df.filter(train).select(*[F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in metrics])
+    x = np.array([tuple(r) for r in rows.orderBy(F.xxhash64(*metrics, F.lit(seed)), *metrics).limit(most).collect()], dtype=float).reshape(-1, len(metrics))
+    mean = x.mean(axis=0) if len(x) else np.zeros(len(metrics))
+    scale = x.std(axis=0) if len(x) else np.ones(len(metrics))
+    scale = np.where(scale > 0, scale, 1.0)
+    return (x - mean) / scale, mean, scale
+
+
+def _scored(df: DataFrame, metrics: Sequence[str], mean: np.ndarray, scale: np.ndarray, score) -> DataFrame:
+    def run(frames: Iterator) -> Iterator:
+        for pdf in frames:
+            x = (np.nan_to_num(pdf[list(metrics)].to_numpy(dtype=float)) - mean) / scale
+            yield pdf.assign(score=score(x) if len(x) else np.zeros(0))
+
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())]))
+
+
+def outlier_factor(df: DataFrame, train: Column, metrics: Sequence[str], k: int = 35, sample: int = 10_000, seed: int = 7) -> DataFrame:
+    """df with score: local outlier factor against at most sample training rows. Rows are only
+    compared with that bounded reference set, in blocks."""
+    ref, mean, scale = _drawn(df, train, metrics, sample, seed)
+    k = max(1, min(k, len(ref) - 1))
+
+    def nearest(x: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        out_d, out_i = [], []
+        for a in range(0, len(x), 256):
+            d = np.sqrt(((x[a : a + 256, None, :] - ref[None]) ** 2).sum(axis=2))
+            i = np.argsort(d, axis=1, kind="stable")[:, skip : k + skip]
+            out_i.append(i)
+            out_d.append(np.take_along_axis(d, i, axis=1))
+        return np.concatenate(out_d), np.concatenate(out_i)
+
+    if len(ref) < 2:
+        return df.withColumn("score", F.lit(1.0))
+    d, i = nearest(ref, 1)
+    reach = d[:, -1]
+    density = 1 / np.maximum(np.maximum(d, reach[i]).mean(axis=1), 1e-12)
+
+    def score(x: np.ndarray) -> np.ndarray:
+        d, i = nearest(x, 0)
+        own = 1 / np.maximum(np.maximum(d, reach[i]).mean(axis=1), 1e-12)
+        return density[i].mean(axis=1) / own
+
+    return _scored(df, metrics, mean, scale, score)
+
+
+def one_class(df: DataFrame, train: Column, metrics: Sequence[str], nu: float = 0.05, features: int = 64, sample: int = 20_000, epochs: int = 20, seed: int = 7) -> DataFrame:
+    """df with score: how far a row lies outside a one-class linear model over random Fourier
+    features, fitted by stochastic gradient on at most sample training rows."""
+    x, mean, scale = _drawn(df, train, metrics, sample, seed)
+    rng = np.random.default_rng(seed)
+    w = rng.normal(size=(len(metrics), features)) * math.sqrt(2 / max(1, len(metrics)))
+    b = rng.uniform(0, 2 * math.pi, features)
+    phi = lambda v: math.sqrt(2 / features) * np.cos(v @ w + b)
+    z, weights, rho, t = phi(x), np.zeros(features), 0.0, 0
+    for _ in range(epochs if len(z) else 0):
+        for at in np.array_split(rng.permutation(len(z)), max(1, len(z) // 64)):
+            t += 1
+            inside = z[at] @ weights < rho
+            rate = 1 / (1 + 0.1 * t)
+            weights -= rate * (nu * weights - (z[at] * inside[:, None]).mean(axis=0))
+            rho -= rate * (inside.mean() - nu)
+    return _scored(df, metrics, mean, scale, lambda v: rho - phi(v) @ weights)

@@ -85,3 +85,13 @@ def weighted_rollup(spark, sf):
     w = F.abs(F.col("l_quantity")) + 1e-9
     day = F.window("l_shipdate", "1 day")["start"].alias("day")
     return table(spark, sf, "lineitem").groupBy(day).agg(F.round(F.sum("l_extendedprice"), 2).alias("total"), F.round(F.sum(F.col("l_discount") * w) / F.sum(w), 6).alias("discount"))
+
+
+@query("q_outlier_factor")
+def outlier_factor(spark, sf):
+    return r6(models.outlier_factor(wide(spark, sf), _train(), ["a", "b", "c"], k=5).select("ts", "score"))
+
+
+@query("q_one_class")
+def one_class(spark, sf):
+    return models.one_class(wide(spark, sf), _train(), ["a", "b", "c"]).select("ts", F.round("score", 4).alias("score"))
