@@ -162,3 +162,52 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(spans_text(F.col("base_spans")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
+def _sql() -> str:
+    """The query in DuckDB SQL, from the same constants."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def located(name: str, pattern: str, group: int) -> str:
+        return f"""{name}_m AS (SELECT doc_id, string_split_regex(t, {q(pattern)}) AS a, regexp_extract_all(t, {q(pattern)}) AS b, regexp_extract_all(t, {q(pattern)}, {group}) AS c FROM d WHERE regexp_matches(t, {q(pattern)})),
+{name}_x AS (SELECT doc_id, b[i] AS tok, length(c[i]) AS gl, coalesce(list_sum(list_transform(a[1:i], lambda z: length(z))), 0) + coalesce(list_sum(list_transform(b[1:i - 1], lambda z: length(z))), 0) AS st
+  FROM (SELECT *, unnest(range(1, len(b) + 1)) AS i FROM {name}_m)),
+"""
+
+    def rule_sql(rule: str) -> str:
+        looks = [r for r in rule.split("(?=.*")[1:]]
+        body = looks[-1].partition(")")[2]
+        return " AND ".join([f"regexp_matches(y, {q(x.partition(')')[0])})" for x in looks] + [f"regexp_matches(y, {q('^' + body)})"])
+
+    pick = lambda f: "CASE " + " ".join(f"WHEN {rule_sql(e[1])} THEN {f(e)}" for e in ENCODINGS) + " END"
+    parts = "".join(located(k, p, g) for k, p, g, _ in BASE) + located("tok", TOKEN, 0)
+    base = " UNION ALL ".join(f"SELECT doc_id, {i} AS k, st::BIGINT AS st, (st + length(tok))::BIGINT AS en FROM {k}_x WHERE gl >= {least}" for i, (k, _, _, least) in enumerate(BASE))
+    tail = lambda z: f"CASE WHEN {z} >= 0 THEN exp(-{z} * {z} / 2) * 0.3989422804014327e0 * (1 / (1 + 0.2316419e0 * abs({z}))) * (0.319381530e0 + (1 / (1 + 0.2316419e0 * abs({z}))) * (-0.356563782e0 + (1 / (1 + 0.2316419e0 * abs({z}))) * (1.781477937e0 + (1 / (1 + 0.2316419e0 * abs({z}))) * (-1.821255978e0 + (1 / (1 + 0.2316419e0 * abs({z}))) * 1.330274429e0)))) ELSE NULL END"
+    upper = lambda z: f"CASE WHEN {z} >= 0 THEN {tail(z)} ELSE 1 - {tail('(-' + z + ')')} END"
+    kinds = "['" + "', '".join(KINDS) + "']"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+{parts}base AS ({base}),
+y AS (SELECT *, regexp_replace(tok, '=+$', '') AS y FROM tok_x),
+e AS (SELECT *, {pick(lambda e: q(e[0]))} AS enc, {pick(lambda e: q(e[2]))} AS al, {pick(lambda e: str(e[3]))} AS least FROM y),
+f AS (SELECT doc_id, st, tok, enc, least, length(y)::DOUBLE AS n, length(al)::DOUBLE AS k, list_transform(string_split(y, ''), lambda c: strpos(al, c)::DOUBLE) AS x FROM e WHERE enc IS NOT NULL),
+g AS (SELECT *, k / n * list_sum(list_transform(list_distinct(x), lambda v: pow(len(list_filter(x, lambda z: z = v)), 2)::DOUBLE)) - n AS chi,
+  list_sum(list_transform(x, lambda v: (v > k / 2)::INT))::DOUBLE AS n1, list_sum(x) / n AS mean FROM f),
+h AS (SELECT *, list_transform(x, lambda v: v - mean) AS c, 2 * n1 * (n - n1) / n + 1 AS mu, 1 + list_sum(list_transform(range(1, n::BIGINT), lambda i: ((x[i] > k / 2) <> (x[i + 1] > k / 2))::INT))::DOUBLE AS runs FROM g),
+s AS (SELECT *, (mu - 1) * (mu - 2) / (n - 1) AS spread, list_sum(list_transform(range(1, n::BIGINT), lambda i: c[i] * c[i + 1])) AS r, list_sum(list_transform(c, lambda v: v * v)) AS s FROM h),
+z AS (SELECT *, (pow(chi / (k - 1), 1e0 / 3) - (1 - 2 / (9 * (k - 1)))) / sqrt(2 / (9 * (k - 1))) AS z1, CASE WHEN spread > 0 THEN abs(runs - mu) / sqrt(spread) ELSE 9e0 END AS z2,
+  CASE WHEN s > 0 THEN abs(r / s + 1 / n) * sqrt(n) ELSE 9e0 END AS z3 FROM s),
+p AS (SELECT *, -(ln(least(greatest({upper('z1')}, 1e-15), 1)) + ln(least(greatest(2 * {upper('z2')}, 1e-15), 1)) + ln(least(greatest(2 * {upper('z3')}, 1e-15), 1))) AS half FROM z),
+b AS (SELECT doc_id, st, tok, enc, least, n, {" + ".join(f"(n >= {x})::INT" for x in LENGTHS)} AS str, ceil(exp(-half) * (1 + half + half * half / 2) * {GRAIN})::INT AS bin FROM p),
+w AS (SELECT enc, str, bin, sum(count(*)) OVER (PARTITION BY enc, str ORDER BY bin) AS rk, sum(count(*)) OVER (PARTITION BY enc, str) AS m FROM b GROUP BY enc, str, bin),
+cut AS (SELECT enc, str, max(CASE WHEN bin * m <= {FDR_Q * GRAIN} * rk THEN bin ELSE -1 END) AS cut FROM w GROUP BY enc, str),
+more AS (SELECT DISTINCT doc_id, 3 AS k, st::BIGINT AS st, (st + length(tok))::BIGINT AS en FROM b JOIN cut USING (enc, str) WHERE bin > cut AND n >= least),
+al AS (SELECT * FROM base UNION ALL SELECT * FROM more m WHERE NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = m.doc_id AND x.st < m.en AND m.st < x.en)),
+j AS (SELECT doc_id, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2,
+  string_agg(({kinds})[k + 1] || ':' || st || ':' || en, ',' ORDER BY st, k) FILTER (k < 3) AS bs, string_agg(({kinds})[k + 1] || ':' || st || ':' || en, ',' ORDER BY st, k) AS sp FROM al GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(bs, '')) AS base_sha256, coalesce(sp, '') AS spans
+FROM d LEFT JOIN j USING (doc_id)
+"""
+
+
+OP8_SQL = _sql()
