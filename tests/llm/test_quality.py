@@ -1,6 +1,6 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -13,7 +13,8 @@ def brute_base(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     wins = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    covered = {i + k for i, w in enumerate(wins) if wins.count(w) > 1 for k in range(3)} if len(wins) < 5000 else set(range(len(words)))
+    seen = Counter(wins)
+    covered = {i + k for i, w in enumerate(wins) if seen[w] > 1 for k in range(3)}
     lines = [x for x in text.split("\n") if x.strip(SPACE)]
     n = len(words)
     return n, sum(map(len, words)), len(re.findall("[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), n < 50 or 100 * len(covered) > 50 * n
