@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import correlation
 from ..functions.times import micros
+from .metrics import running
 
 
 def joint_exceedance(df: DataFrame, by: Sequence[str], win: str, score: Column, delta: float, most: int = 8) -> DataFrame:
@@ -49,10 +51,9 @@ def annual_projection(rates: DataFrame, n: str, fpr: str, windows: int = 105_120
 def ks_distance(df: DataFrame, x: str, group: Column) -> DataFrame:
     """One row: the largest distance of the two groups' distribution functions."""
     c = df.groupBy(F.col(x).alias("x")).agg(F.sum(group.cast("long")).alias("a"), F.sum((~group).cast("long")).alias("b"))
-    w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     total = c.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))  # one row
-    c = c.withColumn("ca", F.sum("a").over(w)).withColumn("cb", F.sum("b").over(w)).crossJoin(F.broadcast(total))
-    return c.agg(F.max(F.abs(F.try_divide("ca", "na") - F.try_divide("cb", "nb"))).alias("ks"))
+    c = running(c, "x", ["a", "b"]).crossJoin(F.broadcast(total))
+    return c.agg(F.max(F.abs(F.try_divide("run_a", "na") - F.try_divide("run_b", "nb"))).alias("ks"))
 
 
 def time_to_detect(safe: float, attack: float, rate: float, threshold: float, w: float = 3.0, most: int = 50) -> Column:
@@ -84,7 +85,7 @@ def correlation_summary(df: DataFrame, metrics: Sequence[str]) -> dict:
     """Correlations of stated metrics in one pass, and what follows from the small matrix:
     mean and max |rho|, spectral radius, variance inflation, Bartlett's statistic."""
     pairs = [(i, j) for i in range(len(metrics)) for j in range(i)]
-    row = df.agg(F.count(F.lit(1)), *[F.corr(metrics[i], metrics[j]) for i, j in pairs]).first()
+    row = df.agg(F.count(F.lit(1)), *[correlation(metrics[i], metrics[j]) for i, j in pairs]).first()
     r = np.eye(len(metrics))
     for (i, j), v in zip(pairs, row[1:], strict=True):
         r[i, j] = r[j, i] = v or 0.0

@@ -99,30 +99,87 @@ def _by_score(df: DataFrame, y: str, score: str) -> DataFrame:
     return df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
 
 
+#: Ranges that a running sum is cut into at most: each row is compared with that many bounds.
+MOST_RANGES = 1000
+
+
+def running(df: DataFrame, order: str, columns: Sequence[str], descending: bool = False) -> DataFrame:
+    """df with run_<c> for each column: the sum over all rows of the table up to this one.
+
+    No task holds the whole order: rows meet in ranges between approximate quantiles of the
+    order (one row or less for each shuffle partition comes to the driver), and the totals of
+    the ranges before, as few rows, are broadcast and added. The order is a number; its values
+    are distinct, nulls lie at the low end, NaN at the high end.
+    """
+    ranges = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_RANGES)
+    cuts = sorted(set(df.select(F.col(order).cast("double")).approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.5 / ranges))) if ranges > 1 else []
+    bounds = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")
+    df = df.withColumn("_range", F.size(F.filter(bounds, lambda b: b < F.col(order))))
+    way = lambda c: F.col(c).desc() if descending else F.col(c).asc()
+    ahead = Window.orderBy(way("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy("_range").agg(*[F.sum(c).alias(f"_sum_{c}") for c in columns])
+    before = totals.select("_range", *[F.coalesce(F.sum(f"_sum_{c}").over(ahead), F.lit(0)).alias(f"_before_{c}") for c in columns])
+    own = Window.partitionBy("_range").orderBy(way(order)).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.join(F.broadcast(before), "_range").withColumns({f"run_{c}": F.col(f"_before_{c}") + F.sum(c).over(own) for c in columns})
+    return out.drop("_range", *[f"_before_{c}" for c in columns])
+
+
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """One row with auc: tie-aware, from the counts at distinct scores; null if one class lacks."""
-    c = _by_score(df, y, score).withColumn("neg", F.col("n") - F.col("pos"))
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    hits = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
+    c = running(_by_score(df, y, score).withColumn("neg", F.col("n") - F.col("pos")), "s", ["neg"])
+    hits = F.sum(F.col("pos") * (F.col("run_neg") - F.col("neg") / 2))
     return c.agg(F.try_divide(hits.cast("double"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
 
 
 def average_precision(df: DataFrame, y: str, score: str) -> DataFrame:
-    w = Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    c = _by_score(df, y, score).withColumn("tp", F.sum("pos").over(w)).withColumn("all", F.sum("n").over(w))
-    return c.agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("all")), F.sum("pos").cast("double")).alias("ap"))
+    c = running(_by_score(df, y, score), "s", ["pos", "n"], descending=True)
+    return c.agg(F.try_divide(F.sum(F.col("pos") * F.col("run_pos") / F.col("run_n")), F.sum("pos").cast("double")).alias("ap"))
 
 
 def threshold_at_most(df: DataFrame, score: str, target: float) -> DataFrame:
     """One row: the smallest score that at most the target share of rows reach."""
-    c = df.groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    c = c.withColumn("up", F.sum("n").over(Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)))
+    c = running(df.groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n")), "s", ["n"], descending=True)
     n = df.agg(F.count(F.lit(1)).alias("m"), F.max(score).alias("top"))
-    fits = c.crossJoin(F.broadcast(n)).groupBy().agg(F.min(F.when(F.col("up") <= target * F.col("m"), F.col("s"))).alias("t"), F.max("top").alias("top"))
+    fits = c.crossJoin(F.broadcast(n)).groupBy().agg(F.min(F.when(F.col("run_n") <= target * F.col("m"), F.col("s"))).alias("t"), F.max("top").alias("top"))
     return fits.select(F.coalesce("t", F.col("top") + F.greatest(F.abs("top"), F.lit(1.0)) * 2.220446049250313e-16).alias("threshold"))
 
 
+def best_cut(df: DataFrame, y: str, score: str) -> DataFrame:
+    """One row: the score of the largest recall less false-positive rate (of equals the
+    largest score), and that difference; none if one class lacks."""
+    c = running(_by_score(df, y, score).withColumn("neg", F.col("n") - F.col("pos")), "s", ["pos", "neg"], descending=True)
+    n = c.agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_q"))  # one row
+    gap = F.try_divide(F.col("run_pos").cast("double"), F.col("_p")) - F.try_divide(F.col("run_neg").cast("double"), F.col("_q"))
+    return c.crossJoin(F.broadcast(n)).select(F.col("s").alias("threshold"), gap.alias("youden")).filter("youden IS NOT NULL").orderBy(F.desc("youden"), F.desc("threshold")).limit(1)
+
+
+def existence_recall(df: DataFrame, by: Sequence[str], order: str, y: str, p: str) -> DataFrame:
+    """One row: the runs of y = 1, those with a row of p = 1, and their share."""
+    w = Window.partitionBy(*by).orderBy(order)
+    truth = df.withColumn("_n", F.row_number().over(w)).filter(F.col(y) == 1)
+    truth = truth.withColumn("_run", F.col("_n") - F.row_number().over(w))
+    hit = truth.groupBy(*by, "_run").agg(F.max((F.col(p) == 1).cast("long")).alias("_hit"))
+    out = hit.agg(F.count(F.lit(1)).alias("n_runs"), F.coalesce(F.sum("_hit"), F.lit(0)).alias("n_hit"))
+    return out.withColumn("recall", ratio(F.col("n_hit"), F.col("n_runs")))
+
+
+def rates_by(df: DataFrame, keys: Sequence[str], y: Column, p: Column) -> DataFrame:
+    """Confusion counts and rates of each key alone, such as of each leaf."""
+    return with_rates(df.groupBy(*keys).agg(*confusion(y, p)))
+
+
+def window_scores(df: DataFrame, win: str, score: str, weight: str, vote: float) -> DataFrame:
+    """Scores without opinions of each window over its leaves (a stated, small set): mean, max,
+    mean of the three largest, weighted mean and share of leaves from vote on. Null scores
+    count nowhere; without a score the row is null, without a weight weighted is zero."""
+    s, w = F.col(score), F.when(F.col(score).isNotNull(), F.col(weight))
+    top = F.slice(F.sort_array(F.collect_list(score), False), 1, 3)
+    return df.groupBy(win).agg(
+        F.avg(s).alias("mean"), F.max(s).alias("max"), F.try_divide(F.aggregate(top, F.lit(0.0), lambda a, x: a + x), F.size(top)).alias("top3"),
+        ratio(F.sum(w * s), F.sum(w)).alias("weighted"), F.avg((s >= vote).cast("double")).alias("votes"),
+    )
+
+
 def range_auc(df: DataFrame, by: Sequence[str], order: str, y: str, score: str, rows: int, kind: str = "roc") -> DataFrame:
     from .timeseries import dilate
 

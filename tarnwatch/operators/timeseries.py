@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import correlation
 from ..functions.times import micros
 
 
@@ -146,6 +147,19 @@ def effective_n(df: DataFrame, by: Sequence[str], order: str, column: str, lags:
     return df.groupBy(*by).agg(n.alias("n"), F.least(F.greatest(F.try_divide(n, F.greatest(1 + 2 * weighted, F.lit(1e-9))), F.lit(1.0)), n.cast("double")).alias("n_eff"))
 
 
+def unit_root(df: DataFrame, by: Sequence[str], order: str, column: str) -> DataFrame:
+    """by, n, rho1 and df_stat: the lag-1 autocorrelation and the Dickey-Fuller statistic with a
+    constant and no further lags (the t value of the last value's slope on the change). Null
+    with fewer than three changes or a constant series."""
+    known = df.filter(F.col(column).isNotNull())
+    known = known.withColumn("_x", F.lag(column).over(_over(by, order))).filter("_x IS NOT NULL").withColumn("_d", F.col(column) - F.col("_x"))
+    n, sxx = F.count(F.lit(1)), F.regr_sxx("_d", "_x")
+    sums = known.groupBy(*by).agg(n.alias("n"), correlation(column, "_x").alias("rho1"), F.regr_slope("_d", "_x").alias("_b"), sxx.alias("_sxx"), F.regr_syy("_d", "_x").alias("_syy"), F.regr_sxy("_d", "_x").alias("_sxy"))
+    rest = F.try_divide(F.col("_syy") - F.col("_b") * F.col("_sxy"), F.when(F.col("n") > 2, F.col("n") - 2))
+    error = F.sqrt(F.try_divide(rest, F.col("_sxx")))
+    return sums.select(*by, "n", "rho1", F.try_divide(F.col("_b"), error).alias("df_stat"))
+
+
 def mase(df: DataFrame, by: Sequence[str], order: str, y: str, yhat: str) -> DataFrame:
     """by and mase: mean absolute error over that of the last value carried on."""
     df = df.withColumn("_d", F.abs(F.col(y) - F.lag(y).over(_over(by, order))))

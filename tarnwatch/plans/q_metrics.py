@@ -226,3 +226,31 @@ def divergence_weights(spark, sf):
 @query("q_catalog_overlap", f"WITH {CAT} SELECT a.name AS name_1, b.name AS name_2 FROM cat a JOIN cat b ON a.name < b.name AND a.s < b.e AND a.e > b.s")
 def catalog_overlap(spark, sf):
     return A.overlapping(catalog(spark)).select("name_1", "name_2")
+
+
+@query("q_best_cut", f"WITH {SC}, c AS (SELECT score, sum(y) AS p, count(*) - sum(y) AS n FROM sc GROUP BY 1), w AS (SELECT score, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS fp, sum(p) OVER () AS ap, sum(n) OVER () AS an FROM c) SELECT round(score, 6) AS threshold, round(tp::DOUBLE / ap - fp::DOUBLE / an, 6) AS youden FROM w ORDER BY tp::DOUBLE / ap - fp::DOUBLE / an DESC, score DESC LIMIT 1")
+def best_cut(spark, sf):
+    return r6(metrics.best_cut(scored(spark, sf), "y", "score"))
+
+
+@query("q_existence_recall", f"WITH {SC}, f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM sc), m AS (SELECT user_id, score, i - row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM f WHERE y = 1), r AS (SELECT max((score >= 150)::INT) AS hit FROM m GROUP BY user_id, g) SELECT count(*) AS n_runs, sum(hit)::BIGINT AS n_hit, round(coalesce(sum(hit) / nullif(count(*), 0)::DOUBLE, 0), 6) AS recall FROM r")
+def existence_recall(spark, sf):
+    return r6(metrics.existence_recall(scored(spark, sf).withColumn("p", (F.col("score") >= 150).cast("int")), ["user_id"], "event_id", "y", "p"))
+
+
+@query("q_leaf_rates", f"WITH {SC} SELECT event_type, tp, fp, tn, fn, {RATES} FROM (SELECT event_type, {COUNTS} FROM (SELECT event_type, y, (score >= 100)::INT AS p FROM sc) GROUP BY event_type)")
+def leaf_rates(spark, sf):
+    return r6(metrics.rates_by(scored(spark, sf), ["event_type"], F.col("y"), (F.col("score") >= 100).cast("int")))
+
+
+@query("q_window_scores", "WITH l AS (SELECT ts::DATE AS day, event_type, avg((value >= 100)::INT) AS f, count(*) AS n FROM events GROUP BY ALL) SELECT day, round(avg(f), 6) AS mean, round(max(f), 6) AS max, round(list_avg(list_reverse_sort(list(f))[1:3]), 6) AS top3, round(sum(n * f) / sum(n), 6) AS weighted, round(avg((f >= 0.4)::INT), 6) AS votes FROM l GROUP BY day")
+def window_scores(spark, sf):
+    leaves = table(spark, sf, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.avg((F.col("value") >= 100).cast("double")).alias("f"), F.count(F.lit(1)).alias("n"))
+    return r6(metrics.window_scores(leaves, "day", "f", "n", 0.4))
+
+
+@query("q_signature", f"WITH {CAT} SELECT name, event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median FROM events JOIN cat ON ts >= s AND ts < e GROUP BY ALL")
+def signature(spark, sf):
+    c = catalog(spark).select("name", "start", "end")  # a stated catalog
+    e = table(spark, sf, "events").select("event_type", "ts", "value").join(F.broadcast(c), (F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")))
+    return r6(e.groupBy("name", "event_type").agg(F.count(F.lit(1)).alias("n"), F.percentile("value", F.lit(0.5)).alias("median")))

@@ -164,3 +164,8 @@ def regime(spark, sf):
     from ..functions.calendar import regime_of
 
     return table(spark, sf, "events").select("event_id", regime_of(F.col("ts"), ["2024-01-01", "2024-01-06"]).alias("regime"))
+
+
+@query("q_unit_root", "WITH l AS (SELECT event_type, value AS y, lag(value) OVER (PARTITION BY event_type ORDER BY event_id) AS x FROM events), r AS (SELECT event_type, count(*) AS n, corr(y, x) AS rho1, regr_slope(y - x, x) AS b, regr_sxx(y - x, x) AS sxx, regr_syy(y - x, x) AS syy, regr_sxy(y - x, x) AS sxy FROM l WHERE x IS NOT NULL GROUP BY 1) SELECT event_type, n, round(rho1, 6) AS rho1, round(b / sqrt((syy - b * sxy) / (n - 2) / sxx), 6) AS df_stat FROM r")
+def unit_root(spark, sf):
+    return r6(timeseries.unit_root(table(spark, sf, "events"), ["event_type"], "event_id", "value"))

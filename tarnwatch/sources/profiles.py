@@ -10,6 +10,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import correlation
+
 NOT_METRICS = ("timestamp", "ts", "ds", "label", "on_weekend")
 NOT_METRIC_PREFIXES = ("flag_", "mask_", "gt_")
 
@@ -143,7 +145,7 @@ def select_metrics(df: DataFrame, metrics: Sequence[str], most: int = 10, limit:
     spread = df.agg(*[F.var_pop(m).alias(m) for m in metrics]).first()
     live = [m for m in metrics if (spread[m] or 0.0) > 0]
     pairs = [(a, b) for i, a in enumerate(live) for b in live[i + 1 :]]
-    rho = df.agg(F.count(F.lit(1)), *[F.corr(a, b) for a, b in pairs]).first()
+    rho = df.agg(F.count(F.lit(1)), *[correlation(a, b) for a, b in pairs]).first()
     close = {b for i, (_, b) in enumerate(pairs, 1) if abs(rho[i] or 0.0) > limit}
     return sorted((m for m in live if m not in close), key=lambda m: (-spread[m], m))[:most]
 

@@ -141,3 +141,44 @@ def test_streamed_ageing_equals_the_batch(spark, tmp_path):
     q.awaitTermination()
     key = lambda df: sorted((r.leaf, r.win_start, round(r.acc_safe, 9), round(r.acc_atk, 9)) for r in df.collect())
     assert key(spark.table("aged_test")) == key(ageing.age(spark.createDataFrame(rows, schema), "leaf", "win_start"))
+
+
+def test_running_sums_equal_one_ordered_pass(spark):
+    rng = np.random.default_rng(3)
+    xs = sorted({round(float(x), 3) for x in rng.normal(size=300)})
+    df = spark.createDataFrame([(x, i % 7) for i, x in enumerate(xs)], "s double, n long")
+    for down in (False, True):
+        want, total = {}, 0
+        for x, n in sorted(((x, i % 7) for i, x in enumerate(xs)), reverse=down):
+            total += n
+            want[x] = total
+        assert {r.s: r.run_n for r in metrics.running(df, "s", ["n"], down).collect()} == want
+    assert metrics.running(df.limit(0), "s", ["n"]).count() == 0
+
+
+def test_ranks_with_ties_and_one_class(spark):
+    rows = [(1, 0.9), (0, 0.9), (1, 0.5), (0, 0.1), (0, 0.5)]
+    df = spark.createDataFrame(rows, "y int, s double")
+    pairs = [(a > b) + (a == b) / 2 for y, a in rows for z, b in rows if y and not z]
+    assert metrics.roc_auc(df, "y", "s").first().auc == pytest.approx(sum(pairs) / len(pairs))
+    best = metrics.best_cut(df, "y", "s").first()
+    assert (best.threshold, round(best.youden, 6)) == (0.5, round(1 - 2 / 3, 6))
+    assert metrics.roc_auc(df.filter("y = 1"), "y", "s").first().auc is None and metrics.best_cut(df.filter("y = 1"), "y", "s").count() == 0
+
+
+def test_existence_recall_and_unit_root(spark):
+    df = spark.createDataFrame([("a", i, y, p) for i, (y, p) in enumerate([(1, 0), (1, 1), (0, 1), (1, 0), (0, 0), (1, 0)])], "k string, i int, y int, p int")
+    assert tuple(metrics.existence_recall(df, ["k"], "i", "y", "p").first()) == (3, 1, pytest.approx(1 / 3))
+    rng = np.random.default_rng(1)
+    noise = rng.normal(size=400)
+    data = [("noise", i, float(x)) for i, x in enumerate(noise)] + [("walk", i, float(x)) for i, x in enumerate(np.cumsum(noise))] + [("flat", i, 1.0) for i in range(9)]
+    out = {r.k: r for r in timeseries.unit_root(spark.createDataFrame(data, "k string, i int, x double"), ["k"], "i", "x").collect()}
+    assert out["noise"].df_stat < -10 < out["walk"].df_stat and out["flat"].df_stat is None and out["walk"].rho1 > 0.9
+
+
+def test_metric_selection_tolerates_constants_within_nulls(spark):
+    df = spark.createDataFrame([(float(i), 2.0 * i, float(i * i % 7), None if i else 1.0, 3.0) for i in range(9)], "a double, b double, c double, d double, e double")
+    assert profiles.select_metrics(df, ["a", "b", "c", "d", "e"]) == ["a", "c"]
+    two = spark.createDataFrame([(1.0, 5.0, 1.0), (2.0, 5.0, None), (None, 6.0, 4.0)], "a double, b double, c double")
+    # b is constant where a has values; c follows b exactly on the rows that both have.
+    assert set(profiles.select_metrics(two, ["a", "b", "c"])) == {"a", "b"}
