@@ -6,8 +6,9 @@ personalised PageRank from hosts of mostly allowed pages along links, distrust o
 of mostly blocked pages against them (who links to a blocked host is suspect). A host is blocked
 if distrust has at least SHARE of the two.
 
-Both walks are joins and sums over host edges; ranks are written to the shared folder after
-each step. A host with very many links gives one row from each task to each sum.
+Both walks are joins and sums over host edges, one table in the shared folder for each step.
+They go on until every host is reached and no rank moves, however far the hosts lie from the
+seeds. A host with very many links gives one row from each task to each sum.
 
 Defined cases: a null url or one without :// has an empty host and path, fits no rule and is
 allowed; a null html has no links; links of a host to itself don't count; equal rows get
@@ -16,6 +17,7 @@ equal verdicts; hosts that neither walk reaches are allowed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,8 +27,10 @@ from .common import ascii_lower, read, stored
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 DAMPING = 0.85
-STEPS = 20
+#: A walk ends where a step adds less than this share to the rank of every host it comes to.
 TOLERANCE = 1e-6
+#: After so many steps what is left of a walk is below TOLERANCE of the smallest double.
+STEPS = math.ceil((math.log(TOLERANCE) + math.log(5e-324)) / math.log(DAMPING))
 SHARE = 0.5
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
@@ -58,7 +62,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, rank) from seeds (host, mass). What ends in a host without links starts anew at
-    the seeds. Hosts that the walk doesn't reach have no row."""
+    the seeds. Hosts that the walk doesn't reach have no row.
+
+    The rank is the sum over all walks from the seeds, each step damped, divided by its total.
+    A step to a host not met before adds the whole of its rank, so the walk can't end before
+    all are reached; once every addition is below the tolerance, all later ones are."""
     total = seeds.agg(F.sum("mass")).first()[0]
     start = stored(seeds.filter("mass > 0").select("host", (F.col("mass") / (total or 1.0)).alias("seed")), "seeds")
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
@@ -66,16 +74,16 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPI
     rank = start.select("host", F.col("seed").alias("rank"))
     if flow.isEmpty() or not total:
         return rank
+    walk = rank.withColumn("come", F.col("rank"))
     for _ in range(steps):
-        moved = stored(flow.join(rank, flow.src == rank.host).groupBy("dst").agg((damping * F.sum(F.col("part") * F.col("rank"))).alias("come")), "moved")
-        left = 1 - (moved.agg(F.sum("come")).first()[0] or 0.0)
-        new = moved.withColumnRenamed("dst", "host").join(start, "host", "full").select("host", (F.coalesce("come", F.lit(0.0)) + F.coalesce("seed", F.lit(0.0)) * left).alias("rank"))
-        new = stored(new, "rank")
-        change = new.join(rank.withColumnRenamed("rank", "old"), "host", "full").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
-        rank = new
-        if change < tolerance:
-            break
-    return rank
+        moved = flow.join(walk.filter("come > 0"), flow.src == walk.host).groupBy("dst").agg((damping * F.sum(F.col("part") * F.col("come"))).alias("come"))
+        moved = moved.withColumnRenamed("dst", "host").join(walk.select("host", "rank"), "host", "full")
+        come = F.coalesce("come", F.lit(0.0))
+        walk = stored(moved.select("host", (F.coalesce("rank", F.lit(0.0)) + come).alias("rank"), come.alias("come")), "walk")
+        most, whole = walk.agg(F.max(F.try_divide("come", "rank")), F.sum("rank")).first()
+        if (most or 0.0) < tolerance:
+            return walk.select("host", (F.col("rank") / whole).alias("rank"))
+    raise RuntimeError("ranks did not settle")
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, share: float = SHARE) -> DataFrame:

@@ -1,6 +1,8 @@
 import re
 from collections import defaultdict
 
+import pytest
+
 from tarnwatch.llm.urls import DAMPING, RULES, STEPS, judge_urls, personalised_rank
 
 
@@ -83,3 +85,25 @@ def test_ranks_sum_to_one_and_empty_table(spark):
     got = {r.host: r["rank"] for r in personalised_rank(edges, seeds).collect()}
     assert abs(sum(got.values()) - 1) < 1e-9 and set(got) == {"a", "b", "c", "d", "z"}
     assert judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_a_chain_beyond_any_fixed_number_of_steps(spark):
+    n = 30
+    name = lambda i: f"h{i}.org" if i else "a.net"
+    rows = [(i, f"http://{name(i)}/es/1", f'<a href="http://{name(i - 1)}/x">t</a>' if i else None) for i in range(n)]
+    got = {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict.fromkeys(range(n), "block")
+
+
+def test_ranks_are_those_of_the_settled_walk(spark):
+    edges = {(f"h{i}", f"h{i + 1}"): 1.0 for i in range(25)} | {("h3", "h0"): 2.0, ("h25", "h9"): 1.0, ("h25", "end"): 3.0}
+    df = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src string, dst string, weight double")
+    got = {r.host: r["rank"] for r in personalised_rank(df, spark.createDataFrame([("h0", 2.0), ("h5", 1.0)], "host string, mass double")).collect()}
+    want = rank(edges, {"h0": 2.0, "h5": 1.0})
+    assert set(got) == set(want) and all(abs(got[h] - want[h]) <= 1e-4 * want[h] for h in want)
+
+
+def test_ranks_that_do_not_settle_are_refused(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, weight double")
+    with pytest.raises(RuntimeError):
+        personalised_rank(edges, spark.createDataFrame([("a", 1.0)], "host string, mass double"), steps=3)
