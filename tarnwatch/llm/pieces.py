@@ -1,11 +1,13 @@
-"""SentencePiece encoding and decoding by a batched Viterbi search in numpy.
+"""SentencePiece encoding and decoding in numpy, in batches of words.
 
-The model file gives pieces and scores; a text's ids are the segmentation of the highest sum
-of scores (of equal ones, at each end the longest last piece), a code point that no piece
-covers goes to byte pieces. No piece goes on past a word, so words (a run of space marks and
+The model file gives pieces, scores and the kind of the model. Of a BPE model the scores are
+merge ranks: of all neighbours that make a piece together, those of the best score merge
+first, of equal ones the leftmost (Merges). Of a unigram model a text's ids are the
+segmentation of the highest sum of scores (of equal ones, at each end the longest last piece;
+Pieces). A code point that no piece covers goes to byte pieces. No piece goes on past a word, so words (a run of space marks and
 what follows up to the next one) are encoded apart: distinct words of equal length advance
-together. All substrings of one length are hashed at once and probe the sorted hashes of the
-pieces; the maxima over piece lengths are the backpointers.
+together. Substrings are hashed at once and probe the sorted hashes of the pieces; in the
+Viterbi search of Pieces the maxima over piece lengths are the backpointers.
 
 Defined cases: a null text is empty and has no ids; a text that holds the space mark itself
 decodes to a space there; equal rows give equal ids; an empty table gives an empty table.
@@ -13,6 +15,7 @@ decodes to a space there; equal rows give equal ids; an empty table gives an emp
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,6 +33,10 @@ _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 CACHE_WORDS = 400_000
 #: Code points times words that one step of the search holds.
 STEP = 100_000
+#: Up to so many words of one length are merged one by one.
+FEW = 20
+#: Fields of the model file: trainer_spec, and in it model_type.
+_TRAINER, _KIND, _BPE = 2, 3, 2
 #: What a code point without a piece costs beyond the lowest score.
 PENALTY = 10.0
 
@@ -161,11 +168,128 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
+class Merges(Pieces):
+    """Ids of a BPE model: neighbours merge by rank, as in the library's encode()."""
+
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        super().__init__(path, cache_words)
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.named = {model.id_to_piece(i): (s, i) for s, i in zip(self.scores.tolist(), self.ids.tolist(), strict=True)}
+
+    def _probe(self, sums: np.ndarray, rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of the substrings [start, end) of rows; -inf and -1 where no piece is."""
+        h = mix((sums[rows, end] - sums[rows, start]) * self.inverse[start] + (end - start).astype(U64))
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        hit = self.keys[at] == h
+        return np.where(hit, self.scores[at], -np.inf), np.where(hit, self.ids[at], -1)
+
+    def _search(self, codes: np.ndarray) -> list[bytes]:
+        m, length = codes.shape
+        if m <= FEW:
+            return [self._merge_one(row) for row in codes]
+        sums = self._sums(codes)
+        every = np.repeat(np.arange(m), length)
+        place = np.tile(np.arange(length), m)
+        # At the first code point of each symbol: its id, where the one before begins and where
+        # it ends, and score and id of what it makes with the next one. -2: inside a symbol.
+        out = self._probe(sums, every, place, place + 1)[1].reshape(m, length).astype(np.int32)
+        ends = np.tile(np.arange(1, length + 1), (m, 1))
+        before = np.tile(np.arange(-1, length), (m, 1))
+        score, made = np.full((m, length), -np.inf), np.full((m, length), -1, dtype=np.int32)
+        if length > 1:
+            two = place < length - 1
+            s, i = self._probe(sums, every[two], place[two], place[two] + 2)
+            score[:, :-1], made[:, :-1] = s.reshape(m, -1), i.reshape(m, -1)
+        rows = np.arange(m)
+        while rows.size:
+            left = score[rows].argmax(axis=1) if rows.size < m else score.argmax(axis=1)
+            more = score[rows, left] > -np.inf
+            rows, left = rows[more], left[more]
+            right = ends[rows, left]
+            end = ends[rows, right]
+            out[rows, left], out[rows, right] = made[rows, left], -2
+            ends[rows, left], before[rows, end], score[rows, right] = end, left, -np.inf
+            score[rows, left] = -np.inf
+            on = end < length
+            r, a = rows[on], left[on]
+            score[r, a], made[r, a] = self._probe(sums, r, a, ends[r, end[on]])
+            on = left > 0
+            r = rows[on]
+            a = before[r, left[on]]
+            score[r, a], made[r, a] = self._probe(sums, r, a, end[on])
+        whole, flat = out != -2, out.astype("<i4")[out != -2].tobytes()
+        cuts = np.concatenate([[0], np.cumsum(whole.sum(axis=1) * 4)]).tolist()
+        results = [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        for i in np.flatnonzero((out == -1).any(axis=1)).tolist():
+            results[i] = self._with_bytes(codes[i], out[i])
+        return results
+
+    def _merge_one(self, codes: np.ndarray) -> bytes:
+        """The same for one word, with a heap of neighbours; for words of any length."""
+        word, n, named = codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), len(codes), self.named
+        ends, before = list(range(1, n + 1)), list(range(-1, n))
+        out = [named.get(c, (0.0, -1))[1] for c in word]
+        heap = [(-named[word[i : i + 2]][0], i, i + 2) for i in range(n - 1) if word[i : i + 2] in named]
+        heapq.heapify(heap)
+        while heap:
+            _, left, end = heapq.heappop(heap)
+            right = ends[left]
+            # Outdated if one of the two has merged since.
+            if out[left] == -2 or right >= end or ends[right] != end:
+                continue
+            out[left], out[right] = named[word[left:end]][1], -2
+            ends[left], before[end] = end, left
+            if end < n and (hit := named.get(word[left : ends[end]])):
+                heapq.heappush(heap, (-hit[0], left, ends[end]))
+            if left and (hit := named.get(word[before[left] : end])):
+                heapq.heappush(heap, (-hit[0], before[left], end))
+        row = np.array(out, dtype=np.int32)
+        return self._with_bytes(codes, row) if -1 in out else row[row != -2].astype("<u4").tobytes()
+
+
+def _varint(data: bytes, at: int) -> tuple[int, int]:
+    value = shift = 0
+    while True:
+        value |= (data[at] & 127) << shift
+        shift, at = shift + 7, at + 1
+        if data[at - 1] < 128:
+            return value, at
+
+
+def _field(data: bytes, number: int, default):
+    """The last value of a field in a protobuf message: an int or bytes."""
+    at, found = 0, default
+    while at < len(data):
+        tag, at = _varint(data, at)
+        if tag & 7 == 0:
+            value, at = _varint(data, at)
+        elif tag & 7 == 2:
+            size, at = _varint(data, at)
+            value, at = data[at : at + size], at + size
+        else:
+            size = 4 if tag & 7 == 5 else 8
+            value, at = data[at : at + size], at + size
+        if tag >> 3 == number:
+            found = value
+    return found
+
+
+def pieces_of(path: str) -> Pieces:
+    """Merges for a BPE model, Pieces for a unigram model."""
+    with open(path, "rb") as f:
+        kind = _field(_field(f.read(), _TRAINER, b""), _KIND, 1)
+    if kind not in (1, _BPE):
+        raise ValueError("neither a unigram nor a BPE model")
+    return Merges(path) if kind == _BPE else Pieces(path)
+
+
 SCHEMA = "doc_id long, n_chars long, n_ids long, ids_crc32 long, decoded_equal boolean"
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    pieces = Pieces(path)
+    pieces = pieces_of(path)
     for batch in batches:
         texts = [t or "" for t in batch.column(1).to_pylist()]
         coded = [x for at in range(0, len(texts), 512) for x in pieces.encode(texts[at : at + 512])]

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tarnwatch.llm.pieces import MARK, PENALTY, Pieces, decode_documents, default_model, encode_documents
+from tarnwatch.llm.pieces import MARK, PENALTY, Merges, Pieces, decode_documents, default_model, encode_documents
 
 
 def walk(b, i=0):
@@ -101,3 +101,18 @@ def test_small_cache_gives_the_same_ids(pieces):
     texts = [f"w{i} v{i * 7} common words" for i in range(200)]
     small = Pieces(default_model(), cache_words=50)
     assert [x for i in range(0, 200, 9) for x in small.encode(texts[i : i + 9])] == pieces.encode(texts)
+
+
+def test_ids_of_a_bpe_model_are_those_of_the_library(spark):
+    import sentencepiece
+
+    plain = sentencepiece.SentencePieceProcessor(model_file=default_model())
+    rng = random.Random(4)
+    vocab = ["committee", "the", "Reading", "naïve", "straße,", "données", "internationalisation", "über.Die", "aaaa", "漢字仮名", "x\ty", "😀"]
+    texts = ["", "a", "  a  b ", "committee", "n" * 3000, "ab" * 2000, "漢字 😀 mixed\n\ttext", "x\0y"]
+    texts += [" ".join(rng.choices(vocab, k=rng.randrange(1, 30))) for _ in range(50)] + ["".join(rng.choices("abcdeins ", k=400)) for _ in range(200)]
+    want = [plain.encode(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.ids for r in encode_documents(df, default_model()).collect()} == dict(enumerate(want))
+    alone = Merges(default_model())
+    assert [np.frombuffer(x, "<u4").tolist() for t in texts for x in alone.encode([t])] == want
