@@ -63,10 +63,19 @@ def interval_label(df: DataFrame, ts: str, intervals: DataFrame, name: str = "la
     return interval_join(df, ts, merged, ["_hit"], "left", closed).withColumn(name, F.coalesce("_hit", F.lit(0))).drop("_hit")
 
 
+def _back(rows: DataFrame, keys: Sequence[str], found: DataFrame) -> DataFrame:
+    """rows, repeated ones too, with the columns of found (one row for each distinct keys)."""
+    right = found.select(*[F.col(k).alias(f"_{k}_key") for k in keys], *[c for c in found.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}_key"))
+    return rows.join(right, same, "left").drop(*[f"_{k}_key" for k in keys])
+
+
 def first_period(df: DataFrame, ts: str, periods: DataFrame) -> DataFrame:
     """df with period: the name of the first period (by idx) that holds the row, else null."""
-    joined = interval_join(df, ts, periods, ["idx", "name"], "left", closed=True)
-    return joined.groupBy(*df.columns).agg(F.min_by("name", "idx").alias("period"))
+    joined = interval_join(df.select(ts).distinct(), ts, periods, ["idx", "name"], "left", closed=True)
+    return _back(df, [ts], joined.groupBy(ts).agg(F.min_by("name", "idx").alias("period")))
 
 
 def best_overlap(episodes: DataFrame, periods: DataFrame) -> DataFrame:
@@ -75,9 +84,10 @@ def best_overlap(episodes: DataFrame, periods: DataFrame) -> DataFrame:
     p = periods.select("idx", F.col("name").alias("period"), F.col("start").alias("_ps"), F.col("end").alias("_pe"))
     span = lambda a, b: (micros(b) - micros(a)) / 1e6
     small = p.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = episodes.join(F.broadcast(p) if small else p, (F.col("start") < F.col("_pe")) & (F.col("_ps") < F.col("end")), "left")
+    joined = episodes.select("start", "end").distinct().join(F.broadcast(p) if small else p, (F.col("start") < F.col("_pe")) & (F.col("_ps") < F.col("end")), "left")
     both = span(F.greatest("start", "_ps"), F.least("end", "_pe"))
     union = span(F.least("start", "_ps"), F.greatest("end", "_pe"))
-    joined = joined.withColumn("_iou", F.coalesce(F.try_divide(both, union), F.lit(0.0)))
+    joined = joined.withColumn("_iou", F.coalesce(F.when(F.col("_ps").isNotNull(), F.try_divide(both, union)), F.lit(0.0)))
     best = F.max_by(F.struct("period", "_iou"), F.struct(F.col("_iou"), -F.col("idx")))
-    return joined.groupBy(*episodes.columns).agg(best.alias("_b")).select(*episodes.columns, F.col("_b.period").alias("period"), F.coalesce("_b._iou", F.lit(0.0)).alias("iou"))
+    found = joined.groupBy("start", "end").agg(best.alias("_b")).select("start", "end", F.col("_b.period").alias("period"), F.coalesce("_b._iou", F.lit(0.0)).alias("iou"))
+    return _back(episodes, ["start", "end"], found)

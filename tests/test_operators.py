@@ -182,3 +182,14 @@ def test_metric_selection_tolerates_constants_within_nulls(spark):
     two = spark.createDataFrame([(1.0, 5.0, 1.0), (2.0, 5.0, None), (None, 6.0, 4.0)], "a double, b double, c double")
     # b is constant where a has values; c follows b exactly on the rows that both have.
     assert set(profiles.select_metrics(two, ["a", "b", "c"])) == {"a", "b"}
+
+
+def test_rows_that_repeat_keep_their_number(spark):
+    ntz = "cast(%s as timestamp_ntz)"
+    periods = spark.sql("SELECT * FROM VALUES (0, 'p', timestamp_ntz'2024-01-01 00:00:00', timestamp_ntz'2024-01-02 00:00:00'), (1, 'q', timestamp_ntz'2024-01-01 12:00:00', timestamp_ntz'2024-01-03 00:00:00') AS t(idx, name, start, end)")
+    rows = spark.createDataFrame([("2024-01-01 13:00:00", 1)] * 3 + [("2024-01-02 13:00:00", 2)] * 2 + [("2025-01-01 00:00:00", 3), (None, 4), (None, 4)], "t string, v int").select(F.expr(ntz % "t").alias("ts"), "v")
+    got = sorted(((r.v, r.period) for r in joins.first_period(rows, "ts", periods).collect()), key=str)
+    assert got == [(1, "p")] * 3 + [(2, "q")] * 2 + [(3, None)] + [(4, None)] * 2
+    episodes = spark.createDataFrame([(1, "2024-01-01", "2024-01-02")] * 3 + [(2, "2025-01-01", "2025-01-02")] * 2 + [(3, None, None)] * 2, "episode int, a string, b string").select("episode", F.expr(ntz % "a").alias("start"), F.expr(ntz % "b").alias("end"))
+    got = sorted(((r.episode, r.period, r.iou) for r in joins.best_overlap(episodes, periods).collect()), key=str)
+    assert got == [(1, "p", 1.0)] * 3 + [(2, None, 0.0)] * 2 + [(3, None, 0.0)] * 2
