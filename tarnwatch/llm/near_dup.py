@@ -178,6 +178,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     shared = stored(buckets.join(stars, "bucket"), "buckets")
     first = stored(shared.filter("id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v")).distinct(), "stars")
     links = stored(_confirm(first, texts, shingle, percent), "links")
+    # A doc_id that repeats is one node: it ties the classes of all its texts together.
+    several = members.groupBy("doc_id").agg(F.min("s1").alias("a1"), F.max("s1").alias("b1"), F.min("s2").alias("a2"), F.max("s2").alias("b2")).filter("a1 <> b1 OR a2 <> b2").select("doc_id")
+    tied = members.join(several.hint("shuffle_hash"), "doc_id", "left_semi").select("s1", "s2", "doc_id").distinct().join(classes, ["s1", "s2"])
+    links = stored(links.unionByName(tied.filter("id <> doc_id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))), "tied")
     found = stored(components(links), "components")
 
     # The links that stars missed, between classes of a bucket that are still apart. The
@@ -205,7 +209,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
             found = stored(components(links.unionByName(late)), "components")
 
     named = classes.join(found, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component_id"))
-    # A doc_id that repeats may stand in several classes; its component is one all the same.
     whole = sigs.withColumn("_member", (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     out = whole.select("doc_id", "n_shingles", "s1", "s2", "_member").join(named.withColumn("_member", F.lit(True)), ["s1", "s2", "_member"], "left")
     component = F.coalesce("component_id", "doc_id")

@@ -79,3 +79,14 @@ def test_densified_signature_estimates_similarity():
             true = len(set(x.tolist()) & set(y.tolist())) / len(set(x.tolist()) | set(y.tolist()))
             errors.append(float(np.mean(oph(x) == oph(y))) - true)
     assert abs(np.mean(errors)) < 0.03
+
+
+def test_an_id_that_repeats_ties_its_texts_together(spark):
+    rng = random.Random(6)
+    t1, t2, t3 = (" ".join(rng.choices([f"w{i}" for i in range(400)], k=80)) for _ in range(3))
+    near = " ".join([*t2.split()[:-1], "changed"])
+    rows = [(3, t1), (7, t1), (7, t2), (9, near), (12, t3), (12, ""), (14, t3), (14, t2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, shingle=2).collect())
+    assert got == brute(rows)
+    assert {(d, c) for d, n, c, _ in got if n} == {(d, 3) for d in (3, 7, 9, 12, 14)}
