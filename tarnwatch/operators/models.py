@@ -98,11 +98,31 @@ def pca_error(df: DataFrame, train: Column, metrics: Sequence[str], components:
     return df.withColumn("score", F.greatest(full - part, F.lit(0.0)))
 
 
+#: Copies of one row that are numbered in one go.
+COPIES = 10_000
+
+
+def _draw(df: DataFrame, train: Column, metrics: Sequence[str], most: int, seed: int) -> np.ndarray:
+    """At most so many training rows, each with the same chance: equal rows are counted and
+    numbered, and the smallest hashes of values and number are taken. So a row of many copies is
+    drawn in proportion to them, and the draw doesn't depend on how the table is cut into tasks."""
+    rows = df.filter(train).select(*[F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(f"_v{i}") for i, m in enumerate(metrics)])
+    values = rows.columns
+    counts = rows.groupBy(*values).agg(F.count(F.lit(1)).alias("_n"))
+    # The copies of a row are dealt out in runs, so that no task numbers all of a common one.
+    runs = counts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(COPIES).cast("long"))).alias("_from"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = runs.repartition(parts, *values, "_from")
+    copies = runs.select(*values, F.explode(F.sequence("_from", F.least(F.col("_from") + COPIES, "_n") - 1)).alias("_copy"))
+    rank = F.xxhash64(*values, "_copy", F.lit(seed))
+    drawn = copies.orderBy(rank, *values, "_copy").limit(most).select(*values).collect()
+    return np.array([tuple(r) for r in drawn], dtype=float).reshape(-1, len(metrics))
+
+
 def isolation_forest(df: DataFrame, train: Column, metrics: Sequence[str], trees: int = 100, sample: int = 256, seed: int = 7) -> DataFrame:
     """df with score in (0, 1). Each tree sees sample rows of a bounded draw (trees * sample
-    training rows by hash); scoring is vectorised over Arrow batches."""
-    rows = df.filter(train).select(*[F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in metrics])
-    drawn = np.array([tuple(r) for r in rows.orderBy(F.xxhash64(*metrics, F.lit(seed))).limit(trees * sample).collect()], dtype=float).reshape(-1, len(metrics))
+    training rows, each with the same chance); scoring is vectorised over Arrow batches."""
+    drawn = _draw(df, train, metrics, trees * sample, seed)
     rng = np.random.default_rng(seed)
     depth = max(1, math.ceil(math.log2(max(2, min(sample, len(drawn))))))
     c = lambda n: 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
@@ -157,9 +177,8 @@ def bootstrap_f1(df: DataFrame, order: str, y: str, p: str, block: int = 50, rep
 
 
 def _drawn(df: DataFrame, train: Column, metrics: Sequence[str], most: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """At most so many training rows, the smallest by hash, standardised; and their mean and scale."""
-    rows = df.filter(train).select(*[F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in metrics])
-    x = np.array([tuple(r) for r in rows.orderBy(F.xxhash64(*metrics, F.lit(seed)), *metrics).limit(most).collect()], dtype=float).reshape(-1, len(metrics))
+    """At most so many training rows, standardised; and their mean and scale."""
+    x = _draw(df, train, metrics, most, seed)
     mean = x.mean(axis=0) if len(x) else np.zeros(len(metrics))
     scale = x.std(axis=0) if len(x) else np.ones(len(metrics))
     scale = np.where(scale > 0, scale, 1.0)

@@ -49,3 +49,12 @@ def test_bootstrap_interval_holds_the_value(spark):
     df = spark.range(2000).select(F.col("id"), (F.col("id") % 5 == 0).cast("int").alias("y"), ((F.col("id") % 5 == 0) & (F.col("id") % 3 > 0)).cast("int").alias("p"))
     r = models.bootstrap_f1(df, "id", "y", "p").first()
     assert r.low <= r.f1 <= r.high and r.high - r.low < 0.2
+
+
+def test_a_common_row_is_drawn_in_proportion(spark):
+    # 30,000 distinct rows and 15,000 copies of one, as idle telemetry.
+    df = spark.range(45_000).select(F.when(F.col("id") < 30_000, F.rand(5)).otherwise(0.0).alias("a"), F.when(F.col("id") < 30_000, F.rand(6)).alias("b"))
+    for seed in range(3):
+        x, mean, scale = models._drawn(df, F.lit(True), ["a", "b"], 3000, seed)
+        assert len(x) == 3000 and 0.29 < (abs(x * scale + mean) < 1e-9).all(axis=1).mean() < 0.38
+    assert len(models._draw(df, F.lit(True), ["a", "b"], 100_000, 7)) == 45_000 and len(models._draw(df, F.lit(False), ["a", "b"], 10, 7)) == 0
