@@ -13,7 +13,10 @@ is ordered globally.
 
 Defined cases: a null text is empty; an empty text has an empty fingerprint, likeness 1 with
 another empty one and 0 with others; null doc_ids come first; rows that repeat a doc_id
-follow each other by a hash of their text; a lone document is its own next.
+follow each other by a hash of their text, equal rows in any order; a lone document is its own
+next; an empty table gives an empty table. A very long text is parsed and hashed whole, in one
+task: its trie needs memory for its phrases, the hashing for STEP code points at a time. Other
+columns of docs, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -32,35 +35,49 @@ from .sketch import U64, OnePermutation, mix, short
 BINS = 128
 #: Ranges for each shuffle partition: evens out how many a task gets.
 RANGES = 3
+#: Code points that are hashed in one go.
+STEP = 1 << 16
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _BASE = 0x9E3779B97F4A7C15
 
 
-def parse(text: str, at: int, seen: set[str], stop: int | None = None) -> tuple[list[int], int]:
-    """Ends of the phrases from position at, and where it stopped; seen gains the phrases.
+def parse(text: str, at: int, known: dict, stop: int | None = None, log: list | None = None) -> tuple[list[int], int]:
+    """Ends of the phrases from position at, and where it stopped; known gains the phrases.
 
-    With stop, a phrase that would end beyond it isn't begun. Known phrases are closed under
-    prefixes, so the search for the longest starts at the last length and walks either way.
+    known is a trie: code points to tries, 0 at its leaves. With stop, a phrase that would end
+    beyond it isn't begun. log gains what forget() needs to take the phrases out again.
     """
     ends: list[int] = []
-    n, length = len(text), 1
-    limit = n if stop is None else stop
-    while at < n:
-        if text[at : at + length] in seen:
-            while at + length < n and text[at : at + length + 1] in seen:
-                length += 1
+    node, last = known, at
+    steps = enumerate(text[at:stop], at + 1)
+    for end, c in steps:
+        child = node.get(c)
+        if child:
+            node = child
+            continue
+        if child is None:
+            node[c] = 0
         else:
-            length -= 1
-            while length and text[at : at + length] not in seen:
-                length -= 1
-        end = min(at + length + 1, n)
-        if end > limit:
-            break
-        seen.add(text[at:end])
+            end, d = next(steps, (0, ""))
+            if not end:
+                break
+            node[c] = {d: 0}
+        if log is not None:
+            log.append((node, c, child))
         ends.append(end)
-        at = end
-        length = max(length, 1)
-    return ends, at
+        last, node = end, known
+    if stop is None and last < len(text):
+        last = len(text)
+        ends.append(last)
+    return ends, last
+
+
+def forget(log: list) -> None:
+    for node, c, child in reversed(log):
+        if child is None:
+            del node[c]
+        else:
+            node[c] = child
 
 
 class Fingerprinter:
@@ -68,22 +85,37 @@ class Fingerprinter:
         self.oph = OnePermutation(bins)
         self.powers = self.inverse = np.ones(1, dtype=U64)
 
-    def _hashes(self, text: str, ends: list[int]) -> np.ndarray:
+    def hashes(self, text: str, at: int, ends: list[int]) -> np.ndarray:
+        """Hashes of the phrases that follow each other from position at; the text is gone
+        through in steps, so that tables are longer than STEP only for a longer phrase."""
+        e = np.array(ends, dtype=np.int64)
+        out, begin = [], 0
+        while begin < len(e):
+            stop = max(begin + 1, int(np.searchsorted(e, at + STEP, "right")))
+            out.append(self._step(text[at : ends[stop - 1]], e[begin:stop] - at))
+            begin, at = stop, ends[stop - 1]
+        return out[0] if len(out) == 1 else np.concatenate(out) if out else np.empty(0, U64)
+
+    def _step(self, text: str, e: np.ndarray) -> np.ndarray:
         n = len(text)
         if len(self.powers) <= n:
-            size = max(2 * len(self.powers), n + 1)
+            size = max(STEP, n + 1)
             self.powers, self.inverse = (np.cumprod(np.concatenate([np.ones(1, U64), np.full(size, b, U64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
-        codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(U64) + U64(1)
-        sums = np.concatenate([np.zeros(1, U64), np.cumsum(codes * self.powers[:n])])
-        e = np.array(ends, dtype=np.int64)
-        s = np.concatenate([np.zeros(1, np.int64), e[:-1]])
-        return np.unique(mix((sums[e] - sums[s]) * self.inverse[s] + (e - s).astype(U64)))
-
-    def of(self, text: str, ends: list[int]) -> np.ndarray:
-        return short(self.oph(self._hashes(text, ends))) if ends else np.empty(0, "<u2")
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(U64)
+        codes += U64(1)
+        codes *= self.powers[:n]
+        until = np.cumsum(codes)[e - 1]
+        sums, size, at = until.copy(), e.copy(), np.zeros_like(e)
+        sums[1:] -= until[:-1]
+        size[1:] -= e[:-1]
+        at[1:] = e[:-1]
+        return mix(sums * self.inverse[at] + size.astype(U64))
+
+    def signature(self, hashes: np.ndarray) -> np.ndarray:
+        return short(self.oph(np.sort(hashes))) if len(hashes) else np.empty(0, "<u2")
 
     def __call__(self, text: str) -> np.ndarray:
-        return self.of(text, parse(text, 0, set())[0])
+        return self.signature(self.hashes(text, 0, parse(text, 0, {})[0]))
 
 
 def as_text(minima: np.ndarray) -> str:
@@ -97,21 +129,27 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 class _Current:
-    """A document that waits for the next one."""
+    """A document that waits for the next one: its first half is parsed and hashed once."""
 
-    __slots__ = ("at", "doc", "ends", "half", "minima", "seen", "text")
+    __slots__ = ("at", "doc", "half", "head", "known", "minima", "text")
 
     def __init__(self, doc: int | None, text: str, prints: Fingerprinter):
         self.doc, self.text = doc, text
         self.half = len(text) - len(text) // 2
-        seen: set[str] = set()
-        self.ends, self.at = parse(text, 0, seen, self.half)
-        self.seen = seen.copy()
-        self.minima = prints.of(text, self.ends + parse(text, self.at, seen)[0])
+        self.known: dict = {}
+        ends, self.at = parse(text, 0, self.known, self.half)
+        self.head = prints.hashes(text, 0, ends)
+        log: list = []
+        self.minima = self._with_rest(text, prints, log)
+        forget(log)
+
+    def _with_rest(self, text: str, prints: Fingerprinter, log: list | None = None) -> np.ndarray:
+        rest = prints.hashes(text, self.at, parse(text, self.at, self.known, None, log)[0])
+        return prints.signature(np.concatenate([self.head, rest]))
 
     def row(self, following: _Current, prints: Fingerprinter) -> tuple:
         edited = self.text[: self.half] + following.text[: len(self.text) - self.half]
-        changed = prints.of(edited, self.ends + parse(edited, self.at, self.seen)[0])
+        changed = self._with_rest(edited, prints)
         digest = hashlib.sha256(edited.encode()).hexdigest()
         return self.doc, len(self.text), digest, as_text(self.minima), as_text(changed), likeness(self.minima, changed), likeness(self.minima, following.minima)
 
