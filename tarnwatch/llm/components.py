@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -28,7 +28,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = stored(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        done = edges
         edges = stored(small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        discard(done, large)
         after = _state(edges)
         if after == before:
             break
