@@ -6,7 +6,10 @@ them; what stays is put together again by position.
 
 Defined cases: a null text is one empty line; a row with a null doc_id passes unchanged and
 counts for nothing; rows that repeat a doc_id are one document, so a line they share is not
-repeated by that; equal rows get equal results; an empty table gives an empty table.
+repeated by that; equal rows get equal results; an empty table gives an empty table. The work
+on a text is in proportion to its length, however many lines it has; one text is one row. Of
+docs, columns named as a result column give way to it; any others pass through, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, read, stored
+from .common import SPACE_CHARS, columns_but, free_names, read, skew_join, stored, without
 
 MIN_CHARS = 10
 _SPACE = SPACE_CHARS.encode()
@@ -50,32 +53,34 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = 2)
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Keys of
     min_chars code points or more in min_docs documents or more stay in the smallest doc_id
     alone. Counting is a partial aggregate, so a line that a third of all documents share
-    arrives as one row from each task; the join that follows only carries hashes, and
-    adaptive execution splits its hot key.
+    arrives as one row from each task; the join that follows only carries hashes, and the rows
+    of a common line are dealt out over many tasks.
     """
     own = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.withColumn("_key", F.xxhash64(own))
+    key, doc, row, gone = free_names(docs, "_key", "_doc", "_row", "_gone")
+    base = docs.withColumn(key, F.xxhash64(own))
     lines = stored(
-        base.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("_key"), own.alias("text"))
+        docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(own).alias("row_key"), own.alias("text"))
         .mapInArrow(lambda it: _exploded(it, min_chars), "doc_id long, row_key long, pos int, h1 long, h2 long"),
         "lines",
     )
     if min_docs == 2:  # two different documents: the smallest and the largest differ
-        counted = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+        counted = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     else:
-        counted = lines.select("doc_id", "h1", "h2").distinct().groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs)
+        once = lines.groupBy("h1", "h2", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+        counted = once.groupBy("h1", "h2").agg(F.sum("rows").alias("n"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs)
+    counted = stored(counted.select("h1", "h2", "first", "n"), "repeated-lines")
     dropped = (
-        lines.join(counted.select("h1", "h2", "first"), ["h1", "h2"]).filter("doc_id > first")
-        .groupBy(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_row")).agg(F.collect_set("pos").alias("_gone"))
+        skew_join(lines, counted, ["h1", "h2"], "n", ["doc_id", "row_key", "pos"]).filter("doc_id > first")
+        .groupBy(F.col("doc_id").alias(doc), F.col("row_key").alias(row)).agg(F.sort_array(F.collect_set("pos")).alias(gone))
     )
-    joined = base.join(dropped.hint("shuffle_hash"), (F.col("doc_id") == F.col("_doc")) & (F.col("_key") == F.col("_row")), "left")
+    joined = base.join(dropped, (F.col("doc_id") == F.col(doc)) & (F.col(key) == F.col(row)), "left")
     split = F.split(own, "\n", -1)
-    stays = F.when(F.col("_gone").isNull(), own).otherwise(F.array_join(F.filter(split, lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n"))
     return joined.select(
-        *[base[c] for c in docs.columns],
+        *columns_but(docs, ("n_lines", "n_dropped", "kept_text")),
         F.size(split).cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_dropped"),
-        stays.alias("kept_text"),
+        F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_dropped"),
+        F.when(F.col(gone).isNull(), own).otherwise(without(split, F.col(gone))).alias("kept_text"),
     )
 
 

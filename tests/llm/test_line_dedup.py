@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from tarnwatch.llm.line_dedup import dedup_lines
 
@@ -42,3 +43,25 @@ def test_higher_threshold(spark):
     df = spark.createDataFrame([(1, LONG), (2, LONG), (3, LONG), (4, "another long line"), (5, "another long line")], "doc_id long, text string")
     got = {r.doc_id: r.n_dropped for r in dedup_lines(df, min_docs=3).collect()}
     assert got == {1: 0, 2: 1, 3: 1, 4: 0, 5: 0}
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, LONG), (2, LONG)], "doc_id long, text string").selectExpr("*", "'a' AS _key", "'b' AS N_LINES", "'c' AS _gone", "'d' AS kept_text")
+    out = dedup_lines(df)
+    assert out.columns == ["doc_id", "text", "_key", "_gone", "n_lines", "n_dropped", "kept_text"]
+    assert {tuple(r) for r in out.collect()} == {(1, LONG, "a", "c", 1, 0, LONG), (2, LONG, "a", "c", 1, 1, "")}
+
+
+def test_a_text_of_very_many_lines(spark):
+    many = "\n".join(f"a longer line {k % 50_000}" for k in range(100_000))
+    rows = [(1, many), (2, many + "\nlast own line"), (3, "first own line\n" + many)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    start = time.time()
+    got = {(r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in dedup_lines(df).collect()}
+    assert got == {(1, 100_000, 0, many), (2, 100_001, 100_000, "last own line"), (3, 100_001, 100_000, "first own line")}
+    assert time.time() - start < 60
+
+
+def test_a_line_of_most_rows(spark):
+    df = spark.range(20_000).selectExpr("id AS doc_id", "if(id % 3 > 0, 'a very common line\\n', '') || 'own line ' || id AS text")
+    assert dedup_lines(df).selectExpr("sum(n_dropped)").first()[0] == 13_332
