@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
@@ -109,3 +110,46 @@ def test_sql_gives_the_same():
     got = {r[0]: r[5] for r in c.sql(S.OP8_SQL).fetchall()}
     want = {doc: ",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in spans) for doc, _, spans in brute(rows)}
     assert got == want and any("random" in x for x in got.values())
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "token=abcdef12")], "doc_id long, text string").selectExpr("*", "'a' AS spans", "'b' AS _id", "'c' AS _more", "'d' AS _KEY", "'e' AS base")
+    out = S.find_secrets(df)
+    assert out.columns == ["doc_id", "text", "_id", "_more", "_KEY", "base", "base_spans", "spans"]
+    r = out.first()
+    assert (r._id, r._more, r._KEY, r.base) == ("b", "c", "d", "e") and [tuple(s) for s in r.spans] == [(0, 0, 14)]
+
+
+def test_a_text_of_very_many_tokens(spark):
+    rng = random.Random(5)
+    b64 = ALPHABET["base64"][1]
+    parts = []
+    for i in range(20_000):
+        parts.append(f"word é token=abc{i}def" if i % 2 else "".join(rng.choice(b64) for _ in range(40)))
+    rows = [(1, " ".join(parts))]
+    start = time.time()
+    r = S.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).select("base_spans", "spans", S.redacted(F.col("text"), F.col("spans")).alias("t")).first()
+    assert [(1, [tuple(s) for s in r.base_spans], [tuple(s) for s in r.spans])] == brute(rows)
+    text, at, out = rows[0][1], 0, []
+    for a, _, b in r.spans:
+        if a >= at:
+            out.append(text[at:a] + "[SECRET]")
+        at = max(at, b)
+    assert r.t == "".join(out) + text[at:] and len(r.spans) > 15_000
+    assert time.time() - start < 60
+
+
+def test_shares_of_planted_tokens(spark):
+    """Of random tokens nearly all are reported, of tokens made of words and numbers few."""
+    rng = random.Random(11)
+    draw = lambda name, n: "".join(rng.choice(ALPHABET[name][1]) for _ in range(n))
+    words = ["get", "User", "page", "Index", "color", "Item", "data", "Value", "list", "Name"]
+    planted = {i: draw(rng.choice(["base64", "base36", "BASE36", "base32"]), rng.choice([24, 40, 64])) for i in range(600)}
+    plain = {1000 + i: "".join(rng.choice(words) for _ in range(rng.randrange(6, 12))) + str(rng.randrange(10, 99)) for i in range(600)}
+    rows = [(i, f"see {t} here") for i, t in {**planted, **plain}.items()]
+    found = {r.doc_id for r in S.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).filter(F.size("spans") > 0).collect()}
+    base = {i for i, t in rows if base_spans(t)}
+    random_share = len([i for i in planted if i in found - base]) / len([i for i in planted if i not in base])
+    plain_share = len([i for i in plain if i in found]) / len(plain)
+    print(random_share, plain_share)
+    assert random_share > 0.9 and plain_share < 0.2
