@@ -49,32 +49,32 @@ class Ageing:
         return k, self.rate * (1 - k) ** self.gamma
 
 
-def fold(df: DataFrame, key: str, order: str, values: Sequence[str], start: Callable[[], list[float]], step: Callable[[list[float], list[float]], tuple[list[float], list[float]]], out: Sequence[str]) -> DataFrame:
-    """key, order and out for each row: step(state, values) gives the new state and the output.
-    Rows of a key follow each other by order; equal orders follow by their values."""
-    keyed = df.select(key, order, *[F.col(v).cast("double").alias(v) for v in values])
+def fold(df: DataFrame, key: str, order: str, values: Sequence[str], start: Callable[[], list[float]], step: Callable[[list[float], list[float]], tuple[list[float], list[float]]], out: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """key, order, carry and out for each row: step(state, values) gives the new state and the
+    output. Rows of a key follow each other by order; equal orders follow by their values."""
+    keyed = df.select(key, order, *carry, *[F.col(v).cast("double").alias(f"_v{i}") for i, v in enumerate(values)])
     schema = keyed.schema
-    out_schema = f"{key} {schema[key].dataType.simpleString()}, {order} {schema[order].dataType.simpleString()}, " + ", ".join(f"{o} double" for o in out)
+    out_schema = f"{key} {schema[key].dataType.simpleString()}, {order} {schema[order].dataType.simpleString()}, " + ", ".join([*(f"{c} {schema[c].dataType.simpleString()}" for c in carry), *(f"{o} double" for o in out)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state, begun = None, start(), False
         for batch in batches:
             keys = batch.column(0).to_pylist()
             rows = []
-            for k, now in zip(keys, zip(*[c.to_pylist() for c in batch.columns[2:]], strict=True), strict=True):
+            for k, now in zip(keys, zip(*[c.to_pylist() for c in batch.columns[2 + len(carry) :]], strict=True), strict=True):
                 if not begun or k != current:
                     current, state, begun = k, start(), True
                 state, row = step(state, list(now))
                 rows.append(row)
             columns = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(out))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=[key, order, *out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: 2 + len(carry)], *columns], names=[key, order, *carry, *out])
 
-    ordered = keyed.repartition(key).sortWithinPartitions(key, order, *values)
+    ordered = keyed.repartition(key).sortWithinPartitions(key, order, *[f"_v{i}" for i in range(len(values))])
     return ordered.mapInArrow(run, out_schema)
 
 
-def age(df: DataFrame, key: str, order: str, evidence: Sequence[str] = ("ev_p", "ev_s", "ev_n"), params: Ageing = Ageing()) -> DataFrame:
-    """key, order, k_eff, lambda_dyn and the accumulated evidence acc_safe, acc_susp, acc_atk."""
+def age(df: DataFrame, key: str, order: str, evidence: Sequence[str] = ("ev_p", "ev_s", "ev_n"), params: Ageing = Ageing(), carry: Sequence[str] = ()) -> DataFrame:
+    """key, order, carry, k_eff, lambda_dyn and the accumulated evidence acc_safe, acc_susp, acc_atk."""
 
     def start() -> list[float]:
         return [a * params.w for a in params.prior] if params.start_at_prior else [0.0, 0.0, 0.0]
@@ -85,7 +85,7 @@ def age(df: DataFrame, key: str, order: str, evidence: Sequence[str] = ("ev_p",
         state = [rate * s + x for s, x in zip(state, now, strict=True)]
         return state, [k, rate, *state]
 
-    return fold(df, key, order, evidence, start, step, ["k_eff", "lambda_dyn", "acc_safe", "acc_susp", "acc_atk"])
+    return fold(df, key, order, evidence, start, step, ["k_eff", "lambda_dyn", "acc_safe", "acc_susp", "acc_atk"], carry)
 
 
 def age_small(df: DataFrame, key: str, order: str, evidence: Sequence[str] = ("ev_p", "ev_s", "ev_n"), params: Ageing = Ageing()) -> DataFrame:

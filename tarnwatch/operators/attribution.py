@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import overlap_join, small_side
+
 EPS = 1e-12
 STATES = ("safe", "susp", "atk")
 
@@ -24,8 +26,7 @@ def inject(evidence: DataFrame, events: DataFrame, key: str, ts: str, size: floa
     s = F.col("sig_p") + F.col("sig_s") + F.col("sig_n")
     part = lambda c, rest: F.when(s > 0, F.try_divide(F.col(c) * size, s)).otherwise(rest)
     e = events.select("name", "start", "end", F.col("leaf").alias("_leaf"), "ramp_frac", part("sig_p", size).alias("_p"), part("sig_s", 0.0).alias("_s"), part("sig_n", 0.0).alias("_n"))
-    # The catalog is a table of stated events.
-    joined = evidence.join(F.broadcast(e), (F.col(key) == F.col("_leaf")) & (F.col(ts) >= F.col("start")) & (F.col(ts) < F.col("end")), "left")
+    joined = evidence.join(small_side(e), (F.col(key) == F.col("_leaf")) & (F.col(ts) >= F.col("start")) & (F.col(ts) < F.col("end")), "left")
     group = Window.partitionBy(key, "name")
     i, n = F.row_number().over(group.orderBy(ts)), F.count(F.lit(1)).over(group)
     joined = joined.withColumn("_w", F.when(F.col("name").isNotNull(), ramp(i, n, F.col("ramp_frac"))))
@@ -36,7 +37,7 @@ def inject(evidence: DataFrame, events: DataFrame, key: str, ts: str, size: floa
 def overlapping(events: DataFrame) -> DataFrame:
     """Pairs of events that overlap; a valid catalog has none."""
     a, b = events.select(*[F.col(c).alias(f"{c}_1") for c in ("name", "start", "end")]), events.select(*[F.col(c).alias(f"{c}_2") for c in ("name", "start", "end")])
-    return a.join(b, (F.col("name_1") < F.col("name_2")) & (F.col("start_1") < F.col("end_2")) & (F.col("end_1") > F.col("start_2")))
+    return overlap_join(a, b, ("start_1", "end_1"), ("start_2", "end_2")).filter("name_1 < name_2")
 
 
 def pooled(projections: DataFrame, keys: Sequence[str], prefix: str = "p_") -> DataFrame:
@@ -51,7 +52,7 @@ def template_scores(groups: DataFrame, templates: DataFrame, win: str, prefix: s
     t = templates.select("type", "type_idx", "grp", *[F.col(f"c_{s}") for s in STATES])
     total = F.col("c_safe") + F.col("c_susp") + F.col("c_atk")
     score = sum((F.col(prefix + s) * F.when(total > 0, F.try_divide(F.col(f"c_{s}"), total)).otherwise(1 / 3) for s in STATES), F.lit(0.0))
-    return groups.join(F.broadcast(t), "grp").select(win, "type", "type_idx", "grp", F.greatest(score, F.lit(EPS)).alias("score"))
+    return groups.join(small_side(t), "grp").select(win, "type", "type_idx", "grp", F.greatest(score, F.lit(EPS)).alias("score"))
 
 
 def contrast(scores: DataFrame, win: str) -> DataFrame:

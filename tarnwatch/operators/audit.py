@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import correlation
 from ..functions.times import micros
+from .joins import interval_join
 from .metrics import running
 
 
@@ -36,9 +37,9 @@ def episode_profile(df: DataFrame, keys: Sequence[str], ts: str, kind: str, scor
 
 def around_events(df: DataFrame, ts: str, score: str, events: DataFrame, before_s: float, after_s: float) -> DataFrame:
     """(name, before, during, after): mean scores around the stated events."""
-    a, b, t = micros("start"), micros("end"), micros(ts)
-    e = events.select("name", "start", "end")
-    joined = df.join(F.broadcast(e), (t >= a - int(before_s * 1e6)) & (t < b + int(after_s * 1e6)))
+    a, b, t = micros("_s"), micros("_e"), micros(ts)
+    wide = events.select("name", F.col("start").alias("_s"), F.col("end").alias("_e"), (F.col("start") - F.expr(f"interval {float(before_s)} seconds")).alias("start"), (F.col("end") + F.expr(f"interval {float(after_s)} seconds")).alias("end"))
+    joined = interval_join(df.select(ts, score), ts, wide, ["name", "_s", "_e"])
     mean = lambda c: F.avg(F.when(c, F.col(score)))
     return joined.groupBy("name").agg(mean(t < a).alias("before"), mean((t >= a) & (t < b)).alias("during"), mean(t >= b).alias("after"))
 

@@ -31,6 +31,24 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: Sequence[str], ts: str,
     return out.select("_row.*", *[F.when(near, F.col(f"_pick.{v}")).alias(v) for v in values], near.alias("matched")).withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 
+def small_side(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it has at most BROADCAST_ROWS rows (which are counted), else as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def overlap_join(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span: tuple[str, str], bucket_seconds: int = 86400) -> DataFrame:
+    """Rows of a and b whose spans overlap. A small b is broadcast; else both are cut at bucket
+    borders and meet by bucket, each pair in the first one that they share."""
+    rule = (F.col(a_span[0]) < F.col(b_span[1])) & (F.col(b_span[0]) < F.col(a_span[1]))
+    if b.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return a.join(F.broadcast(b), rule)
+    bucket = lambda c: F.floor(seconds(c) / bucket_seconds)
+    cut = lambda df, span, name: df.withColumn(name, F.explode(F.sequence(bucket(F.col(span[0])), F.greatest(bucket(F.col(span[0])), bucket(F.col(span[1]))))))
+    first = F.greatest(bucket(F.col(a_span[0])), bucket(F.col(b_span[0])))
+    met = cut(a, a_span, "_bucket_a").join(cut(b, b_span, "_bucket_b"), (F.col("_bucket_a") == F.col("_bucket_b")) & rule)
+    return met.filter(F.col("_bucket_a") == first).drop("_bucket_a", "_bucket_b")
+
+
 def inside(ts: Column, start: Column, end: Column, closed: bool = False) -> Column:
     return (ts >= start) & ((ts <= end) if closed else (ts < end))
 
@@ -83,11 +101,10 @@ def best_overlap(episodes: DataFrame, periods: DataFrame) -> DataFrame:
     over union, the first of equals; iou 0 and null without any overlap."""
     p = periods.select("idx", F.col("name").alias("period"), F.col("start").alias("_ps"), F.col("end").alias("_pe"))
     span = lambda a, b: (micros(b) - micros(a)) / 1e6
-    small = p.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = episodes.select("start", "end").distinct().join(F.broadcast(p) if small else p, (F.col("start") < F.col("_pe")) & (F.col("_ps") < F.col("end")), "left")
+    joined = overlap_join(episodes.select("start", "end").distinct(), p, ("start", "end"), ("_ps", "_pe"))
     both = span(F.greatest("start", "_ps"), F.least("end", "_pe"))
     union = span(F.least("start", "_ps"), F.greatest("end", "_pe"))
     joined = joined.withColumn("_iou", F.coalesce(F.try_divide(both, union), F.lit(0.0)))
     best = F.max_by(F.struct("period", "_iou"), F.struct(F.col("_iou"), -F.col("idx")))
     found = joined.groupBy("start", "end").agg(best.alias("_b")).select("start", "end", F.col("_b.period").alias("period"), F.coalesce("_b._iou", F.lit(0.0)).alias("iou"))
-    return _back(episodes, ["start", "end"], found)
+    return _back(episodes, ["start", "end"], found).withColumn("iou", F.coalesce("iou", F.lit(0.0)))

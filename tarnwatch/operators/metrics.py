@@ -29,9 +29,18 @@ def with_rates(df: DataFrame) -> DataFrame:
 
 
 def sweep(df: DataFrame, thresholds: Sequence[float], score: str = "score", y: str = "y") -> DataFrame:
-    """Rates at every threshold in one pass: a row meets the (stated, few) thresholds as an array."""
-    cut = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
-    return with_rates(df.select(y, score, cut).groupBy("threshold").agg(*confusion(F.col(y), (F.col(score) >= F.col("threshold")).cast("int"))))
+    """Rates at every threshold. A row counts once, in the bucket of the stated thresholds that its
+    score reaches; the buckets then add up from above. Rows with a null label or score count
+    nowhere."""
+    cuts = sorted({float(t) for t in thresholds})
+    reached = F.size(F.filter(F.array(*[F.lit(t) for t in cuts]), lambda t: t <= F.col(score)))
+    one = lambda v: F.sum((F.col(y) == v).cast("long"))
+    counts = df.filter(F.col(score).isNotNull() & F.col(y).isin(0, 1)).groupBy(reached.alias("_b")).agg(one(1).alias("_p"), one(0).alias("_n"))
+    packed = counts.agg(F.collect_list(F.struct("_b", "_p", "_n")).alias("_l"))  # as many entries as thresholds
+    at = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(i).alias("i")) for i, t in enumerate(cuts)])).alias("c")
+    total = lambda field, over: F.aggregate(F.filter("_l", lambda x: (x["_b"] > F.col("i")) if over else (x["_b"] <= F.col("i"))), F.lit(0).cast("long"), lambda a, x: a + x[field])
+    rows = packed.filter(F.size("_l") > 0).select("_l", at).select("_l", "c.*")
+    return with_rates(rows.select("threshold", total("_p", True).alias("tp"), total("_n", True).alias("fp"), total("_n", False).alias("tn"), total("_p", False).alias("fn")))
 
 
 def best_row(df: DataFrame, by: str, tie: str) -> DataFrame:
@@ -40,12 +49,17 @@ def best_row(df: DataFrame, by: str, tie: str) -> DataFrame:
 
 
 def attack_summary(df: DataFrame, catalog: DataFrame, ts: str, score: str, threshold: float) -> DataFrame:
-    """For each event (name, start, end): n, n_detected, coverage, ttd_s, max and mean score."""
+    """One row for each row of catalog (name, start, end): n, n_detected, coverage, ttd_s, max and
+    mean score. An event without rows has n 0 and nulls; events of one name stay apart."""
+    from .joins import interval_join
+
     hit = F.col(score) >= threshold
-    small = catalog.select("name", "start", "end")
-    joined = df.join(F.broadcast(small), (F.col(ts) >= F.col("start")) & (F.col(ts) < F.col("end")))
-    first = F.min(F.when(hit, micros(ts) - micros("start"))) / 1e6
-    return joined.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum(hit.cast("long")).alias("n_detected"), F.avg(hit.cast("double")).alias("coverage"), first.alias("ttd_s"), F.max(score).alias("max_score"), F.avg(score).alias("mean_score"))
+    spans = catalog.select("start", "end", F.col("start").alias("_s"), F.col("end").alias("_e")).distinct()
+    joined = interval_join(df.select(ts, score), ts, spans, ["_s", "_e"])
+    first = F.min(F.when(hit, micros(ts) - micros("_s"))) / 1e6
+    sums = joined.groupBy("_s", "_e").agg(F.count(F.lit(1)).alias("n"), F.sum(hit.cast("long")).alias("n_detected"), F.avg(hit.cast("double")).alias("coverage"), first.alias("ttd_s"), F.max(score).alias("max_score"), F.avg(score).alias("mean_score"))
+    out = catalog.select("name", "start", "end").join(sums, (F.col("start") == F.col("_s")) & (F.col("end") == F.col("_e")), "left")
+    return out.select("name", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_detected", F.lit(0)).alias("n_detected"), "coverage", "ttd_s", "max_score", "mean_score")
 
 
 def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -188,12 +202,25 @@ def range_auc(df: DataFrame, by: Sequence[str], order: str, y: str, score: str,
 
 
 def vus(df: DataFrame, by: Sequence[str], order: str, y: str, score: str, most: int, steps: int = 11, kind: str = "roc") -> DataFrame:
-    """One row: the area under range AUC over buffers 0..most by the trapezoid rule, over the span."""
+    """One row: the area under range AUC over buffers 0..most by the trapezoid rule, over the span.
+
+    Each row gets its distance to the nearest true row once, by two window functions; a buffer's
+    labels follow from it. Counts at each distinct score hold one number for each buffer, so one
+    order serves all of them."""
     buffers = sorted({round(most * i / (steps - 1)) for i in range(steps)})
-    parts = [range_auc(df, by, order, y, score, b, kind).toDF("v").withColumn("b", F.lit(float(b))) for b in buffers]
-    all_ = parts[0]
-    for p in parts[1:]:
-        all_ = all_.unionByName(p)
+    w = Window.partitionBy(*by).orderBy(order)
+    at = df.select(*by, order, score, y).withColumn("_i", F.row_number().over(w)).withColumn("_y", F.when(F.col(y) == 1, F.col("_i")))
+    far = F.least(F.col("_i") - F.last("_y", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("_y", True).over(w.rowsBetween(0, Window.unboundedFollowing)) - F.col("_i"))
+    near = at.select(F.col(score).alias("s"), F.coalesce(far, F.lit(buffers[-1] + 1)).alias("_far"))
+    names = [f"p{i}" for i in range(len(buffers))]
+    counts = near.groupBy("s").agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col("_far") <= b).cast("long")).alias(p) for b, p in zip(buffers, names, strict=True)])
+    upto = running(counts, "s", ["n", *names], descending=kind != "roc")
+    if kind == "roc":
+        value = lambda p: F.try_divide(F.sum(F.col(p) * ((F.col("run_n") - F.col(f"run_{p}")) - (F.col("n") - F.col(p)) / 2)).cast("double"), (F.sum(p) * (F.sum("n") - F.sum(p))).cast("double"))
+    else:
+        value = lambda p: F.try_divide(F.sum(F.col(p) * F.col(f"run_{p}") / F.col("run_n")), F.sum(p).cast("double"))
+    one = upto.agg(*[value(p).alias(p) for p in names])
+    all_ = one.select(F.explode(F.array(*[F.struct(F.lit(float(b)).alias("b"), F.col(p).alias("v")) for b, p in zip(buffers, names, strict=True)])).alias("r")).select("r.*")
     w = Window.orderBy("b")  # steps rows
     areas = all_.withColumn("area", (F.col("v") + F.lag("v").over(w)) / 2 * (F.col("b") - F.lag("b").over(w)))
     return areas.agg((F.sum("area") / (buffers[-1] - buffers[0]) if len(buffers) > 1 else F.first("v")).alias(f"vus_{kind}"))

@@ -94,6 +94,15 @@ def thresholds(df: DataFrame, by: Sequence[str], residual: str, q_susp: float =
     return q.select(*by, susp.alias("t_susp"), F.greatest(F.col("_a"), ratio * susp).alias("t_atk"), (base * susp).alias("t_base"))
 
 
+def with_thresholds(df: DataFrame, by: Sequence[str], residual: str, where: Column, q_susp: float = 0.9, q_atk: float = 0.97, ratio: float = 1.1, base: float = 0.9) -> DataFrame:
+    """df with the thresholds of its group, from its rows where the condition holds: the same as
+    thresholds() without a join, for groups of few rows such as the windows of a leaf."""
+    w = Window.partitionBy(*by)
+    at = lambda q: F.percentile(F.when(where, F.abs(residual)), F.lit(q)).over(w)
+    df = df.withColumn("t_susp", F.when(at(q_susp).isNotNull(), F.greatest(at(q_susp), F.lit(1e-9)))).withColumn("t_atk", at(q_atk))
+    return df.withColumns({"t_atk": F.greatest(F.col("t_atk"), ratio * F.col("t_susp")), "t_base": base * F.col("t_susp")})
+
+
 def decision_threshold(scores: DataFrame, by: Sequence[str], score: str, fpr: float, least: float = 1e-6) -> DataFrame:
     """by, delta: the quantile 1 - fpr of calibration scores; the largest score where that is
     the floor that most windows share, and never below least."""

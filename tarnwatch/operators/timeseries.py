@@ -28,9 +28,17 @@ def window_spine(df: DataFrame, keys: Sequence[str], start: str, width: int) ->
 
 
 def fill_windows(df: DataFrame, keys: Sequence[str], start: str, width: int, zeros: Sequence[str]) -> DataFrame:
-    """df (one row for each key and window) with the missing windows, their sums zero."""
-    out = window_spine(df, keys, start, width).join(df, [*keys, start], "left")
-    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in zeros})
+    """df (one row for each key and window) with the missing windows of the whole span, their sums
+    zero and other columns null. Each row also makes the windows between it and the next one of its
+    key, the first those before it too."""
+    span = df.agg(F.min(start).alias("_a"), F.max(start).alias("_b"))  # one row
+    w, step = _over(keys, start), F.expr(f"interval {width} seconds")
+    ends = df.join(F.broadcast(span), F.lit(True)).withColumn("_first", F.lag(start).over(w).isNull()).withColumn("_next", F.lead(start).over(w))
+    times = F.sequence(F.when(F.col("_first"), F.col("_a")).otherwise(F.col(start)), F.coalesce(F.col("_next") - step, "_b"), step)
+    rows = ends.select("*", F.explode(times).alias("_t"))
+    own = F.col("_t") == F.col(start)
+    value = lambda c: F.when(own, F.coalesce(c, F.lit(0))).otherwise(F.lit(0)) if c in zeros else F.when(own, F.col(c))
+    return rows.select(*[F.col("_t").alias(c) if c == start else F.col(c) if c in keys else value(c).alias(c) for c in df.columns])
 
 
 def row_windows(df: DataFrame, by: Sequence[str], order: str, size: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import opinions as O
@@ -39,26 +39,22 @@ def leaves(cells: DataFrame) -> DataFrame:
 
 def _split(df: DataFrame, share: float, width: int) -> DataFrame:
     """df with calib: the first share of the windows of the span."""
-    span = df.agg(F.min("win_start").alias("_a"), F.max("win_start").alias("_b"))  # one row
-    n = (seconds("_b") - seconds("_a")) / width + 1
-    return df.crossJoin(F.broadcast(span)).withColumn("calib", (seconds("win_start") - seconds("_a")) / width < F.floor(n * share)).drop("_a", "_b")
+    w = Window.partitionBy("leaf")  # every leaf has all windows of the span
+    first, last = seconds(F.min("win_start").over(w)), seconds(F.max("win_start").over(w))
+    return df.withColumn("calib", (seconds("win_start") - first) / width < F.floor(((last - first) / width + 1) * share))
 
 
 def residuals(leaves: DataFrame, p: Detection = Detection()) -> DataFrame:
     """leaves with calib, yhat and resid: the mean by weekend and hour over calibration windows."""
     df = _split(leaves, p.calibration, p.cell_seconds).withColumns({"weekend": F.weekday("win_start") >= 5, "hour": F.hour("win_start")})
-    seen = df.filter("calib")
-    fine = seen.groupBy("leaf", "weekend", "hour").agg(F.avg("y").alias("_fine"))  # leaves x 48 rows
-    coarse = seen.groupBy("leaf").agg(F.avg("y").alias("_coarse"))
-    df = df.join(fine, ["leaf", "weekend", "hour"], "left").join(coarse, "leaf", "left")
-    df = df.withColumn("yhat", F.coalesce("_fine", "_coarse"))
+    mean = lambda *by: F.avg(F.when(F.col("calib"), F.col("y"))).over(Window.partitionBy(*by))
+    df = df.withColumn("yhat", F.coalesce(mean("leaf", "weekend", "hour"), mean("leaf")))
     return df.select("leaf", "grp", "win_start", "calib", "y", "yhat", (F.col("y") - F.col("yhat")).alias("resid"))
 
 
 def evidence(resid: DataFrame, p: Detection = Detection()) -> DataFrame:
     """(leaf, grp, day, calib, n_obs, ev_p, ev_s, ev_n): trapezoid masses, summed over days."""
-    t = tails.thresholds(resid.filter("calib AND resid IS NOT NULL"), ["leaf"], "resid", p.q_susp, p.q_atk)
-    df = resid.filter("resid IS NOT NULL").join(t, "leaf")
+    df = tails.with_thresholds(resid.filter("resid IS NOT NULL"), ["leaf"], "resid", F.col("calib"), p.q_susp, p.q_atk).filter("t_susp IS NOT NULL")
     mass = O.trapezoid(F.col("resid"), F.col("t_susp"), F.col("t_atk"), F.col("t_base"))
     df = df.select("leaf", "grp", "calib", F.window("win_start", f"{p.day_seconds} seconds")["start"].alias("day"), *[m.alias(n) for m, n in zip(mass, ("p", "s", "n"), strict=True)])
     return df.groupBy("leaf", "grp", "day").agg(F.min("calib").alias("calib"), F.count(F.lit(1)).alias("n_obs"), F.sum("p").alias("ev_p"), F.sum("s").alias("ev_s"), F.sum("n").alias("ev_n"))
@@ -67,8 +63,7 @@ def evidence(resid: DataFrame, p: Detection = Detection()) -> DataFrame:
 def leaf_opinions(ev: DataFrame, p: Detection = Detection()) -> DataFrame:
     r = tuple(F.col(c) for c in ("ev_p", "ev_s", "ev_n"))
     if p.memory:
-        aged = ageing.age(ev, "leaf", "day", params=p.memory)
-        ev = ev.join(aged, ["leaf", "day"])
+        ev = ageing.age(ev, "leaf", "day", params=p.memory, carry=["grp", "calib"])
         r = tuple(F.col(c) for c in ("acc_safe", "acc_susp", "acc_atk"))
     return ev.select("leaf", "grp", "day", "calib", *O.from_evidence(r).columns())
 

@@ -251,6 +251,5 @@ def window_scores(spark, sf):
 
 @query("q_signature", f"WITH {CAT} SELECT name, event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median FROM events JOIN cat ON ts >= s AND ts < e GROUP BY ALL")
 def signature(spark, sf):
-    c = catalog(spark).select("name", "start", "end")  # a stated catalog
-    e = table(spark, sf, "events").select("event_type", "ts", "value").join(F.broadcast(c), (F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")))
+    e = joins.interval_join(table(spark, sf, "events").select("event_type", "ts", "value"), "ts", catalog(spark), ["name"])
     return r6(e.groupBy("name", "event_type").agg(F.count(F.lit(1)).alias("n"), F.percentile("value", F.lit(0.5)).alias("median")))

@@ -87,7 +87,7 @@ def episodes(spark, sf):
     return _episodes(spark, sf).withColumnsRenamed({"start": "start_ts", "end": "end_ts"})
 
 
-@query("q_episode_iou", EPI + f", {CAT}, o AS (SELECT user_id, episode, idx, name, (epoch_us(least(ep.e, cat.e)) - epoch_us(greatest(ep.s, cat.s))) / (epoch_us(greatest(ep.e, cat.e)) - epoch_us(least(ep.s, cat.s)))::DOUBLE AS iou FROM ep LEFT JOIN cat ON ep.s < cat.e AND cat.s < ep.e), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, episode ORDER BY iou DESC, idx) AS k FROM o) SELECT user_id, episode, name AS period, round(coalesce(iou, 0), 6) AS iou FROM r WHERE k = 1")
+@query("q_episode_iou", EPI + f", {CAT}, o AS (SELECT user_id, episode, idx, name, (epoch_us(least(ep.e, cat.e)) - epoch_us(greatest(ep.s, cat.s))) / (epoch_us(greatest(ep.e, cat.e)) - epoch_us(least(ep.s, cat.s)))::DOUBLE AS iou FROM ep LEFT JOIN cat ON ep.s < cat.e AND cat.s < ep.e), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, episode ORDER BY iou DESC, idx) AS k FROM o) SELECT user_id, episode, name AS period, round(CASE WHEN name IS NULL THEN 0 ELSE coalesce(iou, 0) END, 6) AS iou FROM r WHERE k = 1")
 def episode_iou(spark, sf):
     return r6(joins.best_overlap(_episodes(spark, sf).select("user_id", "episode", "start", "end"), catalog(spark)).select("user_id", "episode", "period", "iou"))
 
