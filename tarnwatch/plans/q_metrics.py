@@ -101,11 +101,6 @@ def range_auc(spark, sf):
     return r6(metrics.range_auc(scored(spark, sf), ["user_id"], "event_id", "y", "score", 2))
 
 
-@query("q_vus_roc")
-def vus_roc(spark, sf):
-    return r6(metrics.vus(scored(spark, sf), ["user_id"], "event_id", "y", "score", 4, 5))
-
-
 @query("q_regime_fpr", f"WITH {SC} SELECT regime, count(*) AS n, round(avg((score >= 100)::INT), 6) AS fpr FROM (SELECT *, CASE WHEN isodow(ts) < 6 AND hour(ts) >= 8 AND hour(ts) < 18 THEN 'ACTIVE' ELSE 'QUIET' END AS regime FROM sc WHERE y = 0) GROUP BY regime")
 def regime_fpr(spark, sf):
     df = scored(spark, sf).filter("y = 0").groupBy(calendar.regime_of(F.col("ts")).alias("regime"))
