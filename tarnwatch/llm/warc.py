@@ -4,18 +4,21 @@ Writing: each task writes gzip-per-record WARC/1.1 files into the shared folder
 where each record lies. Payloads are compared by SHA-1: of equal ones, the smallest page_id
 is the response and the others are revisit records that refer to it.
 
-Index: captures are sorted by reversed-host URL key (and page_id) into ranges; each range
-is cut into compressed blocks of BLOCK_LINES lines. The directory is sparse: one key for
-each block, and one for each range. A lookup finds its range by binary search in the range
-keys, its block by binary search in the range's block keys, its line by binary search in the
-decompressed block; then the record is read from the archive by offset and length.
+Index: captures are sorted by reversed-host URL key (and page_id) into ranges, a file each, cut
+into compressed blocks of BLOCK_LINES lines. The directory is sparse and apart from the blocks:
+first and last key, offset and length of each block, and one key for each range. A lookup finds
+its range by binary search in the range keys and its blocks by binary search in the range's
+directory; only those blocks are read, by offset and length. The line comes from a binary search
+in the decompressed block; then the record is read from the archive by offset and length too.
 
 Files carry the attempt in their names, and only files that a finished task returned are
 listed, so a repeated task leaves no half-written file in the index.
 
 Defined cases: a null html is an empty payload; a null url has the key ")"; rows that repeat
 page_id and payload are records of the same type; null page_ids are allowed and revisit any
-page with an id; an empty table gives no files and an empty index.
+page with an id; of equal payloads the smallest page_id is the response; a very long html is one
+record, held whole in one task; an empty table gives no files and an empty index. Other columns
+of pages, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -42,6 +45,7 @@ READ_BYTES = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURES = "key string, file string, at long, size long"
+DIRECTORY = "shard int, block int, first_key string, last_key string, n int, file string, at long, size long"
 
 
 def filesystem(uri: str):
@@ -111,25 +115,17 @@ def base32_sha1(payload: bytes) -> str:
 
 
 def _written(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    files, path = filesystem(folder)
-    name, out, at = "", None, 0
+    out = _Output(folder, "warc.gz")
     for batch in batches:
         rows = []
         for page, url, payload, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if out is None:
-                files.create_dir(path, recursive=True)
-                name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
-                out, at = files.open_output_stream(f"{path}/{name}", compression=None), 0
             member = record(page, url, payload, base32_sha1(payload), first)
-            out.write(member)
-            rows.append((capture_key(url, page), name, at, len(member)))
-            at += len(member)
-            if at >= FILE_BYTES:
+            at = out.write(member)
+            rows.append((capture_key(url, page), out.name, at, len(member)))
+            if out.at >= FILE_BYTES:
                 out.close()
-                out = None
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["key", "file", "at", "size"])
-    if out is not None:
-        out.close()
+    out.close()
 
 
 def write_archive(pages: DataFrame, folder: str, revisit_from: int = 0) -> DataFrame:
@@ -141,23 +137,48 @@ def write_archive(pages: DataFrame, folder: str, revisit_from: int = 0) -> DataF
     first = ids.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND first IS NOT NULL").select("digest", "first")
     again = ids.join(first, "digest").filter("page_id IS NULL OR page_id <> first").distinct()
     again = again.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first")
-    joined = base.join(again.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
+    joined = base.join(again, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
     rows = joined.select("page_id", "url", "payload", "first")
     return stored(rows.mapInArrow(lambda it: _written(it, folder), CAPTURES), "captures")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], lines_each: int) -> Iterator[pa.RecordBatch]:
-    shard = TaskContext.get().partitionId()
+class _Output:
+    """A file of the shared folder that begins with its first write."""
+
+    def __init__(self, folder: str, suffix: str):
+        self.folder, self.suffix, self.out, self.name, self.at = folder, suffix, None, "", 0
+
+    def write(self, raw: bytes) -> int:
+        """Where raw begins."""
+        if self.out is None:
+            files, path = filesystem(self.folder)
+            files.create_dir(path, recursive=True)
+            self.name, self.at = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.{self.suffix}", 0
+            self.out = files.open_output_stream(f"{path}/{self.name}", compression=None)
+        self.out.write(raw)
+        self.at += len(raw)
+        return self.at - len(raw)
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+            self.out = None
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], lines_each: int, folder: str) -> Iterator[pa.RecordBatch]:
+    shard, out = TaskContext.get().partitionId(), _Output(folder, "cdx.z")
     lines: list[str] = []
     number = 0
 
     def block() -> pa.RecordBatch:
         nonlocal number
-        raw = "\n".join(lines).encode()
-        out = [[shard], [number], [lines[0].partition("\t")[0]], [len(lines)], [zlib.compress(raw)]]
+        raw = zlib.compress("\n".join(lines).encode())
+        at = out.write(raw)
+        row = [[shard], [number], [lines[0].partition("\t")[0]], [lines[-1].partition("\t")[0]], [len(lines)], [f"{folder}/{out.name}"], [at], [len(raw)]]
         number += 1
         lines.clear()
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.binary()), strict=True)], names=["shard", "block", "first_key", "n", "data"])
+        kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], names=[c.split()[0] for c in DIRECTORY.split(", ")])
 
     for batch in batches:
         for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -165,55 +186,99 @@ def _blocks(batches: Iterator[pa.RecordBatch], lines_each: int) -> Iterator[pa.R
             if len(lines) == lines_each:
                 yield block()
     if lines:
-        yield block()
+        last = block()
+        out.close()
+        yield last
+    out.close()
 
 
 def build_index(captures: DataFrame, lines_each: int = BLOCK_LINES) -> DataFrame:
-    """Compressed blocks (shard, block, first_key, n, data), stored. Ranges end between any two
-    captures, also those of one URL, so a URL with very many captures has many blocks."""
-    parts = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Writes the compressed blocks into files of a new shared folder and returns the stored
+    directory (DIRECTORY), one row for each block. Ranges end between any two captures, also those
+    of one URL, so a URL with very many captures has many blocks."""
+    spark = captures.sparkSession
+    parts, folder = int(spark.conf.get("spark.sql.shuffle.partitions")), new_folder(spark, "index-blocks")
     ordered = captures.select("key", "file", "at", "size").repartitionByRange(parts, "key", "file", "at").sortWithinPartitions("key", "file", "at")
-    return stored(ordered.mapInArrow(lambda it: _blocks(it, lines_each), "shard int, block int, first_key string, n int, data binary"), "index")
+    return stored(ordered.mapInArrow(lambda it: _blocks(it, lines_each, folder), DIRECTORY), "index")
 
 
-def lookup(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Captures (key, file, at, size) of the keys in wanted (key); each capture once for each
-    row that asks for it. Keys that the index lacks give nothing."""
-    import pandas as pd
+def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, kind, key, last_key, file, at, size, asks), a range's directory (kind 0) before
+    the keys asked of it: key, asks and place of each block that may hold the key."""
+    shard, first, last, place = None, [], [], []
+    for batch in batches:
+        found = []
+        for s, kind, key, until, file, at, size, asks in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if s != shard:
+                shard, first, last, place = s, [], [], []
+            if kind == 0:
+                first.append(key)
+                last.append(until)
+                place.append((file, at, size))
+                continue
+            for b in range(max(0, bisect.bisect_left(first, key) - 1), bisect.bisect_right(first, key)):
+                if last[b] >= key:
+                    found.append((key, asks, *place[b]))
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names=["key", "asks", "file", "at", "size"])
+
+
+def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, asks, file, at, size) sorted by file and place: the captures of the keys."""
+    name, handle, opened, keys, lines = None, None, None, [], []
+    for batch in batches:
+        found = []
+        for key, asks, file, at, size in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if file != name:
+                if handle is not None:
+                    handle.close()
+                files, path = filesystem(file)
+                name, handle, opened = file, files.open_input_file(path), None
+            if at != opened:
+                lines = zlib.decompress(handle.read_at(size, at)).decode().split("\n")
+                opened, keys = at, [x.partition("\t")[0] for x in lines]
+            for k in range(bisect.bisect_left(keys, key), bisect.bisect_right(keys, key)):
+                _, record_file, begin, length = lines[k].split("\t")
+                found += [(key, record_file, int(begin), int(length))] * asks
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names=["key", "file", "at", "size"])
+    if handle is not None:
+        handle.close()
 
+
+def blocks_of(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, asks, file, at, size): the blocks that may hold the keys in wanted (key), and how
+    many rows of wanted ask for each. Keys that lie in no block have no row."""
     # As many rows as there are ranges.
-    ranges = sorted((r["low"], r["shard"]) for r in index.groupBy("shard").agg(F.min("first_key").alias("low")).collect())
-    lows, shards = [r[0] for r in ranges], [r[1] for r in ranges]
+    ranges = sorted((r["low"], r["high"], r["shard"]) for r in index.groupBy("shard").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high")).collect())
+    lows = [r[0] for r in ranges]
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, out_keys, out = batch.column(0).to_pylist(), [], []
-            for key in keys:
-                at = bisect.bisect_right(lows, key) - 1
-                # Captures of one key may begin in the range before.
-                for k in range(bisect.bisect_left(lows, key) - 1, at + 1):
-                    if k >= 0:
-                        out_keys.append(key)
-                        out.append(shards[k])
-            yield pa.RecordBatch.from_arrays([pa.array(out_keys, pa.string()), pa.array(out, pa.int32())], names=["key", "shard"])
-
-    def searched(asked: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-        blocks = blocks.sort_values("block")
-        directory, data = blocks["first_key"].tolist(), blocks["data"].tolist()
-        opened: tuple[int, list[str], list[str]] = (-1, [], [])
-        found = []
-        for key in sorted(asked["key"]):
-            for b in range(max(0, bisect.bisect_left(directory, key) - 1), bisect.bisect_right(directory, key)):
-                if opened[0] != b:
-                    lines = zlib.decompress(data[b]).decode().split("\n")
-                    opened = (b, [x.partition("\t")[0] for x in lines], lines)
-                for k in range(bisect.bisect_left(opened[1], key), bisect.bisect_right(opened[1], key)):
-                    _, file, at, size = opened[2][k].split("\t")
-                    found.append((key, file, int(at), int(size)))
-        return pd.DataFrame(found, columns=["key", "file", "at", "size"]).astype({"at": "int64", "size": "int64"})
-
-    asked = wanted.select("key").mapInArrow(placed, "key string, shard int")
-    return asked.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(searched, CAPTURES)
+            keys, asks, shards = [], [], []
+            for key, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                # Captures of one key may begin in a range before.
+                for k in range(max(0, bisect.bisect_left(lows, key) - 1), bisect.bisect_right(lows, key)):
+                    if ranges[k][1] >= key:
+                        keys.append(key)
+                        asks.append(n)
+                        shards.append(ranges[k][2])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(asks, pa.int64()), pa.array(shards, pa.int32())], names=["key", "asks", "shard"])
+
+    asked = wanted.filter("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("asks")).mapInArrow(placed, "key string, asks long, shard int")
+    directory = index.select("shard", F.lit(0).alias("kind"), F.col("first_key").alias("key"), "last_key", "file", "at", "size")
+    both = directory.unionByName(asked.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.repartition(parts, "shard").sortWithinPartitions("shard", "kind", "key", "file", "at")
+    return both.select("shard", "kind", "key", "last_key", "file", "at", "size", "asks").mapInArrow(_searched, "key string, asks long, file string, at long, size long")
+
+
+def lookup(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Captures (key, file, at, size) of the keys in wanted (key); each capture once for each
+    row that asks for it. Keys that the index lacks give nothing. A block is read once."""
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = blocks_of(index, wanted).repartition(parts, "file").sortWithinPartitions("file", "at", "key")
+    return ordered.mapInArrow(_read_blocks, CAPTURES)
 
 
 def _fetched(batches: Iterator[pa.RecordBatch], folder: str, with_payload: bool) -> Iterator[pa.RecordBatch]:

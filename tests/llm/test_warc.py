@@ -80,3 +80,16 @@ def test_url_keys():
     assert warc.url_key("http://www.Example.com:80/a b?c#d") == "com,example,www:80)/a%20b?c"
     assert warc.url_key(None) == ")" and warc.url_key("x") == "x)"
     assert warc.capture_key("http://a.b/", -1) < warc.capture_key("http://a.b/", 0) < warc.capture_key("http://a.b/", 5)
+
+
+def test_a_lookup_reads_its_blocks_only(spark):
+    data = rows()
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    _, _, index, _ = read_back(spark, df)
+    key = warc.capture_key("http://hot.org/same", 150)
+    ask = spark.createDataFrame([(key,), (key,), ("zz,nowhere)/ 1",), (None,)], "key string")
+    blocks = warc.blocks_of(index, ask).collect()
+    assert len(blocks) == 1 and blocks[0].asks == 2 and blocks[0].key == key
+    found = warc.lookup(index, ask).collect()
+    assert len(found) == 2 and {r.key for r in found} == {key}
+    assert "data" not in index.columns and index.count() > 20
