@@ -7,14 +7,18 @@
 4. A star can miss a link between two classes of which neither is the centre. Buckets whose
    classes are still in different components are gone through in blocks: pairs across
    components are compared by signature, then by 32-bit sets, and what links two components
-   is confirmed on the full sets too. Rows stay in proportion to the members; the result is
-   that of all pairs which share a bucket.
+   is confirmed on the full sets too. A member of such a bucket goes once to each block of
+   BLOCK others that it must meet (the largest component never meets itself), so rows grow
+   with the members times the blocks on the other side, and only there; no pairs are emitted
+   but links. The result is that of all pairs which share a bucket.
 
 32 bands of 5 rows: two sets of similarity 0.8 share no bucket with a chance of 3e-6.
 
 Defined cases: a null, empty or blank text has an empty set and no links; a text with fewer
 words than a shingle is one shingle; rows that repeat a doc_id are one node with the links
-of all its texts; a null doc_id has no links and no component; an empty table gives none.
+of all its texts; a null doc_id has no links and no component; equal similarity counts as a
+link; an empty table gives none. A very long text is hashed whole in one task. Other columns of
+docs, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import discard, read, skew_join, stored
 from .components import components
 from .sketch import OnePermutation, Words, band_hashes, shingles, short
 
@@ -37,6 +41,10 @@ BANDS, ROWS = 32, 5
 BLOCK = 1000
 #: The estimate from 160 bins has a standard error of at most 0.032 near 0.8: five of them.
 SLACK = 0.16
+#: Up to so many ids (8 bytes each) are broadcast to pick their texts; more meet them in a shuffle.
+BROADCAST_IDS = 2_000_000
+#: Members that meet one copy of their centre's text.
+MEMBERS = 1000
 
 
 def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -64,18 +72,26 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (v, part, u, text) sorted by the first three; the centre's own have a null u and
+    come first. Only the sets of one centre are held."""
     words = Words()
-    last, last_set = None, None  # pairs of one centre arrive together
+    group, centre = None, []
     for batch in batches:
-        ok = []
-        for a, b in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
-            if b != last:
-                last, last_set = b, shingles(b, size, words)
-            s = shingles(a, size, words)
-            both = len(np.intersect1d(s, last_set, assume_unique=True))
-            ok.append(100 * both >= percent * (len(s) + len(last_set) - both) and both > 0)
-        keep = pa.array(ok, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(keep)
+        us, vs = [], []
+        for v, part, u, text in zip(*[batch.column(i).to_pylist() for i in range(3)], batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
+            if (v, part) != group:
+                group, centre = (v, part), []
+            s = shingles(text, size, words)
+            if u is None:
+                centre.append(s)
+                continue
+            for other in centre:
+                both = len(np.intersect1d(s, other, assume_unique=True))
+                if both and 100 * both >= percent * (len(s) + len(other) - both):
+                    us.append(u)
+                    vs.append(v)
+                    break
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
 
 def _outlined(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -154,15 +170,26 @@ def _missed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
 
+def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of texts (doc_id, text) with the ids in doc_id; ids should be stored and distinct."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (u, v) that are links. Only the texts of candidates are kept for the joins."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    wanted = stored(texts.join(ids.hint("shuffle_hash"), "doc_id", "left_semi"), "candidates")
-    joined = (
-        pairs.join(wanted.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
-        .join(wanted.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v").select("u", "v", "text_u", "text_v")
-    )
-    return joined.mapInArrow(lambda it: _confirmed(it, size, percent), "u long, v long").distinct()
+    """The stored pairs (u, v) that are links. The text of a centre v goes once to each part of
+    MEMBERS of its members, theirs once for each centre."""
+    ids = stored(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "candidate-ids")
+    wanted = stored(_texts_of(ids, texts), "candidates")
+    sizes = stored(pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts")), "centres")
+    dealt = skew_join(pairs, sizes, ["v"], "n", ["u"]).select("v", F.pmod(F.xxhash64("u"), "parts").cast("int").alias("part"), "u")
+    members = dealt.join(wanted.withColumnRenamed("doc_id", "u"), "u").select("v", "part", "u", "text")
+    centres = sizes.join(wanted.withColumnRenamed("doc_id", "v"), "v").select("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("u"), "text")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = centres.unionByName(members).repartition(parts, "v", "part").sortWithinPartitions("v", "part", F.col("u").asc_nulls_first())
+    links = stored(grouped.mapInArrow(lambda it: _confirmed(it, size, percent), "u long, v long").distinct(), "links")
+    discard(ids, wanted, sizes)
+    return links
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -177,10 +204,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     stars = buckets.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).filter("centre < last").select("bucket", "centre")
     shared = stored(buckets.join(stars, "bucket"), "buckets")
     first = stored(shared.filter("id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v")).distinct(), "stars")
-    links = stored(_confirm(first, texts, shingle, percent), "links")
+    links = _confirm(first, texts, shingle, percent)
     # A doc_id that repeats is one node: it ties the classes of all its texts together.
     several = members.groupBy("doc_id").agg(F.min("s1").alias("a1"), F.max("s1").alias("b1"), F.min("s2").alias("a2"), F.max("s2").alias("b2")).filter("a1 <> b1 OR a2 <> b2").select("doc_id")
-    tied = members.join(several.hint("shuffle_hash"), "doc_id", "left_semi").select("s1", "s2", "doc_id").distinct().join(classes, ["s1", "s2"])
+    tied = members.join(several, "doc_id", "left_semi").select("s1", "s2", "doc_id").distinct().join(classes, ["s1", "s2"])
     links = stored(links.unionByName(tied.filter("id <> doc_id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))), "tied")
     found = stored(components(links), "components")
 
@@ -192,8 +219,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     mixed = held.groupBy("bucket").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("main")).filter("size > 2 AND main.c < size")
     mixed = mixed.select("bucket", F.col("main.comp").alias("main"), F.ceil((F.col("size") - F.col("main.c")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("main.c") / BLOCK).cast("int").alias("many"))
     rows = stored(apart.join(mixed, "bucket"), "mixed")
-    wanted = texts.withColumnRenamed("doc_id", "id").join(rows.select("id").distinct().hint("shuffle_hash"), "id", "left_semi")
-    outlines = wanted.select("id", "text").mapInArrow(lambda it: _outlined(it, shingle), "id long, n long, bands binary, sig binary, set binary")
+    ids = stored(rows.select(F.col("id").alias("doc_id")).distinct(), "mixed-ids")
+    outlines = _texts_of(ids, texts).select("doc_id", "text").mapInArrow(lambda it: _outlined(it, shingle), "id long, n long, bands binary, sig binary, set binary")
     main = F.col("comp") == F.col("main")
     block = F.when(main, F.col("few") + F.pmod(F.xxhash64("id"), F.col("many")).cast("int")).otherwise(F.pmod(F.xxhash64("id"), F.col("few")).cast("int"))
     others = F.sequence(F.lit(0), F.when(main, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
@@ -203,8 +230,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     more = placed.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(lambda it: _missed(it, percent), "u long, v long")
     tried = first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     more = stored(more.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"), "missed")
+    discard(ids, rows, apart)
     if not more.isEmpty():
-        late = stored(_confirm(more, texts, shingle, percent), "late")
+        late = _confirm(more, texts, shingle, percent)
         if not late.isEmpty():
             found = stored(components(links.unionByName(late)), "components")
 
