@@ -1,7 +1,7 @@
 """Hierarchical packing of documents into sequences.
 
 Each document's ids (with the closing id) are cut into full windows and a rest; the rest is
-routed to the tier of the smallest context size that holds it. Every tier is packed first
+routed to the tier of the smallest context size that holds it. Every tier is packed best
 fit decreasing, gaps of the longest windows are filled from the shorter tiers (largest that
 fits first), and a last gap takes the head of a shorter document. What is left of a pool is
 cut at powers of two, which need no padding. Sequences are dealt to step groups in turn, so
@@ -11,7 +11,9 @@ A pool is a bounded number of tokens inside one task: packing needs no shuffle,
 task is repeated with the same result.
 
 Defined cases: a null or empty text is the closing id alone; equal rows are separate
-documents; texts longer than a window are cut; an empty table gives no pieces.
+documents; texts longer than a window are cut; of pieces of equal length the earlier document goes
+first; an empty table gives no pieces. A very long text is encoded whole in one task and ends its
+pool. Other columns of docs, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -147,7 +149,7 @@ class _Open:
         self.room -= piece[2]
 
 
-def _first_fit(pieces: list[tuple[int, int, int]], size: int) -> list[_Open]:
+def _best_fit(pieces: list[tuple[int, int, int]], size: int) -> list[_Open]:
     """Best fit over open sequences, longest pieces first; a piece is (document, start, length)."""
     out: list[_Open] = []
     rooms: list[tuple[int, int]] = []  # (room, number), sorted
@@ -174,7 +176,7 @@ def pack_pool(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[t
             done.append([(doc, start, window)])
         if n % window:
             rest[tiers[bisect.bisect_left(tiers, n % window)]].append((doc, n - n % window, n % window))
-    long = _first_fit(rest[window], window)
+    long = _best_fit(rest[window], window)
     # Shorter tiers' pieces by length, to fill the gaps of long windows.
     short = sorted(p[::-1] for t in tiers[:-1] for p in rest[t])  # (length, start, document)
     for seq in long:
@@ -194,7 +196,7 @@ def pack_pool(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[t
     for length, start, doc in short:
         left[tiers[bisect.bisect_left(tiers, length)]].append((doc, start, length))
     for t in tiers[:-1]:
-        open_ += _first_fit(left[t], t)
+        open_ += _best_fit(left[t], t)
     done += [s.pieces for s in long if not s.room]
     done += [s.pieces for s in open_ if not s.room]
     # The others run together into windows; the last is cut at powers of two.

@@ -10,7 +10,13 @@ together. Substrings are hashed at once and probe the sorted hashes of the piece
 Viterbi search of Pieces the maxima over piece lengths are the backpointers.
 
 Defined cases: a null text is empty and has no ids; a text that holds the space mark itself
-decodes to a space there; equal rows give equal ids; an empty table gives an empty table.
+decodes to a space there; equal rows give equal ids; of merges or segmentations of equal score
+the leftmost, or the longest last piece, wins; an empty table gives an empty table. Texts are not
+normalised beyond spaces becoming marks: the model's own normaliser, if it has one, is not run, so
+ids are the library's where that leaves a text as it is. A very long text is encoded whole; a word
+of more than LONG code points is cut between neighbours that no piece holds together, which
+changes no id. What can't be cut is held whole, about 250 bytes a code point of a BPE model. Other
+columns of docs, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +39,8 @@ _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 CACHE_WORDS = 400_000
 #: Code points times words that one step of the search holds.
 STEP = 100_000
+#: Longer words are cut where no piece can lie across.
+LONG = 4096
 #: Up to so many words of one length are merged one by one.
 FEW = 20
 #: Fields of the model file: trainer_spec, and in it model_type.
@@ -53,6 +61,7 @@ class Pieces:
         if any(re.search(f"[^{MARK}]{MARK}", names[i]) for i in plain):
             raise ValueError("a piece goes on past a word")
         self.longest = max(len(names[i]) for i in plain)
+        self.pairs = {names[i][k : k + 2] for i in plain for k in range(len(names[i]) - 1)}
         self.powers = self.inverse = np.ones(1, dtype=U64)
         keys = np.array([self._whole(names[i]) for i in plain], dtype=U64)
         order = np.argsort(keys)
@@ -138,6 +147,11 @@ class Pieces:
                 at += len(self.raw[piece].decode())
         return np.array(ids, dtype="<u4").tobytes()
 
+    def _parts(self, word: str) -> list[str]:
+        """The word cut between neighbours that no piece holds together."""
+        cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs), len(word)]
+        return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
         split = []
@@ -147,6 +161,10 @@ class Pieces:
             else:
                 split.append((MARK + text.replace(" ", "\0" + MARK)).split("\0") if text else [])
         distinct = set().union(*split)
+        long = {w: self._parts(w) for w in distinct if len(w) > LONG}
+        if long:
+            split = [[p for w in words for p in long.get(w, (w,))] for words in split]
+            distinct = set().union(*split)
         missing = distinct - self.cache.keys()
         if len(self.cache) + len(missing) > self.cache_words:
             self.cache.clear()

@@ -10,7 +10,7 @@ from .pieces import op5_sentencepiece
 from .quality import OP1_SQL, op1_quality_rules
 from .secrets import OP8_SQL, op8_secrets
 from .toxicity import op4_toxicity
-from .urls import op7_url_filters
+from .urls import OP7_SQL, op7_url_filters
 from .warc import OP3_SQL, op3_warc
 
 QUERIES = {
@@ -30,6 +30,7 @@ ORACLE_SQL = {
     "op1_quality_rules": OP1_SQL,
     "op3_warc": OP3_SQL,
     "op6_line_dedup": OP6_SQL,
+    "op7_url_filters": OP7_SQL,
     "op8_secrets": OP8_SQL,
     "op10_near_dup": OP10_SQL,
 }

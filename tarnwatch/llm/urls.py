@@ -12,7 +12,10 @@ seeds. A host with very many links gives one row from each task to each sum.
 
 Defined cases: a null url or one without :// has an empty host and path, fits no rule and is
 allowed; a null html has no links; links of a host to itself don't count; equal rows get
-equal verdicts; hosts that neither walk reaches are allowed.
+equal verdicts; hosts that neither walk reaches are allowed; of two fitting rules of equal length
+the later one in the list decides; a very long html is searched whole for links; an empty table
+gives an empty table. Of pages, columns named as a result column give way to it; any others pass
+through, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, read, stored
+from .common import ascii_lower, columns_but, discard, free_names, read, stored
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 DAMPING = 0.85
@@ -74,12 +77,15 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPI
     rank = start.select("host", F.col("seed").alias("rank"))
     if flow.isEmpty() or not total:
         return rank
-    walk = rank.withColumn("come", F.col("rank"))
+    walk, done = rank.withColumn("come", F.col("rank")), None
     for _ in range(steps):
         moved = flow.join(walk.filter("come > 0"), flow.src == walk.host).groupBy("dst").agg((damping * F.sum(F.col("part") * F.col("come"))).alias("come"))
         moved = moved.withColumnRenamed("dst", "host").join(walk.select("host", "rank"), "host", "full")
         come = F.coalesce("come", F.lit(0.0))
         walk = stored(moved.select("host", (F.coalesce("rank", F.lit(0.0)) + come).alias("rank"), come.alias("come")), "walk")
+        if done is not None:
+            discard(done)
+        done = walk
         most, whole = walk.agg(F.max(F.try_divide("come", "rank")), F.sum("rank")).first()
         if (most or 0.0) < tolerance:
             return walk.select("host", (F.col("rank") / whole).alias("rank"))
@@ -89,12 +95,13 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPI
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, share: float = SHARE) -> DataFrame:
     """pages with host, path, rule and verdict."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    ruled = pages.select(*[F.col(c) for c in pages.columns], host.alias("_h"), path.alias("_p"), matched_rule(host, path, rules).alias("_rule"))
+    h, p, rule, bad_host = free_names(pages, "_h", "_p", "_rule", "_bad")
+    ruled = pages.withColumns({h: host, p: path, rule: matched_rule(host, path, rules)})
     # One row for each host from each task. A host is a seed if rules of one kind decide at
     # least half of its pages; its mass is their number.
     count = lambda c: F.sum(F.coalesce(c.cast("double"), F.lit(0.0)))
-    good, bad = count(F.col("_rule.verdict") == "allow"), count(F.col("_rule.verdict") == "block")
-    hosts = ruled.filter("_h <> ''").groupBy(F.col("_h").alias("host")).agg(good.alias("good"), bad.alias("bad"), F.count(F.lit(1)).alias("n"))
+    good, bad = count(F.col(f"{rule}.verdict") == "allow"), count(F.col(f"{rule}.verdict") == "block")
+    hosts = ruled.filter(F.col(h) != "").groupBy(F.col(h).alias("host")).agg(good.alias("good"), bad.alias("bad"), F.count(F.lit(1)).alias("n"))
     seed = lambda c: F.when(2 * F.col(c) >= F.col("n"), F.col(c)).otherwise(0.0).alias(c)
     seeds = stored(hosts.filter("good + bad > 0").select("host", seed("good"), seed("bad")), "seeds")
     edges = stored(host_edges(pages), "edges")
@@ -102,12 +109,44 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, share
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     distrust = personalised_rank(back, seeds.select("host", F.col("bad").alias("mass"))).withColumnRenamed("rank", "distrust")
     ranks = trust.join(distrust, "host", "full").na.fill(0.0, ["trust", "distrust"])
-    bad = ranks.filter((F.col("distrust") > 0) & (F.col("distrust") >= share * (F.col("trust") + F.col("distrust")))).select(F.col("host").alias("_bad"))
+    bad = ranks.filter((F.col("distrust") > 0) & (F.col("distrust") >= share * (F.col("trust") + F.col("distrust")))).select(F.col("host").alias(bad_host))
     # Hosts alone can be joined to pages in full; a host of many pages is split by adaptive execution.
-    out = ruled.join(bad, ruled._h == bad._bad, "left")
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("_bad").isNotNull(), "block").otherwise("allow"))
-    return out.select(*[F.col(c) for c in pages.columns], F.col("_h").alias("host"), F.col("_p").alias("path"), F.col("_rule.rule").alias("rule"), verdict.alias("verdict"))
+    out = ruled.join(bad, F.col(h) == F.col(bad_host), "left")
+    verdict = F.coalesce(F.col(f"{rule}.verdict"), F.when(F.col(bad_host).isNotNull(), "block").otherwise("allow"))
+    return out.select(*columns_but(pages, ("host", "path", "rule", "verdict")), F.col(h).alias("host"), F.col(p).alias("path"), F.col(f"{rule}.rule").alias("rule"), verdict.alias("verdict"))
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _sql() -> str:
+    """The query in DuckDB SQL. A walk is a recursion over steps, each an aggregate of the one
+    before; after 250 steps the rest of it is below 1e-17."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    lower = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    host = lambda x: lower(f"regexp_extract(coalesce({x}, ''), '^(?s:.*?)://([^/?#]*)', 1)")
+    fits = []
+    for verdict, rule in sorted(RULES, key=lambda r: -len(r[1])):
+        name, _, rest = rule.partition("/")
+        fits.append((f"(host = {q(name)} OR ends_with(host, {q('.' + name)})) AND starts_with(path, {q('/' + rest)})", rule, verdict))
+    case = lambda k: "CASE " + " ".join(f"WHEN {f[0]} THEN {q(f[k])}" for f in fits) + " END"
+    return f"""
+WITH RECURSIVE p AS (SELECT page_id, html, {host("url")} AS host, regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+v AS (SELECT *, {case(1)} AS rule, {case(2)} AS vd FROM p),
+h AS (SELECT host, count(*) AS n, count(*) FILTER (vd = 'allow') AS g, count(*) FILTER (vd = 'block') AS b FROM v WHERE host <> '' GROUP BY host),
+seed AS (SELECT 't' AS k, host, g::DOUBLE AS m FROM h WHERE g > 0 AND 2 * g >= n UNION ALL SELECT 'd', host, b::DOUBLE FROM h WHERE b > 0 AND 2 * b >= n),
+ln AS (SELECT host AS src, unnest(regexp_extract_all(html, {q(LINK)}, 1)) AS link FROM p WHERE host <> ''),
+e0 AS (SELECT src, dst, count(*)::DOUBLE AS w FROM (SELECT src, {host("CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END")} AS dst FROM ln) WHERE dst <> '' AND src <> dst GROUP BY ALL),
+e AS (SELECT 't' AS k, src AS a, dst AS b, w FROM e0 UNION ALL SELECT 'd', dst, src, w FROM e0),
+f AS (SELECT k, a, b, w / sum(w) OVER (PARTITION BY k, a) AS part FROM e),
+z AS (SELECT k, host, m / sum(m) OVER (PARTITION BY k) AS come, 0 AS step FROM seed UNION ALL
+  SELECT z.k, f.b, {DAMPING} * sum(z.come * f.part), max(z.step) + 1 FROM z JOIN f ON f.k = z.k AND f.a = z.host WHERE z.step < 250 GROUP BY z.k, f.b),
+rk AS (SELECT k, host, sum(come) AS c FROM z GROUP BY ALL), rn AS (SELECT k, host, c / sum(c) OVER (PARTITION BY k) AS r FROM rk),
+td AS (SELECT host, coalesce(max(r) FILTER (k = 't'), 0) AS t, coalesce(max(r) FILTER (k = 'd'), 0) AS d FROM rn GROUP BY host),
+bad AS (SELECT host FROM td WHERE d > 0 AND d >= {SHARE} * (t + d))
+SELECT page_id, host, path, rule, coalesce(vd, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM v
+"""
+
+
+OP7_SQL = _sql()

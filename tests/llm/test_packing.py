@@ -77,3 +77,28 @@ def test_empty_table_and_bad_tiers(spark):
     assert pack_documents(empty, default_tokenizer()).count() == 0
     with pytest.raises(ValueError):
         pack_documents(empty, default_tokenizer(), tiers=(300, 2048))
+
+
+def test_padding_and_step_groups_by_an_independent_count(spark):
+    rng = random.Random(21)
+    rows = [(i, " ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([3, 80, 300, 900])))) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    pieces = pack_documents(df, default_tokenizer()).collect()
+    size, group = defaultdict(int), {}
+    for p in pieces:
+        size[p.sequence_id] += p.length
+        group[p.sequence_id] = p.step_group
+    assert all(n <= 2048 and n & (n - 1) == 0 for n in size.values())  # padded to 2048 but at powers of two: none here
+    assert sum(size.values()) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
+    tokens, count = defaultdict(int), defaultdict(int)
+    for k, n in size.items():
+        tokens[group[k]] += n
+        count[group[k]] += 1
+    assert len(tokens) == 8 and max(count.values()) - min(count.values()) <= 1 and max(tokens.values()) - min(tokens.values()) <= 2 * 2048
+    # A lower bound: no packing needs fewer sequences than windows of tokens; short tiers add theirs.
+    assert len(size) >= -(-sum(size.values()) // 2048)
+
+
+def test_other_columns_are_not_read(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string").selectExpr("*", "'x' AS start", "'y' AS LENGTH", "3 AS tier")
+    assert {p.doc_id for p in pack_documents(df, default_tokenizer()).collect()} == {1, 2}

@@ -116,3 +116,16 @@ def test_ids_of_a_bpe_model_are_those_of_the_library(spark):
     assert {r.doc_id: r.ids for r in encode_documents(df, default_model()).collect()} == dict(enumerate(want))
     alone = Merges(default_model())
     assert [np.frombuffer(x, "<u4").tolist() for t in texts for x in alone.encode([t])] == want
+
+
+def test_a_very_long_word_is_cut_where_no_piece_lies_across():
+    import sentencepiece
+
+    rng = random.Random(12)
+    model = sentencepiece.SentencePieceProcessor(model_file=default_model())
+    own = Merges(default_model())
+    for text in ("".join(rng.choice("abcdeéжф漢字😀.,;:0123456789") for _ in range(30_000)), "word" * 5000, "x" * 9000):
+        ids = np.frombuffer(own.encode([text])[0], "<u4").tolist()
+        assert ids == model.encode(text) and own.decode(np.array(ids, dtype="<u4").tobytes()) == text
+    parts = own._parts("".join(rng.choice("aeиж漢字") for _ in range(10_000)))
+    assert len(parts) > 1000 and not any(a[-1] + b[0] in own.pairs for a, b in zip(parts, parts[1:]))

@@ -111,3 +111,37 @@ def test_run_of_few_rows_and_none(spark, tmp_path):
     for name, data, want in (("few", rows, {1}), ("none", [], set())):
         spark.createDataFrame(data, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
         assert {r.doc_id for r in C.run(spark, str(tmp_path / name)).collect()} == want
+
+
+def test_stages_with_clashing_columns_nulls_ties_and_no_rows(spark):
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, base, "en", None, None), (1, base, "en", None, None), (None, base + " x", None, "s", 5), (2, None, None, None, None), (3, base, None, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", "'a' AS _key", "'b' AS spans", "'c' AS kept_text", "'d' AS _id", "'e' AS component_id", "'f' AS n_words", "4 AS START")
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == C.COLUMNS
+        got = sorted((r.doc_id or 0, r.text) for r in out.collect())
+        want = {
+            "quality rules": [(0, base + " x"), (1, base), (1, base), (3, base)],
+            "line dedup": [(0, base + " x"), (1, base), (1, base), (2, "")],
+            "near dedup": [(0, base + " x"), (1, base), (1, base), (2, None)],
+            "secret scan": [(0, base + " x"), (1, base), (1, base), (2, ""), (3, base)],
+        }[name]
+        assert [(d, t or "") for d, t in got] == [(d, t or "") for d, t in want], name
+        assert stage(spark, docs.limit(0), "").count() == 0
+    pieces = C.STAGES[-1][1](spark, docs, "").collect()
+    assert sum(p.length for p in pieces if p.doc_id == 1) == 2 * next(p.doc_tokens for p in pieces if p.doc_id == 1)
+
+
+def test_stages_with_texts_of_very_many_lines_and_spans(spark):
+    lines = "\n".join(f"line of words {k} {k % 97}" for k in range(60_000))
+    secrets = " ".join(f"word{k} token=abc{k}def" for k in range(10_000))
+    rows = [(1, lines, "en", "s", 0), (2, lines + "\nlast line of its own", "en", "s", 0), (3, secrets, "en", "s", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    stages = dict(C.STAGES)
+    assert {r.doc_id: r.text for r in stages["line dedup"](spark, docs, "").collect()} == {1: lines, 2: "last line of its own", 3: secrets}
+    assert {r.doc_id for r in stages["near dedup"](spark, docs, "").collect()} == {1, 3}
+    clean = {r.doc_id: r.text for r in stages["secret scan"](spark, docs, "").collect()}
+    assert clean[3] == " ".join(f"word{k} [SECRET]" for k in range(10_000)) and clean[1] == lines

@@ -1,9 +1,10 @@
+import random
 import re
 from collections import defaultdict
 
 import pytest
 
-from tarnwatch.llm.urls import DAMPING, RULES, STEPS, judge_urls, personalised_rank
+from tarnwatch.llm.urls import DAMPING, OP7_SQL, RULES, STEPS, judge_urls, personalised_rank
 
 
 def split(url):
@@ -107,3 +108,35 @@ def test_ranks_that_do_not_settle_are_refused(spark):
     edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, weight double")
     with pytest.raises(RuntimeError):
         personalised_rank(edges, spark.createDataFrame([("a", 1.0)], "host string, mass double"), steps=3)
+
+
+def graph():
+    """A blocked and an allowed host, a chain of 45 behind each, a hub that 200 hosts link to and
+    that links to both, hosts without links, and hosts on islands."""
+    rng = random.Random(8)
+    link = lambda *hosts: "".join(f'<p><a href="http://{h}/">t</a>' for h in hosts)
+    rows = [("a.net/es/1", ""), ("www.example.com/en/1", link("good0.org", "hub.org")), ("hub.org/", link("a.net", "good0.org", "end.org") + link("leaf1.org") * 5)]
+    rows += [(f"bad{i}.org/x", link(f"bad{i - 1}.org" if i else "a.net")) for i in range(45)]
+    rows += [(f"good{i}.org/x", link(f"good{i + 1}.org")) for i in range(45)]
+    rows += [(f"leaf{i}.org/", link("hub.org", *(f"leaf{rng.randrange(200)}.org" for _ in range(rng.randrange(3))))) for i in range(200)]
+    rows += [(f"island{i}.org/", link(f"island{(i + 1) % 5}.org")) for i in range(5)] + [("a.net/other", ""), ("end.org/", None)]
+    return [(i, f"http://{url}", html) for i, (url, html) in enumerate(rows)]
+
+
+def test_a_graph_of_chains_a_hub_and_ends(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = graph()
+    got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()), key=str)
+    c = duckdb.connect()
+    c.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    assert got == sorted(c.sql(OP7_SQL).fetchall(), key=str) == brute(rows)
+    by = {h: v for _, h, _, r, v in got if r is None}
+    assert all(by[f"bad{i}.org"] == "block" and by[f"good{i}.org"] == "allow" for i in range(45)) and by["island3.org"] == "allow"
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "http://a.net/es/", None)], "page_id long, url string, html string").selectExpr("*", "'a' AS host", "'b' AS _h", "'c' AS _BAD", "'d' AS verdict")
+    out = judge_urls(df)
+    assert out.columns == ["page_id", "url", "html", "_h", "_BAD", "host", "path", "rule", "verdict"] and tuple(out.first())[3:] == ("b", "c", "a.net", "/es/", "net/es/", "block")
