@@ -10,6 +10,14 @@ returns the columns of documents; the last returns the pieces of packed sequence
 * near dedup: five-word shingles, similarity 0.8; the smallest doc_id of each group stays.
 * secret scan: spans are replaced by a mark.
 * packing: sequences of at most 2048 tokens.
+
+Defined cases, for every stage: a null text is an empty one and comes out as such; nulls in other
+columns stay (a null source is a source of its own, a null lang changes nothing); rows with a null
+doc_id pass line dedup and near dedup unchanged; rows that repeat a doc_id are one document in
+quality rules and line dedup, and go or stay together in near dedup; equal rows come out equal;
+ties are decided by the smallest doc_id; an empty table gives an empty table. Very long texts, and
+texts of very many lines or spans, are worked on whole, in time in proportion to their length.
+Columns beside those of documents are dropped, whatever their names; n_chars is counted anew.
 """
 
 from __future__ import annotations
@@ -43,7 +51,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
