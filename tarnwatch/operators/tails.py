@@ -73,18 +73,34 @@ def likelihood_fit(x: np.ndarray) -> tuple[float, float]:
     return best[0], best[1]
 
 
-def maximum_likelihood(excesses: DataFrame, by: str, x: str) -> DataFrame:
-    """by, n, xi, sigma of a fit for each key. A key's excesses are one tenth of its rows at
-    most and meet in one task; keys are fitted in parallel."""
-    kind = excesses.schema[by].dataType.simpleString()
-
-    def fit(pdf):
-        import pandas as pd
-
-        xi, sigma = likelihood_fit(pdf[x].to_numpy()) if len(pdf) else (0.0, 0.0)
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "n": [len(pdf)], "xi": [xi], "sigma": [sigma]})
-
-    return excesses.select(by, x).groupBy(by).applyInPandas(fit, f"{by} {kind}, n long, xi double, sigma double")
+def maximum_likelihood(excesses: DataFrame, by: str, x: str, passes: int = 5, points: int = 16) -> DataFrame:
+    """by, n, xi, sigma of the largest likelihood for each key, as likelihood_fit() finds it.
+
+    Each pass sums ln(1 + theta x) for a grid of theta on either side of zero as partial aggregates,
+    and the next grid lies around the best point; so no task holds the rows of a key."""
+    rows = excesses.filter(F.col(x).isNotNull()).select(by, F.col(x).cast("double").alias("_x"))
+    stats = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("_x").alias("_mean"), F.max("_x").alias("_top")).filter("_top > 0")
+    ends = lambda sign, low, high: F.struct(F.lit(sign).alias("sign"), F.ln(low).alias("low"), F.ln(high).alias("high"))
+    top, mean = F.col("_top"), F.col("_mean")
+    grid = stats.select(by, "n", "_mean", "_top", F.explode(F.array(ends(-1.0, 1e-9 / top, (1 - 1e-6) / top), ends(1.0, 1e-9 / top, 10 / mean))).alias("g")).select(by, "n", "_mean", "_top", "g.*")
+    n = F.col("n").cast("double")
+    for _ in range(passes):
+        theta = lambda j: F.col("sign") * F.exp(F.col("low") + (F.col("high") - F.col("low")) * (j / (points - 1)))
+        keyed = rows.join(grid, by).groupBy(by, "n", "_mean", "_top", "sign", "low", "high").agg(*[F.avg(F.log1p(theta(j) * F.col("_x"))).alias(f"_l{j}") for j in range(points)])
+        xi = [F.col(f"_l{j}") for j in range(points)]
+        fit = lambda j: F.struct((-n * (F.ln(xi[j] / theta(j)) + xi[j] + 1)).alias("ll"), F.lit(j).alias("j"), xi[j].alias("xi"), theta(j).alias("theta"))
+        ok = F.filter(F.array(*[fit(j) for j in range(points)]), lambda f: f["ll"].isNotNull() & ~F.isnan(f["ll"]))
+        best = F.array_max(ok)
+        step = (F.col("high") - F.col("low")) / (points - 1)
+        keyed = keyed.withColumn("_b", best).withColumn("_step", step).filter("_b IS NOT NULL")
+        at = F.col("low") + F.col("_step") * F.col("_b.j")
+        grid = keyed.select(by, "n", "_mean", "_top", "sign", F.greatest(F.col("low"), at - F.col("_step")).alias("low"), F.least(F.col("high"), at + F.col("_step")).alias("high"), "_b")
+        last, grid = grid, grid.drop("_b")
+    sides = last.filter(F.col("_b.xi") > -1).groupBy(by).agg(F.max("_b").alias("_b"))
+    exponential = -F.col("n") * (F.ln("_mean") + 1)
+    out = stats.join(sides, by, "left")
+    use = F.coalesce(F.col("_b.ll") > exponential, F.lit(False))
+    return out.select(by, "n", F.when(use, F.col("_b.xi")).otherwise(0.0).alias("xi"), F.when(use, F.col("_b.xi") / F.col("_b.theta")).otherwise(mean).alias("sigma"))
 
 
 def thresholds(df: DataFrame, by: Sequence[str], residual: str, q_susp: float = 0.9, q_atk: float = 0.97, ratio: float = 1.1, base: float = 0.9) -> DataFrame:

@@ -84,11 +84,23 @@ def decision(spark, sf):
     return r6(out.select("day", "calib", "b_safe", "b_susp", "b_atk", "u", "proj_atk", "delta", "gate_open"))
 
 
-@query("q_decision_aged")
+#: The detection path with the evidence of each leaf aged by conflict before opinions are made.
+_AT = SPINE.index("op AS (")
+AGED = SPINE[:_AT].replace("WITH sums", "WITH RECURSIVE sums").replace("\nev AS (", "\nev0 AS (") + """sq AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY day) AS i FROM ev0),
+z AS (SELECT leaf, any_value(grp) AS grp, 0::BIGINT AS i, NULL::TIMESTAMP AS day, NULL::BOOLEAN AS calib, 0e0 AS r0, 0e0 AS r1, 0e0 AS r2 FROM ev0 GROUP BY leaf UNION ALL
+  SELECT leaf, grp, i, day, calib, 0.85e0 * (1 - k) * o0 + p, 0.85e0 * (1 - k) * o1 + s, 0.85e0 * (1 - k) * o2 + n FROM (
+    SELECT q.leaf, q.grp, q.i, q.day, q.calib, q.ev_p AS p, q.ev_s AS s, q.ev_n AS n, z.r0 AS o0, z.r1 AS o1, z.r2 AS o2,
+      least(1, 49e0 / 16 * (z.r0 * q.ev_n + z.r2 * q.ev_p + z.r0 * q.ev_s + z.r1 * q.ev_n) / ((3 + z.r0 + z.r1 + z.r2) * (3 + q.ev_p + q.ev_s + q.ev_n))) AS k FROM z JOIN sq q ON q.leaf = z.leaf AND q.i = z.i + 1)),
+ev AS (SELECT leaf, grp, day, calib, r0 AS ev_p, r1 AS ev_s, r2 AS ev_n FROM z WHERE i > 0),
+""" + SPINE[_AT:]
+
+
+@query("q_decision_aged", AGED + "SELECT day, round(b_atk, 6) AS b_atk, round(u, 6) AS u, round(proj_atk, 6) AS proj_atk, round(delta, 6) AS delta, proj_atk >= delta - 1e-12 AS gate_open FROM sp, dl")
 def decision_aged(spark, sf):
     from ..operators.ageing import Ageing
 
-    return r6(D.detect(spark, sf, D.Detection(memory=Ageing(window=4))).select("day", "b_atk", "u", "proj_atk", "delta", "gate_open"))
+    out = D.detect(spark, sf, D.Detection(memory=Ageing(window=4))).withColumn("gate_open", F.col("proj_atk") >= F.col("delta") - 1e-12)
+    return r6(out.select("day", "b_atk", "u", "proj_atk", "delta", "gate_open"))
 
 
 @query(

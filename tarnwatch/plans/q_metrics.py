@@ -212,7 +212,7 @@ def argmax_baseline(spark, sf):
     return r6(A.argmax_baseline(_scores(spark, sf), "day"))
 
 
-@query("q_divergence_weights")
+@query("q_divergence_weights", f"WITH {ATT}, t AS (SELECT grp, c0 / (c0 + c1 + c2) AS a, c1 / (c0 + c1 + c2) AS b, c2 / (c0 + c1 + c2) AS c FROM tp), g AS (SELECT grp, -(avg(a) * log2(avg(a)) + avg(b) * log2(avg(b)) + avg(c) * log2(avg(c))) + avg(a * log2(a) + b * log2(b) + c * log2(c)) AS j FROM t GROUP BY grp) SELECT grp, round(j / (SELECT avg(j) FROM g), 6) AS weight FROM g")
 def divergence_weights(spark, sf):
     t = spark.createDataFrame(TEMPLATES, "type string, type_idx int, grp string, c_safe double, c_susp double, c_atk double")
     return r6(A.divergence_weights(t))

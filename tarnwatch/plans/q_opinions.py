@@ -140,13 +140,16 @@ def ageing_last(spark, sf):
     return r6(ageing.age_small(evidence(spark, sf), "leaf", "day"))
 
 
-@query("q_online_rmse")
+SEQ = EV + ", sq AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY day) AS i FROM ev)"
+
+
+@query("q_online_rmse", SEQ + ", z AS (SELECT DISTINCT leaf, 0::BIGINT AS i, NULL::TIMESTAMP AS day, -1e0 AS m, 1 AS ok FROM ev UNION ALL SELECT q.leaf, q.i, q.day, CASE WHEN q.n >= 2 THEN z.m WHEN z.m < 0 OR z.ok = 0 THEN q.s * q.s ELSE 0.9e0 * z.m + 0.1e0 * q.s * q.s END, (q.n < 2)::INT FROM z JOIN sq q ON q.leaf = z.leaf AND q.i = z.i + 1) SELECT leaf, day, round(CASE WHEN m >= 0 THEN sqrt(m) END, 6) AS ewma_rmse FROM z WHERE i > 0")
 def online_rmse(spark, sf):
     df = evidence(spark, sf).withColumn("safe", (F.col("ev_n") < 2).cast("int"))
     return r6(ageing.online_rmse(df, "leaf", "day", "ev_s", "safe"))
 
 
-@query("q_hmm_smooth")
+@query("q_hmm_smooth", SEQ + ", p0 AS (SELECT leaf, day, i, (p + 1) / (3 + p + s + n) AS a, (s + 1) / (3 + p + s + n) AS b, (n + 1) / (3 + p + s + n) AS c FROM sq), z AS (SELECT leaf, i, day, a, b, c FROM p0 WHERE i = 1 UNION ALL SELECT leaf, i, day, x / (x + y + w), y / (x + y + w), w / (x + y + w) FROM (SELECT q.leaf, q.i, q.day, q.a * (0.9e0 * z.a + 0.2e0 * z.b + 0.05e0 * z.c) AS x, q.b * (0.08e0 * z.a + 0.6e0 * z.b + 0.15e0 * z.c) AS y, q.c * (0.02e0 * z.a + 0.2e0 * z.b + 0.8e0 * z.c) AS w FROM z JOIN p0 q ON q.leaf = z.leaf AND q.i = z.i + 1)) SELECT leaf, day, round(a, 6) AS smooth_safe, round(b, 6) AS smooth_susp, round(c, 6) AS smooth_atk FROM z")
 def hmm(spark, sf):
     df = leaf_opinions(spark, sf)
     p = O.Opinion.of().projected()

@@ -177,9 +177,17 @@ def opinion_sanity(spark, sf):
     return r6(Q.opinion_sanity(wide, ["flood", "leak", "calm"], "u"))
 
 
-@query("q_temporal_prior")
+PRIOR = f"""WITH RECURSIVE {QU}, wd AS (SELECT day, max(b) FILTER (type = 'flood') AS f, max(b) FILTER (type = 'leak') AS l, max(b) FILTER (type = 'calm') AS c, any_value(bel.u) AS u, any_value(qu.gate_open) AS g FROM bel JOIN qu USING (day) GROUP BY day),
+sq AS (SELECT *, row_number() OVER (ORDER BY day) AS i FROM wd),
+z AS (SELECT 0::BIGINT AS i, NULL::TIMESTAMP AS day, 0e0 AS f, 0e0 AS l, 0e0 AS c, 1e0 AS u, 0 AS gap, false AS has, false AS g UNION ALL
+  SELECT q.i, q.day, CASE WHEN NOT q.g THEN z.f WHEN z.has THEN 0.7e0 * q.f + 0.3e0 * d * (0.8e0 / 1.05e0 * z.f + 0.1e0 * z.l + 0.1e0 * z.c) ELSE q.f END, CASE WHEN NOT q.g THEN z.l WHEN z.has THEN 0.7e0 * q.l + 0.3e0 * d * (0.15e0 / 1.05e0 * z.f + 0.8e0 * z.l + 0.1e0 * z.c) ELSE q.l END,
+  CASE WHEN NOT q.g THEN z.c WHEN z.has THEN 0.7e0 * q.c + 0.3e0 * d * (0.1e0 / 1.05e0 * z.f + 0.1e0 * z.l + 0.8e0 * z.c) ELSE q.c END, CASE WHEN NOT q.g THEN z.u WHEN z.has THEN 0.7e0 * q.u + 0.3e0 * (1 - d * (1 - z.u)) ELSE q.u END,
+  CASE WHEN q.g THEN 1 ELSE z.gap + 1 END, z.has OR q.g, q.g FROM (SELECT *, pow(0.9e0, gap) AS d FROM z) z JOIN sq q ON q.i = z.i + 1)
+SELECT 'all' AS key, day, round(CASE WHEN g THEN f END, 6) AS flood_prior, round(CASE WHEN g THEN l END, 6) AS leak_prior, round(CASE WHEN g THEN c END, 6) AS calm_prior, round(CASE WHEN g THEN u END, 6) AS u_prior FROM z WHERE i > 0"""
+
+
+@query("q_temporal_prior", PRIOR)
 def temporal_prior(spark, sf):
-    """The prior over days; tests hold it against a fold in Python."""
     b = A.beliefs(_scores(spark, sf), "day")
     types = ["flood", "leak", "calm"]
     wide = b.groupBy("day").pivot("type", types).agg(F.first("b")).join(b.groupBy("day").agg(F.first("u").alias("u")), "day").join(_system(spark, sf), "day")

@@ -60,7 +60,7 @@ def cusum(spark, sf):
     return timeseries.cusum(daily(spark, sf), ["event_type"], "day", "y", limit=2.0).select("event_type", "day", "vote")
 
 
-@query("q_residual_vote")
+@query("q_residual_vote", f"WITH {DAILY}, t AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) AS i, avg(y) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS tr FROM d), s AS (SELECT *, y - tr - avg(y - tr) OVER (PARTITION BY event_type, i % 7) AS r FROM t), v AS (SELECT *, stddev_pop(r) OVER (PARTITION BY event_type) AS sd FROM s) SELECT event_type, day, (abs(r) > 2 * sd)::INT AS vote FROM v")
 def residual_vote(spark, sf):
     return timeseries.residual_vote(daily(spark, sf), ["event_type"], "day", "y", 7, 2.0).select("event_type", "day", "vote")
 
@@ -118,7 +118,7 @@ def mase(spark, sf):
     return r6(timeseries.mase(df, ["event_type"], "day", "y", "f").withColumn("trust", timeseries.mase_trust(F.col("mase"))))
 
 
-@query("q_effective_n")
+@query("q_effective_n", f"WITH {DAILY}, c AS (SELECT event_type, day, y, y - avg(y) OVER (PARTITION BY event_type) AS c FROM d), l AS (SELECT *, lag(c, 1) OVER (PARTITION BY event_type ORDER BY day) AS l1, lag(c, 2) OVER (PARTITION BY event_type ORDER BY day) AS l2, lag(c, 3) OVER (PARTITION BY event_type ORDER BY day) AS l3, lag(c, 4) OVER (PARTITION BY event_type ORDER BY day) AS l4, lag(c, 5) OVER (PARTITION BY event_type ORDER BY day) AS l5 FROM c), g AS (SELECT event_type, count(y) AS n, (1 - 1 / 6e0) * coalesce(sum(c * l1) / (count(y) - 1) / var_samp(y), 0) + (1 - 2 / 6e0) * coalesce(sum(c * l2) / (count(y) - 2) / var_samp(y), 0) + (1 - 3 / 6e0) * coalesce(sum(c * l3) / (count(y) - 3) / var_samp(y), 0) + (1 - 4 / 6e0) * coalesce(sum(c * l4) / (count(y) - 4) / var_samp(y), 0) + (1 - 5 / 6e0) * coalesce(sum(c * l5) / (count(y) - 5) / var_samp(y), 0) AS w FROM l GROUP BY event_type) SELECT event_type, n, round(least(greatest(n / greatest(1 + 2 * w, 1e-9), 1), n), 6) AS n_eff FROM g")
 def effective_n(spark, sf):
     return r6(timeseries.effective_n(daily(spark, sf), ["event_type"], "day", "y", 5))
 

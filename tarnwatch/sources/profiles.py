@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import correlation
+from ..functions.times import micros
+from ..operators.metrics import running
 
 NOT_METRICS = ("timestamp", "ts", "ds", "label", "on_weekend")
 NOT_METRIC_PREFIXES = ("flag_", "mask_", "gt_")
@@ -130,13 +132,16 @@ def mask(df: DataFrame, metrics: Sequence[str], closed: Sequence[tuple[str, str]
 
 
 def split_train(df: DataFrame, split: str, ts: str = "timestamp", calibration: float = 0.25, least: int = 10) -> DataFrame:
-    """df with part: model, calibration (the last share of the rows up to the split) or test."""
+    """df with part: model, calibration (the last share of the rows up to the split) or test.
+    Rows of one time stay together: all of the time that the cut falls on are model. The cut comes
+    from counts by time, so no task orders the training span."""
     train = F.col(ts) <= F.lit(split).cast("timestamp")
-    n = df.filter(train).agg(F.count(F.lit(1)).alias("_m"))  # one row
-    order = Window.partitionBy(train.cast("int")).orderBy(ts)
-    ranked = df.withColumn("_i", F.row_number().over(order)).crossJoin(F.broadcast(n))
+    counts = df.filter(train).groupBy(micros(ts).alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+    m = counts.agg(F.sum("_n").alias("_m"))  # one row
     model = F.greatest(F.lit(least), F.floor(F.col("_m") * (1 - calibration)))
-    return ranked.withColumn("part", F.when(~train, "test").when(F.col("_i") <= model, "model").otherwise("calibration")).drop("_i", "_m")
+    cut = running(counts, "_t", ["_n"]).join(F.broadcast(m), F.lit(True)).filter(F.col("run__n") - F.col("_n") < model).agg(F.max("_t").alias("_cut"))
+    out = df.join(F.broadcast(cut), F.lit(True))
+    return out.withColumn("part", F.when(~train, "test").when(micros(ts) <= F.col("_cut"), "model").otherwise("calibration")).drop("_cut")
 
 
 def select_metrics(df: DataFrame, metrics: Sequence[str], most: int = 10, limit: float = 0.85) -> list[str]:
