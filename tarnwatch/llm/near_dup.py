@@ -44,7 +44,7 @@ SLACK = 0.16
 #: Up to so many ids (8 bytes each) are broadcast to pick their texts; more meet them in a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Members that meet one copy of their centre's text.
-MEMBERS = 1000
+MEMBERS = 100
 
 
 def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
