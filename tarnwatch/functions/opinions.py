@@ -228,3 +228,13 @@ def trapezoid(residual: Column, susp: Column, atk: Column, base: Column | None =
     safe = F.when(e.isNull(), None).when((e <= base) | (e <= 0), 1.0).when(e < susp, 1 - rise).otherwise(0.0)
     attack = F.when(e.isNull(), None).when((e <= susp) | (e <= 0), 0.0).when(e < atk, fall).otherwise(1.0)
     return safe, 1 - safe - attack, attack
+
+
+def trapezoid_relative(size: Column, susp: Column, atk: Column, transition: float = 0.1) -> Three:
+    """(safe, suspect, attack) mass of a size relative to its thresholds: safe up to the transition
+    below susp, then to suspect at susp, then to attack at atk. Null sizes give nulls."""
+    low = susp * (1 - transition)
+    rise, fall = (size - low) / (susp - low + 1e-9), (size - susp) / (atk - susp + 1e-9)
+    safe = F.when(size < low, 1.0).when(size < susp, 1 - rise).when(size.isNotNull(), 0.0)
+    attack = F.when(size < susp, 0.0).when(size < atk, fall).when(size.isNotNull(), 1.0)
+    return safe, 1 - safe - attack, attack

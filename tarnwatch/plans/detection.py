@@ -84,3 +84,15 @@ def detect(spark: SparkSession, sf_dir: str, p: Detection = Detection()) -> Data
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_type", "value")
     ev = evidence(residuals(leaves(cells(events, p.cell_seconds)), p), p)
     return decisions(group_opinions(leaf_opinions(ev, p), p), p)
+
+
+def train(events: DataFrame, p: Detection = Detection()) -> DataFrame:
+    """What a run needs of each leaf: n and mean of its calibration windows, r2 of its seasonal
+    means there, thresholds, and the prior of its daily evidence (store.save_models keeps them)."""
+    resid = residuals(leaves(cells(events, p.cell_seconds)), p)
+    seen = resid.filter("calib AND resid IS NOT NULL")
+    error, spread = F.sum(F.col("resid") * F.col("resid")), F.var_pop("y") * F.count("y")
+    fit = seen.groupBy("leaf", "grp").agg(F.count("y").alias("n"), F.avg("y").alias("mean"), (1 - F.try_divide(error, F.when(spread > 1e-12, spread))).alias("r2"))
+    t = tails.thresholds(seen, ["leaf"], "resid", p.q_susp, p.q_atk)
+    prior = tails.empirical_prior(evidence(resid, p).filter("calib"), ["leaf"], size=p.day_seconds // p.cell_seconds)
+    return fit.join(t, "leaf").join(prior, "leaf")
