@@ -138,6 +138,21 @@ def running(df: DataFrame, order: str, columns: Sequence[str], descending: bool
     return out.drop("_range", *[f"_before_{c}" for c in columns])
 
 
+def running_by(df: DataFrame, by: Sequence[str], order: str, columns: Sequence[str], ranges: int = 64) -> DataFrame:
+    """df with run_<c> for each column: the sum over the rows of the same key up to this one, as
+    running() has it for a whole table. Each key is cut into ranges at approximate quantiles of the
+    order, so that a key of very many rows is ordered by as many tasks; the order's values are
+    distinct within a key."""
+    cuts = df.groupBy(*by).agg(F.percentile_approx(F.col(order).cast("double"), [i / ranges for i in range(1, ranges)], 20 * ranges).alias("_cuts"))
+    df = df.join(cuts, list(by)).withColumn("_range", F.size(F.filter("_cuts", lambda b: b < F.col(order)))).drop("_cuts")
+    totals = df.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_sum_{c}") for c in columns])  # ranges rows a key
+    ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_sum_{c}").over(ahead), F.lit(0)).alias(f"_before_{c}") for c in columns])
+    own = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.join(before, [*by, "_range"]).withColumns({f"run_{c}": F.col(f"_before_{c}") + F.sum(c).over(own) for c in columns})
+    return out.drop("_range", *[f"_before_{c}" for c in columns])
+
+
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """One row with auc: tie-aware, from the counts at distinct scores; null if one class lacks."""
     c = running(_by_score(df, y, score).withColumn("neg", F.col("n") - F.col("pos")), "s", ["neg"])

@@ -6,11 +6,13 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.times import seconds
+from .calibration import quantiles
+from .metrics import running_by
 
 
 def fourier(ts: Column, period_seconds: float, order: int) -> list[Column]:
@@ -55,19 +57,24 @@ def lad_slope(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """(by, slope) of the least absolute residuals of y on x through the origin: the median of
     y / x weighted by |x|."""
     r = df.filter((F.col(x) != 0) & F.col(y).isNotNull()).select(*by, (F.col(y) / F.col(x)).alias("_r"), F.abs(F.col(x)).alias("_w"))
-    g = r.groupBy(*by, "_r").agg(F.sum("_w").alias("_w"))
-    w = Window.partitionBy(*by)
-    g = g.withColumn("_c", F.sum("_w").over(w.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_t", F.sum("_w").over(w))
-    return g.filter(F.col("_c") >= F.col("_t") / 2).groupBy(*by).agg(F.min("_r").alias("slope"))
+    g = running_by(r.groupBy(*by, "_r").agg(F.sum("_w").alias("_w")), by, "_r", ["_w"])
+    total = r.groupBy(*by).agg(F.sum("_w").alias("_t"))
+    return g.join(total, list(by)).filter(F.col("run__w") >= F.col("_t") / 2).groupBy(*by).agg(F.min("_r").alias("slope"))
 
 
 def robust_z(df: DataFrame, train: Column, metrics: Sequence[str]) -> DataFrame:
     """df with score: the largest |x - median| / (1.4826 MAD) over metrics, from training rows."""
-    med = df.filter(train).agg(*[F.percentile(m, F.lit(0.5)).alias(f"_m_{m}") for m in metrics])  # one row
-    df2 = df.crossJoin(F.broadcast(med))
-    mad = df2.filter(train).agg(*[F.percentile(F.abs(F.col(m) - F.col(f"_m_{m}")), F.lit(0.5)).alias(f"_d_{m}") for m in metrics])
-    z = [F.coalesce(F.abs(F.col(m) - F.col(f"_m_{m}")) / F.greatest(1.4826 * F.col(f"_d_{m}"), F.lit(1e-9)), F.lit(0.0)) for m in metrics]
-    return df2.crossJoin(F.broadcast(mad)).withColumn("score", F.greatest(*z) if len(z) > 1 else z[0]).drop(*[f"_{p}_{m}" for p in "md" for m in metrics])
+
+    def medians(values: dict[str, Column]) -> dict[str, float]:
+        """Two passes over counted brackets; one number for each metric comes back."""
+        long = df.filter(train).select(F.explode(F.array(*[F.struct(F.lit(m).alias("m"), v.cast("double").alias("v")) for m, v in values.items()])).alias("r")).select("r.*")
+        return {r["m"]: r["q0"] for r in quantiles(long, ["m"], "v", [0.5]).collect()}
+
+    med = medians({m: F.col(m) for m in metrics})
+    away = {m: F.abs(F.col(m) - F.lit(med.get(m))) for m in metrics}
+    mad = medians(away)
+    z = [F.coalesce(away[m] / F.greatest(F.lit(1.4826 * (mad.get(m) or 0.0)), F.lit(1e-9)), F.lit(0.0)) for m in metrics]
+    return df.withColumn("score", F.greatest(*z) if len(z) > 1 else z[0])
 
 
 def shewhart(df: DataFrame, train: Column, metrics: Sequence[str], limit: float = 3.0) -> DataFrame:

@@ -8,13 +8,19 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .calibration import quantiles
+from .metrics import running_by
+
 
 def pwm_fit(excesses: DataFrame, by: Sequence[str], x: str) -> DataFrame:
-    """by, n, a0, a1, xi, sigma by probability-weighted moments, plotting position (i - 0.35) / n."""
-    w = Window.partitionBy(*by)
-    ranked = excesses.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_i", F.row_number().over(w.orderBy(x)))
-    f = (F.col("_i") - 0.35) / F.col("_n")
-    m = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("a0"), F.avg(F.col(x) * (1 - f)).alias("a1"))
+    """by, n, a0, a1, xi, sigma by probability-weighted moments, plotting position (i - 0.35) / n.
+    Equal values are counted first; the ranks i of c equal ones after r others add up to
+    c r + c (c + 1) / 2."""
+    counts = excesses.filter(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    c = F.col("_c").cast("double")
+    ranks = c * (F.col("run__c") - c) + c * (c + 1) / 2 - 0.35 * c
+    sums = running_by(counts, by, "_x", ["_c"]).groupBy(*by).agg(F.sum("_c").alias("n"), F.sum(F.col("_x") * c).alias("_s"), F.sum(F.col("_x") * ranks).alias("_r"))
+    m = sums.select(*by, "n", (F.col("_s") / F.col("n")).alias("a0"), ((F.col("_s") - F.col("_r") / F.col("n")) / F.col("n")).alias("a1"))
     d = F.col("a0") - 2 * F.col("a1")
     return m.withColumn("xi", -(F.try_divide("a0", d) - 2)).withColumn("sigma", F.try_divide(2 * F.col("a0") * F.col("a1"), d))
 
@@ -28,7 +34,7 @@ def pareto_quantile(t0: Column, xi: Column, sigma: Column, q: Column | float, n:
 
 def peaks_over(df: DataFrame, by: Sequence[str], x: str, quantile: float = 0.9) -> DataFrame:
     """by, t0, n_total and excess of the rows beyond the quantile of their group."""
-    base = df.groupBy(*by).agg(F.percentile(x, F.lit(quantile)).alias("t0"), F.count(x).alias("n_total"))
+    base = quantiles(df, by, x, [quantile]).select(*by, F.col("q0").alias("t0"), F.col("n").alias("n_total"))
     return df.join(base, list(by)).filter(F.col(x) > F.col("t0")).select(*by, "t0", "n_total", (F.col(x) - F.col("t0")).alias("excess"))
 
 

@@ -133,10 +133,9 @@ def _peaks(spark, sf):
 
 @query("q_pwm_threshold", f"WITH {PEAKS}, g AS (SELECT *, 2 - a0 / (a0 - 2 * a1) AS xi, 2 * a0 * a1 / (a0 - 2 * a1) AS sigma FROM w) SELECT leaf, n, round(a0, 6) AS a0, round(a1, 6) AS a1, round(xi, 6) AS xi, round(sigma, 6) AS sigma, round(t0 + sigma / xi * (pow(0.001e0 * m / n, -xi) - 1), 5) AS t_atk FROM g")
 def pwm_threshold(spark, sf):
-    peaks = _peaks(spark, sf)
-    fit = tails.pwm_fit(peaks, ["leaf"], "excess").join(peaks.groupBy("leaf").agg(F.first("t0").alias("t0"), F.first("n_total").alias("m")), "leaf")
-    t = tails.pareto_quantile(F.col("t0"), F.col("xi"), F.col("sigma"), 0.001, F.col("m"), F.col("n"))
-    return r6(fit.select("leaf", "n", "a0", "a1", "xi", "sigma")).join(fit.select("leaf", F.round(t, 5).alias("t_atk")), "leaf")
+    fit = tails.pwm_fit(_peaks(spark, sf), ["leaf", "t0", "n_total"], "excess")
+    t = tails.pareto_quantile(F.col("t0"), F.col("xi"), F.col("sigma"), 0.001, F.col("n_total"), F.col("n"))
+    return fit.select("leaf", "n", *[F.round(c, 6).alias(c) for c in ("a0", "a1", "xi", "sigma")], F.round(t, 5).alias("t_atk"))
 
 
 @query("q_likelihood_fit")
