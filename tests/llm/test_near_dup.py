@@ -90,3 +90,13 @@ def test_an_id_that_repeats_ties_its_texts_together(spark):
     got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, shingle=2).collect())
     assert got == brute(rows)
     assert {(d, c) for d, n, c, _ in got if n} == {(d, 3) for d in (3, 7, 9, 12, 14)}
+
+
+def test_parts_of_a_centre_and_ids_beyond_the_broadcast_bound(spark, monkeypatch):
+    from tarnwatch.llm import near_dup
+
+    monkeypatch.setattr(near_dup, "MEMBERS", 3)
+    monkeypatch.setattr(near_dup, "BROADCAST_IDS", 2)
+    rows = corpus(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect())
+    assert got == brute(rows)
