@@ -76,8 +76,9 @@ def decisions(groups: DataFrame, p: Detection = Detection()) -> DataFrame:
     """One row for each day: the system's opinion, proj_atk, delta and gate_open."""
     system = fusion.fuse_methods(groups, ["day", "calib"], p.mode)
     system = system.withColumn("proj_atk", O.Opinion.of().projected()[2])
-    delta = system.filter("calib").agg(F.percentile("proj_atk", F.lit(p.q_gate)).alias("delta"))  # one row
-    return system.crossJoin(F.broadcast(delta)).withColumn("gate_open", F.col("proj_atk") >= F.col("delta"))
+    every = Window.partitionBy(F.lit(1))  # a row for each day: as few as there are days
+    delta = F.percentile(F.when(F.col("calib"), F.col("proj_atk")), F.lit(p.q_gate)).over(every)
+    return system.withColumn("delta", delta).withColumn("gate_open", F.col("proj_atk") >= F.col("delta"))
 
 
 def detect(spark: SparkSession, sf_dir: str, p: Detection = Detection()) -> DataFrame:
