@@ -9,6 +9,7 @@ from .packing import op9_packing
 from .phrases import op2_phrases
 from .pieces import op5_sentencepiece
 from .quality import OP1_SQL, op1_quality_rules
+from .quality_svm import op11_quality_classifier
 from .resampling import OP13_SQL, op13_resampling
 from .secrets import OP8_SQL, op8_secrets
 from .toxicity import op4_toxicity
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
     "op10_near_dup": op10_near_dup,
+    "op11_quality_classifier": op11_quality_classifier,
     "op12_centroids": op12_centroids,
     "op13_resampling": op13_resampling,
 }
