@@ -1,19 +1,23 @@
 """Evidence memory over time: fixed and conflict-aware ageing, and other folds by key.
 
-The conflict-aware factor depends on the state itself, so the fold is sequential for each
-key and parallel over keys. Rows reach it sorted inside their partition and stream through;
+With a fixed rate the state is an affine map of the one before, and maps compose: it is a weighted
+sum over blocks of rows, in the JVM, and a long key is cut over tasks. The conflict-aware
+factor depends on the state itself, so that fold is sequential for each key and parallel over keys. Rows reach it sorted inside their partition and stream through;
 only the state of the current key is held, so a key may have any number of rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .segments import meet, numbered
+
 
 @dataclass(frozen=True)
 class Ageing:
@@ -75,6 +79,8 @@ def fold(df: DataFrame, key: str, order: str, values: Sequence[str], start: Call
 
 def age(df: DataFrame, key: str, order: str, evidence: Sequence[str] = ("ev_p", "ev_s", "ev_n"), params: Ageing = Ageing(), carry: Sequence[str] = ()) -> DataFrame:
     """key, order, carry, k_eff, lambda_dyn and the accumulated evidence acc_safe, acc_susp, acc_atk."""
+    if params.conflict == "none" and 0 < params.rate < STEADY:
+        return age_fixed(df, key, order, evidence, params, carry)
 
     def start() -> list[float]:
         return [a * params.w for a in params.prior] if params.start_at_prior else [0.0, 0.0, 0.0]
@@ -88,6 +94,42 @@ def age(df: DataFrame, key: str, order: str, evidence: Sequence[str] = ("ev_p",
     return fold(df, key, order, evidence, start, step, ["k_eff", "lambda_dyn", "acc_safe", "acc_susp", "acc_atk"], carry)
 
 
+#: From this rate on a block would be longer than one task orders, and the fold takes over.
+STEADY = 0.9998
+#: Powers of the rate stay above exp of minus this inside a block.
+RANGE = 460.0
+
+
+def age_fixed(df: DataFrame, key: str, order: str, evidence: Sequence[str] = ("ev_p", "ev_s", "ev_n"), params: Ageing = Ageing(conflict="none"), carry: Sequence[str] = (), block: int | None = None) -> DataFrame:
+    """age() with a fixed rate below one, without Python. A block of rows has the sums of evidence over
+    powers of the rate; what it takes over from the block before is that one's last state.
+
+    A block is so long that its rate to its length is exp(-460): what came before the block
+    before it is below the last place of any double. A shorter one may be asked for (then the
+    states of as many blocks as it takes are added up)."""
+    names = ("acc_safe", "acc_susp", "acc_atk")
+    fade = -math.log(params.rate)
+    size = block or max(1, int(RANGE / fade))
+    back = math.ceil(RANGE / (size * fade))
+    if back > 64:
+        raise ValueError("blocks are too short for the rate")
+    values = [F.coalesce(F.col(e).cast("double"), F.lit(0.0)).alias(f"_v{i}") for i, e in enumerate(evidence)]
+    rows = numbered(df.select(key, order, *carry, *values), [key], order, "_pos", [f"_v{i}" for i in range(3)])
+    at, inside = F.floor(F.col("_pos") / size), (F.col("_pos") % size).cast("double")
+    rows = rows.withColumns({"_block": at, "_i": inside})
+    own = Window.partitionBy(key, "_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    power = lambda i: F.exp(-fade * i)
+    rows = rows.withColumns({n: F.sum(F.col(f"_v{i}") / power(F.col("_i"))).over(own) * power(F.col("_i")) for i, n in enumerate(names)})
+    ends = rows.groupBy(key, "_block").agg(*[F.max_by(n, "_pos").alias(f"_e{i}") for i, n in enumerate(names)])
+    before = Window.partitionBy(key).orderBy("_block")
+    total = lambda i: sum((F.coalesce(F.lag(f"_e{i}", k).over(before), F.lit(0.0)) * math.exp(-fade * size * (k - 1)) for k in range(1, back + 1)), F.lit(0.0))
+    carried = ends.select(key, "_block", *[total(i).alias(f"_c{i}") for i in range(3)])
+    out = meet(rows, carried, [key, "_block"])
+    start = [a * params.w if params.start_at_prior else 0.0 for a in params.prior]
+    acc = [F.col(n) + F.coalesce(f"_c{i}", F.lit(0.0)) * power(F.col("_i") + 1) + start[i] * power(F.col("_pos") + 1) for i, n in enumerate(names)]
+    return out.select(key, order, *carry, F.lit(0.0).alias("k_eff"), F.lit(params.rate).alias("lambda_dyn"), *[a.alias(n) for a, n in zip(acc, names, strict=True)])
+
+
 def age_small(df: DataFrame, key: str, order: str, evidence: Sequence[str] = ("ev_p", "ev_s", "ev_n"), params: Ageing = Ageing()) -> DataFrame:
     """The last accumulated evidence of each key, in the JVM: for keys whose rows fit one array."""
     rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *[F.coalesce(F.col(e).cast("double"), F.lit(0.0)).alias(e) for e in evidence]))).alias("l"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.distributions import chi2_tail, kolmogorov_tail
 from ..functions.stats import correlation
 from ..functions.times import micros
 from .joins import interval_join
@@ -50,14 +52,16 @@ def annual_projection(rates: DataFrame, n: str, fpr: str, windows: int = 105_120
 
 
 def ks_distance(df: DataFrame, x: str, group: Column) -> DataFrame:
-    """One row: the largest distance of the two groups' distribution functions."""
+    """One row: ks, the largest distance of the two groups' distribution functions, and its p.
+    Both are null where a group has no rows."""
     c = df.groupBy(F.col(x).alias("x")).agg(F.sum(group.cast("long")).alias("a"), F.sum((~group).cast("long")).alias("b"))
     total = c.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))  # one row
     c = running(c, "x", ["a", "b"]).crossJoin(F.broadcast(total))
-    return c.agg(F.max(F.abs(F.try_divide("run_a", "na") - F.try_divide("run_b", "nb"))).alias("ks"))
+    out = c.agg(F.max(F.abs(F.try_divide("run_a", "na") - F.try_divide("run_b", "nb"))).alias("ks"), F.max("na").alias("_na"), F.max("nb").alias("_nb"))
+    return out.select("ks", kolmogorov_tail(F.col("ks"), F.col("_na"), F.col("_nb")).alias("p"))
 
 
-def time_to_detect(safe: float, attack: float, rate: float, threshold: float, w: float = 3.0, most: int = 50) -> Column:
+def time_to_detect(safe: float | Column, attack: float | Column, rate: float, threshold: float, w: float = 3.0, most: int = 50) -> Column:
     """Windows of constant evidence until the attack belief reaches the threshold; null if never."""
     zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("a"), F.lit(None).cast("int").alias("hit"))
 
@@ -84,7 +88,8 @@ def perturb(df: DataFrame, columns: Sequence[str], sigma: float, seed: int = 1)
 
 def correlation_summary(df: DataFrame, metrics: Sequence[str]) -> dict:
     """Correlations of stated metrics in one pass, and what follows from the small matrix:
-    mean and max |rho|, spectral radius, variance inflation, Bartlett's statistic."""
+    mean and max |rho|, spectral radius, variance inflation, Bartlett's statistic and its p (a
+    singular matrix has an infinite statistic and p 0)."""
     pairs = [(i, j) for i in range(len(metrics)) for j in range(i)]
     row = df.agg(F.count(F.lit(1)), *[correlation(metrics[i], metrics[j]) for i, j in pairs]).first()
     r = np.eye(len(metrics))
@@ -93,9 +98,12 @@ def correlation_summary(df: DataFrame, metrics: Sequence[str]) -> dict:
     off = np.abs(r[np.tril_indices(len(metrics), -1)])
     k, n = len(metrics), row[0]
     vif = 1 / np.maximum(1 / np.maximum(np.diag(np.linalg.pinv(r)), 1e-12), 1e-9)
-    chi2 = -(n - 1 - (2 * k + 5) / 6) * float(np.linalg.slogdet(r)[1])
+    sign, log_det = np.linalg.slogdet(r)
+    chi2 = -(n - 1 - (2 * k + 5) / 6) * float(log_det) if sign > 0 and np.isfinite(log_det) else math.inf
+    one = df.sparkSession.range(1)
+    p = 0.0 if math.isinf(chi2) else one.select(chi2_tail(F.lit(max(chi2, 0.0)), F.lit(k * (k - 1) // 2))).first()[0] if k > 1 else 1.0
     top = float(off.max()) if len(off) else 0.0
-    return {"n": n, "mean_abs": float(off.mean()) if len(off) else 0.0, "max_abs": top, "radius": float(np.abs(np.linalg.eigvalsh(r)).max()), "vif": dict(zip(metrics, vif.tolist())), "bartlett": chi2, "band": "LOW" if top < 0.3 else "MODERATE" if top < 0.6 else "HIGH"}
+    return {"n": n, "mean_abs": float(off.mean()) if len(off) else 0.0, "max_abs": top, "radius": float(np.abs(np.linalg.eigvalsh(r)).max()), "vif": dict(zip(metrics, vif.tolist())), "bartlett": chi2, "bartlett_p": p, "band": "LOW" if top < 0.3 else "MODERATE" if top < 0.6 else "HIGH"}
 
 
 def over_runs(runs: DataFrame, metric: str, value: str) -> DataFrame:

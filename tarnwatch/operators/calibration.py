@@ -13,6 +13,7 @@ from ..functions import opinions as O
 from ..functions.times import seconds
 from . import metrics as M
 from .joins import small_side
+from .segments import SEGMENT, meet, numbered
 
 #: Least rows for a group's own thresholds; with fewer, those of all its rows count.
 LEAST_ROWS = 10
@@ -28,18 +29,18 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[flo
     accuracy = int(10 / margin)
     ends = [F.percentile_approx("_v", F.array(F.lit(max(0.0, s - margin)), F.lit(min(1.0, s + margin))), accuracy).alias(f"_e{i}") for i, s in enumerate(shares)]
     bounds = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *ends)
-    joined = known.join(bounds, list(by)) if by else known.join(F.broadcast(bounds), F.lit(True))
+    joined = meet(known, bounds, by)
     at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(s)) * (F.col("n") - 1)).alias("pos"), F.get(f"_e{i}", F.lit(0)).alias("low"), F.get(f"_e{i}", F.lit(1)).alias("high")) for i, s in enumerate(shares)])).alias("_c")
     # One row for each distinct value inside a bracket and one for all below it, from each task. A
     # quantile lies at the largest of those below at the lowest.
     slot = F.when(F.col("_v") < F.col("_c.low"), None).otherwise(F.col("_v"))
-    cells = joined.select(*by, "n", "_v", at).filter(F.col("_v") <= F.col("_c.high")).groupBy(*by, "n", F.col("_c.i").alias("i"), F.col("_c.pos").alias("pos"), slot.alias("s")).agg(F.count(F.lit(1)).alias("c"), F.max("_v").alias("v"))
-    w = Window.partitionBy(*by, "i").orderBy(F.col("s").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    upto = cells.withColumn("_upto", F.sum("c").over(w))
-    pick = lambda k: F.min(F.when(F.col("_upto") > k, F.col("v")))
-    parts = upto.groupBy(*by, "n", "i", "pos").agg(pick(F.floor("pos")).alias("a"), pick(F.ceil("pos")).alias("b"))
-    q = F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.floor("pos"))
-    return parts.groupBy(*by).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("i") == i, q)).alias(f"q{i}") for i in range(len(shares))])
+    cells = joined.select(*by, "n", "_v", at).filter(F.col("_v") <= F.col("_c.high")).groupBy(*by, "n", F.col("_c.i").alias("_i"), F.col("_c.pos").alias("_at"), slot.alias("_s")).agg(F.count(F.lit(1)).alias("_k"), F.max("_v").alias("_top"))
+    w = Window.partitionBy(*by, "_i").orderBy(F.col("_s").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    upto = cells.withColumn("_upto", F.sum("_k").over(w))
+    pick = lambda k: F.min(F.when(F.col("_upto") > k, F.col("_top")))
+    parts = upto.groupBy(*by, "n", "_i", "_at").agg(pick(F.floor("_at")).alias("_a"), pick(F.ceil("_at")).alias("_b"))
+    q = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))
+    return parts.groupBy(*by).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("_i") == i, q)).alias(f"q{i}") for i in range(len(shares))])
 
 
 def directed(df: DataFrame, residual: str, direction: Column) -> DataFrame:
@@ -53,6 +54,21 @@ def directed(df: DataFrame, residual: str, direction: Column) -> DataFrame:
     return df.withColumn("_b", F.explode(branches)).select(*df.columns, "_b.branch", "_b.e").filter("e IS NOT NULL")
 
 
+def sides(df: DataFrame, by: Sequence[str], residual: str, direction: Column, least: int = LEAST_ROWS) -> DataFrame:
+    """df with branch and e, as directed() has them, zeros included (on the positive side where a leaf
+    looks at both). A side with fewer than least rows takes the sizes of all rows of its leaf."""
+    r = F.col(residual)
+    df = df.filter(r.isNotNull() & ~F.isnan(r)).withColumn("_way", direction)
+    below = F.when(F.col("_way") == "both", r < 0).otherwise(r <= 0)
+    counts = df.groupBy(*by).agg(F.sum((r >= 0).cast("long")).alias("_up"), F.sum(below.cast("long")).alias("_down"))
+    rows = meet(df, counts, by)
+    one = lambda name, has, n: F.struct(F.lit(name).alias("branch"), F.when(has | (F.col(n) < least), F.abs(r)).alias("e"))
+    pos, neg = one("pos", r >= 0, "_up"), one("neg", below, "_down")
+    every = F.struct(F.lit("sym").alias("branch"), F.abs(r).alias("e"))
+    branches = F.when(F.col("_way") == "pos", F.array(pos)).when(F.col("_way") == "neg", F.array(neg)).when(F.col("_way") == "both", F.array(pos, neg)).otherwise(F.array(every))
+    return rows.withColumn("_b", F.explode(branches)).select(*[c for c in df.columns if c != "_way"], "_b.branch", "_b.e").filter("e IS NOT NULL")
+
+
 def thresholds_with_reason(df: DataFrame, by: Sequence[str], e: str, q_susp: float = 0.9, q_atk: float = 0.97, ratio: float = 1.1, base: float = 0.9, least: int = LEAST_ROWS, few: tuple[float, float] = (1.0, 2.0)) -> DataFrame:
     """by, n, t_susp, t_atk, t_base and reason: empirical quantiles; too few rows give the stated
     pair, a suspect threshold of zero the floor. reason says which, null where none applies."""
@@ -124,12 +140,17 @@ def rolling_r2(df: DataFrame, by: Sequence[str], ts: str, y: str, season: Sequen
     return t.groupBy(*by).agg(folds.alias("n_folds"), n.alias("n"), F.try_divide(error, F.when(spread > 1e-12, spread)).alias("_r")).select(*by, "n_folds", "n", (1 - F.col("_r")).alias("r2"))
 
 
-def expanding_r2(df: DataFrame, by: Sequence[str], order: str, x: str, y: str, folds: int = 5) -> DataFrame:
+def expanding_r2(df: DataFrame, by: Sequence[str], order: str, x: str, y: str, folds: int = 5, rows: int = SEGMENT) -> DataFrame:
     """by, n, r2: rows by order in folds + 1 parts of equal size; each part but the first is
     predicted by the least-squares line through the origin of the parts before it. r2 is the mean
     over folds of 1 - mse / variance."""
-    w = Window.partitionBy(*by).orderBy(order)
-    part = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.ntile(folds + 1).over(w).alias("_k"))
+    part = numbered(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, order, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")), by, order, "_i", rows=rows)
+    part = meet(part, part.groupBy(*by).agg(F.count(F.lit(1)).alias("_m")), by)
+    # Parts of equal size, the first ones longer by one where the rows don't divide, as ntile() has them.
+    size, longer = F.floor(F.col("_m") / (folds + 1)), F.col("_m") % (folds + 1)
+    edge = longer * (size + 1)
+    k = F.when(F.col("_i") < edge, F.floor(F.col("_i") / (size + 1))).otherwise(longer + F.floor((F.col("_i") - edge) / F.greatest(size, F.lit(1)))) + 1
+    part = part.select(*by, "_x", "_y", k.alias("_k"))
     x_, y_ = F.col("_x"), F.col("_y")
     sums = part.groupBy(*by, "_k").agg(F.count(F.lit(1)).alias("n"), F.sum(x_ * y_).alias("xy"), F.sum(x_ * x_).alias("xx"), F.sum(y_ * y_).alias("yy"), F.sum("_y").alias("s"))
     before = Window.partitionBy(*by).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
@@ -148,9 +169,8 @@ def mean_fallback(scores: DataFrame, r2: str = "r2", allowed: Column | None = No
 
 def calibration_source(df: DataFrame, by: Sequence[str], held_out: Column, least: int = 30) -> DataFrame:
     """The rows that calibrate a group: those held out if there are at least least, else the rest."""
-    w = Window.partitionBy(*by)
-    n = F.sum(held_out.cast("long")).over(w)
-    return df.withColumn("_n", n).filter(F.when(F.col("_n") >= least, held_out).otherwise(~held_out)).drop("_n")
+    n = df.groupBy(*by).agg(F.sum(held_out.cast("long")).alias("_n"))
+    return meet(df, n, by).filter(F.when(F.col("_n") >= least, held_out).otherwise(~held_out)).drop("_n")
 
 
 def missing_models(models: DataFrame, expected: DataFrame, key: str) -> DataFrame:

@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar
+from ..functions.distributions import erfc
+from ..functions.lineage import cut
 from ..functions.times import micros
 from . import metrics as M
 from .joins import interval_join, interval_label
+from .segments import framed, meet, numbered
 
 
 def window_votes(df: DataFrame, keys: Sequence[str], vote: str, score: str, label: str, least: int) -> DataFrame:
@@ -65,19 +68,35 @@ def global_stats(df: DataFrame, catalog: DataFrame, ts: str, gate: str) -> DataF
     return out.select("*", M.ratio(tp, tp + fn).alias("detection_rate"), M.ratio(fp, F.col("n_normal")).alias("false_alarm_rate"), mcc.alias("mcc"), M.ratio(F.col("open_outage"), F.col("n_outage")).alias("outage_rate"))
 
 
+# Events are told apart by their spans: several may have one name. Events of equal spans have equal
+# rows, so each span is joined once.
+
+
+def _in_events(df: DataFrame, catalog: DataFrame, ts: str) -> DataFrame:
+    """The rows of df inside an event, with its span as _s and _e; once for each span that holds them."""
+    spans = catalog.select("start", "end", F.col("start").alias("_s"), F.col("end").alias("_e")).distinct()
+    return interval_join(df, ts, spans, ["_s", "_e"])
+
+
+def _to_events(catalog: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
+    """The stated columns of every event with what was found for its span."""
+    return meet(catalog.select(*columns, F.col("start").alias("_s"), F.col("end").alias("_e")), found, ["_s", "_e"]).drop("_s", "_e")
+
+
 def base_rates(df: DataFrame, catalog: DataFrame, ts: str, score: str, before_s: float = 1800, after_s: float = 1800) -> DataFrame:
     """For each event: the last score before it, largest and mean during, mean in the time after.
     Events without rows have nulls."""
-    a, b, t = micros("start"), micros("end"), micros(ts)
-    wide = catalog.select("name", F.col("start").alias("_s"), F.col("end").alias("_e"), (F.col("start") - F.expr(f"interval {int(before_s)} seconds")).alias("start"), (F.col("end") + F.expr(f"interval {int(after_s)} seconds")).alias("end"))
-    rows = interval_join(df.select(ts, score), ts, wide, ["name", "_s", "_e"])
+    t = micros(ts)
+    spans = catalog.select("start", "end").distinct()
+    wide = spans.select(F.col("start").alias("_s"), F.col("end").alias("_e"), (F.col("start") - F.expr(f"interval {int(before_s)} seconds")).alias("start"), (F.col("end") + F.expr(f"interval {int(after_s)} seconds")).alias("end"))
+    rows = interval_join(df.select(ts, score), ts, wide, ["_s", "_e"])
     a, b = micros("_s"), micros("_e")
     v = F.col(score)
-    out = rows.groupBy("name").agg(
+    out = rows.groupBy("_s", "_e").agg(
         F.max_by(F.when(t < a, v), F.when(t < a, t)).alias("before"), F.max(F.when((t >= a) & (t < b), v)).alias("max_during"),
         F.avg(F.when((t >= a) & (t < b), v)).alias("mean_during"), F.avg(F.when(t >= b, v)).alias("mean_after"),
     )
-    return catalog.select("name").join(out, "name", "left")
+    return meet(catalog.select("name", F.col("start").alias("_s"), F.col("end").alias("_e")), out, ["_s", "_e"]).drop("_s", "_e")
 
 
 def learning(df: DataFrame, catalog: DataFrame, ts: str, score: str, threshold: float) -> DataFrame:
@@ -92,9 +111,9 @@ def ppv_table(df: DataFrame, catalog: DataFrame, ts: str, p: str, y: str, target
     """For each event: n, base_rate, tpr with its interval, the operating fpr, Bayes ppv and the
     fpr that the target ppv would need. Events without rows have n 0, and nulls."""
     sums = df.agg(F.count(F.lit(1)).alias("_all"), M.ratio(F.sum(((F.col(p) == 1) & (F.col(y) == 0)).cast("long")), F.sum((F.col(y) == 0).cast("long"))).alias("fpr"))  # one row
-    rows = interval_join(df.select(ts, p), ts, catalog.select("name", "start", "end"), ["name"])
-    each = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col(p) == 1).cast("long")).alias("_k"))
-    out = catalog.select("name").join(each, "name", "left").join(F.broadcast(sums), F.lit(True))
+    rows = _in_events(df.select(ts, p), catalog, ts)
+    each = rows.groupBy("_s", "_e").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col(p) == 1).cast("long")).alias("_k"))
+    out = _to_events(catalog, each, "name").join(F.broadcast(sums), F.lit(True))
     n = F.col("n").cast("double")
     rate, tpr = F.try_divide(n, F.col("_all")), F.try_divide(F.col("_k").cast("double"), n)
     low, high = M.wilson(F.col("_k"), n)
@@ -212,44 +231,91 @@ def _codes(y: str, predictions: Sequence[str]) -> Column:
     return code
 
 
-def block_draws(df: DataFrame, order: str, code: Column, codes: int, block: int, replicates: int, seed: int) -> DataFrame:
-    """(rep, c0, c1, ...): counts of the codes in each replicate of a moving-block bootstrap. order
-    numbers the rows 0, 1, ... without gaps. A block's counts are the difference of two running
-    counts, found by position, so a draw meets two rows whatever the block's length."""
+#: Rows that one task puts in order while blocks are counted; kinds of blocks that one task draws from.
+BLOCK_ROWS, KINDS = 500_000, 20_000
+
+
+def block_kinds(df: DataFrame, pos: str, code: Column, codes: int, length: int, step: int = 1) -> DataFrame:
+    """(c0, c1, ..., times): the counts of the codes in blocks of so many neighbouring rows, and how
+    many blocks have them. step 1 gives every start whose block is whole; a step of length cuts the
+    rows into blocks one after the other, the last one short. pos numbers the rows 0, 1, ..."""
+    names = [f"c{i}" for i in range(codes)]
+    ones = df.select(F.col(pos).cast("long").alias("_at"), *[(code == i).cast("long").alias(n) for i, n in enumerate(names)])
+    if step == 1:
+        ahead = lambda w: {n: F.sum(n).over(w.rowsBetween(0, length - 1)) for n in names}
+        blocks = framed(ones, [], "_at", 0, length - 1, ahead, rows=BLOCK_ROWS)
+        blocks = blocks.filter(sum((F.col(n) for n in names), F.lit(0)) == length)
+    else:
+        blocks = ones.groupBy(F.floor(F.col("_at") / length)).agg(*[F.sum(n).alias(n) for n in names])
+    return blocks.groupBy(*names).agg(F.count(F.lit(1)).alias("times"))
+
+
+def drawn_blocks(kinds: DataFrame, codes: int, draws: int, replicates: int, seed: int, group_rows: int = KINDS) -> np.ndarray:
+    """Counts of the codes in so many blocks drawn with replacement, for each replicate.
+
+    Blocks of equal counts are alike, so a replicate is a multinomial draw over kinds of blocks;
+    their number is bounded by the block's length, not by the table's. The kinds are dealt into
+    groups: how often each group is drawn is decided first, what is drawn inside a group by a
+    task for it (a multinomial in two steps). One row of counts for each replicate comes back."""
     names = [f"c{i}" for i in range(codes)]
-    ones = df.select(F.col(order).cast("long").alias("pos"), *[(code == i).cast("long").alias(n) for i, n in enumerate(names)])
-    upto = M.running(ones, "pos", names).select("pos", *[F.col(f"run_{n}").alias(n) for n in names])
-    n = df.count()
-    block = max(1, min(block, n))
-    each = -(-n // block)
-    draws = df.sparkSession.range(replicates * each).select(F.floor(F.col("id") / each).alias("rep"), (F.col("id") % each).alias("k"))
-    size = F.when(F.col("k") == each - 1, n - (each - 1) * block).otherwise(block)
-    start = F.pmod(F.xxhash64("rep", "k", F.lit(seed)), F.lit(n - block + 1))
-    ends = draws.select("rep", F.explode(F.array(F.struct((start + size - 1).alias("pos"), F.lit(1).alias("sign")), F.struct((start - 1).alias("pos"), F.lit(-1).alias("sign")))).alias("e")).select("rep", "e.*")
-    return ends.join(upto, "pos").groupBy("rep").agg(*[F.sum(F.col("sign") * F.col(c)).alias(c) for c in names])
+    kinds = cut(kinds)
+    n = kinds.count()
+    groups = max(1, -(-n // group_rows))
+    kinds = kinds.withColumn("_g", F.pmod(F.xxhash64(*names), F.lit(groups)).cast("int"))
+    totals = {r["_g"]: r["t"] for r in kinds.groupBy("_g").agg(F.sum("times").alias("t")).collect()}
+    share = np.array([totals.get(g, 0) for g in range(groups)], dtype=float)
+    each = np.random.default_rng(seed).multinomial(draws, share / share.sum(), size=replicates)  # replicates x groups numbers
+
+    def work(pdf):
+        pdf = pdf.sort_values(names)
+        g = int(pdf["_g"].iloc[0])
+        rng, p = np.random.default_rng([seed, g]), pdf["times"].to_numpy(dtype=float)
+        counts, p = pdf[names].to_numpy(dtype=np.int64), p / p.sum()
+        out = np.stack([rng.multinomial(k, p) @ counts if k else np.zeros(codes, np.int64) for k in each[:, g]])
+        import pandas as pd
+
+        return pd.DataFrame({"rep": np.arange(replicates), **{c: out[:, i] for i, c in enumerate(names)}})
+
+    parts = kinds.groupBy("_g").applyInPandas(work, "rep long, " + ", ".join(f"{c} long" for c in names))
+    rows = parts.groupBy("rep").agg(*[F.sum(c).alias(c) for c in names]).orderBy("rep").collect()
+    return np.array([r[1:] for r in rows], dtype=float)
 
 
 def bca_interval(df: DataFrame, y: str, predictions: Sequence[str], statistic: Statistic, order: str | None = None, block: int = 1, replicates: int = 2000, alpha: float = 0.05, seed: int = 42) -> dict:
-    """value, low and high. With block 1, rows are drawn apart: their counts are multinomial, so
-    one aggregate is all that the table gives. Else blocks of neighbours by order are drawn; one
-    row of counts for each replicate comes to the driver."""
+    """value, low and high. Rows with a null label or prediction are left out first. With block 1,
+    rows are drawn apart: their counts are multinomial, so one aggregate is all that the table
+    gives. Else blocks of neighbours are drawn, in the order of a column whose values are distinct
+    (the known rows are numbered anew by it), and the acceleration comes from leaving out
+    one block after the other."""
     codes = 2 ** (1 + len(predictions))
     known = df.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in (y, *predictions)))
     code = _codes(y, predictions)
     got = {r["c"]: r["n"] for r in known.groupBy(code.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = np.array([got.get(i, 0) for i in range(codes)], dtype=float)
-    n = counts.sum()
+    n = int(counts.sum())
     if not n:
         return {"value": math.nan, "low": math.nan, "high": math.nan}
+    theta = float(statistic(counts))
     if block <= 1:
-        draws = np.random.default_rng(seed).multinomial(int(n), counts / n, size=replicates)
+        draws = np.random.default_rng(seed).multinomial(n, counts / n, size=replicates)
+        held = np.flatnonzero(counts)
+        left_out, times = statistic(counts - np.eye(codes)[held]), counts[held]
     else:
-        rows = block_draws(known, order, code, codes, block, replicates, seed).collect()
-        draws = np.array([r[1:] for r in sorted(rows)], dtype=float)
-    theta = float(statistic(counts))
-    held = np.flatnonzero(counts)
-    left_out = statistic(counts - np.eye(codes)[held])
-    low, high = bca_endpoints(theta, statistic(draws), left_out, counts[held], alpha)
+        if order is None:
+            raise ValueError("blocks need an order")
+        block = min(block, n)
+        rows = known.select(F.col(order).alias("_order"), code.cast("int").alias("_code"))
+        rows = cut(numbered(rows, [], "_order", "_pos", rows=BLOCK_ROWS))
+        whole, rest = divmod(n, block)
+        draws = drawn_blocks(block_kinds(rows, "_pos", F.col("_code"), codes, block), codes, whole, replicates, seed)
+        if rest:  # the last block of a replicate is cut short
+            short = rows.filter(F.col("_pos") < n - block + rest)  # its starts are those of whole blocks
+            draws = draws + drawn_blocks(block_kinds(short, "_pos", F.col("_code"), codes, rest), codes, 1, replicates, seed + 1)
+        out = np.array([tuple(r) for r in block_kinds(rows, "_pos", F.col("_code"), codes, block, block).orderBy(*[f"c{i}" for i in range(codes)]).collect()], dtype=float)
+        stays = counts - out[:, :-1]
+        keep = stays.sum(axis=1) >= 2
+        left_out, times = statistic(stays[keep]), out[keep, -1]
+    low, high = bca_endpoints(theta, statistic(draws), left_out, times, alpha)
     return {"value": theta, "low": low, "high": high}
 
 
@@ -264,13 +330,6 @@ def mcnemar_p(n01: Column, n10: Column, exact_below: int = 25) -> Column:
     return F.when(m == 0, 1.0).when(m < exact_below, exact).otherwise(erfc(F.sqrt(d * d / m) / math.sqrt(2)))
 
 
-def erfc(x: Column) -> Column:
-    """The complementary error function of x >= 0 by formula 7.1.26 of Abramowitz and Stegun
-    (error below 1.5e-7); its constants are fixed values."""
-    t = 1 / (1 + 0.3275911 * x)
-    return t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x)
-
-
 def group_independence(df: DataFrame, win: str, grp: str, states: Sequence[str]) -> DataFrame:
     """(grp_x, grp_y, state_x, state_y, n, rho): for each pair of groups the pair of states of the
     largest |correlation| over windows. Groups are few: a window gives a row for each pair."""
@@ -285,9 +344,11 @@ def group_independence(df: DataFrame, win: str, grp: str, states: Sequence[str])
 
 def first_correct(df: DataFrame, events: DataFrame, ts: str, named: str) -> DataFrame:
     """(name, ttq_s): seconds from an event's start to its first row of the expected name."""
-    rows = interval_join(df.select(ts, named), ts, events.select("name", "expected", "start", F.col("end"), F.col("start").alias("_s")), ["name", "expected", "_s"])
-    first = rows.filter(F.col(named) == F.col("expected")).groupBy("name").agg((F.min(micros(ts) - micros("_s")) / 1e6).alias("ttq_s"))
-    return events.select("name").join(first, "name", "left")
+    spans = events.select("expected", "start", "end", F.col("start").alias("_s"), F.col("end").alias("_e")).distinct()
+    rows = interval_join(df.select(ts, named), ts, spans, ["expected", "_s", "_e"])
+    first = rows.filter(F.col(named) == F.col("expected")).groupBy("expected", "_s", "_e").agg((F.min(micros(ts) - micros("_s")) / 1e6).alias("ttq_s"))
+    all_ = events.select("name", "expected", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    return meet(all_, first, ["expected", "_s", "_e"]).select("name", "ttq_s")
 
 
 def suspects(df: DataFrame, ts: str, flags: Sequence[str], top: int = 50) -> DataFrame:
@@ -308,17 +369,19 @@ def outage_check(df: DataFrame, train: Column, events: DataFrame, ts: str, metri
     """(name, metric, n, z, direction): the mean of each metric during an event, in deviations of
     the training rows; down below -1, up above 1, else flat."""
     s = df.filter(train).agg(*[F.avg(m).alias(f"_m_{m}") for m in metrics], *[F.stddev_pop(m).alias(f"_d_{m}") for m in metrics])  # one row
-    rows = interval_join(df.select(ts, *metrics), ts, events.select("name", "start", "end"), ["name"])
-    means = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), *[F.avg(m).alias(m) for m in metrics]).join(F.broadcast(s), F.lit(True))
+    each = _in_events(df.select(ts, *metrics), events, ts).groupBy("_s", "_e").agg(F.count(F.lit(1)).alias("n"), *[F.avg(m).alias(m) for m in metrics])
+    means = _to_events(events, each, "name").filter("n IS NOT NULL").join(F.broadcast(s), F.lit(True))
     z = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.try_divide(F.col(m) - F.col(f"_m_{m}"), F.col(f"_d_{m}")).alias("z")) for m in metrics])).alias("c")
     out = means.select("name", "n", z).select("name", "n", "c.*")
     return out.withColumn("direction", F.when(F.col("z") < -1, "down").when(F.col("z") > 1, "up").otherwise("flat"))
 
 
 def leaf_profile(df: DataFrame, events: DataFrame, ts: str, leaf: str, value: str) -> DataFrame:
-    """(name, leaf, n, first, mean, most): how a leaf's value goes during an event."""
-    rows = interval_join(df.select(ts, leaf, value), ts, events.select("name", "start", "end"), ["name"])
-    return rows.groupBy("name", leaf).agg(F.count(F.lit(1)).alias("n"), F.min_by(value, ts).alias("first"), F.avg(value).alias("mean"), F.max(value).alias("most"))
+    """(name, leaf, n, first, mean, most): how a leaf's value goes during an event; events of one
+    name have rows of their own."""
+    rows = _in_events(df.select(ts, leaf, value), events, ts)
+    each = rows.groupBy("_s", "_e", leaf).agg(F.count(F.lit(1)).alias("n"), F.min_by(value, ts).alias("first"), F.avg(value).alias("mean"), F.max(value).alias("most"))
+    return _to_events(events, each, "name").filter("n IS NOT NULL").select("name", leaf, "n", "first", "mean", "most")
 
 
 def regime_verdict(exceedance: DataFrame, regime: str, leaf: str, rate: str, busy: str = "ACTIVE", quiet: str = "QUIET", factor: float = 2.0) -> DataFrame:

@@ -8,21 +8,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import micros, seconds
+from .segments import SEGMENT, exceeds, known
 
 #: An interval table up to this many rows is broadcast; a larger one is cut at bucket borders.
 BROADCAST_ROWS = 10_000
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, by: Sequence[str], ts: str, values: Sequence[str], tolerance_seconds: float) -> DataFrame:
+def asof_nearest(left: DataFrame, right: DataFrame, by: Sequence[str], ts: str, values: Sequence[str], tolerance_seconds: float, rows: int = SEGMENT) -> DataFrame:
     """left with values of the right row nearest in time within the tolerance; of two equally
-    near, the earlier. One shuffle by key: both sides run through the same ordered window."""
+    near, the earlier. Both sides run through the same order, in ranges where a key is long."""
     at = micros(ts)
     a = left.select(F.struct(*left.columns).alias("_row"), *by, at.alias("_t"), F.lit(1).alias("_side"))
     b = right.select(*by, at.alias("_t"), F.lit(0).alias("_side"), F.struct(at.alias("at"), *values).alias("_hit"))
     both = a.unionByName(b, allowMissingColumns=True)
-    order = Window.partitionBy(*by).orderBy("_t", "_side")
-    both = both.withColumn("_before", F.last("_hit", True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("_after", F.first("_hit", True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    if exceeds(both, by, rows):
+        both = known(both, by, "_t", {"_before": F.col("_hit")}, ties=["_side"], rows=rows)
+        both = known(both, by, "_t", {"_after": F.col("_hit")}, ahead=True, ties=["_side"], rows=rows)
+    else:
+        order = Window.partitionBy(*by).orderBy("_t", "_side")
+        both = both.withColumn("_before", F.last("_hit", True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        both = both.withColumn("_after", F.first("_hit", True).over(order.rowsBetween(0, Window.unboundedFollowing)))
     out = both.filter("_side = 1")
     d0, d1 = F.col("_t") - F.col("_before.at"), F.col("_after.at") - F.col("_t")
     pick = F.when(d1.isNull() | (d0 <= d1), F.col("_before")).otherwise(F.col("_after"))

@@ -212,7 +212,7 @@ def window_scores(df: DataFrame, win: str, score: str, weight: str, vote: float)
 def range_auc(df: DataFrame, by: Sequence[str], order: str, y: str, score: str, rows: int, kind: str = "roc") -> DataFrame:
     from .timeseries import dilate
 
-    wide = dilate(df, by, order, y, rows)
+    wide = dilate(df, by, order, y, reach=rows)
     return roc_auc(wide, "dilated", score) if kind == "roc" else average_precision(wide, "dilated", score)
 
 

@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.lineage import cut
 from ..functions.times import seconds
 from .calibration import quantiles
 from .metrics import running_by
+from .segments import meet, numbered
 
 
 def fourier(ts: Column, period_seconds: float, order: int) -> list[Column]:
@@ -62,6 +64,91 @@ def lad_slope(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     return g.join(total, list(by)).filter(F.col("run__w") >= F.col("_t") / 2).groupBy(*by).agg(F.min("_r").alias("slope"))
 
 
+#: Slopes that one pass tries for each key.
+SLOPES = 16
+
+
+def _medians(rows: DataFrame, by: Sequence[str], tried: DataFrame) -> DataFrame:
+    """by, slope, intercept for each slope of tried: the best intercept is the median of y - slope x."""
+    long = meet(rows, tried.groupBy(*by).agg(F.collect_list("slope").alias("_l")), by).select(*by, "_x", "_y", F.explode("_l").alias("slope"))
+    rest = F.col("_y") - F.col("slope") * F.col("_x")
+    return quantiles(long.select(*by, "slope", rest.alias("_r")), [*by, "slope"], "_r", [0.5]).select(*by, "slope", F.col("q0").alias("intercept"))
+
+
+def _losses(rows: DataFrame, by: Sequence[str], lines: DataFrame) -> DataFrame:
+    """lines (by, slope, intercept; a few for each key) with loss, the sum of absolute residuals."""
+    many = meet(rows, lines.groupBy(*by).agg(F.collect_list(F.struct("slope", "intercept")).alias("_l")), by).select(*by, "_x", "_y", F.explode("_l").alias("_c"))
+    many = many.select(*by, "_x", "_y", "_c.*")
+    return many.groupBy(*by, "slope", "intercept").agg(F.sum(F.abs(F.col("_y") - F.col("intercept") - F.col("slope") * F.col("_x"))).alias("loss"))
+
+
+_LINE = ("slope", "intercept", "loss")
+
+
+def lad_line(df: DataFrame, by: Sequence[str], x: str, y: str, passes: int = 14) -> DataFrame:
+    """by, n, slope, intercept, loss of the least absolute residuals.
+
+    The loss, with the best intercept for each slope (a median), is convex in the slope. Each pass
+    tries SLOPES slopes for every key at once and keeps the two neighbours of the best; it
+    starts around the line of least squares and widens until the best lies inside. Last, the line
+    turns about the reading that it passes through, to the weighted median of the slopes to all
+    other readings, which is the exact place of the least; a pair of readings then carries it.
+    Medians are exact and come from counted brackets, sums are partial aggregates; a pass keeps
+    two numbers a key. A key whose x is constant has slope 0 and the median."""
+    by = list(by)
+    given = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    means = given.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.avg("_x").alias("_mx"), F.regr_slope("_y", "_x").alias("_b"), F.stddev_pop("_y").alias("_sy"), F.stddev_pop("_x").alias("_sx"))
+    ls = cut(means)
+    # Centred, so that a slope's rounding isn't multiplied by a large mean of x.
+    rows = cut(meet(given, ls.select(*by, "_mx"), by).select(*by, (F.col("_x") - F.col("_mx")).alias("_x"), "_y"))
+    start = F.when(F.col("_sx") > 0, F.coalesce("_b", F.lit(0.0))).otherwise(0.0)
+    width = F.when(F.col("_sx") > 0, F.col("_sy") / F.col("_sx") + F.abs(start) * 1e-3).otherwise(0.0)
+    state = cut(ls.select(*by, (start - width).alias("low"), (start + width).alias("high")))
+    best = None
+    for _ in range(passes):
+        step = (F.col("high") - F.col("low")) / (SLOPES - 1)
+        tried = state.select(*by, F.explode(F.array_distinct(F.array(*[F.col("low") + step * i for i in range(SLOPES - 1)], F.col("high")))).alias("slope"))
+        found = cut(_losses(rows, by, _medians(rows, by, tried)))
+        best = cut(found.groupBy(*by).agg(F.min_by(F.struct(*_LINE), F.struct("loss", "slope")).alias("_t")).select(*by, "_t.*"))
+        sides = meet(found.select(*by, F.col("slope").alias("_s")), best, by).groupBy(*by).agg(F.max(F.when(F.col("_s") < F.col("slope"), F.col("_s"))).alias("_l"), F.min(F.when(F.col("_s") > F.col("slope"), F.col("_s"))).alias("_h"), F.first("slope").alias("_m"))
+        size = F.col("high") - F.col("low")
+        still = size <= 0  # a constant x
+        low, high = F.coalesce("_l", F.col("_m") - size * 8), F.coalesce("_h", F.col("_m") + size * 8)
+        state = cut(meet(sides, state, by).select(*by, F.when(still, F.col("low")).otherwise(low).alias("low"), F.when(still, F.col("high")).otherwise(high).alias("high")))
+    # Turn about the nearest reading, then about the one that the line meets there.
+    for _ in range(2):
+        off = F.abs(F.col("_y") - F.col("intercept") - F.col("slope") * F.col("_x"))
+        pivot = cut(meet(rows, best, by).withColumn("_r", off).groupBy(*by).agg(F.min_by(F.struct(F.col("_x").alias("px"), F.col("_y").alias("py")), F.struct("_r", "_x", "_y")).alias("_p")))
+        moved = meet(rows, pivot, by).select(*by, (F.col("_x") - F.col("_p.px")).alias("_u"), (F.col("_y") - F.col("_p.py")).alias("_v"))
+        turned = meet(pivot, lad_slope(moved, by, "_u", "_v"), by).filter("slope IS NOT NULL")
+        turned = turned.select(*by, "slope", (F.col("_p.py") - F.col("slope") * F.col("_p.px")).alias("intercept"))
+        both = best.select(*by, *_LINE).unionByName(_losses(rows, by, turned))
+        best = cut(both.groupBy(*by).agg(F.min_by(F.struct(*_LINE), F.struct("loss", "slope")).alias("_t")).select(*by, "_t.*"))
+    out = meet(best, ls.select(*by, "_n", "_mx"), by)
+    return out.select(*by, F.col("_n").alias("n"), "slope", (F.col("intercept") - F.col("slope") * F.col("_mx")).alias("intercept"), "loss")
+
+
+def lad_r2(df: DataFrame, by: Sequence[str], order: str, x: str, y: str, folds: int = 5, least: int = 50) -> DataFrame:
+    """by, n, r2: mean over expanding folds of 1 - mse / variance of lad_line() fitted to the parts
+    before each part; with fewer than least rows, of one line on its own rows. Parts are of equal
+    size, the first longer by the remainder."""
+    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, order, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    rows = numbered(rows, by, order, "_i")
+    rows = meet(rows, rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_m")), by)
+    size = F.floor(F.col("_m") / (folds + 1))
+    first = F.col("_m") - size * folds
+    part = F.when(F.col("_i") < first, 0).otherwise(1 + F.floor((F.col("_i") - first) / F.greatest(size, F.lit(1)))).cast("int")
+    rows = cut(rows.select(*by, "_x", "_y", "_m", F.when(F.col("_m") < least, -1).otherwise(part).alias("_part")))
+    ahead = F.when(F.col("_part") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.col("_part") + 1, F.lit(folds)))
+    learn = rows.filter(F.col("_part") < folds).select(*by, "_x", "_y", F.explode(ahead).alias("_part"))
+    lines = lad_line(learn, [*by, "_part"], "_x", "_y").select(*by, "_part", "slope", "intercept")
+    test = meet(rows.filter("_part <> 0"), lines, [*by, "_part"])
+    error = F.col("_y") - F.col("intercept") - F.col("slope") * F.col("_x")
+    spread = F.var_pop("_y") * F.count("_y")
+    scores = test.groupBy(*by, "_part").agg((1 - F.try_divide(F.sum(error * error), F.when(spread > 1e-12, spread))).alias("_r2"), F.first("_m").alias("_m"))
+    return scores.groupBy(*by).agg(F.first("_m").alias("n"), F.avg("_r2").alias("r2"))
+
+
 def robust_z(df: DataFrame, train: Column, metrics: Sequence[str]) -> DataFrame:
     """df with score: the largest |x - median| / (1.4826 MAD) over metrics, from training rows."""
 
@@ -201,35 +288,6 @@ def _scored(df: DataFrame, metrics: Sequence[str], mean: np.ndarray, scale: np.n
     return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
-def outlier_factor(df: DataFrame, train: Column, metrics: Sequence[str], k: int = 35, sample: int = 10_000, seed: int = 7) -> DataFrame:
-    """df with score: local outlier factor against at most sample training rows. Rows are only
-    compared with that bounded reference set, in blocks."""
-    ref, mean, scale = _drawn(df, train, metrics, sample, seed)
-    k = max(1, min(k, len(ref) - 1))
-
-    def nearest(x: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        out_d, out_i = [], []
-        for a in range(0, len(x), 256):
-            d = np.sqrt(((x[a : a + 256, None, :] - ref[None]) ** 2).sum(axis=2))
-            i = np.argsort(d, axis=1, kind="stable")[:, skip : k + skip]
-            out_i.append(i)
-            out_d.append(np.take_along_axis(d, i, axis=1))
-        return np.concatenate(out_d), np.concatenate(out_i)
-
-    if len(ref) < 2:
-        return df.withColumn("score", F.lit(1.0))
-    d, i = nearest(ref, 1)
-    reach = d[:, -1]
-    density = 1 / np.maximum(np.maximum(d, reach[i]).mean(axis=1), 1e-12)
-
-    def score(x: np.ndarray) -> np.ndarray:
-        d, i = nearest(x, 0)
-        own = 1 / np.maximum(np.maximum(d, reach[i]).mean(axis=1), 1e-12)
-        return density[i].mean(axis=1) / own
-
-    return _scored(df, metrics, mean, scale, score)
-
-
 def one_class(df: DataFrame, train: Column, metrics: Sequence[str], nu: float = 0.05, features: int = 64, sample: int = 20_000, epochs: int = 20, seed: int = 7) -> DataFrame:
     """df with score: how far a row lies outside a one-class linear model over random Fourier
     features, fitted by stochastic gradient on at most sample training rows."""
@@ -247,3 +305,57 @@ def one_class(df: DataFrame, train: Column, metrics: Sequence[str], nu: float =
             weights -= rate * (nu * weights - (z[at] * inside[:, None]).mean(axis=0))
             rho -= rate * (inside.mean() - nu)
     return _scored(df, metrics, mean, scale, lambda v: rho - phi(v) @ weights)
+
+
+def support_vectors(x: np.ndarray, nu: float, gamma: float, tolerance: float = 1e-6, steps: int = 200_000) -> tuple[np.ndarray, float]:
+    """(alpha, rho) of the one-class machine with a Gaussian kernel: the dual, alpha in [0, 1 / (nu n)]
+    with sum one, by moving weight between the pair of rows that violates the optimum most."""
+    n = len(x)
+    square = (x * x).sum(axis=1)
+    kernel = np.exp(-gamma * np.maximum(square[:, None] + square[None] - 2 * x @ x.T, 0))
+    most = 1 / (nu * n)
+    alpha = np.zeros(n)
+    full = int(nu * n)
+    alpha[:full] = most
+    if full < n:
+        alpha[full] = max(0.0, 1 - full * most)
+    gradient = kernel @ alpha
+    for _ in range(steps):
+        up, down = alpha < most - 1e-15, alpha > 1e-15
+        i = int(np.where(up, gradient, np.inf).argmin())
+        j = int(np.where(down, gradient, -np.inf).argmax())
+        if gradient[j] - gradient[i] < tolerance:
+            break
+        curve = max(kernel[i, i] + kernel[j, j] - 2 * kernel[i, j], 1e-12)
+        step = min((gradient[j] - gradient[i]) / curve, most - alpha[i], alpha[j])
+        alpha[i] += step
+        alpha[j] -= step
+        gradient += step * (kernel[i] - kernel[j])
+    free = (alpha > 1e-12) & (alpha < most - 1e-12)
+    if free.any():
+        return alpha, float(gradient[free].mean())
+    low, high = gradient[alpha <= 1e-12], gradient[alpha >= most - 1e-12]
+    ends = [v for v in (high.max() if len(high) else None, low.min() if len(low) else None) if v is not None]
+    return alpha, float(np.mean(ends))
+
+
+def one_class_kernel(df: DataFrame, train: Column, metrics: Sequence[str], nu: float = 0.05, gamma: float | None = None, sample: int = 2000, seed: int = 7) -> DataFrame:
+    """df with score: how far a row lies outside the one-class machine with a Gaussian kernel,
+    trained on at most sample training rows, drawn with equal chances (with fewer, on all of
+    them). gamma is one over the number of metrics by default, as the rows are standardised."""
+    x, mean, scale = _drawn(df, train, metrics, sample, seed)
+    if not len(x):
+        return df.withColumn("score", F.lit(0.0))
+    gamma = 1 / (len(metrics) * max(float(x.var()), 1e-12)) if gamma is None else gamma
+    alpha, rho = support_vectors(x, nu, gamma)
+    held = alpha > 1e-12
+    support, weight = x[held], alpha[held]
+
+    def score(v: np.ndarray) -> np.ndarray:
+        out = np.empty(len(v))
+        for at in range(0, len(v), 1024):
+            d = ((v[at : at + 1024, None, :] - support[None]) ** 2).sum(axis=2)
+            out[at : at + 1024] = rho - np.exp(-gamma * d) @ weight
+        return out
+
+    return _scored(df, metrics, mean, scale, score)

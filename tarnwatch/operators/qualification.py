@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from ..functions.times import micros
 from . import attribution as A
 from .ageing import fold
-from .joins import interval_join
+from .calibration import quantiles
+from .joins import interval_join, small_side
 from .metrics import ratio
+from .segments import meet
 
 #: Statuses of a window: fixed values.
 CLOSED, NO_GROUPS, NOVEL, QUALIFIED = "normal", "no_groups", "autre_anomalie", "qualified"
@@ -101,11 +103,12 @@ def metrics_by_attack(df: DataFrame, catalog: DataFrame, ts: str, closed: bool =
     name). df is a table as qualify() gives. Attacks without windows have zeros. closed counts
     the end as inside too, as older tables do."""
     cat = catalog.select("name", "expected", "start", "end")
-    rows = interval_join(df.withColumn("_q", qualified(df)), ts, cat, ["name", "expected"], "inner", closed)
-    rows = rows.select("name", ts, F.coalesce(F.col("gate_open"), F.lit(False)).alias("_open"), "_q", (F.col("_q") & F.coalesce(F.col("top1_type") == F.col("expected"), F.lit(False))).alias("_ok"))
+    spans = cat.select("expected", "start", "end", F.col("start").alias("_s"), F.col("end").alias("_e")).distinct()
+    rows = interval_join(df.withColumn("_q", qualified(df)), ts, spans, ["expected", "_s", "_e"], "inner", closed)
+    rows = rows.select("expected", "_s", "_e", ts, F.coalesce(F.col("gate_open"), F.lit(False)).alias("_open"), "_q", (F.col("_q") & F.coalesce(F.col("top1_type") == F.col("expected"), F.lit(False))).alias("_ok"))
     one = lambda c: F.sum(c.cast("long"))
-    sums = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), one(F.col("_open")).alias("n_detected"), one(F.col("_q")).alias("n_qualified"), one(F.col("_ok")).alias("n_correct"), F.min(F.when(F.col("_ok"), micros(ts))).alias("_first"))
-    out = cat.join(sums, "name", "left").na.fill(0, ["n", "n_detected", "n_qualified", "n_correct"])
+    sums = rows.groupBy("expected", "_s", "_e").agg(F.count(F.lit(1)).alias("n"), one(F.col("_open")).alias("n_detected"), one(F.col("_q")).alias("n_qualified"), one(F.col("_ok")).alias("n_correct"), F.min(F.when(F.col("_ok"), micros(ts))).alias("_first"))
+    out = meet(cat.withColumns({"_s": F.col("start"), "_e": F.col("end")}), sums, ["expected", "_s", "_e"]).na.fill(0, ["n", "n_detected", "n_qualified", "n_correct"])
     out = out.withColumn("dr", ratio(F.col("n_detected"), F.col("n"))).withColumn("qp", ratio(F.col("n_correct"), F.col("n_qualified")))
     return out.select("name", "expected", "n", "n_detected", "n_qualified", "n_correct", "dr", "qp", *_f("dr", "qp", beta), ((F.col("_first") - micros("start")) / 6e7).alias("ttq_min"))
 
@@ -172,7 +175,7 @@ def leave_one_out(groups: DataFrame, templates: DataFrame, win: str) -> DataFram
     """(dropped, win, top1_type, evidence): the best type when each type's template is left out in
     turn, and, with dropped null, with all of them."""
     types = templates.select(F.col("type").alias("dropped")).distinct()
-    kept = templates.join(F.broadcast(types), F.col("type") != F.col("dropped"))  # types squared
+    kept = templates.join(small_side(types), F.col("type") != F.col("dropped"))  # types squared
     every = templates.withColumn("dropped", F.lit(None).cast("string"))
     t = kept.unionByName(every.select(*kept.columns)).withColumn("trial", F.coalesce("dropped", F.lit("")))
     top = top_by_trial(groups, t, win)
@@ -198,9 +201,9 @@ def agreement(a: DataFrame, b: DataFrame, win: str) -> DataFrame:
 
 def spread(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """keys, n, mean, std, q25, median, q75 and most of a value such as uncertainty."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), q.alias("_q"), F.max(value).alias("most"))
-    return out.select(*keys, "n", "mean", "std", *[F.get("_q", F.lit(i)).alias(c) for i, c in enumerate(("q25", "median", "q75"))], "most")
+    q = quantiles(df, keys, value, [0.25, 0.5, 0.75])
+    out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.max(value).alias("most"))
+    return meet(out, q.select(*keys, *[F.col(f"q{i}").alias(c) for i, c in enumerate(("q25", "median", "q75"))]), keys).select(*keys, "n", "mean", "std", "q25", "median", "q75", "most")
 
 
 def scorecard(a: DataFrame, b: DataFrame, names: tuple[str, str] = ("a", "b"), margin: float = 0.01, minutes: float = 1.0) -> DataFrame:

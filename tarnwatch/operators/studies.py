@@ -8,10 +8,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import distributions as D
 from . import attribution as A
 from . import metrics as M
 from .qualification import top_by_trial
 
+#: Laws of the noise on signatures.
+LAWS = ("normal", "student", "cauchy")
 #: How an attack changes metrics in synthetic tables, in deviations: fixed values.
 KINDS = {"volumetric": 4.0, "subtle": 1.0, "slowloris": 0.5}
 
@@ -38,25 +41,24 @@ def correlated_residuals(spark: SparkSession, n: int = 5000, groups: Sequence[st
     return df.withColumns(cols).select("i", *cols)
 
 
-def signature_noise(groups: DataFrame, templates: DataFrame, win: str, truth: str, sigmas: Sequence[float], repetitions: int, seed: int = 1, heavy: bool = False) -> DataFrame:
+def signature_noise(groups: DataFrame, templates: DataFrame, win: str, truth: str, sigmas: Sequence[float], repetitions: int, seed: int = 1, law: str = "normal", degrees: float = 3.0) -> DataFrame:
     """(sigma, n, accuracy): how often the best type is still the true one when the group states
-    p_safe, p_susp, p_atk get noise of each size, cut at zero and scaled to one. Noise is normal, or,
-    heavy, its product with the inverse root of a uniform draw; it is drawn by hash of the keys, so a
-    repeated task draws the same."""
+    p_safe, p_susp, p_atk get noise of each size, cut at zero and scaled to one. Its law is normal,
+    student (t of the stated degrees of freedom) or cauchy, all at the same scale; it is drawn by hash
+    of the keys, so a repeated task draws the same. A group whose states all fall to zero keeps them."""
+    if law not in LAWS:
+        raise ValueError(f"unknown law {law}; known: {LAWS}")
     cells = F.explode(F.array(*[F.struct(F.lit(float(s)).alias("sigma"), F.lit(r).alias("rep")) for s in sigmas for r in range(repetitions)])).alias("_c")
     rows = groups.select("*", cells).select(win, "grp", truth, *[f"p_{s}" for s in A.STATES], "_c.sigma", "_c.rep")
 
-    def uniform(salt: int) -> Column:
-        return (F.pmod(F.xxhash64(win, "grp", "sigma", "rep", F.lit(seed), F.lit(salt)), F.lit(1 << 40)) + 0.5) / (1 << 40)
+    def deviate(k: int) -> Column:
+        u, v = (D.uniform(win, "grp", "sigma", "rep", F.lit(seed), F.lit(2 * k + i)) for i in (0, 1))
+        return D.normal_deviate(u, v) if law == "normal" else D.student_deviate(u, v, degrees) if law == "student" else D.cauchy_deviate(u)
 
-    def normal(k: int) -> Column:
-        z = F.sqrt(-2 * F.ln(uniform(2 * k))) * F.cos(2 * 3.141592653589793 * uniform(2 * k + 1))
-        return z / F.sqrt(uniform(20 + k)) if heavy else z
-
-    moved = [F.greatest(F.col(f"p_{s}") + F.col("sigma") * normal(k), F.lit(0.0)).alias(f"_{s}") for k, s in enumerate(A.STATES)]
-    rows = rows.select(win, "grp", truth, "sigma", "rep", *moved)
+    moved = [F.greatest(F.col(f"p_{s}") + F.col("sigma") * deviate(k), F.lit(0.0)).alias(f"_{s}") for k, s in enumerate(A.STATES)]
+    rows = rows.select("*", *moved)
     total = F.col("_safe") + F.col("_susp") + F.col("_atk")
-    rows = rows.select(win, "grp", truth, "sigma", "rep", *[F.when(total > 0, F.try_divide(F.col(f"_{s}"), total)).otherwise(1 / 3).alias(f"p_{s}") for s in A.STATES])
+    rows = rows.select(win, "grp", truth, "sigma", "rep", *[F.when(total > 1e-12, F.try_divide(F.col(f"_{s}"), total)).otherwise(F.col(f"p_{s}")).alias(f"p_{s}") for s in A.STATES])
     key = F.concat_ws("|", F.col(win).cast("string"), "sigma", "rep")
     flat = rows.withColumn("_win", key)
     top = top_by_trial(flat, templates.withColumn("trial", F.lit(0)), "_win").select("_win", "top1_type")
@@ -64,24 +66,36 @@ def signature_noise(groups: DataFrame, templates: DataFrame, win: str, truth: st
     return each.groupBy("sigma").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("_truth") == F.col("top1_type")).cast("double")).alias("accuracy"))
 
 
-def severity_study(spark: SparkSession, kinds: Sequence[str] = tuple(KINDS), severities: Sequence[float] = (0.5, 1.0, 2.0), seed: int = 0) -> DataFrame:
-    """(kind, severity, f1, f1_trivial, trivial, ks): on a synthetic pair for each setting, a
-    detector over all metrics, one over the first alone, and how far the first one's distribution
-    moves under the attack."""
+def attacked(df: DataFrame, train: Column, hit: Column, metrics: Sequence[str], kind: str, severity: float) -> DataFrame:
+    """df with y, and its metrics raised where hit holds: by the kind's deviations of the training
+    rows, each further metric by less."""
+    y = F.coalesce(hit, F.lit(False)).cast("int")
+    scale = df.filter(train).agg(*[F.coalesce(F.stddev_pop(m), F.lit(0.0)).alias(f"_d_{m}") for m in metrics])  # one row
+    out = df.withColumn("y", y).join(F.broadcast(scale), F.lit(True))
+    return out.withColumns({m: F.col(m) + F.col("y") * F.col(f"_d_{m}") * (KINDS[kind] * severity / (k + 1)) for k, m in enumerate(metrics)}).drop(*[f"_d_{m}" for m in metrics])
+
+
+def severity_study(df: DataFrame, train: Column, hit: Column, metrics: Sequence[str], kinds: Sequence[str] = tuple(KINDS), severities: Sequence[float] = (0.5, 1.0, 2.0), limit: float = 3.0) -> DataFrame:
+    """(kind, severity, f1, f1_trivial, trivial, ks, p, realism): for each setting an attack is put
+    into the rows of df after training where hit holds. A detector over all metrics (their summed
+    deviations beyond the limit) is held against one over the first alone; ks says how far the
+    first one's distribution moves, p how likely that is by chance, and realism what follows: weak
+    (p over 0.05), outlier (ks over 0.9), else realistic."""
     from .audit import ks_distance
     from .evaluation import triviality
 
     out = None
     for kind in kinds:  # stated settings
         for s in severities:
-            df = synthetic_pair(spark, kind=kind, severity=s, seed=seed)
-            size = sum((F.abs(F.col(f"m_{k}")) for k in range(5)), F.lit(0.0))
-            df = df.withColumn("p", (size > 7.5).cast("int"))
-            t = triviality(df, "y", "p", ["m_0"], F.col("train"))
-            ks = ks_distance(df.filter("NOT train"), "m_0", F.col("y") == 1)
-            part = t.join(ks, F.lit(True)).select(F.lit(kind).alias("kind"), F.lit(float(s)).alias("severity"), "f1", "f1_trivial", "trivial", "ks")  # one row each
+            rows = attacked(df, train, ~train & hit, metrics, kind, s)
+            scale = rows.filter(train).agg(*[F.avg(m).alias(f"_m_{m}") for m in metrics], *[F.stddev_pop(m).alias(f"_d_{m}") for m in metrics])  # one row
+            size = sum((F.coalesce(F.abs(F.try_divide(F.col(m) - F.col(f"_m_{m}"), F.col(f"_d_{m}"))), F.lit(0.0)) for m in metrics), F.lit(0.0))
+            rows = rows.join(F.broadcast(scale), F.lit(True)).withColumn("p", (size > limit).cast("int")).drop(*[f"_{x}_{m}" for x in "md" for m in metrics])
+            t = triviality(rows, "y", "p", [metrics[0]], train)
+            ks = ks_distance(rows.filter(~train), metrics[0], F.col("y") == 1)
+            part = t.join(ks, F.lit(True)).select(F.lit(kind).alias("kind"), F.lit(float(s)).alias("severity"), "f1", "f1_trivial", "trivial", "ks", "p")  # one row each
             out = part if out is None else out.unionByName(part)
-    return out
+    return out.withColumn("realism", F.when(F.col("p") > 0.05, "weak").when(F.col("ks") > 0.9, "outlier").otherwise("realistic"))
 
 
 def smoothing_study(df: DataFrame, key: str, order: str, states: Sequence[str], truth: str, transition: Sequence[Sequence[float]]) -> DataFrame:

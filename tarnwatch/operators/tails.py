@@ -8,8 +8,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from .calibration import quantiles
 from .metrics import running_by
+from .segments import SEGMENT, framed, meet, numbered, summed
 
 
 def pwm_fit(excesses: DataFrame, by: Sequence[str], x: str) -> DataFrame:
@@ -38,11 +40,10 @@ def peaks_over(df: DataFrame, by: Sequence[str], x: str, quantile: float = 0.9)
     return df.join(base, list(by)).filter(F.col(x) > F.col("t0")).select(*by, "t0", "n_total", (F.col(x) - F.col("t0")).alias("excess"))
 
 
-def decluster(df: DataFrame, by: Sequence[str], order: str, x: str, run: int) -> DataFrame:
+def decluster(df: DataFrame, by: Sequence[str], order: str, x: str, run: int, rows: int = SEGMENT) -> DataFrame:
     """The largest row of each cluster; run rows without an exceedance end a cluster."""
-    w = Window.partitionBy(*by).orderBy(order)
-    df = df.withColumn("_new", F.coalesce(F.col(order) - F.lag(order).over(w) > run, F.lit(True)).cast("long"))
-    df = df.withColumn("_c", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    df = framed(df, by, order, 1, 0, lambda w: {"_new": F.coalesce(F.col(order) - F.lag(order).over(w) > run, F.lit(True)).cast("long")}, rows=rows)
+    df = summed(df, by, order, {"_c": F.col("_new")}, rows=rows)
     return df.groupBy(*by, "_c").agg(F.max_by(order, F.struct(F.col(x), -F.col(order))).alias(order), F.max(x).alias(x)).drop("_c")
 
 
@@ -79,8 +80,9 @@ def likelihood_fit(x: np.ndarray) -> tuple[float, float]:
     return best[0], best[1]
 
 
-def maximum_likelihood(excesses: DataFrame, by: str, x: str, passes: int = 5, points: int = 16) -> DataFrame:
-    """by, n, xi, sigma of the largest likelihood for each key, as likelihood_fit() finds it.
+def maximum_likelihood(excesses: DataFrame, by: str, x: str, passes: int = 5, points: int = 16, least_xi: float | None = -1.0) -> DataFrame:
+    """by, n, xi, sigma of the largest likelihood for each key, as likelihood_fit() finds it. Shapes
+    up to least_xi, where the likelihood has no bound, are left out, unless it is None.
 
     Each pass sums ln(1 + theta x) for a grid of theta on either side of zero as partial aggregates,
     and the next grid lies around the best point; so no task holds the rows of a key."""
@@ -102,18 +104,91 @@ def maximum_likelihood(excesses: DataFrame, by: str, x: str, passes: int = 5, po
         at = F.col("low") + F.col("_step") * F.col("_b.j")
         grid = keyed.select(by, "n", "_mean", "_top", "sign", F.greatest(F.col("low"), at - F.col("_step")).alias("low"), F.least(F.col("high"), at + F.col("_step")).alias("high"), "_b")
         last, grid = grid, grid.drop("_b")
-    sides = last.filter(F.col("_b.xi") > -1).groupBy(by).agg(F.max("_b").alias("_b"))
+    sides = (last if least_xi is None else last.filter(F.col("_b.xi") > least_xi)).groupBy(by).agg(F.max("_b").alias("_b"))
     exponential = -F.col("n") * (F.ln("_mean") + 1)
     out = stats.join(sides, by, "left")
     use = F.coalesce(F.col("_b.ll") > exponential, F.lit(False))
     return out.select(by, "n", F.when(use, F.col("_b.xi")).otherwise(0.0).alias("xi"), F.when(use, F.col("_b.xi") / F.col("_b.theta")).otherwise(mean).alias("sigma"))
 
 
+def quantile_at(df: DataFrame, by: Sequence[str], value: str, shares: DataFrame, share: str) -> DataFrame:
+    """by and q: the exact interpolated quantile of each group at a share of its own, from counts of
+    the distinct values, which no task has to order as a whole."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    total = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    pos = F.col(share) * (F.col("_n") - 1)
+    at = meet(meet(running_by(counts, by, "_x", ["_c"]), total, by), shares.select(*by, share), by)
+    pick = lambda k: F.min(F.when(F.col("run__c") > k, F.col("_x")))
+    ends = at.groupBy(*by).agg(pick(F.floor(pos)).alias("_a"), pick(F.ceil(pos)).alias("_b"), F.first(pos - F.floor(pos)).alias("_f"))
+    return ends.select(*by, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("q"))
+
+
+#: What a pair of tail thresholds comes from, in the order in which they are tried.
+FEW_ROWS, FEW_PEAKS, HEAVY, LIKELIHOOD, MOMENTS, EMPIRICAL = "few rows", "few peaks", "heavy tail", "likelihood", "moments", "empirical"
+
+
+def evt_thresholds(df: DataFrame, by: Sequence[str], e: str, q_susp: float = 0.02, q_atk: float = 0.01, order: str | None = None, run: int = -1, start: float = 0.9, peaks: int = 50, least: int = 10, ratio: float = 1.1, base: float = 0.9, passes: int = 10) -> DataFrame:
+    """by, n, n_peaks, t0, xi, sigma, t_susp, t_atk, t_base and reason for each leaf and branch of
+    sizes e >= 0 (see calibration.directed()).
+
+    Peaks are the excesses over t0, the start quantile; with run from 0 on, clusters of them give
+    their largest (order then says which rows follow each other). The tail is fitted by likelihood,
+    and each threshold is the size that q of all rows pass. The chain, with the reason that stands
+    in the result:
+
+    few rows     fewer than least: the floor 1e-9 and ratio times it
+    few peaks    fewer than peaks: quantiles of e itself
+    heavy tail   sigma - xi t0 <= 0, so that the tail could not have begun at zero: quantiles of e
+    likelihood   the fit, with a shape over -1
+    moments      a likelihood of shape -1 or less has no maximum: probability-weighted moments
+    empirical    those give no scale or shape either: t0 plus a quantile of the excesses
+
+    Each step is an aggregate by key over rows stored once; no task holds the rows of a key."""
+    keys = list(by)
+    rows = df.filter(F.col(e).isNotNull()).select(*keys, *([order] if order else []), F.col(e).cast("double").alias("_e"))
+    named = cut(rows.withColumn("_key", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})))
+    q = quantiles(named, ["_key"], "_e", [start, 1 - q_susp, 1 - q_atk]).select("_key", F.col("n"), F.col("q0").alias("t0"), F.col("q1").alias("_qs"), F.col("q2").alias("_qa"))
+    q = cut(meet(q, named.groupBy("_key").agg(*[F.first(k).alias(k) for k in keys]), ["_key"]))
+    over = meet(named, q.select("_key", "t0", "n"), ["_key"])
+    if run >= 0:
+        if order is None:
+            raise ValueError("clusters need an order")
+        over = numbered(over, ["_key"], order, "_row").filter("_e > t0")
+        over = meet(decluster(over.select("_key", "_row", "_e"), ["_key"], "_row", "_e", run), q.select("_key", "t0", "n"), ["_key"])
+    over = cut(over.filter("_e > t0 AND n >= %d" % least).select("_key", (F.col("_e") - F.col("t0")).alias("_x")))
+    ml = maximum_likelihood(over, "_key", "_x", passes, least_xi=None).select("_key", F.col("n").alias("n_peaks"), F.col("xi").alias("_xm"), F.col("sigma").alias("_sm"))
+    pw = pwm_fit(over, ["_key"], "_x").select("_key", F.col("xi").alias("_xp"), F.col("sigma").alias("_sp"))
+    f = meet(meet(q, ml, ["_key"]), pw, ["_key"]).withColumn("n_peaks", F.coalesce("n_peaks", F.lit(0)))
+    good = lambda xi, sigma: F.coalesce((F.col(sigma) > 0) & (F.col(xi) > -1) & ~F.isnan(xi), F.lit(False))
+    reason = F.when(F.col("n") < least, FEW_ROWS).when(F.col("n_peaks") < peaks, FEW_PEAKS)
+    reason = reason.when(F.coalesce(F.col("_sm") - F.col("_xm") * F.col("t0") <= 0, F.lit(False)), HEAVY)
+    reason = reason.when(good("_xm", "_sm"), LIKELIHOOD).when(good("_xp", "_sp"), MOMENTS).otherwise(EMPIRICAL)
+    f = cut(f.withColumn("reason", reason))
+    fitted = F.col("reason").isin(LIKELIHOOD, MOMENTS)
+    xi = F.when(fitted, F.when(F.col("reason") == LIKELIHOOD, F.col("_xm")).otherwise(F.col("_xp")))
+    sigma = F.when(fitted, F.when(F.col("reason") == LIKELIHOOD, F.col("_sm")).otherwise(F.col("_sp")))
+    out = f.withColumns({"xi": xi, "sigma": sigma})
+    last = over.join(f.filter(F.col("reason") == EMPIRICAL).select("_key"), "_key", "left_semi")
+    for name, share in (("_zs", q_susp), ("_za", q_atk)):
+        place = f.select("_key", F.greatest(F.lit(0.0), F.least(1 - share * F.col("n") / F.greatest("n_peaks", F.lit(1)), F.lit(1 - 1e-9))).alias("_share"))
+        out = meet(out, quantile_at(last, ["_key"], "_x", place, "_share").withColumnRenamed("q", name), ["_key"])
+
+    def threshold(share: float, own: str, excess: str) -> Column:
+        beyond = pareto_quantile(F.col("t0"), F.col("xi"), F.col("sigma"), share, F.col("n"), F.col("n_peaks"))
+        rest = F.col("t0") + F.when(share * F.col("n") >= F.col("n_peaks"), 0.0).otherwise(F.col(excess))
+        return F.when(F.col("reason") == FEW_ROWS, 1e-9).when(F.col("reason").isin(FEW_PEAKS, HEAVY), F.col(own)).when(fitted, F.greatest(beyond, F.col("t0"))).otherwise(rest)
+
+    susp = threshold(q_susp, "_qs", "_zs")
+    out = out.withColumns({"_susp": susp, "_atk": threshold(q_atk, "_qa", "_za")})
+    t_susp = F.greatest("_susp", F.lit(1e-9))
+    return out.select(*keys, "n", "n_peaks", "t0", "xi", "sigma", t_susp.alias("t_susp"), F.greatest("_atk", ratio * F.col("_susp"), F.lit(1e-9)).alias("t_atk"), (base * t_susp).alias("t_base"), "reason")
+
+
 def thresholds(df: DataFrame, by: Sequence[str], residual: str, q_susp: float = 0.9, q_atk: float = 0.97, ratio: float = 1.1, base: float = 0.9) -> DataFrame:
     """by, t_susp, t_atk, t_base from empirical quantiles of absolute residuals."""
-    q = df.groupBy(*by).agg(F.percentile(F.abs(residual), F.lit(q_susp)).alias("_s"), F.percentile(F.abs(residual), F.lit(q_atk)).alias("_a"))
-    susp = F.greatest(F.col("_s"), F.lit(1e-9))
-    return q.select(*by, susp.alias("t_susp"), F.greatest(F.col("_a"), ratio * susp).alias("t_atk"), (base * susp).alias("t_base"))
+    q = quantiles(df.select(*by, F.abs(residual).alias("_r")), by, "_r", [q_susp, q_atk])
+    susp = F.greatest(F.col("q0"), F.lit(1e-9))
+    return q.select(*by, susp.alias("t_susp"), F.greatest(F.col("q1"), ratio * susp).alias("t_atk"), (base * susp).alias("t_base"))
 
 
 def with_thresholds(df: DataFrame, by: Sequence[str], residual: str, where: Column, q_susp: float = 0.9, q_atk: float = 0.97, ratio: float = 1.1, base: float = 0.9) -> DataFrame:
@@ -128,7 +203,8 @@ def with_thresholds(df: DataFrame, by: Sequence[str], residual: str, where: Colu
 def decision_threshold(scores: DataFrame, by: Sequence[str], score: str, fpr: float, least: float = 1e-6) -> DataFrame:
     """by, delta: the quantile 1 - fpr of calibration scores; the largest score where that is
     the floor that most windows share, and never below least."""
-    q = scores.groupBy(*by).agg(F.percentile(score, F.lit(1 - fpr)).alias("_q"), F.min(score).alias("_low"), F.max(score).alias("_high"))
+    ends = scores.groupBy(*by).agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
+    q = meet(ends, quantiles(scores, by, score, [1 - fpr]).select(*by, F.col("q0").alias("_q")), by)
     delta = F.when((F.col("_q") <= F.col("_low") + 1e-12) & (F.col("_high") > F.col("_low")), F.col("_high")).otherwise(F.col("_q"))
     return q.select(*by, F.greatest(delta, F.lit(least)).alias("delta"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import correlation
 from ..functions.times import micros
+from .segments import SEGMENT, exceeds, framed, known, meet, numbered, summed
 
 
 def _over(by: Sequence[str], order: str):
@@ -41,37 +42,33 @@ def fill_windows(df: DataFrame, keys: Sequence[str], start: str, width: int, zer
     return rows.select(*[F.col("_t").alias(c) if c == start else F.col(c) if c in keys else value(c).alias(c) for c in df.columns])
 
 
-def row_windows(df: DataFrame, by: Sequence[str], order: str, size: int) -> DataFrame:
+def row_windows(df: DataFrame, by: Sequence[str], order: str, size: int, rows: int = SEGMENT) -> DataFrame:
     """df with win_no: windows of so many rows; the last may be short."""
-    return df.withColumn("win_no", F.floor((F.row_number().over(_over(by, order)) - 1) / size).cast("long"))
+    return numbered(df, by, order, "win_no", rows=rows).withColumn("win_no", F.floor(F.col("win_no") / size).cast("long"))
 
 
-def forward_fill(df: DataFrame, by: Sequence[str], order: str, columns: Sequence[str], limit: int) -> DataFrame:
+def forward_fill(df: DataFrame, by: Sequence[str], order: str, columns: Sequence[str], limit: int, rows: int = SEGMENT) -> DataFrame:
     """Carries the last value on for at most limit rows."""
     if limit <= 0:
         return df
-    w = _over(by, order).rowsBetween(-limit, 0)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+    return framed(df, by, order, limit, 0, lambda w: {c: F.last(c, ignorenulls=True).over(w.rowsBetween(-limit, 0)) for c in columns}, rows=rows)
 
 
-def interpolate(df: DataFrame, by: Sequence[str], order: str, column: str) -> DataFrame:
+def interpolate(df: DataFrame, by: Sequence[str], order: str, column: str, rows: int = SEGMENT) -> DataFrame:
     """Linear by position between known values; the first and last known values at the ends."""
-    w = _over(by, order)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    df = df.withColumn("_n", F.row_number().over(w))
-    known = F.when(F.col(column).isNotNull(), F.col("_n"))
-    df = df.withColumns({"_v0": F.last(column, True).over(back), "_n0": F.last(known, True).over(back), "_v1": F.first(column, True).over(ahead), "_n1": F.first(known, True).over(ahead)})
-    between = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.try_divide(F.col("_n") - F.col("_n0"), F.col("_n1") - F.col("_n0"))
-    return df.withColumn(column, F.coalesce(column, between, "_v0", "_v1")).drop("_n", "_v0", "_n0", "_v1", "_n1")
+    df = numbered(df, by, order, "_n", rows=rows)
+    at = F.when(F.col(column).isNotNull(), F.struct(F.col(column).alias("v"), F.col("_n").alias("n")))
+    df = known(df, by, "_n", {"_p0": at}, rows=rows)
+    df = known(df, by, "_n", {"_p1": at}, ahead=True, rows=rows)
+    between = F.col("_p0.v") + (F.col("_p1.v") - F.col("_p0.v")) * F.try_divide(F.col("_n") - F.col("_p0.n"), F.col("_p1.n") - F.col("_p0.n"))
+    return df.withColumn(column, F.coalesce(column, between, "_p0.v", "_p1.v")).drop("_n", "_p0", "_p1")
 
 
-def hampel(df: DataFrame, by: Sequence[str], order: str, column: str, window: int = 7, sigmas: float = 3.0) -> DataFrame:
+def hampel(df: DataFrame, by: Sequence[str], order: str, column: str, window: int = 7, sigmas: float = 3.0, rows: int = SEGMENT) -> DataFrame:
     """df with vote: 1 where the value is further from the centred median than sigmas times
     MAD / 0.6745; 0 where the window is not complete."""
     half = window // 2
-    w = _over(by, order).rowsBetween(-half, half)
-    near = F.collect_list(column).over(w)
-    df = df.withColumn("_near", near)
+    df = framed(df, by, order, half, half, lambda w: {"_near": F.collect_list(column).over(w.rowsBetween(-half, half))}, rows=rows)
 
     def median(xs: Column) -> Column:
         return F.get(F.sort_array(xs), F.lit(half))
@@ -81,15 +78,14 @@ def hampel(df: DataFrame, by: Sequence[str], order: str, column: str, window: in
     return df.withColumn("vote", F.when((F.size("_near") == window) & far, 1).otherwise(0)).drop("_near", "_median", "_mad")
 
 
-def cusum(df: DataFrame, by: Sequence[str], order: str, column: str, drift: float = 0.5, limit: float = 5.0) -> DataFrame:
+def cusum(df: DataFrame, by: Sequence[str], order: str, column: str, drift: float = 0.5, limit: float = 5.0, rows: int = SEGMENT) -> DataFrame:
     """df with vote from a two-sided CUSUM of the standardised column without resets. The
     recursion max(0, s + x - drift) is its running sum less the running minimum of that."""
-    group = Window.partitionBy(*by)
-    w = _over(by, order).rowsBetween(Window.unboundedPreceding, 0)
-    z = F.coalesce(F.try_divide(F.col(column) - F.avg(column).over(group), F.stddev_pop(column).over(group)), F.lit(0.0))
-    df = df.withColumn("_z", z).withColumn("_up", F.sum(F.col("_z") - drift).over(w)).withColumn("_down", F.sum(-F.col("_z") - drift).over(w))
-    high = lambda c: F.col(c) - F.least(F.min(c).over(w), F.lit(0.0))
-    return df.withColumn("vote", ((high("_up") > limit) | (high("_down") > limit)).cast("int")).drop("_z", "_up", "_down")
+    df = meet(df, df.groupBy(*by).agg(F.avg(column).alias("_m"), F.stddev_pop(column).alias("_d")), by)
+    df = df.withColumn("_z", F.coalesce(F.try_divide(F.col(column) - F.col("_m"), F.col("_d")), F.lit(0.0)))
+    df = summed(df, by, order, {"_up": F.col("_z") - drift, "_down": -F.col("_z") - drift}, lows=True, rows=rows)
+    high = lambda c: F.col(c) - F.least(F.col(f"{c}_low"), F.lit(0.0))
+    return df.withColumn("vote", ((high("_up") > limit) | (high("_down") > limit)).cast("int")).drop("_z", "_m", "_d", "_up", "_down", "_up_low", "_down_low")
 
 
 def residual_vote(df: DataFrame, by: Sequence[str], order: str, column: str, period: int, sigmas: float = 3.0) -> DataFrame:
@@ -108,31 +104,34 @@ def consensus(votes: Sequence[str], least: int = 2) -> Column:
     return (sum((F.coalesce(F.col(v), F.lit(0)) for v in votes), F.lit(0)) >= least).cast("int")
 
 
-def episodes(df: DataFrame, by: Sequence[str], ts: str, gap_seconds: float) -> DataFrame:
+def episodes(df: DataFrame, by: Sequence[str], ts: str, gap_seconds: float, rows: int = SEGMENT) -> DataFrame:
     """df with episode: a gap of more than gap_seconds begins a new one; an equal gap doesn't."""
-    w = _over(by, ts)
-    gap = micros(ts) - micros(F.lag(ts).over(w))
-    return df.withColumn("_new", (gap > gap_seconds * 1e6).cast("long")).withColumn("episode", F.sum(F.coalesce("_new", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    if not exceeds(df, by, rows):
+        w = _over(by, ts)
+        df = df.withColumn("_new", (micros(ts) - micros(F.lag(ts).over(w)) > gap_seconds * 1e6).cast("long"))
+        return df.withColumn("episode", F.sum(F.coalesce("_new", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    df = framed(df, by, ts, 1, 0, lambda w: {"_new": (micros(ts) - micros(F.lag(ts).over(w)) > gap_seconds * 1e6).cast("long")}, rows=rows)
+    return summed(df, by, ts, {"episode": F.coalesce("_new", F.lit(0))}, rows=rows).drop("_new")
 
 
-def runs(df: DataFrame, by: Sequence[str], order: str, flag: str, gap: int = 0) -> DataFrame:
+def runs(df: DataFrame, by: Sequence[str], order: str, flag: str, gap: int = 0, rows: int = SEGMENT) -> DataFrame:
     """by, run_start, run_end (values of order) and n of the runs of flag = 1, tolerating so
     many zeros in between."""
-    w = _over(by, order)
-    marked = df.withColumn("_n", F.row_number().over(w)).filter(F.col(flag) == 1)
-    marked = marked.withColumn("_new", F.coalesce(F.col("_n") - F.lag("_n").over(w) > gap + 1, F.lit(True)).cast("long"))
-    marked = marked.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = numbered(df, by, order, "_n", rows=rows).filter(F.col(flag) == 1)
+    marked = framed(marked, by, "_n", 1, 0, lambda w: {"_new": F.coalesce(F.col("_n") - F.lag("_n").over(w) > gap + 1, F.lit(True)).cast("long")}, rows=rows)
+    marked = summed(marked, by, "_n", {"_run": F.col("_new")}, rows=rows)
     return marked.groupBy(*by, "_run").agg(F.min(order).alias("run_start"), F.max(order).alias("run_end"), F.count(F.lit(1)).alias("n")).drop("_run")
 
 
-def dilate(df: DataFrame, by: Sequence[str], order: str, flag: str, rows: int) -> DataFrame:
-    return df.withColumn("dilated", F.max(flag).over(_over(by, order).rowsBetween(-rows, rows)))
+def dilate(df: DataFrame, by: Sequence[str], order: str, flag: str, reach: int, rows: int = SEGMENT) -> DataFrame:
+    """df with dilated: the largest flag within reach rows on either side."""
+    return framed(df, by, order, reach, reach, lambda w: {"dilated": F.max(flag).over(w.rowsBetween(-reach, reach))}, rows=rows)
 
 
-def flip_rate(df: DataFrame, by: Sequence[str], order: str, label: str) -> DataFrame:
+def flip_rate(df: DataFrame, by: Sequence[str], order: str, label: str, rows: int = SEGMENT) -> DataFrame:
     """Share of changes between consecutive non-null labels."""
-    known = df.filter(F.col(label).isNotNull()).withColumn("_before", F.lag(label).over(_over(by, order)))
-    return known.groupBy(*by).agg(F.coalesce(F.avg(F.when(F.col("_before").isNotNull(), (F.col(label) != F.col("_before")).cast("double"))), F.lit(0.0)).alias("flip_rate"))
+    known_ = framed(df.filter(F.col(label).isNotNull()), by, order, 1, 0, lambda w: {"_before": F.lag(label).over(w)}, rows=rows)
+    return known_.groupBy(*by).agg(F.coalesce(F.avg(F.when(F.col("_before").isNotNull(), (F.col(label) != F.col("_before")).cast("double"))), F.lit(0.0)).alias("flip_rate"))
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -141,12 +140,10 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def effective_n(df: DataFrame, by: Sequence[str], order: str, column: str, lags: int = 10) -> DataFrame:
+def effective_n(df: DataFrame, by: Sequence[str], order: str, column: str, lags: int = 10, rows: int = SEGMENT) -> DataFrame:
     """by, n and n_eff: n over one plus twice the Bartlett-weighted autocorrelations, in [1, n]."""
-    w = _over(by, order)
-    mean = F.avg(column).over(Window.partitionBy(*by))
-    df = df.withColumn("_c", F.col(column) - mean)
-    df = df.withColumns({f"_l{k}": F.lag("_c", k).over(w) for k in range(1, lags + 1)})
+    df = meet(df, df.groupBy(*by).agg(F.avg(column).alias("_m")), by).withColumn("_c", F.col(column) - F.col("_m"))
+    df = framed(df, by, order, lags, 0, lambda w: {f"_l{k}": F.lag("_c", k).over(w) for k in range(1, lags + 1)}, rows=rows)
     n, var = F.count(column), F.var_samp(column)
     weighted = F.lit(0.0)
     for k in range(1, lags + 1):
@@ -155,22 +152,22 @@ def effective_n(df: DataFrame, by: Sequence[str], order: str, column: str, lags:
     return df.groupBy(*by).agg(n.alias("n"), F.least(F.greatest(F.try_divide(n, F.greatest(1 + 2 * weighted, F.lit(1e-9))), F.lit(1.0)), n.cast("double")).alias("n_eff"))
 
 
-def unit_root(df: DataFrame, by: Sequence[str], order: str, column: str) -> DataFrame:
+def unit_root(df: DataFrame, by: Sequence[str], order: str, column: str, rows: int = SEGMENT) -> DataFrame:
     """by, n, rho1 and df_stat: the lag-1 autocorrelation and the Dickey-Fuller statistic with a
     constant and no further lags (the t value of the last value's slope on the change). Null
     with fewer than three changes or a constant series."""
-    known = df.filter(F.col(column).isNotNull())
-    known = known.withColumn("_x", F.lag(column).over(_over(by, order))).filter("_x IS NOT NULL").withColumn("_d", F.col(column) - F.col("_x"))
+    pairs = framed(df.filter(F.col(column).isNotNull()), by, order, 1, 0, lambda w: {"_x": F.lag(column).over(w)}, rows=rows)
+    pairs = pairs.filter("_x IS NOT NULL").withColumn("_d", F.col(column) - F.col("_x"))
     n, sxx = F.count(F.lit(1)), F.regr_sxx("_d", "_x")
-    sums = known.groupBy(*by).agg(n.alias("n"), correlation(column, "_x").alias("rho1"), F.regr_slope("_d", "_x").alias("_b"), sxx.alias("_sxx"), F.regr_syy("_d", "_x").alias("_syy"), F.regr_sxy("_d", "_x").alias("_sxy"))
+    sums = pairs.groupBy(*by).agg(n.alias("n"), correlation(column, "_x").alias("rho1"), F.regr_slope("_d", "_x").alias("_b"), sxx.alias("_sxx"), F.regr_syy("_d", "_x").alias("_syy"), F.regr_sxy("_d", "_x").alias("_sxy"))
     rest = F.try_divide(F.col("_syy") - F.col("_b") * F.col("_sxy"), F.when(F.col("n") > 2, F.col("n") - 2))
     error = F.sqrt(F.try_divide(rest, F.col("_sxx")))
     return sums.select(*by, "n", "rho1", F.try_divide(F.col("_b"), error).alias("df_stat"))
 
 
-def mase(df: DataFrame, by: Sequence[str], order: str, y: str, yhat: str) -> DataFrame:
+def mase(df: DataFrame, by: Sequence[str], order: str, y: str, yhat: str, rows: int = SEGMENT) -> DataFrame:
     """by and mase: mean absolute error over that of the last value carried on."""
-    df = df.withColumn("_d", F.abs(F.col(y) - F.lag(y).over(_over(by, order))))
+    df = framed(df, by, order, 1, 0, lambda w: {"_d": F.abs(F.col(y) - F.lag(y).over(w))}, rows=rows)
     d = F.avg("_d")
     return df.groupBy(*by).agg(F.when((F.count("_d") >= 1) & (d >= 1e-12), F.try_divide(F.avg(F.abs(F.col(y) - F.col(yhat))), d)).alias("mase"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar
 from ..functions import opinions as O
 from ..operators import audit, metrics, tails
+from ..operators.calibration import quantiles
 from .q_metrics import SC, scored
 from .q_series import catalog
 from .registry import query, r6, table
@@ -62,14 +63,17 @@ def annual_projection(spark, sf):
     return audit.annual_projection(g, "n", "fpr").select(F.round("fp_per_year", 4).alias("fp_per_year"))
 
 
-@query("q_ks_distance", f"WITH {SC}, c AS (SELECT score, sum(y) AS a, sum(1 - y) AS b FROM sc GROUP BY 1), w AS (SELECT sum(a) OVER o AS ca, sum(b) OVER o AS cb FROM c WINDOW o AS (ORDER BY score)) SELECT round(max(abs(ca / (SELECT sum(a) FROM c)::DOUBLE - cb / (SELECT sum(b) FROM c)::DOUBLE)), 6) AS ks FROM w")
+@query("q_ks_distance", f"WITH {SC}, c AS (SELECT score, sum(y) AS a, sum(1 - y) AS b FROM sc GROUP BY 1), w AS (SELECT sum(a) OVER o AS ca, sum(b) OVER o AS cb FROM c WINDOW o AS (ORDER BY score)), m AS (SELECT max(abs(ca / (SELECT sum(a) FROM c)::DOUBLE - cb / (SELECT sum(b) FROM c)::DOUBLE)) AS ks, (SELECT sum(a) FROM c)::DOUBLE AS na, (SELECT sum(b) FROM c)::DOUBLE AS nb FROM w), x AS (SELECT ks, (sqrt(na * nb / (na + nb)) + 0.12e0 + 0.11e0 / sqrt(na * nb / (na + nb))) * ks AS x FROM m) SELECT round(ks, 6) AS ks, round(CASE WHEN x < 0.2 THEN 1 ELSE greatest(0, least(1, 2 * list_sum(list_transform(range(1, 200), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2e0 * k * k * x * x))))) END, 6) AS p FROM x")
 def ks_distance(spark, sf):
     return r6(audit.ks_distance(scored(spark, sf), "score", F.col("y") == 1))
 
 
-@query("q_time_to_detect", "WITH RECURSIVE z AS (SELECT 0 AS i, 0e0 AS s, 0e0 AS a UNION ALL SELECT i + 1, 0.85e0 * s + 3, 0.85e0 * a + 5 FROM z WHERE i < 50) SELECT min(i)::INT AS windows FROM z WHERE i > 0 AND a / (3 + s + a) >= 0.55")
+@query("q_time_to_detect", "WITH RECURSIVE v AS (SELECT event_type AS leaf, count(*) FILTER (value < 50) * 8e0 / count(*) AS p, count(*) FILTER (value >= 50) * 8e0 / count(*) AS n FROM events GROUP BY 1), z AS (SELECT leaf, p, n, 0 AS i, 0e0 AS s, 0e0 AS a FROM v UNION ALL SELECT leaf, p, n, i + 1, 0.85e0 * s + p, 0.85e0 * a + n FROM z WHERE i < 50) SELECT leaf, (min(i) FILTER (i > 0 AND a / (3 + s + a) >= 0.3))::INT AS windows FROM z GROUP BY leaf")
 def time_to_detect(spark, sf):
-    return spark.range(1).select(audit.time_to_detect(3.0, 5.0, 0.85, 0.55).alias("windows"))
+    """How long the mix of readings of each leaf would take to open the gate."""
+    share = lambda c: F.sum(c.cast("double")) * 8 / F.count(F.lit(1))
+    v = table(spark, sf, "events").groupBy(F.col("event_type").alias("leaf")).agg(share(F.col("value") < 50).alias("p"), share(F.col("value") >= 50).alias("n"))
+    return v.select("leaf", audit.time_to_detect(F.col("p"), F.col("n"), 0.85, 0.3).alias("windows"))
 
 
 @query("q_decluster", "WITH p AS (SELECT event_type AS leaf, event_id, value FROM events WHERE value > 150), n AS (SELECT *, CASE WHEN event_id - lag(event_id) OVER (PARTITION BY leaf ORDER BY event_id) <= 20 THEN 0 ELSE 1 END AS nw FROM p), c AS (SELECT *, sum(nw) OVER (PARTITION BY leaf ORDER BY event_id) AS c FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY leaf, c ORDER BY value DESC, event_id) AS k FROM c) SELECT leaf, event_id, round(value, 6) AS value FROM r WHERE k = 1")
@@ -89,7 +93,7 @@ def threshold_scales(spark, sf):
 @query("q_day_night", "SELECT CASE WHEN hour(ts) >= 8 AND hour(ts) < 20 THEN 'day' ELSE 'night' END AS part, event_type, round(quantile_cont(value, 0.99), 6) AS p99, count(*) AS n FROM events GROUP BY ALL")
 def day_night(spark, sf):
     part = F.when((F.hour("ts") >= 8) & (F.hour("ts") < 20), "day").otherwise("night").alias("part")
-    return r6(table(spark, sf, "events").groupBy(part, "event_type").agg(F.percentile("value", F.lit(0.99)).alias("p99"), F.count(F.lit(1)).alias("n")))
+    return r6(quantiles(table(spark, sf, "events").select(part, "event_type", "value"), ["part", "event_type"], "value", [0.99]).withColumnRenamed("q0", "p99"))
 
 
 @query("q_top_disagreements", "WITH p AS (SELECT event_type AS a, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) SELECT a, b, count(*) AS n FROM p WHERE a <> b GROUP BY ALL ORDER BY n DESC, a, b LIMIT 10")

@@ -222,3 +222,36 @@ def decluster_shift(spark, sf):
     return r6(C.decluster_shift(out, ["leaf"], "run", "t"))
 
 
+
+
+#: Leaves of several kinds of tails from the events: as they are, beyond a distance, capped, few.
+EVT_ROWS = "ek AS (SELECT event_id, CASE WHEN event_id % 997 = 1 THEN 'rare' ELSE event_type END AS leaf, CASE event_type WHEN 'view' THEN 1000 + exp(value / 20) WHEN 'error' THEN least(value, 60) - 50 ELSE value - 50 END AS r, CASE event_type WHEN 'click' THEN 'both' WHEN 'view' THEN 'pos' ELSE 'sym' END AS d FROM events), eq AS (SELECT *, count(*) FILTER (r >= 0) OVER w AS up, count(*) FILTER (CASE WHEN d = 'both' THEN r < 0 ELSE r <= 0 END) OVER w AS dn FROM ek WINDOW w AS (PARTITION BY leaf)), er AS MATERIALIZED (SELECT leaf, 'pos' AS branch, abs(r) AS e FROM eq WHERE d IN ('pos', 'both') AND (r >= 0 OR up < 10) UNION ALL SELECT leaf, 'neg', abs(r) FROM eq WHERE d = 'both' AND (r < 0 OR dn < 10) UNION ALL SELECT leaf, 'sym', abs(r) FROM eq WHERE d = 'sym')"
+
+
+def _evt_sql(passes: int = 10, points: int = 16) -> str:
+    """The same chain in SQL: the grid of the likelihood is narrowed in as many steps."""
+    ctes = []
+    for i in range(passes):
+        ctes.append(f"""
+l{i} AS MATERIALIZED (SELECT leaf, branch, np, sign, low, high, j, sign * exp(low + (high - low) * (j / {points - 1}e0)) AS theta, avg(ln(1 + sign * exp(low + (high - low) * (j / {points - 1}e0)) * x)) AS xi FROM g{i} JOIN x USING (leaf, branch) CROSS JOIN (SELECT unnest(range({points})) AS j) GROUP BY ALL),
+b{i} AS MATERIALIZED (SELECT *, -np * (ln(xi / theta) + xi + 1) AS ll FROM l{i} WHERE xi / theta > 0 QUALIFY row_number() OVER (PARTITION BY leaf, branch, sign ORDER BY -np * (ln(xi / theta) + xi + 1) DESC, j DESC) = 1),
+g{i + 1} AS MATERIALIZED (SELECT leaf, branch, np, sign, greatest(low, low + (high - low) / {points - 1}e0 * (j - 1)) AS low, least(high, low + (high - low) / {points - 1}e0 * (j + 1)) AS high FROM b{i})""")
+    return f"""WITH {EVT_ROWS}, q AS (SELECT leaf, branch, count(*) AS n, quantile_cont(e, 0.9) AS t0, quantile_cont(e, 0.98) AS qs, quantile_cont(e, 0.99) AS qa FROM er GROUP BY ALL),
+x AS MATERIALIZED (SELECT leaf, branch, e - t0 AS x FROM er JOIN q USING (leaf, branch) WHERE e > t0 AND n >= 10), st AS (SELECT leaf, branch, count(*) AS np, avg(x) AS mean, max(x) AS top FROM x GROUP BY ALL),
+g0 AS MATERIALIZED (SELECT leaf, branch, np, -1e0 AS sign, ln(1e-9 / top) AS low, ln((1 - 1e-6) / top) AS high FROM st UNION ALL SELECT leaf, branch, np, 1e0, ln(1e-9 / top), ln(10 / mean) FROM st),{",".join(ctes)},
+sd AS (SELECT leaf, branch, max(ll) AS ll, arg_max(xi, ll) AS xi, arg_max(theta, ll) AS theta FROM b{passes - 1} GROUP BY ALL),
+f AS (SELECT q.*, coalesce(np, 0) AS np, CASE WHEN sd.ll > -np * (ln(mean) + 1) THEN sd.xi ELSE 0 END AS xi, CASE WHEN sd.ll > -np * (ln(mean) + 1) THEN sd.xi / theta ELSE mean END AS sigma FROM q LEFT JOIN st USING (leaf, branch) LEFT JOIN sd USING (leaf, branch)),
+r AS (SELECT *, CASE WHEN n < 10 THEN 'few rows' WHEN np < 50 THEN 'few peaks' WHEN sigma - xi * t0 <= 0 THEN 'heavy tail' ELSE 'likelihood' END AS reason FROM f),
+t AS (SELECT *, CASE reason WHEN 'few rows' THEN 1e-9 WHEN 'likelihood' THEN t0 + CASE WHEN abs(xi) < 1e-8 THEN -sigma * ln(0.02e0 * n / np) ELSE sigma / xi * (pow(0.02e0 * n / np, -xi) - 1) END ELSE qs END AS s, CASE reason WHEN 'few rows' THEN 1e-9 WHEN 'likelihood' THEN t0 + CASE WHEN abs(xi) < 1e-8 THEN -sigma * ln(0.01e0 * n / np) ELSE sigma / xi * (pow(0.01e0 * n / np, -xi) - 1) END ELSE qa END AS a FROM r)
+SELECT leaf, branch, n, np AS n_peaks, round(t0, 6) AS t0, round(greatest(s, 1e-9), 3) AS t_susp, round(greatest(a, 1.1 * s, 1e-9), 3) AS t_atk, reason FROM t"""
+
+
+@query("q_evt_thresholds", _evt_sql())
+def evt_thresholds(spark, sf):
+    """Tail thresholds with the reason of each; tests take every branch of the chain."""
+    v, kind = F.col("value"), F.col("event_type")
+    r = F.when(kind == "view", 1000 + F.exp(v / 20)).when(kind == "error", F.least(v, F.lit(60.0)) - 50).otherwise(v - 50)
+    way = F.when(kind == "click", "both").when(kind == "view", "pos").otherwise("sym")
+    rows = table(spark, sf, "events").select(F.when(F.col("event_id") % 997 == 1, "rare").otherwise(kind).alias("leaf"), r.alias("r"), way.alias("d"))
+    out = tails.evt_thresholds(C.sides(rows, ["leaf"], "r", F.col("d")), ["leaf", "branch"], "e")
+    return out.select("leaf", "branch", "n", "n_peaks", F.round("t0", 6).alias("t0"), F.round("t_susp", 3).alias("t_susp"), F.round("t_atk", 3).alias("t_atk"), "reason")

@@ -8,7 +8,7 @@ from ..functions import calendar
 from ..operators import evaluation as E
 from ..operators import metrics
 from .q_metrics import COUNTS, RATES, SC, scored
-from .q_series import CATALOG, DAILY, catalog, daily
+from .q_series import CATALOG, DAILY, HIGH, catalog, daily, high_spans
 from .registry import query, r6, table
 
 #: Families and outages of the catalog: fixed values of the queries.
@@ -30,9 +30,11 @@ def _events(spark, sf):
     return table(spark, sf, "events").select("event_id", "event_type", "ts", "user_id", F.col("value").alias("score"))
 
 
-@query("q_outage_parts", f"WITH {FAM} SELECT name, name LIKE 'NETWORK_OUTAGE%' AS is_outage FROM fm")
+@query("q_outage_parts", f"WITH {HIGH} SELECT CASE user_id % 3 WHEN 0 THEN 'network_outage_R' || user_id WHEN 1 THEN 'NETWORK_OUTAGE' ELSE name END AS name, user_id % 3 <> 2 AS is_outage FROM hi")
 def outage_parts(spark, sf):
-    return _marked_catalog(spark).select("name", "is_outage")
+    """Spans of users under names of several kinds."""
+    kind = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("network_outage_R"), F.col("user_id").cast("string"))).when(F.col("user_id") % 3 == 1, "NETWORK_OUTAGE").otherwise(F.col("name"))
+    return E.outage_parts(high_spans(spark, sf).withColumn("name", kind), "name").select("name", "is_outage")
 
 
 @query("q_two_protocols", f"""WITH {MARK}, r AS (SELECT 'outages excluded' AS protocol, (score >= 100)::INT AS p, a AS y FROM mk WHERE NOT (o = 1 AND a = 0) UNION ALL SELECT 'outages positive', (score >= 100)::INT, greatest(a, o) FROM mk)

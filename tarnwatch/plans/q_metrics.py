@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import calendar
 from ..operators import attribution as A
 from ..operators import joins, metrics, tails
-from .q_series import CAT, catalog
+from ..operators.calibration import quantiles
+from ..operators.segments import meet
+from .q_series import CAT, HIGH, catalog, high_spans
 from .registry import query, r6, table
 
 L = "l AS (SELECT doc_id, quality, toxic FROM labels)"
@@ -109,9 +111,10 @@ def regime_fpr(spark, sf):
 
 @query("q_score_distribution", f"WITH {SC} SELECT event_type, round(avg(score), 6) AS mean, round(quantile_cont(score, 0.5), 6) AS p50, round(quantile_cont(score, 0.9), 6) AS p90, round(quantile_cont(score, 0.99), 6) AS p99, round(max(score), 6) AS top FROM sc WHERE y = 0 GROUP BY 1")
 def score_distribution(spark, sf):
-    q = F.percentile("score", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    g = scored(spark, sf).filter("y = 0").groupBy("event_type").agg(F.avg("score").alias("mean"), q.alias("q"), F.max("score").alias("top"))
-    return r6(g.select("event_type", "mean", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p50", "p90", "p99"))], "top"))
+    rows = scored(spark, sf).filter("y = 0")
+    q = quantiles(rows, ["event_type"], "score", [0.5, 0.9, 0.99]).select("event_type", *[F.col(f"q{i}").alias(n) for i, n in enumerate(("p50", "p90", "p99"))])
+    g = rows.groupBy("event_type").agg(F.avg("score").alias("mean"), F.max("score").alias("top"))
+    return r6(meet(g, q, ["event_type"]).select("event_type", "mean", "p50", "p90", "p99", "top"))
 
 
 D = "d AS (SELECT event_type AS leaf, date_trunc('day', ts)::TIMESTAMP AS day, sum(value) AS y FROM events GROUP BY ALL)"
@@ -143,10 +146,14 @@ def likelihood_fit(spark, sf):
     return r6(tails.maximum_likelihood(_peaks(spark, sf), "leaf", "excess")).select("leaf", "n", F.round("xi", 3).alias("xi"), F.round("sigma", 2).alias("sigma"))
 
 
-@query("q_ramp", "SELECT i, round(least(1, i / greatest(floor(10 * f), 1), (11 - i) / greatest(floor(10 * f), 1)), 6) AS w, f FROM (SELECT unnest(range(1, 11)) AS i) CROSS JOIN (VALUES (0.1e0), (0.3e0), (0.5e0)) t(f)")
+@query("q_ramp", "WITH d AS (SELECT event_type AS leaf, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL), w AS (SELECT leaf, day, row_number() OVER (PARTITION BY leaf ORDER BY day) AS i, count(*) OVER (PARTITION BY leaf) AS c FROM d) SELECT leaf, day, round(least(1, i / greatest(floor(c * 0.3e0), 1), (c - i + 1) / greatest(floor(c * 0.3e0), 1)), 6) AS w FROM w")
 def ramp(spark, sf):
-    df = spark.range(1, 11).select(F.col("id").alias("i"), F.explode(F.array(F.lit(0.1), F.lit(0.3), F.lit(0.5))).alias("f"))
-    return r6(df.withColumn("w", A.ramp(F.col("i"), F.lit(10), F.col("f"))))
+    """The ramp of an attack over all days of each leaf."""
+    from pyspark.sql import Window
+
+    d = table(spark, sf, "events").groupBy(F.col("event_type").alias("leaf"), F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("leaf")  # a row for each day
+    return r6(d.select("leaf", "day", A.ramp(F.row_number().over(w.orderBy("day")), F.count(F.lit(1)).over(w), F.lit(0.3)).alias("w")))
 
 
 EV = "ev AS (SELECT event_type AS leaf, date_trunc('day', ts)::TIMESTAMP AS day, count(*) FILTER (value < 30) / 4e0 AS p, count(*) FILTER (value >= 30 AND value < 100) / 4e0 AS s, count(*) FILTER (value >= 100) / 4e0 AS n FROM events GROUP BY ALL)"
@@ -217,9 +224,9 @@ def divergence_weights(spark, sf):
     return r6(A.divergence_weights(t))
 
 
-@query("q_catalog_overlap", f"WITH {CAT} SELECT a.name AS name_1, b.name AS name_2 FROM cat a JOIN cat b ON a.name < b.name AND a.s < b.e AND a.e > b.s")
+@query("q_catalog_overlap", f"WITH {HIGH} SELECT a.name AS name_1, b.name AS name_2 FROM hi a JOIN hi b ON a.name < b.name AND a.s < b.e AND a.e > b.s")
 def catalog_overlap(spark, sf):
-    return A.overlapping(catalog(spark)).select("name_1", "name_2")
+    return A.overlapping(high_spans(spark, sf)).select("name_1", "name_2")
 
 
 @query("q_best_cut", f"WITH {SC}, c AS (SELECT score, sum(y) AS p, count(*) - sum(y) AS n FROM sc GROUP BY 1), w AS (SELECT score, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS fp, sum(p) OVER () AS ap, sum(n) OVER () AS an FROM c) SELECT round(score, 6) AS threshold, round(tp::DOUBLE / ap - fp::DOUBLE / an, 6) AS youden FROM w ORDER BY tp::DOUBLE / ap - fp::DOUBLE / an DESC, score DESC LIMIT 1")
@@ -246,4 +253,4 @@ def window_scores(spark, sf):
 @query("q_signature", f"WITH {CAT} SELECT name, event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median FROM events JOIN cat ON ts >= s AND ts < e GROUP BY ALL")
 def signature(spark, sf):
     e = joins.interval_join(table(spark, sf, "events").select("event_type", "ts", "value"), "ts", catalog(spark), ["name"])
-    return r6(e.groupBy("name", "event_type").agg(F.count(F.lit(1)).alias("n"), F.percentile("value", F.lit(0.5)).alias("median")))
+    return r6(quantiles(e, ["name", "event_type"], "value", [0.5]).withColumnRenamed("q0", "median"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import models
+from ..operators import forecast, models
+from ..operators.neighbours import local_outlier_factor
 from ..sources import profiles
 from .q_metrics import SC, scored
 from .registry import query, r6, table
@@ -87,9 +88,64 @@ def weighted_rollup(spark, sf):
     return table(spark, sf, "lineitem").groupBy(day).agg(F.round(F.sum("l_extendedprice"), 2).alias("total"), F.round(F.sum(F.col("l_discount") * w) / F.sum(w), 6).alias("discount"))
 
 
+_LINES = "pr AS (SELECT a.event_type, (b.y - a.y) / (b.x - a.x) AS m, a.y - (b.y - a.y) / (b.x - a.x) * a.x AS k FROM dl a JOIN dl b ON a.event_type = b.event_type AND a.x < b.x), ls AS (SELECT pr.event_type, m, k, sum(abs(y - k - m * x)) AS loss FROM pr JOIN dl ON dl.event_type = pr.event_type GROUP BY ALL), bs AS (SELECT * FROM ls QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY loss, m) = 1)"
+
+
+def _daily_pairs(spark, sf):
+    return table(spark, sf, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.avg("value").alias("x"), F.sum("value").alias("y"))
+
+
+@query("q_lad_line", f"WITH dl AS (SELECT event_type, ts::DATE AS day, avg(value) AS x, sum(value) AS y FROM events GROUP BY ALL), {_LINES} SELECT event_type, (SELECT count(*) FROM dl WHERE dl.event_type = bs.event_type) AS n, round(m, 5) AS slope, round(loss, 5) AS loss FROM bs")
+def lad_line(spark, sf):
+    out = models.lad_line(_daily_pairs(spark, sf), ["event_type"], "x", "y")
+    return out.select("event_type", "n", F.round("slope", 5).alias("slope"), F.round("loss", 5).alias("loss"))
+
+
+@query("q_lad_r2", """WITH d AS (SELECT event_type, ts::DATE AS day, avg(value) AS x, sum(value) AS y FROM events GROUP BY ALL), nm AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS m FROM d),
+pt AS (SELECT *, CASE WHEN i < m - m // 3 * 2 THEN 0 ELSE 1 + (i - (m - m // 3 * 2)) // (m // 3) END AS part FROM nm), le AS (SELECT f.f AS part, p.event_type, p.x, p.y FROM pt p JOIN (VALUES (1), (2)) f(f) ON p.part < f.f),
+pr AS (SELECT a.event_type, a.part, (b.y - a.y) / (b.x - a.x) AS m, a.y - (b.y - a.y) / (b.x - a.x) * a.x AS k FROM le a JOIN le b ON a.event_type = b.event_type AND a.part = b.part AND a.x < b.x),
+ls AS (SELECT pr.event_type, pr.part, pr.m, pr.k, sum(abs(y - k - m * x)) AS loss FROM pr JOIN le ON le.event_type = pr.event_type AND le.part = pr.part GROUP BY ALL), bs AS (SELECT * FROM ls QUALIFY row_number() OVER (PARTITION BY event_type, part ORDER BY loss, m) = 1),
+sc AS (SELECT pt.event_type, pt.part, any_value(pt.m) AS n, 1 - sum((y - k - bs.m * x) * (y - k - bs.m * x)) / (var_pop(y) * count(*)) AS r FROM pt JOIN bs ON bs.event_type = pt.event_type AND bs.part = pt.part GROUP BY ALL) SELECT event_type, any_value(n) AS n, round(avg(r), 5) AS r2 FROM sc GROUP BY 1""")
+def lad_r2(spark, sf):
+    return models.lad_r2(_daily_pairs(spark, sf), ["event_type"], "day", "x", "y", 2, 10).select("event_type", "n", F.round("r2", 5).alias("r2"))
+
+
+#: Holidays of the forecasts: fixed values.
+FORECASTER = forecast.Forecaster(day_terms=4, hour_terms=1, holidays={"2024-01-01": "new year", "2024-01-15": "local"})
+
+
+@query("q_forecast")
+def forecasts(spark, sf):
+    """Forecasts with intervals for the days after the 20th, from those before; tests hold them against a dense solve."""
+    df = table(spark, sf, "events").select(F.col("event_type").alias("leaf"), "event_id", "ts", "value")
+    fitted = forecast.fit(df.filter(_train()), ["leaf"], "ts", "value", FORECASTER)
+    out = forecast.predict(df.filter(~_train()), fitted, ["leaf"], "ts", FORECASTER)
+    return out.select("leaf", "event_id", *[F.round(c, 4).alias(c) for c in ("yhat", "low", "high")])
+
+
+@query("q_rolling_refits")
+def rolling_refits(spark, sf):
+    df = table(spark, sf, "events").select(F.col("event_type").alias("leaf"), "ts", "value")
+    return r6(forecast.rolling_refits(df, ["leaf"], "ts", "value", FORECASTER))
+
+
+@query("q_one_class_kernel")
+def one_class_kernel(spark, sf):
+    return models.one_class_kernel(wide(spark, sf), _train(), ["a", "b", "c"], nu=0.1).select("ts", F.round("score", 4).alias("score"))
+
+
+@query("q_outlier_hours", """WITH h AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS t, count(*)::DOUBLE AS a, sum(value) AS b, max(value) AS c FROM events GROUP BY 1), s AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, stddev_pop(a) AS da, stddev_pop(b) AS db, stddev_pop(c) AS dc FROM h WHERE t < TIMESTAMP '2024-01-20'),
+z AS MATERIALIZED (SELECT t, t < TIMESTAMP '2024-01-20' AS tr, (a - ma) / da AS a, (b - mb) / db AS b, (c - mc) / dc AS c FROM h, s), d AS MATERIALIZED (SELECT x.t, y.t AS u, sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2 + (x.c - y.c) ** 2) AS d, x.tr FROM z x JOIN z y ON y.tr),
+n AS MATERIALIZED (SELECT * FROM d WHERE tr AND t <> u QUALIFY row_number() OVER (PARTITION BY t ORDER BY d) <= 10), r AS (SELECT t, max(d) AS reach FROM n GROUP BY t), l AS (SELECT n.t, 1 / greatest(avg(greatest(d, reach)), 1e-12) AS dens FROM n JOIN r ON r.t = n.u GROUP BY n.t),
+q AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY t ORDER BY d) <= 10) SELECT q.t, round(avg(dens) * greatest(avg(greatest(d, reach)), 1e-12), 6) AS score FROM q JOIN r ON r.t = q.u JOIN l ON l.t = q.u GROUP BY q.t""")
+def outlier_hours(spark, sf):
+    h = table(spark, sf, "events").groupBy(F.window("ts", "1 hour")["start"].alias("t")).agg(F.count(F.lit(1)).cast("double").alias("a"), F.sum("value").alias("b"), F.max("value").alias("c"))
+    return r6(local_outlier_factor(h, F.col("t") < F.lit("2024-01-20").cast("timestamp_ntz"), ["a", "b", "c"], 10).select("t", "score"))
+
+
 @query("q_outlier_factor")
 def outlier_factor(spark, sf):
-    return r6(models.outlier_factor(wide(spark, sf), _train(), ["a", "b", "c"], k=5).select("ts", "score"))
+    return r6(local_outlier_factor(wide(spark, sf), _train(), ["a", "b", "c"], k=5).select("ts", "score"))
 
 
 @query("q_one_class")

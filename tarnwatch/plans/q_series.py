@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import joins, timeseries
+from ..operators import decompose, joins, timeseries
 from .registry import query, r6, table
 
 #: The catalog that the queries label by: fixed values.
@@ -23,6 +23,15 @@ def daily(spark, sf):
     return d.withColumn("x", F.when((F.col("n") + F.dayofmonth("day")) % 4 != 0, F.col("y")))
 
 
+#: Events that a table gives: each user's high readings, as one span.
+HIGH = "hi AS (SELECT user_id, 'U' || user_id AS name, min(ts) AS s, max(ts) + INTERVAL 1 SECOND AS e FROM events WHERE value > 150 GROUP BY user_id)"
+
+
+def high_spans(spark, sf):
+    high = table(spark, sf, "events").filter("value > 150").groupBy("user_id").agg(F.min("ts").alias("start"), (F.max("ts") + F.expr("interval 1 second")).alias("end"))
+    return high.select("user_id", F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("name"), "start", "end")
+
+
 @query("q_forward_fill", f"WITH {DAILY} SELECT event_type, day, round(last_value(x IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS x FROM h")
 def forward_fill(spark, sf):
     return r6(timeseries.forward_fill(daily(spark, sf), ["event_type"], "day", ["x"], 2).select("event_type", "day", "x"))
@@ -169,3 +178,14 @@ def regime(spark, sf):
 @query("q_unit_root", "WITH l AS (SELECT event_type, value AS y, lag(value) OVER (PARTITION BY event_type ORDER BY event_id) AS x FROM events), r AS (SELECT event_type, count(*) AS n, corr(y, x) AS rho1, regr_slope(y - x, x) AS b, regr_sxx(y - x, x) AS sxx, regr_syy(y - x, x) AS syy, regr_sxy(y - x, x) AS sxy FROM l WHERE x IS NOT NULL GROUP BY 1) SELECT event_type, n, round(rho1, 6) AS rho1, round(b / sqrt((syy - b * sxy) / (n - 2) / sxx), 6) AS df_stat FROM r")
 def unit_root(spark, sf):
     return r6(timeseries.unit_root(table(spark, sf, "events"), ["event_type"], "event_id", "value"))
+
+
+def hourly(spark, sf):
+    return table(spark, sf, "events").groupBy(F.col("event_type").alias("leaf"), F.window("ts", "1 hour")["start"].alias("t")).agg(F.avg("value").alias("y"))
+
+
+@query("q_stl_vote")
+def stl_vote(spark, sf):
+    """Robust decomposition of hourly means with a daily period; tests hold it against a brute-force one."""
+    out = decompose.stl_vote(hourly(spark, sf), ["leaf"], "t", "y", 24, outer=3)
+    return r6(out.select("leaf", "t", "season", "trend", "rest", "vote"))

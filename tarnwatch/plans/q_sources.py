@@ -77,11 +77,17 @@ def contrast(spark, sf):
     return r6(A.contrast(_scores(spark, sf), "day").select("day", "type", "grp", "score"))
 
 
-@query("q_transition", "SELECT * FROM (VALUES ('x', 0.761905e0, 0.142857e0, 0.095238e0), ('y', 0.1e0, 0.8e0, 0.1e0), ('z', 0.1e0, 0.1e0, 0.8e0)) t(type, x, y, z)")
+@query("q_transition", "WITH t AS (SELECT DISTINCT event_type AS type FROM events), p AS (SELECT a.type, b.type AS next, CASE WHEN a.type = b.type THEN 0.8e0 WHEN a.type = 'click' AND b.type = 'error' THEN 0.15e0 ELSE 0.2e0 / ((SELECT count(*) FROM t) - 1) END AS p FROM t a, t b), m AS (SELECT * FROM p), s AS (SELECT type, sum(p) AS s FROM m GROUP BY 1), o AS (SELECT event_type AS type, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS next FROM events) SELECT m.type, m.next, round(p / s, 6) AS p, (SELECT count(*) FROM o WHERE o.type = m.type AND o.next = m.next) AS n FROM m JOIN s USING (type)")
 def transition(spark, sf):
-    types = ["x", "y", "z"]
-    m = A.transition_matrix(types, 0.8, {("x", "y"): 0.15})
-    return r6(spark.createDataFrame([(t, *row) for t, row in zip(types, m, strict=True)], "type string, x double, y double, z double"))
+    """The chain's matrix over the types of the table, beside how often each step occurs in it."""
+    from pyspark.sql import Window
+
+    e = table(spark, sf, "events")
+    types = sorted(r[0] for r in e.select("event_type").distinct().collect())  # as few as there are types
+    m = A.transition_matrix(types, 0.8, {("click", "error"): 0.15})
+    steps = e.select(F.col("event_type").alias("type"), F.lead("event_type").over(Window.partitionBy("user_id").orderBy("event_id")).alias("next")).groupBy("type", "next").agg(F.count(F.lit(1)).alias("n"))
+    p = spark.createDataFrame([(a, b, v) for a, row in zip(types, m, strict=True) for b, v in zip(types, row, strict=True)], "type string, next string, p double")
+    return r6(p.join(steps, ["type", "next"], "left").select("type", "next", "p", F.coalesce("n", F.lit(0)).alias("n")))
 
 
 @query("q_novelty_entropy", f"WITH {ATT}, s AS (SELECT day, b / nullif(sum(b) OVER (PARTITION BY day), 0) AS p FROM bel) SELECT day, round(coalesce(-sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END) / log2(3), 1), 6) AS entropy FROM s GROUP BY day")

@@ -10,7 +10,7 @@ from ..sources import store
 from .q_metrics import COUNTS, RATES, SC, scored
 from .q_opinions import leaf_opinions
 from .q_qualify import ATT, _groups, _templates
-from .q_series import CAT, catalog
+from .q_series import HIGH, high_spans
 from .registry import query, r6, table
 
 VAR = f"WITH {SC}, v AS (SELECT 'value' AS run, y, score FROM sc UNION ALL SELECT 'half', y, score / 2 FROM sc UNION ALL SELECT 'user', y, user_id::DOUBLE FROM sc), c AS (SELECT run, threshold, {COUNTS} FROM (SELECT run, t.threshold, y, (score >= threshold)::INT AS p FROM v CROSS JOIN (VALUES (10e0), (40e0), (100e0)) t(threshold)) GROUP BY ALL), r AS (SELECT run, threshold, tp, fp, tn, fn, {RATES} FROM c)"
@@ -36,23 +36,27 @@ def wide_opinions(spark, sf):
     return r6(wide.select("day", *[f"{x}_{c}" for x in ("click", "error") for c in ("b_atk", "u")]))
 
 
-@query("q_add_events", f"WITH {CAT} SELECT name, s AS start FROM cat UNION ALL SELECT 'D', TIMESTAMP '2024-02-01'")
+@query("q_add_events", f"WITH {HIGH} SELECT name, s AS start FROM hi WHERE user_id % 3 <> 0 UNION ALL SELECT name, s + INTERVAL 1 DAY FROM hi WHERE user_id % 3 = 0")
 def add_events(spark, sf):
-    more = spark.createDataFrame([(3, "A", "2024-02-05", "2024-02-06"), (4, "D", "2024-02-01", "2024-02-02")], "idx int, name string, s string, e string")
-    more = more.select("idx", "name", F.col("s").cast("timestamp_ntz").alias("start"), F.col("e").cast("timestamp_ntz").alias("end"))
-    return store.add_events(catalog(spark), more).select("name", "start")
+    """Spans of all users, a day later, added to those of some: known names stay as they are."""
+    all_ = high_spans(spark, sf)
+    return store.add_events(all_.filter("user_id % 3 <> 0"), all_.withColumn("start", F.col("start") + F.expr("interval 1 day"))).select("name", "start")
 
 
-@query("q_schedule", f"WITH {CAT} SELECT strftime(s, '%Y-%m-%d %H:%M') || '  ' || strftime(e, '%Y-%m-%d %H:%M') || '  ' || printf('%.2f', (epoch(e) - epoch(s)) / 3600) || ' h  ' || name AS line FROM cat")
+@query("q_schedule", f"WITH {HIGH} SELECT strftime(s, '%Y-%m-%d %H:%M') || '  ' || strftime(e, '%Y-%m-%d %H:%M') || '  ' || printf('%.2f', (epoch(date_trunc('second', e)) - epoch(date_trunc('second', s))) / 3600) || ' h  ' || name AS line FROM hi")
 def schedule(spark, sf):
-    return store.schedule(catalog(spark))
+    return store.schedule(high_spans(spark, sf))
 
 
-@query("q_faulty_events", "SELECT * FROM (VALUES ('B', 'ends before it begins'), ('C', 'name repeats'), ('C', 'name repeats'), ('D', 'no signature'), ('E', 'not after the split')) t(name, fault)")
+@query("q_faulty_events", f"WITH {HIGH}, f AS (SELECT CASE WHEN user_id % 7 = 0 THEN 'U0' ELSE name END AS name, s, CASE WHEN user_id % 5 = 1 THEN s - INTERVAL 1 HOUR ELSE e END AS e, CASE WHEN user_id % 5 = 2 THEN 0 WHEN user_id % 5 = 3 THEN -1 ELSE 1 END AS g FROM hi), c AS (SELECT *, count(*) OVER (PARTITION BY name) AS n FROM f), d AS (SELECT name, CASE WHEN n > 1 THEN 'name repeats' WHEN s <= TIMESTAMP '2024-01-03' THEN 'not after the split' WHEN e <= s THEN 'ends before it begins' WHEN g < 0 THEN 'negative signature' WHEN g = 0 THEN 'no signature' END AS fault FROM c) SELECT * FROM d WHERE fault IS NOT NULL")
 def faulty_events(spark, sf):
-    rows = [("A", "2024-02-01", "2024-02-02", 1.0), ("B", "2024-02-03", "2024-02-02", 1.0), ("C", "2024-02-01", "2024-02-02", 1.0), ("C", "2024-02-04", "2024-02-05", 1.0), ("D", "2024-02-01", "2024-02-02", 0.0), ("E", "2024-01-01", "2024-02-02", 1.0)]
-    df = spark.createDataFrame(rows, "name string, start string, end string, sig_p double").withColumns({"start": F.col("start").cast("timestamp"), "end": F.col("end").cast("timestamp"), "sig_s": F.lit(0.0), "sig_n": F.lit(0.0)})
-    return store.faulty_events(df, "2024-01-15")
+    """Spans of users, some of them spoilt."""
+    u = F.col("user_id") % 5
+    df = high_spans(spark, sf).withColumns({
+        "name": F.when(F.col("user_id") % 7 == 0, "U0").otherwise(F.col("name")), "end": F.when(u == 1, F.col("start") - F.expr("interval 1 hour")).otherwise(F.col("end")),
+        "sig_p": F.when(u == 2, 0.0).when(u == 3, -1.0).otherwise(1.0), "sig_s": F.lit(0.0), "sig_n": F.lit(0.0),
+    })
+    return store.faulty_events(df, "2024-01-03")
 
 
 @query("q_table_digest")
@@ -70,9 +74,30 @@ def signature_noise(spark, sf):
     return r6(S.signature_noise(g.join(truth, "day"), _templates(spark), "day", "truth", [0.0, 0.05, 0.3], 3))
 
 
+@query("q_student_noise")
+def student_noise(spark, sf):
+    """The same with noise of heavy tails (Student's t of three degrees of freedom)."""
+    g = _groups(spark, sf)
+    from ..operators.qualification import top_by_trial
+
+    truth = top_by_trial(g, _templates(spark).withColumn("trial", F.lit(0)), "day").select("day", F.col("top1_type").alias("truth"))
+    return r6(S.signature_noise(g.join(truth, "day"), _templates(spark), "day", "truth", [0.0, 0.05, 0.3], 3, law="student"))
+
+
 @query("q_severity_study")
 def severity_study(spark, sf):
-    return r6(S.severity_study(spark, ("volumetric", "slowloris"), (1.0,)))
+    """Attacks of two kinds put into the hourly readings of the table, all leaves side by side."""
+    return r6(S.severity_study(_hours(spark, sf), F.col("t") < F.lit("2024-01-20").cast("timestamp_ntz"), _attacked(0), ["m_0", "m_1"], ("volumetric", "slowloris"), (1.0,)))
+
+
+def _hours(spark, sf):
+    """t, m_0 and m_1: the number and the sum of readings of each hour."""
+    return table(spark, sf, "events").groupBy(F.date_trunc("hour", "ts").alias("t")).agg(F.count(F.lit(1)).cast("double").alias("m_0"), F.sum("value").alias("m_1"))
+
+
+def _attacked(seed: int):
+    """A tenth of the hours, by hash."""
+    return F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(10)) == 0
 
 
 @query("q_smoothing_study", f"WITH RECURSIVE {ATT}, p0 AS (SELECT leaf, day, (p + 1) / (3 + p + s + n) AS safe, (s + 1) / (3 + p + s + n) AS susp, (n + 1) / (3 + p + s + n) AS atk, CASE WHEN n > s THEN 'atk' ELSE 'safe' END AS truth, row_number() OVER (PARTITION BY leaf ORDER BY day) AS i FROM ev), "
@@ -91,7 +116,9 @@ def run_seeds(spark, sf):
     from ..operators.evaluation import triviality
 
     def build(seed: int):
-        df = S.synthetic_pair(spark, 600, 300, 2, seed=seed).withColumn("p", (F.col("m_0") > 3).cast("int"))
-        return triviality(df, "y", "p", ["m_0"], F.col("train"))
+        train = F.col("t") < F.lit("2024-01-20").cast("timestamp_ntz")
+        df = S.attacked(_hours(spark, sf), train, ~train & _attacked(seed), ["m_0", "m_1"], "volumetric", 1.0)
+        limit = df.filter(train).agg((F.avg("m_0") + 2 * F.stddev_pop("m_0")).alias("_limit"))  # one row
+        return triviality(df.join(F.broadcast(limit), F.lit(True)).withColumn("p", (F.col("m_0") > F.col("_limit")).cast("int")), "y", "p", ["m_0"], train)
 
     return r6(S.run_seeds(build, [0, 1, 2], ["f1", "f1_trivial"]))

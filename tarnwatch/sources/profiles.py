@@ -94,11 +94,16 @@ def flows(df: DataFrame, slot: str, anchor: str, sums: Sequence[str], averages:
 
 def traffic(df: DataFrame, slow: float = 35.0) -> DataFrame:
     """Long sensor readings (timestamp, sensor_id, speed[, label]) to one row for each time."""
+    from ..operators.calibration import quantiles
+    from ..operators.segments import meet
+
     label = F.max(F.coalesce(F.col("label").cast("int"), F.lit(0))) if "label" in df.columns else F.lit(0)
-    return df.groupBy("timestamp").agg(
+    out = df.groupBy("timestamp").agg(
         F.avg("speed").alias("speed_mean"), F.coalesce(F.stddev_samp("speed"), F.lit(0.0)).alias("speed_std"),
-        F.avg((F.col("speed") < slow).cast("double")).alias("slow_share"), F.percentile("speed", F.lit(0.1)).alias("speed_p10"), label.alias("label"),
+        F.avg((F.col("speed") < slow).cast("double")).alias("slow_share"), label.alias("label"),
     )
+    tenth = quantiles(df, ["timestamp"], "speed", [0.1]).select("timestamp", F.col("q0").alias("speed_p10"))
+    return meet(out, tenth, ["timestamp"]).select("timestamp", "speed_mean", "speed_std", "slow_share", "speed_p10", "label")
 
 
 def volatile_sensors(df: DataFrame, split: str, top: int = 5) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwatch.operators import audit, models
+from tarnwatch.operators.neighbours import local_outlier_factor
 
 
 @pytest.fixture(scope="module")
@@ -14,9 +15,9 @@ def points(spark):
     return spark.createDataFrame(rows, "i int, a double, b double, train boolean")
 
 
-@pytest.mark.parametrize("build", [models.robust_z, models.pca_error, models.isolation_forest, models.outlier_factor, models.one_class])
+@pytest.mark.parametrize("build", [models.robust_z, models.pca_error, models.isolation_forest, local_outlier_factor, models.one_class])
 def test_an_outlier_has_the_highest_score(points, build):
-    more = {"components": 1} if build is models.pca_error else {"k": 10} if build is models.outlier_factor else {}
+    more = {"components": 1} if build is models.pca_error else {"k": 10} if build is local_outlier_factor else {}
     df = build(points, F.col("train"), ["a", "b"], **more)
     scores = {r.i: r.score for r in df.collect()}
     assert len(scores) == 401 and sorted(scores.values()).index(scores[999]) >= 395

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tarnwatch import plans
 from tarnwatch.operators import evaluation as E
-from tarnwatch.operators import fusion, tails
+from tarnwatch.operators import fusion, models, tails
 from tarnwatch.plans import q_metrics, q_models, q_opinions
 
 SF = "/root/testdata/sf0.001"
@@ -128,12 +128,22 @@ def test_consensus_and_all_modes(spark):
 
 
 def test_intervals_hold_the_plain_value(spark):
-    df = q_metrics.scored(spark, SF).select("y", (F.col("score") >= 100).cast("int").alias("p"), (F.col("user_id") % 2).cast("int").alias("b")).collect()
+    df = q_metrics.scored(spark, SF).orderBy("event_id").select("y", (F.col("score") >= 100).cast("int").alias("p"), (F.col("user_id") % 2).cast("int").alias("b")).collect()
     y, p, b = (np.array([r[i] for r in df]) for i in range(3))
     f1 = lambda p: 2 * ((y == 1) & (p == 1)).sum() / ((y == 1).sum() + (p == 1).sum())
-    for name, want in (("q_bca_f1", f1(p)), ("q_bca_blocks", f1(p)), ("q_bca_paired", f1(p) - f1(b))):
+    rng, n = np.random.default_rng(1), len(y)
+    score = lambda i, p: 2 * ((y[i] == 1) & (p[i] == 1)).sum() / max(1, (y[i] == 1).sum() + (p[i] == 1).sum())
+    kinds = {
+        "q_bca_f1": (lambda i: score(i, p), 1), "q_bca_blocks": (lambda i: score(i, p), 50), "q_bca_paired": (lambda i: score(i, p) - score(i, b), 1),
+    }
+    for name, (statistic, block) in kinds.items():
+        start = lambda: (rng.integers(0, n - block + 1, -(-n // block))[:, None] + np.arange(block)).reshape(-1)[:n]
+        draws = np.array([statistic(start()) for _ in range(1500)])
+        left = np.array([statistic(np.delete(np.arange(n), np.arange(s, min(s + block, n)))) for s in range(0, n, block)])
+        low, high = E.bca_endpoints(statistic(np.arange(n)), draws, left, np.ones(len(left)))
         (r,) = rows(spark, name)
-        assert abs(r.value - want) < 1e-6 and r.low < r.value < r.high and r.high - r.low < 0.3
+        assert abs(r.value - statistic(np.arange(n))) < 1e-6
+        assert abs(r.low - low) < 0.1 * (high - low) and abs(r.high - high) < 0.1 * (high - low), name
     (r,) = rows(spark, "q_bootstrap_f1")
     assert abs(r.f1 - f1(p)) < 1e-6 and r.low <= r.f1 <= r.high
 
@@ -148,8 +158,58 @@ def test_summary_of_volumes(spark):
 def test_studies(spark):
     acc = {r.sigma: r.accuracy for r in rows(spark, "q_signature_noise")}
     assert acc[0.0] == 1.0 >= acc[0.05] >= acc[0.3]
+    t = {r.sigma: r.accuracy for r in rows(spark, "q_student_noise")}
+    assert t[0.0] == 1.0 >= t[0.05] >= t[0.3]
     got = {r.kind: r for r in rows(spark, "q_severity_study")}
     assert got["volumetric"].f1 > got["slowloris"].f1 and got["volumetric"].ks > got["slowloris"].ks
+    assert got["volumetric"].p < 0.05 and {r.realism for r in got.values()} <= {"weak", "outlier", "realistic"}
     seeds = {r.metric: r for r in rows(spark, "q_run_seeds")}
     assert set(seeds) == {"f1", "f1_trivial"} and all(r.n == 3 and r.low <= r.mean <= r.high for r in seeds.values())
     assert rows(spark, "q_table_digest") == rows(spark, "q_table_digest")
+
+
+def test_stl_vote(spark):
+    from test_decompose import brute
+
+    got = defaultdict(list)
+    for r in rows(spark, "q_stl_vote"):
+        got[r.leaf].append(r)
+    leaf = sorted(got)[0]
+    mine = sorted(got[leaf], key=lambda r: r.t)
+    y = {r.t: r.y for r in plans.q_series.hourly(spark, SF).filter(F.col("leaf") == leaf).collect()}
+    season, trend, rest = brute(np.array([y[r.t] for r in mine]), 24, 3)
+    assert np.allclose([r.rest for r in mine], rest, atol=1e-5) and np.allclose([r.trend for r in mine], trend, atol=1e-5)
+    assert [r.vote for r in mine] == (np.abs(rest) > 3 * rest.std()).astype(int).tolist()
+
+
+def test_forecasts_and_refits(spark):
+    from test_forecast import ridge, terms
+
+    p = q_models.FORECASTER
+    e = spark.read.parquet(f"{SF}/events.parquet").filter("event_type = 'view'").orderBy("ts").collect()
+    when, y = [r.ts.replace(microsecond=0) for r in e], np.array([r.value for r in e])
+    x, train = np.array([terms(p, t) for t in when]), np.array([t.isoformat() < "2024-01-20" for t in when])
+    want = x @ ridge(p, x[train], y[train])
+    got = {r.event_id: r for r in rows(spark, "q_forecast")}
+    assert all(abs(got[r.event_id].yhat - w) < 1e-3 and got[r.event_id].low < w < got[r.event_id].high for r, w, t in zip(e, want, train) if not t)
+    day = np.array([t.toordinal() for t in when])
+    origin, folds, n, sse = day.max(), 0, 0, 0.0
+    while origin >= day.min() + 14:
+        test = day == origin
+        if test.any():
+            folds, n, sse = folds + 1, n + test.sum(), sse + ((y[test] - x[test] @ ridge(p, x[day < origin], y[day < origin])) ** 2).sum()
+        origin -= 3
+    r = next(r for r in rows(spark, "q_rolling_refits") if r.leaf == "view")
+    assert (r.n_folds, r.n) == (folds, n) and abs(r.mse - sse / n) < 1e-3 * sse / n and abs(r.r2 - (1 - sse / n / y.var())) < 1e-4
+
+
+def test_the_kernel_machine_of_the_days(spark):
+    ts, train, x = days(spark)
+    z = (x - x[train].mean(axis=0)) / x[train].std(axis=0)
+    got = {r.ts: r.score for r in rows(spark, "q_one_class_kernel")}
+    s = np.array([got[t] for t in ts])
+    # Outside are at most a tenth of the days of training; of those, the farthest is at least on the edge.
+    assert (s[train] > 1e-3).mean() <= 0.1 and s[train][np.abs(z[train]).max(axis=1).argmax()] > -1e-3
+    alpha, rho = models.support_vectors(z[train], 0.1, 1 / (3 * z[train].var()))
+    k = np.exp(-((z[:, None] - z[train][None]) ** 2).sum(axis=2) / (3 * z[train].var()))
+    assert np.allclose(s, rho - k @ alpha, atol=1e-3)
