@@ -94,40 +94,55 @@ def age(df: DataFrame, key: str, order: str, evidence: Sequence[str] = ("ev_p",
     return fold(df, key, order, evidence, start, step, ["k_eff", "lambda_dyn", "acc_safe", "acc_susp", "acc_atk"], carry)
 
 
-#: From this rate on a block would be longer than one task orders, and the fold takes over.
+#: From this rate on a long key's blocks would reach beyond one task, and the fold takes over.
 STEADY = 0.9998
-#: Powers of the rate stay above exp of minus this inside a block.
-RANGE = 460.0
+#: Powers of the rate stay above exp of minus this inside a run of blocks; rows of a block.
+RANGE, BLOCK = 460.0, 256
 
 
-def age_fixed(df: DataFrame, key: str, order: str, evidence: Sequence[str] = ("ev_p", "ev_s", "ev_n"), params: Ageing = Ageing(conflict="none"), carry: Sequence[str] = (), block: int | None = None) -> DataFrame:
-    """age() with a fixed rate below one, without Python. A block of rows has the sums of evidence over
-    powers of the rate; what it takes over from the block before is that one's last state.
-
-    A block is so long that its rate to its length is exp(-460): what came before the block
-    before it is below the last place of any double. A shorter one may be asked for (then the
-    states of as many blocks as it takes are added up)."""
+def _faded(df: DataFrame, key: str, order: str, columns: Sequence[str], fade: float) -> DataFrame:
+    """df with its columns as sums over the rows up to each, those k rows back times exp(-fade k): sums
+    over powers in runs of rows, and the last sums of the runs before, as many as still count.
+    order numbers the rows 0, 1, ..."""
+    size = max(1, int(RANGE / fade))
+    back = math.ceil(RANGE / (size * fade))
+    at, inside = F.floor(F.col(order) / size), (F.col(order) % size).cast("double")
+    rows = df.withColumns({"_run": at, "_i": inside})
+    own = Window.partitionBy(key, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    power = lambda i: F.exp(-fade * i)
+    rows = rows.withColumns({c: F.sum(F.col(c) / power(F.col("_i"))).over(own) * power(F.col("_i")) for c in columns})
+    ends = rows.groupBy(key, "_run").agg(*[F.max_by(c, order).alias(f"_end_{c}") for c in columns])
+    before = Window.partitionBy(key).orderBy("_run")
+    total = lambda c: sum((F.coalesce(F.lag(f"_end_{c}", k).over(before), F.lit(0.0)) * math.exp(-fade * size * (k - 1)) for k in range(1, back + 1)), F.lit(0.0))
+    out = meet(rows, ends.select(key, "_run", *[total(c).alias(f"_from_{c}") for c in columns]), [key, "_run"])
+    return out.withColumns({c: F.col(c) + F.col(f"_from_{c}") * power(F.col("_i") + 1) for c in columns}).drop("_run", "_i", *[f"_from_{c}" for c in columns])
+
+
+def age_fixed(df: DataFrame, key: str, order: str, evidence: Sequence[str] = ("ev_p", "ev_s", "ev_n"), params: Ageing = Ageing(conflict="none"), carry: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
+    """age() with a fixed rate below one, without Python. A block of rows is folded as it stands, from
+    zero; its last state is a map of the one before the block, and those maps are composed over
+    the blocks. What came 460 / -ln(rate) rows before is below the last place of any double."""
     names = ("acc_safe", "acc_susp", "acc_atk")
     fade = -math.log(params.rate)
-    size = block or max(1, int(RANGE / fade))
-    back = math.ceil(RANGE / (size * fade))
-    if back > 64:
-        raise ValueError("blocks are too short for the rate")
     values = [F.coalesce(F.col(e).cast("double"), F.lit(0.0)).alias(f"_v{i}") for i, e in enumerate(evidence)]
     rows = numbered(df.select(key, order, *carry, *values), [key], order, "_pos", [f"_v{i}" for i in range(3)])
-    at, inside = F.floor(F.col("_pos") / size), (F.col("_pos") % size).cast("double")
-    rows = rows.withColumns({"_block": at, "_i": inside})
-    own = Window.partitionBy(key, "_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    power = lambda i: F.exp(-fade * i)
-    rows = rows.withColumns({n: F.sum(F.col(f"_v{i}") / power(F.col("_i"))).over(own) * power(F.col("_i")) for i, n in enumerate(names)})
-    ends = rows.groupBy(key, "_block").agg(*[F.max_by(n, "_pos").alias(f"_e{i}") for i, n in enumerate(names)])
-    before = Window.partitionBy(key).orderBy("_block")
-    total = lambda i: sum((F.coalesce(F.lag(f"_e{i}", k).over(before), F.lit(0.0)) * math.exp(-fade * size * (k - 1)) for k in range(1, back + 1)), F.lit(0.0))
-    carried = ends.select(key, "_block", *[total(i).alias(f"_c{i}") for i in range(3)])
-    out = meet(rows, carried, [key, "_block"])
-    start = [a * params.w if params.start_at_prior else 0.0 for a in params.prior]
-    acc = [F.col(n) + F.coalesce(f"_c{i}", F.lit(0.0)) * power(F.col("_i") + 1) + start[i] * power(F.col("_pos") + 1) for i, n in enumerate(names)]
-    return out.select(key, order, *carry, F.lit(0.0).alias("k_eff"), F.lit(params.rate).alias("lambda_dyn"), *[a.alias(n) for a, n in zip(acc, names, strict=True)])
+    cells = rows.groupBy(key, F.floor(F.col("_pos") / block).alias("_block")).agg(F.array_sort(F.collect_list(F.struct("_pos", order, *carry, "_v0", "_v1", "_v2"))).alias("_l"))
+    start = [F.when(F.col("_block") == 0, a * params.w if params.start_at_prior else 0.0).otherwise(0.0) for a in params.prior]
+    kind = "array<struct<s0:double,s1:double,s2:double>>"
+
+    def step(acc: Column, x: Column) -> Column:
+        state = [params.rate * acc[f"s{i}"] + x[f"_v{i}"] for i in range(3)]
+        return F.struct(*[s.alias(f"s{i}") for i, s in enumerate(state)], F.concat(acc["out"], F.array(F.struct(*[s.alias(f"s{i}") for i, s in enumerate(state)]))).alias("out"))
+
+    zero = F.struct(*[s.alias(f"s{i}") for i, s in enumerate(start)], F.array().cast(kind).alias("out"))
+    cells = cells.withColumn("_s", F.aggregate("_l", zero, step)["out"])
+    ends = cells.select(key, "_block", *[F.element_at("_s", -1)[f"s{i}"].alias(f"_e{i}") for i in range(3)])
+    states = _faded(ends, key, "_block", [f"_e{i}" for i in range(3)], fade * block)
+    before = states.select(key, (F.col("_block") + 1).alias("_block"), *[F.col(f"_e{i}").alias(f"_c{i}") for i in range(3)])
+    both = meet(cells, before, [key, "_block"]).select(key, "_s", *[f"_c{i}" for i in range(3)], F.posexplode("_l").alias("_i", "_x"))
+    local = F.element_at("_s", F.col("_i") + 1)
+    acc = [local[f"s{i}"] + F.coalesce(F.col(f"_c{i}") * F.exp(-fade * (F.col("_i") + 1)), F.lit(0.0)) for i in range(3)]
+    return both.select(key, F.col("_x")[order].alias(order), *[F.col("_x")[c].alias(c) for c in carry], F.lit(0.0).alias("k_eff"), F.lit(params.rate).alias("lambda_dyn"), *[a.alias(n) for a, n in zip(acc, names, strict=True)])
 
 
 def age_small(df: DataFrame, key: str, order: str, evidence: Sequence[str] = ("ev_p", "ev_s", "ev_n"), params: Ageing = Ageing()) -> DataFrame:

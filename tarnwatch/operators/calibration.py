@@ -24,11 +24,13 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[flo
 
     Approximate quantiles a margin below and above each share bracket it; only the distinct values
     inside, about two margins of a group, are then ordered, after the count and the largest of
-    the rows below. So no task orders a whole group, however many rows one key has. Nulls are left out."""
+    the rows below. So no task orders a whole group, however many rows one key has; a group of fewer
+    than 4 / margin rows, where a margin may be less than one row, is its own bracket. Nulls are left out."""
     known = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
     accuracy = int(10 / margin)
     ends = [F.percentile_approx("_v", F.array(F.lit(max(0.0, s - margin)), F.lit(min(1.0, s + margin))), accuracy).alias(f"_e{i}") for i, s in enumerate(shares)]
-    bounds = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *ends)
+    bounds = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array(F.min("_v"), F.max("_v")).alias("_all"), *ends)
+    bounds = bounds.withColumns({f"_e{i}": F.when(F.col("n") < 4 / margin, F.col("_all")).otherwise(F.col(f"_e{i}")) for i in range(len(shares))}).drop("_all")
     joined = meet(known, bounds, by)
     at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(s)) * (F.col("n") - 1)).alias("pos"), F.get(f"_e{i}", F.lit(0)).alias("low"), F.get(f"_e{i}", F.lit(1)).alias("high")) for i, s in enumerate(shares)])).alias("_c")
     # One row for each distinct value inside a bracket and one for all below it, from each task. A

@@ -241,8 +241,11 @@ x AS MATERIALIZED (SELECT leaf, branch, e - t0 AS x FROM er JOIN q USING (leaf,
 g0 AS MATERIALIZED (SELECT leaf, branch, np, -1e0 AS sign, ln(1e-9 / top) AS low, ln((1 - 1e-6) / top) AS high FROM st UNION ALL SELECT leaf, branch, np, 1e0, ln(1e-9 / top), ln(10 / mean) FROM st),{",".join(ctes)},
 sd AS (SELECT leaf, branch, max(ll) AS ll, arg_max(xi, ll) AS xi, arg_max(theta, ll) AS theta FROM b{passes - 1} GROUP BY ALL),
 f AS (SELECT q.*, coalesce(np, 0) AS np, CASE WHEN sd.ll > -np * (ln(mean) + 1) THEN sd.xi ELSE 0 END AS xi, CASE WHEN sd.ll > -np * (ln(mean) + 1) THEN sd.xi / theta ELSE mean END AS sigma FROM q LEFT JOIN st USING (leaf, branch) LEFT JOIN sd USING (leaf, branch)),
-r AS (SELECT *, CASE WHEN n < 10 THEN 'few rows' WHEN np < 50 THEN 'few peaks' WHEN sigma - xi * t0 <= 0 THEN 'heavy tail' ELSE 'likelihood' END AS reason FROM f),
-t AS (SELECT *, CASE reason WHEN 'few rows' THEN 1e-9 WHEN 'likelihood' THEN t0 + CASE WHEN abs(xi) < 1e-8 THEN -sigma * ln(0.02e0 * n / np) ELSE sigma / xi * (pow(0.02e0 * n / np, -xi) - 1) END ELSE qs END AS s, CASE reason WHEN 'few rows' THEN 1e-9 WHEN 'likelihood' THEN t0 + CASE WHEN abs(xi) < 1e-8 THEN -sigma * ln(0.01e0 * n / np) ELSE sigma / xi * (pow(0.01e0 * n / np, -xi) - 1) END ELSE qa END AS a FROM r)
+rk AS (SELECT *, row_number() OVER (PARTITION BY leaf, branch ORDER BY x) AS i, count(*) OVER (PARTITION BY leaf, branch) AS k FROM x), pw AS (SELECT leaf, branch, avg(x) AS a0, avg(x * (1 - (i - 0.35e0) / k)) AS a1 FROM rk GROUP BY ALL), pm AS (SELECT leaf, branch, 2 - a0 / nullif(a0 - 2 * a1, 0) AS xp, 2 * a0 * a1 / nullif(a0 - 2 * a1, 0) AS sp FROM pw),
+ps AS (SELECT leaf, branch, i, x, greatest(0, 1 - 0.02e0 * n / k) * (k - 1) AS ks, greatest(0, 1 - 0.01e0 * n / k) * (k - 1) AS ka FROM rk JOIN q USING (leaf, branch)), em AS (SELECT leaf, branch, min(x) FILTER (i > floor(ks)) + (min(x) FILTER (i > ceil(ks)) - min(x) FILTER (i > floor(ks))) * any_value(ks - floor(ks)) AS zs, min(x) FILTER (i > floor(ka)) + (min(x) FILTER (i > ceil(ka)) - min(x) FILTER (i > floor(ka))) * any_value(ka - floor(ka)) AS za FROM ps GROUP BY ALL),
+r0 AS (SELECT f.*, xp, sp, zs, za, CASE WHEN n < 10 THEN 'few rows' WHEN np < 50 THEN 'few peaks' WHEN sigma - xi * t0 <= 0 THEN 'heavy tail' WHEN sigma > 0 AND xi > -1 THEN 'likelihood' WHEN sp > 0 AND xp > -1 THEN 'moments' ELSE 'empirical' END AS reason FROM f LEFT JOIN pm USING (leaf, branch) LEFT JOIN em USING (leaf, branch)),
+r AS (SELECT * REPLACE (CASE WHEN reason = 'moments' THEN xp ELSE xi END AS xi, CASE WHEN reason = 'moments' THEN sp ELSE sigma END AS sigma) FROM r0),
+t AS (SELECT *, CASE WHEN reason = 'few rows' THEN 1e-9 WHEN reason IN ('likelihood', 'moments') THEN t0 + greatest(0, CASE WHEN abs(xi) < 1e-8 THEN -sigma * ln(0.02e0 * n / np) ELSE sigma / xi * (pow(0.02e0 * n / np, -xi) - 1) END) WHEN reason = 'empirical' THEN t0 + zs ELSE qs END AS s, CASE WHEN reason = 'few rows' THEN 1e-9 WHEN reason IN ('likelihood', 'moments') THEN t0 + greatest(0, CASE WHEN abs(xi) < 1e-8 THEN -sigma * ln(0.01e0 * n / np) ELSE sigma / xi * (pow(0.01e0 * n / np, -xi) - 1) END) WHEN reason = 'empirical' THEN t0 + za ELSE qa END AS a FROM r)
 SELECT leaf, branch, n, np AS n_peaks, round(t0, 6) AS t0, round(greatest(s, 1e-9), 3) AS t_susp, round(greatest(a, 1.1 * s, 1e-9), 3) AS t_atk, reason FROM t"""
 
 

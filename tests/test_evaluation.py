@@ -119,7 +119,8 @@ def test_paired_gain_and_exact_mcnemar(spark):
 
 def test_quantiles_are_exact_whatever_the_ties(spark):
     rng = np.random.default_rng(6)
-    data = {"a": np.round(rng.normal(size=5000), 1), "b": np.zeros(300), "c": np.array([1.0]), "d": np.concatenate([np.zeros(4000), rng.random(2000)])}
+    data = {f"small{n}": rng.normal(size=n) for n in (2, 7, 33, 330, 3999, 4001)}  # a margin is less than a row in most
+    data |= {"a": np.round(rng.normal(size=5000), 1), "b": np.zeros(300), "c": np.array([1.0]), "d": np.concatenate([np.zeros(4000), rng.random(2000)])}
     df = spark.createDataFrame([(k, float(v)) for k, x in data.items() for v in x] + [("a", None), ("e", None)], "k string, v double")
     shares = [0.0, 0.5, 0.667, 0.9, 0.99, 1.0]
     got = {r.k: r for r in C.quantiles(df, ["k"], "v", shares).collect()}

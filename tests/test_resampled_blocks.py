@@ -110,7 +110,7 @@ def test_fixed_ageing_is_the_fold_without_python(spark, prior):
     rng = np.random.default_rng(5)
     rows = [(k, i, *map(float, rng.random(3) * (rng.random() < 0.7)), "c") for k in ("a", "b") for i in range(300)] + [("z", 1, None, 2.0, 0.0, "c"), ("z", 2, 1.0, None, 0.0, "d")]
     df = spark.createDataFrame(rows, "k string, i int, ev_p double, ev_s double, ev_n double, c string").repartition(3)
-    for rate, block in ((0.85, 150), (0.5, 37), (0.99, 3000)):
+    for rate, block in ((0.85, 37), (0.5, 7), (0.99, 64)):
         p = ageing.Ageing(rate=rate, conflict="none", start_at_prior=prior)
         out = ageing.age(df, "k", "i", params=p, carry=["c"])
         plan = out._jdf.queryExecution().executedPlan().toString()
@@ -126,6 +126,8 @@ def test_fixed_ageing_is_the_fold_without_python(spark, prior):
             assert len(got) == len(rows)
             assert all(np.allclose([r.acc_safe, r.acc_susp, r.acc_atk], by[r.k, r.i], rtol=1e-12, atol=1e-12) for r in got)
             assert all((r.k_eff, r.lambda_dyn) == (0.0, rate) for r in got)
+    near_one = ageing.age_fixed(df, "k", "i", params=ageing.Ageing(rate=0.9997, conflict="none"), block=5)
+    assert abs(near_one.filter("k = 'a' AND i = 299").first().acc_safe - sum(0.9997 ** (299 - r[1]) * r[2] for r in rows if r[0] == "a")) < 1e-9
 
 
 def lof(train, x, k):
