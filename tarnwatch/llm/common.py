@@ -25,14 +25,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+    """The folder that driver and executors share: spark.checkpoint.dir. A path without a scheme is
+    one of Hadoop's default file system, and is named with it: pyarrow would take it for a local one.
 
     Where it is unset, a local session gets a temporary folder; a cluster session is
     refused, since its executors could not see it.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        return qualified(spark, named)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
@@ -45,6 +46,14 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path that begins with / with the scheme of the default file system; others as they are."""
+    if path.startswith("/"):
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        path = there.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(there).toString()
+    return path.rstrip("/")
+
+
 def _remove_local(path: str) -> None:
     import shutil
 

@@ -4,7 +4,8 @@ The model file gives pieces, scores and the kind of the model. Of a BPE model th
 merge ranks: of all neighbours that make a piece together, those of the best score merge
 first, of equal ones the leftmost (Merges). Of a unigram model a text's ids are the
 segmentation of the highest sum of scores (of equal ones, at each end the longest last piece;
-Pieces). A code point that no piece covers goes to byte pieces. No piece goes on past a word, so words (a run of space marks and
+Pieces); op5_sentencepiece gives that of its BPE model beside the merged ids, as if its ranks were
+scores. A code point that no piece covers goes to byte pieces. No piece goes on past a word, so words (a run of space marks and
 what follows up to the next one) are encoded apart: distinct words of equal length advance
 together. Substrings are hashed at once and probe the sorted hashes of the pieces; in the
 Viterbi search of Pieces the maxima over piece lengths are the backpointers.
@@ -306,25 +307,36 @@ def pieces_of(path: str) -> Pieces:
 SCHEMA = "doc_id long, n_chars long, n_ids long, ids_crc32 long, decoded_equal boolean"
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
+#: What the search for the highest sum of scores adds.
+SEARCHED = ", viterbi_n_ids long, viterbi_crc32 long"
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool, searched: bool) -> Iterator[pa.RecordBatch]:
     pieces = pieces_of(path)
+    search = Pieces(path) if searched else None
     for batch in batches:
         texts = [t or "" for t in batch.column(1).to_pylist()]
-        coded = [x for at in range(0, len(texts), 512) for x in pieces.encode(texts[at : at + 512])]
+        every = lambda p: [x for at in range(0, len(texts), 512) for x in p.encode(texts[at : at + 512])]  # noqa: B023, E731
+        coded = every(pieces)
         columns = [
             batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(c) // 4 for c in coded], pa.int64()),
             pa.array([zlib.crc32(c) for c in coded], pa.int64()), pa.array([pieces.decode(c) == t for c, t in zip(coded, texts, strict=True)], pa.bool_()),
         ]
         names = ["doc_id", "n_chars", "n_ids", "ids_crc32", "decoded_equal"]
+        if search:
+            best = every(search)
+            columns += [pa.array([len(c) // 4 for c in best], pa.int64()), pa.array([zlib.crc32(c) for c in best], pa.int64())]
+            names += ["viterbi_n_ids", "viterbi_crc32"]
         if with_ids:
             columns.append(pa.array([np.frombuffer(c, "<i4") for c in coded], pa.list_(pa.int32())))
             names.append("ids")
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def encode_documents(docs: DataFrame, model: str, with_ids: bool = True) -> DataFrame:
-    """Ids of every whole text, their number and CRC, and whether they decode to the text."""
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lambda it: _encoded(it, model, with_ids), SCHEMA + ", ids array<int>" * with_ids)
+def encode_documents(docs: DataFrame, model: str, with_ids: bool = True, searched: bool = False) -> DataFrame:
+    """Ids of every whole text, their number and CRC, and whether they decode to the text. searched
+    adds number and CRC of the ids of the highest sum of scores, by the Viterbi search."""
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lambda it: _encoded(it, model, with_ids, searched), SCHEMA + SEARCHED * searched + ", ids array<int>" * with_ids)
 
 
 def decode_documents(coded: DataFrame, model: str) -> DataFrame:
@@ -346,4 +358,4 @@ def default_model() -> str:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(read(spark, sf_dir, "documents"), default_model(), with_ids=False)
+    return encode_documents(read(spark, sf_dir, "documents"), default_model(), with_ids=False, searched=True)

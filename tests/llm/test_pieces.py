@@ -97,6 +97,17 @@ def test_round_trip_through_spark(spark, pieces):
     assert encode_documents(df.limit(0), default_model()).count() == 0
 
 
+def test_the_search_beside_the_merged_ids(spark):
+    import zlib
+
+    texts = [None, "", "committee  meets", "漢字 😀 mixed\n\ttext", "internationalisation über.Die", "z" * 300, "dup", "dup"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in encode_documents(df, default_model(), with_ids=False, searched=True).collect():
+        want = brute(texts[r.doc_id] or "")
+        assert (r.viterbi_n_ids, r.viterbi_crc32) == (len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+    assert "viterbi_n_ids" not in encode_documents(df, default_model()).columns
+
+
 def test_small_cache_gives_the_same_ids(pieces):
     texts = [f"w{i} v{i * 7} common words" for i in range(200)]
     small = Pieces(default_model(), cache_words=50)

@@ -93,3 +93,18 @@ def test_a_lookup_reads_its_blocks_only(spark):
     found = warc.lookup(index, ask).collect()
     assert len(found) == 2 and {r.key for r in found} == {key}
     assert "data" not in index.columns and index.count() > 20
+
+
+def test_a_bare_path_is_one_of_the_default_file_system(spark, tmp_path):
+    from tarnwatch.llm.common import qualified
+
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.viewfs.mounttable.store.link./shared", f"file://{tmp_path}")
+    conf.set("fs.defaultFS", "viewfs://store/")
+    try:
+        assert qualified(spark, "/shared/ckpt/") == "viewfs://store/shared/ckpt"
+        assert qualified(spark, "s3a://bucket/x") == "s3a://bucket/x"
+    finally:
+        conf.set("fs.defaultFS", before)
+    assert qualified(spark, str(tmp_path)) == f"file:{tmp_path}"
