@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.distributions import chi2_tail, kolmogorov_tail
 from ..functions.stats import correlation
 from ..functions.times import micros
+from .calibration import quantiles
 from .joins import interval_join
 from .metrics import running
 
@@ -109,3 +110,25 @@ def correlation_summary(df: DataFrame, metrics: Sequence[str]) -> dict:
 def over_runs(runs: DataFrame, metric: str, value: str) -> DataFrame:
     """metric, n, mean, std, low, high over runs."""
     return runs.groupBy(metric).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("low"), F.max(value).alias("high"))
+
+
+def regime_diagnosis(leaves: DataFrame, fused: DataFrame, regime: str, leaf: str, win: str, score: str, delta: float, k: int = 3, factor: float = 2.0, busy: str = "ACTIVE", quiet: str = "QUIET") -> DataFrame:
+    """One row: where the alarms of the busy regime come from. leaves has a row for each window and
+    leaf, fused one for each window, both with regime and score.
+
+    evidence_ratio is the median over leaves of the busy rate of exceedances over the quiet one,
+    fused_ratio that of the fused score's 99.9 % quantiles, joint_ratio that of the shares of windows
+    in which k leaves or more exceed. The first beyond the factor, in this order, names the
+    verdict: evidence, fusion, correlation, else inconclusive. A ratio to zero is null."""
+    over = (F.col(score) >= delta).cast("double")
+    side = lambda name, c: F.avg(F.when(F.col(regime) == name, c))
+    rates = leaves.groupBy(leaf).agg(side(busy, over).alias("a"), side(quiet, over).alias("b"))
+    ratios = rates.select(F.try_divide("a", F.when(F.col("b") > 0, F.col("b"))).alias("r"))
+    evidence = ratios.agg(F.percentile("r", F.lit(0.5)).alias("evidence_ratio"))  # a row for each leaf
+    tails = quantiles(fused.filter(F.col(regime).isin(busy, quiet)), [regime], score, [0.999]).agg(F.max(F.when(F.col(regime) == busy, F.col("q0"))).alias("a"), F.max(F.when(F.col(regime) == quiet, F.col("q0"))).alias("b"))
+    counts = leaves.groupBy(regime, win).agg(F.sum(over).alias("n"))
+    joint = counts.agg(side(busy, (F.col("n") >= k).cast("double")).alias("c"), side(quiet, (F.col("n") >= k).cast("double")).alias("d"))
+    ratio_ = lambda x, y: F.try_divide(x, F.when(F.col(y) > 0, F.col(y)))
+    out = evidence.join(tails, F.lit(True)).join(joint, F.lit(True)).select("evidence_ratio", ratio_("a", "b").alias("fused_ratio"), ratio_("c", "d").alias("joint_ratio"))  # one row each
+    verdict = F.when(F.col("evidence_ratio") > factor, "evidence").when(F.col("fused_ratio") > factor, "fusion").when(F.col("joint_ratio") > factor, "correlation").otherwise("inconclusive")
+    return out.withColumn("verdict", verdict)

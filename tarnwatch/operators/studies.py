@@ -135,3 +135,37 @@ def variants(df: DataFrame, y: str, scores: dict[str, Column], thresholds: Seque
     cells = counts.select("run", "y", "b", "n", at).select("run", "y", "n", "c.threshold", (F.col("b") > F.col("c.i")).alias("p"))
     one = lambda yy, pp: F.coalesce(F.sum(F.when((F.col("y") == yy) & (F.col("p") == pp), F.col("n"))), F.lit(0))
     return M.with_rates(cells.groupBy("run", "threshold").agg(one(1, True).alias("tp"), one(0, True).alias("fp"), one(0, False).alias("tn"), one(1, False).alias("fn")))
+
+
+def lost_window_rates(evidence: DataFrame, win: str, y: str, draw: Column, shares: Sequence[float], delta: float, mode: str = "wbf") -> DataFrame:
+    """(share, tp, fp, tn, fn and rates): how well fused decisions stand up to lost windows. Of the rows
+    (win, leaf, ev_p, ev_s, ev_n, y) those without an attack whose draw, in [0, 1), is below the share
+    lose their evidence; leaves are fused for each share and a window alarms from delta on."""
+    from ..functions import opinions as O
+    from .fusion import fuse
+
+    at = F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")
+    rows = evidence.select("*", draw.alias("_draw"), at)
+    lost = (F.col(y) == 0) & (F.col("_draw") < F.col("share"))
+    ev = tuple(F.when(lost, 0.0).otherwise(F.col(c)) for c in ("ev_p", "ev_s", "ev_n"))
+    op = rows.select(win, "leaf", "share", F.col(y).alias("_y"), *O.from_evidence(ev).columns())
+    system = fuse(op, [win, "share", "_y"], mode).select("share", "_y", (O.Opinion.of().projected()[2] >= delta).cast("int").alias("_p"))
+    return M.rates_by(system, ["share"], F.col("_y"), F.col("_p"))
+
+
+def recalibrated_modes(opinions: DataFrame, win: str, y: str, calibration: Column, modes: Sequence[str], fpr: float = 0.05) -> DataFrame:
+    """(mode, delta, tp, fp, tn, fn and rates): each way of fusing is judged at a threshold of its own,
+    the 1 - fpr quantile of its scores over the calibration windows without an attack; rates are those
+    of the other windows."""
+    from ..functions import opinions as O
+    from .calibration import quantiles
+    from .fusion import fuse
+
+    rows = opinions.withColumn("_calib", calibration)
+    scores = None
+    for mode in modes:  # stated modes
+        part = fuse(rows, [win, y, "_calib"], mode).select(F.lit(mode).alias("mode"), y, "_calib", O.Opinion.of().projected()[2].alias("_score"))
+        scores = part if scores is None else scores.unionByName(part)
+    cut = quantiles(scores.filter(F.col("_calib") & (F.col(y) == 0)), ["mode"], "_score", [1 - fpr]).select("mode", F.col("q0").alias("delta"))
+    judged = scores.filter(~F.col("_calib")).join(cut, "mode")
+    return M.rates_by(judged, ["mode", "delta"], F.col(y), (F.col("_score") >= F.col("delta")).cast("int"))

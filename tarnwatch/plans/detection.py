@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import opinions as O
 from ..functions.times import seconds
-from ..operators import ageing, fusion, tails, timeseries
+from ..operators import ageing, forecast, fusion, tails, timeseries
+from ..operators.segments import meet
 
 
 @dataclass(frozen=True)
@@ -22,6 +23,8 @@ class Detection:
     q_gate: float = 0.95
     mode: str = "wbf"
     memory: ageing.Ageing | None = None  # none: each day on its own
+    forecaster: forecast.Forecaster | None = None  # none: means by weekend and hour
+    tails: bool = False  # thresholds from fitted tails, not from quantiles
 
 
 def cells(events: DataFrame, width: int = 6 * 3600) -> DataFrame:
@@ -46,7 +49,12 @@ def _split(df: DataFrame, share: float, width: int) -> DataFrame:
 
 def residuals(leaves: DataFrame, p: Detection = Detection()) -> DataFrame:
     """leaves with calib, yhat and resid: the mean by weekend and hour over calibration windows."""
-    df = _split(leaves, p.calibration, p.cell_seconds).withColumns({"weekend": F.weekday("win_start") >= 5, "hour": F.hour("win_start")})
+    df = _split(leaves, p.calibration, p.cell_seconds)
+    if p.forecaster:
+        fitted = forecast.fit(df.filter("calib"), ["leaf"], "win_start", "y", p.forecaster)
+        df = forecast.predict(df, fitted, ["leaf"], "win_start", p.forecaster)
+        return df.select("leaf", "grp", "win_start", "calib", "y", "yhat", (F.col("y") - F.col("yhat")).alias("resid"))
+    df = df.withColumns({"weekend": F.weekday("win_start") >= 5, "hour": F.hour("win_start")})
     mean = lambda *by: F.avg(F.when(F.col("calib"), F.col("y"))).over(Window.partitionBy(*by))
     df = df.withColumn("yhat", F.coalesce(mean("leaf", "weekend", "hour"), mean("leaf")))
     return df.select("leaf", "grp", "win_start", "calib", "y", "yhat", (F.col("y") - F.col("yhat")).alias("resid"))
@@ -54,7 +62,12 @@ def residuals(leaves: DataFrame, p: Detection = Detection()) -> DataFrame:
 
 def evidence(resid: DataFrame, p: Detection = Detection()) -> DataFrame:
     """(leaf, grp, day, calib, n_obs, ev_p, ev_s, ev_n): trapezoid masses, summed over days."""
-    df = tails.with_thresholds(resid.filter("resid IS NOT NULL"), ["leaf"], "resid", F.col("calib"), p.q_susp, p.q_atk).filter("t_susp IS NOT NULL")
+    seen = resid.filter("resid IS NOT NULL")
+    if p.tails:
+        fitted = tails.evt_thresholds(seen.filter("calib").withColumn("e", F.abs("resid")), ["leaf"], "e", 1 - p.q_susp, 1 - p.q_atk)
+        df = meet(seen, fitted.select("leaf", "t_susp", "t_atk", "t_base"), ["leaf"]).filter("t_susp IS NOT NULL")
+    else:
+        df = tails.with_thresholds(seen, ["leaf"], "resid", F.col("calib"), p.q_susp, p.q_atk).filter("t_susp IS NOT NULL")
     mass = O.trapezoid(F.col("resid"), F.col("t_susp"), F.col("t_atk"), F.col("t_base"))
     df = df.select("leaf", "grp", "calib", F.window("win_start", f"{p.day_seconds} seconds")["start"].alias("day"), *[m.alias(n) for m, n in zip(mass, ("p", "s", "n"), strict=True)])
     return df.groupBy("leaf", "grp", "day").agg(F.min("calib").alias("calib"), F.count(F.lit(1)).alias("n_obs"), F.sum("p").alias("ev_p"), F.sum("s").alias("ev_s"), F.sum("n").alias("ev_n"))

@@ -114,3 +114,20 @@ def drop_windows(spark, sf):
     from .q_opinions import evidence
 
     return r6(audit.drop_windows(evidence(spark, sf), ["leaf", "day"], 0.2, ["ev_p", "ev_s", "ev_n"]))
+
+
+@query("q_regime_diagnosis", f"WITH h AS (SELECT {REG} AS regime, event_type AS leaf, date_trunc('hour', ts)::TIMESTAMP AS win, max(value) AS v FROM events GROUP BY ALL), c AS (SELECT leaf, avg((v >= 100)::INT) FILTER (regime = 'ACTIVE') AS a, avg((v >= 100)::INT) FILTER (regime = 'QUIET') AS b FROM h GROUP BY leaf), f AS (SELECT regime, win, avg(v) AS v FROM h GROUP BY ALL), q AS (SELECT quantile_cont(v, 0.999) FILTER (regime = 'ACTIVE') AS a, quantile_cont(v, 0.999) FILTER (regime = 'QUIET') AS b FROM f), n AS (SELECT regime, win, sum((v >= 100)::INT) AS n FROM h GROUP BY ALL), j AS (SELECT avg((n >= 2)::INT) FILTER (regime = 'ACTIVE') AS a, avg((n >= 2)::INT) FILTER (regime = 'QUIET') AS b FROM n), r AS (SELECT (SELECT quantile_cont(a / nullif(b, 0), 0.5) FROM c) AS e, (SELECT a / nullif(b, 0) FROM q) AS f, (SELECT a / nullif(b, 0) FROM j) AS k) SELECT round(e, 6) AS evidence_ratio, round(f, 6) AS fused_ratio, round(k, 6) AS joint_ratio, CASE WHEN e > 1.05 THEN 'evidence' WHEN f > 1.05 THEN 'fusion' WHEN k > 1.05 THEN 'correlation' ELSE 'inconclusive' END AS verdict FROM r")
+def regime_diagnosis(spark, sf):
+    h = table(spark, sf, "events").groupBy(calendar.regime_of(F.col("ts")).alias("regime"), F.col("event_type").alias("leaf"), F.date_trunc("hour", "ts").alias("win")).agg(F.max("value").alias("v"))
+    fused = h.groupBy("regime", "win").agg(F.avg("v").alias("v"))
+    return r6(audit.regime_diagnosis(h, fused, "regime", "leaf", "win", "v", 100.0, 2, 1.05))
+
+
+@query("q_train_span_audit")
+def train_span_audit(spark, sf):
+    """Hours of the training span that several types' readings make suspect, outside the known events."""
+    from ..operators import labelling
+    from .q_series import hourly
+
+    train = F.col("t") < F.lit("2024-01-20").cast("timestamp_ntz")
+    return labelling.train_span_audit(hourly(spark, sf), "t", "leaf", "y", train, catalog(spark), 24, 50, outer=2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import opinions as O
-from ..operators import tails
+from ..operators import forecast, tails
 from . import detection as D
 from .registry import query, r6, table
 
@@ -116,3 +116,13 @@ def prior(spark, sf):
 def decision_threshold(spark, sf):
     g = D.group_opinions(D.leaf_opinions(D.evidence(_res(spark, sf)))).filter("calib").withColumn("s", O.Opinion.of().projected()[2])
     return r6(tails.decision_threshold(g, ["grp"], "s", 0.1))
+
+
+#: The detection path with forecasts and fitted tails in place of means and quantiles.
+MODELLED = D.Detection(forecaster=forecast.Forecaster(day_terms=2, hour_terms=0, ridge=1.0), tails=True)
+
+
+@query("q_decision_modelled")
+def decision_modelled(spark, sf):
+    """Tests hold its residuals against dense solves and its thresholds against those of the chain."""
+    return r6(D.detect(spark, sf, MODELLED).select("day", "proj_atk", "delta", "gate_open"))

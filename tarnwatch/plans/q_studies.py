@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as E
 from ..operators import studies as S
 from ..sources import store
-from .q_metrics import COUNTS, RATES, SC, scored
+from .q_metrics import COUNTS, EV, RATES, SC, scored
 from .q_opinions import leaf_opinions
 from .q_qualify import ATT, _groups, _templates
-from .q_series import HIGH, high_spans
+from .q_series import CAT, HIGH, high_spans
 from .registry import query, r6, table
 
 VAR = f"WITH {SC}, v AS (SELECT 'value' AS run, y, score FROM sc UNION ALL SELECT 'half', y, score / 2 FROM sc UNION ALL SELECT 'user', y, user_id::DOUBLE FROM sc), c AS (SELECT run, threshold, {COUNTS} FROM (SELECT run, t.threshold, y, (score >= threshold)::INT AS p FROM v CROSS JOIN (VALUES (10e0), (40e0), (100e0)) t(threshold)) GROUP BY ALL), r AS (SELECT run, threshold, tp, fp, tn, fn, {RATES} FROM c)"
@@ -122,3 +122,34 @@ def run_seeds(spark, sf):
         return triviality(df.join(F.broadcast(limit), F.lit(True)).withColumn("p", (F.col("m_0") > F.col("_limit")).cast("int")), "y", "p", ["m_0"], train)
 
     return r6(S.run_seeds(build, [0, 1, 2], ["f1", "f1_trivial"]))
+
+
+_YD = "yd AS (SELECT ev.*, (EXISTS (SELECT 1 FROM cat WHERE day >= s AND day < e))::INT AS y FROM ev)"
+_WBF = "3 / (3 + p + s + n)"
+
+
+def _labelled(spark, sf):
+    from ..operators.joins import interval_label
+    from .q_opinions import evidence
+    from .q_series import catalog
+
+    return interval_label(evidence(spark, sf), "day", catalog(spark), "y")
+
+
+@query("q_lost_window_rates", f"""WITH {CAT}, {EV}, {_YD}, d AS (SELECT day, y, share, CASE WHEN y = 0 AND (day(day) * 37 % 100) / 100e0 < share THEN 0 ELSE 1 END AS k, p, s, n FROM yd CROSS JOIN (VALUES (0e0), (0.3e0), (0.6e0)) v(share)),
+o AS (SELECT day, y, share, p * k AS p, s * k AS s, n * k AS n, 3 / (3 + (p + s + n) * k) AS u FROM d), f AS (SELECT day, y, share, count(*) AS c, sum(1 - u) AS w, sum((1 - u) * p) / nullif(sum(1 - u), 0) AS p, sum((1 - u) * s) / nullif(sum(1 - u), 0) AS s, sum((1 - u) * n) / nullif(sum(1 - u), 0) AS n FROM o GROUP BY ALL),
+a AS (SELECT share, y, (CASE WHEN w < 1e-12 THEN 1e0 / 3 ELSE (n + 1) / (3 + p + s + n) END >= 0.2)::INT AS p FROM f), c AS (SELECT share, {COUNTS} FROM a GROUP BY share) SELECT share, tp, fp, tn, fn, {RATES} FROM c""")
+def lost_window_rates(spark, sf):
+    """Rates of fused decisions when shares of the quiet days lose their evidence."""
+    draw = (F.dayofmonth("day") * 37 % 100) / 100.0
+    return r6(S.lost_window_rates(_labelled(spark, sf), "day", "y", draw, [0.0, 0.3, 0.6], 0.2))
+
+
+@query("q_recalibrated_modes", f"""WITH {CAT}, {EV}, {_YD}, o AS (SELECT day, y, day < TIMESTAMP '2024-01-16' AS cal, p / (3 + p + s + n) AS b0, s / (3 + p + s + n) AS b1, n / (3 + p + s + n) AS b2, 3 / (3 + p + s + n) AS u, p, s, n FROM yd),
+f AS (SELECT 'wbf' AS mode, day, y, cal, (sum((1 - u) * n) / sum(1 - u) + 1) / (3 + (sum((1 - u) * p) + sum((1 - u) * s) + sum((1 - u) * n)) / sum(1 - u)) AS x FROM o GROUP BY ALL UNION ALL
+SELECT 'minbf', day, y, cal, min(b2) + (1 - min(b0) - min(b1) - min(b2)) / 3 FROM o GROUP BY ALL),
+q AS (SELECT mode, quantile_cont(x, 0.8) AS delta FROM f WHERE cal AND y = 0 GROUP BY mode), r AS (SELECT f.mode, delta, y, (x >= delta)::INT AS p FROM f JOIN q ON q.mode = f.mode WHERE NOT cal), c AS (SELECT mode, delta, {COUNTS} FROM r GROUP BY ALL) SELECT mode, round(delta, 6) AS delta, tp, fp, tn, fn, {RATES} FROM c""")
+def recalibrated_modes(spark, sf):
+    y = _labelled(spark, sf).select("leaf", "day", F.col("y"))
+    op = leaf_opinions(spark, sf).join(y, ["leaf", "day"])
+    return r6(S.recalibrated_modes(op, "day", "y", F.col("day") < F.lit("2024-01-16").cast("timestamp_ntz"), ["wbf", "minbf"], 0.2))

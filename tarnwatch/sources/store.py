@@ -1,13 +1,18 @@
 """What a run keeps: parameter tables, decision thresholds with the settings they hold for, wide
-opinions, run identities and a log of runs. All of it are tables below one folder; a table is
-written under a new name and becomes current with one small rename, so readers never see half."""
+opinions, run identities and a log of runs. All of it are tables below one folder.
+
+A table is written under a new name; then the one in its place steps aside and the new one takes its
+name, by two renames. So no reader finds half a table. A write that ends before the renames
+changes nothing; one that ends between them leaves the old table aside, and the next read or
+write puts it back."""
 
 from __future__ import annotations
 
 import hashlib
 import json
 import math
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,13 +32,46 @@ def seconds_of(frequency: str, default: int = 300) -> int:
     return int(number or 1) * units[unit] if unit in units and (number == "" or number.isdigit()) else default
 
 
+def _place(spark: SparkSession, path: str):
+    """The file system of a path, and how it names one."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there a table? One that stepped aside for a write that never ended is put back."""
+    files, make = _place(spark, path)
+    if not files.exists(make(path)) and files.exists(make(f"{path}.aside")):
+        files.rename(make(f"{path}.aside"), make(path))
+    return files.exists(make(path))
+
+
+def replace(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """write makes a table at a new path, which then takes the place of the one at path."""
+    new = f"{path}.new-{uuid.uuid4().hex}"
+    files, make = _place(spark, path)
+    try:
+        write(new)
+        if exists(spark, path):
+            files.delete(make(f"{path}.aside"), True)
+            files.rename(make(path), make(f"{path}.aside"))
+        if not files.rename(make(new), make(path)):
+            raise OSError(f"{new} could not be renamed")
+    except BaseException:
+        exists(spark, path)
+        files.delete(make(new), True)
+        raise
+    files.delete(make(f"{path}.aside"), True)
+
+
 def save_models(models: DataFrame, folder: str, split: str) -> None:
     """Parameter tables carry the end of their training span in every row."""
-    models.withColumn("split", F.lit(split)).write.mode("overwrite").parquet(f"{folder}/models")
+    replace(models.sparkSession, f"{folder}/models", models.withColumn("split", F.lit(split)).write.parquet)
 
 
 def load_models(spark: SparkSession, folder: str, split: str | None = None) -> DataFrame:
     """The parameters; with split, an error if they were trained to another date."""
+    exists(spark, f"{folder}/models")
     df = spark.read.parquet(f"{folder}/models")
     if split is not None:
         found = [r["split"] for r in df.select("split").distinct().limit(2).collect()]
@@ -53,18 +91,16 @@ def patch_models(models: DataFrame, values: DataFrame, key: str, columns: Sequen
 def save_threshold(spark: SparkSession, folder: str, delta: float, settings: Mapping[str, object]) -> None:
     """One row for each fusion mode, with its settings; another mode's row stays."""
     row = spark.createDataFrame([(str(settings["mode"]), float(delta), json.dumps(dict(settings), sort_keys=True))], "mode string, delta double, settings string")
-    row.write.mode("overwrite").parquet(f"{folder}/thresholds/mode={settings['mode']}")
+    files, make = _place(spark, folder)
+    files.mkdirs(make(f"{folder}/thresholds"))
+    replace(spark, f"{folder}/thresholds/mode={settings['mode']}", row.write.parquet)
 
 
 def read_threshold(spark: SparkSession, folder: str, settings: Mapping[str, object], fallback: float | None = None, strict: bool = True) -> float:
     """The decision threshold of the mode, else the fallback. Settings that differ from those it
     was calibrated with are an error, or, not strict, a reason for the fallback."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        rows = spark.read.schema("delta double, settings string").parquet(f"{folder}/thresholds/mode={settings['mode']}").limit(2).collect()
-    except AnalysisException:
-        rows = []
+    path = f"{folder}/thresholds/mode={settings['mode']}"
+    rows = spark.read.schema("delta double, settings string").parquet(path).limit(2).collect() if exists(spark, path) else []
     drift = differing(json.loads(rows[0]["settings"]), settings) if rows else []
     if drift and strict:
         raise ValueError(f"the threshold was calibrated with other settings: {drift}")
@@ -100,7 +136,7 @@ def wide_opinions(opinions: DataFrame, win: str, leaf: str, leaves: Sequence[str
 
 def save_opinions(wide: DataFrame, folder: str, kind: str = "parquet") -> None:
     """As Parquet, or as CSV files with a header."""
-    (wide.write.mode("overwrite").option("header", True).csv if kind == "csv" else wide.write.mode("overwrite").parquet)(f"{folder}/opinions")
+    replace(wide.sparkSession, f"{folder}/opinions", wide.write.option("header", True).csv if kind == "csv" else wide.write.parquet)
 
 
 def run_id(settings: Mapping[str, object], version: str, inputs: Mapping[str, str] | None = None) -> str:
@@ -123,7 +159,8 @@ def log_run(spark: SparkSession, folder: str, run: str, metrics: Mapping[str, fl
 def read_runs(spark: SparkSession, folder: str, runs: Sequence[str] | None = None, aliases: Mapping[str, str] | None = None) -> DataFrame:
     """(run, metric, value), aliases resolved; of a metric logged again the largest value counts.
     Runs that were never logged give no rows."""
-    df = spark.read.parquet(f"{folder}/runs")
+    kind = "run string, metric string, value double"
+    df = spark.read.schema(kind).parquet(f"{folder}/runs") if exists(spark, f"{folder}/runs") else spark.createDataFrame([], kind)
     if runs is not None:
         df = df.filter(F.col("run").isin(list(runs)))
     name: Column = F.col("metric")

@@ -213,3 +213,45 @@ def test_the_kernel_machine_of_the_days(spark):
     alpha, rho = models.support_vectors(z[train], 0.1, 1 / (3 * z[train].var()))
     k = np.exp(-((z[:, None] - z[train][None]) ** 2).sum(axis=2) / (3 * z[train].var()))
     assert np.allclose(s, rho - k @ alpha, atol=1e-3)
+
+
+def test_decisions_by_forecasts_and_tails(spark):
+    from test_forecast import ridge, terms
+
+    from tarnwatch.plans import detection as D
+    from tarnwatch.plans.q_detection import MODELLED
+
+    events = spark.read.parquet(f"{SF}/events.parquet").select("ts", "event_type", "value")
+    resid = D.residuals(D.leaves(D.cells(events)), MODELLED)
+    got = [r for r in resid.filter("leaf = 'count:view'").orderBy("win_start").collect()]
+    x = np.array([terms(MODELLED.forecaster, r.win_start) for r in got])
+    y, calib = np.array([r.y for r in got]), np.array([r.calib for r in got])
+    assert np.allclose([r.yhat for r in got], x @ ridge(MODELLED.forecaster, x[calib], y[calib]), atol=1e-6)
+    plain = [r for r in D.residuals(D.leaves(D.cells(events))).filter("leaf = 'count:view'").orderBy("win_start").collect()]
+    assert [r.calib for r in plain] == [r.calib for r in got]
+    out = rows(spark, "q_decision_modelled")
+    assert len(out) == 30 and all(0 <= r.proj_atk <= 1 and r.gate_open == (r.proj_atk >= r.delta) for r in out)
+    ev = D.evidence(resid, MODELLED).filter("leaf = 'count:view'").orderBy("day").collect()
+    size = np.abs([r.resid for r in got])
+    susp, atk = (np.quantile(size[calib], q) for q in (0.9, 0.97))  # too few peaks for a tail
+    atk, base = max(atk, 1.1 * susp), 0.9 * susp
+    n = np.clip((size - susp) / (atk - susp), 0, 1)
+    p = np.clip((susp - size) / (susp - base), 0, 1)
+    assert abs(sum(r.ev_n for r in ev) - n.sum()) < 1e-6 and abs(sum(r.ev_p for r in ev) - p.sum()) < 1e-6
+
+
+def test_train_span_audit(spark):
+    from tarnwatch.operators import labelling
+    from tarnwatch.plans.q_series import catalog, hourly
+
+    got = rows(spark, "q_train_span_audit")
+    train = F.col("t") < F.lit("2024-01-20").cast("timestamp_ntz")
+    labels = labelling.consensus_labels(hourly(spark, SF).filter(train), ["leaf"], "t", "y", 24, outer=2).collect()
+    assert all(r.label == int(((r.stl or 0) + r.hampel + r.cusum) >= 2) for r in labels)
+    n = defaultdict(int)
+    for r in labels:
+        n[r.t] += r.label
+    known = [(r.start, r.end) for r in catalog(spark).collect()]
+    want = sorted(((-k, t) for t, k in n.items() if k and not any(a <= t <= b for a, b in known)))[:50]
+    assert sorted((-r.n_flags, r.t) for r in got) == want
+    assert all(r.severity == ("high" if r.n_flags >= 3 else "medium" if r.n_flags == 2 else "low") for r in got)

@@ -58,3 +58,20 @@ def test_the_cut_of_the_training_span_keeps_times_together(spark):
     got = {(r.part, r["count"]) for r in profiles.split_train(df, "1970-01-01 00:08:30").groupBy("part").count().collect()}
     # 36 rows up to the split, 27 of them for the model: the time that holds the 27th stays whole.
     assert got == {("model", 28), ("calibration", 8), ("test", 4)}
+
+
+def test_a_write_that_dies_leaves_the_old_table(spark, tmp_path):
+    folder = str(tmp_path)
+    one = spark.createDataFrame([("a", 0.5)], "leaf string, r2 double")
+    store.save_models(one, folder, "x")
+    broken = one.withColumn("r2", F.raise_error(F.lit("killed")).cast("double"))
+    with pytest.raises(Exception, match="killed"):
+        store.save_models(broken, folder, "x")
+    assert store.load_models(spark, folder, "x").collect() == one.collect()
+    assert [p.name for p in tmp_path.iterdir()] == ["models"]
+    # Dead between the two renames: the table stands aside until it is next asked for.
+    (tmp_path / "models").rename(tmp_path / "models.aside")
+    assert store.load_models(spark, folder, "x").collect() == one.collect()
+    store.save_models(one.withColumn("r2", F.lit(0.9)), folder, "x")
+    assert store.load_models(spark, folder, "x").first().r2 == 0.9 and [p.name for p in tmp_path.iterdir()] == ["models"]
+    assert store.read_runs(spark, folder).count() == 0
