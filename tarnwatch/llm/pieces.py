@@ -40,6 +40,10 @@ _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 CACHE_WORDS = 400_000
 #: Code points times words that one step of the search holds.
 STEP = 100_000
+#: Bits of a hash that say where among the sorted keys to look.
+TOP = 20
+#: Texts that are encoded in one go.
+TEXTS = 2048
 #: Longer words are cut where no piece can lie across.
 LONG = 4096
 #: Up to so many words of one length are merged one by one.
@@ -67,6 +71,9 @@ class Pieces:
         keys = np.array([self._whole(names[i]) for i in plain], dtype=U64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(plain, dtype=np.int32)[order]
+        # Where the keys of each first TOP bits begin, and how many share them at most.
+        self.begins = np.searchsorted(self.keys, np.arange(1 << TOP, dtype=U64) << U64(64 - TOP)).astype(np.int32)
+        self.crowd = int(np.bincount((self.keys >> U64(64 - TOP)).astype(np.int64)).max())
         self.scores = np.array([model.get_score(i) for i in plain])[order]
         self.lowest = float(self.scores.min()) - PENALTY
         self.raw = [bytes([self.bytes_at.index(i)]) if model.is_byte(i) else b"" if model.is_control(i) else names[i].replace(MARK, " ").encode() for i in range(n)]
@@ -89,6 +96,14 @@ class Pieces:
         last = sums.shape[1] - length
         return mix((sums[:, length:] - sums[:, :last]) * self.inverse[:last] + U64(length))
 
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """For each hash the place of the first sorted key that isn't below it (or the last key):
+        from the keys of the same first bits on, step by step."""
+        at = np.minimum(self.begins[(h >> U64(64 - TOP)).astype(np.int64)], len(self.keys) - 1)
+        for _ in range(self.crowd - 1):
+            at += (self.keys[at] < h) & (at < len(self.keys) - 1)
+        return at
+
     def _whole(self, piece: str) -> int:
         return int(self._hash(self._sums(np.frombuffer(piece.encode("utf-32-le"), "<u4").reshape(1, -1)), len(piece))[0, 0])
 
@@ -101,7 +116,7 @@ class Pieces:
         gain, piece = [], []
         for k in range(1, top + 1):
             h = self._hash(sums, k)
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            at = self._find(h)
             hit = self.keys[at] == h
             gain.append(np.where(hit, self.scores[at], self.lowest if k == 1 else -np.inf))
             piece.append(np.where(hit, self.ids[at], -1))
@@ -200,7 +215,7 @@ class Merges(Pieces):
     def _probe(self, sums: np.ndarray, rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores and ids of the substrings [start, end) of rows; -inf and -1 where no piece is."""
         h = mix((sums[rows, end] - sums[rows, start]) * self.inverse[start] + (end - start).astype(U64))
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        at = self._find(h)
         hit = self.keys[at] == h
         return np.where(hit, self.scores[at], -np.inf), np.where(hit, self.ids[at], -1)
 
@@ -316,7 +331,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool, searc
     search = Pieces(path) if searched else None
     for batch in batches:
         texts = [t or "" for t in batch.column(1).to_pylist()]
-        every = lambda p: [x for at in range(0, len(texts), 512) for x in p.encode(texts[at : at + 512])]  # noqa: B023, E731
+        every = lambda p: [x for at in range(0, len(texts), TEXTS) for x in p.encode(texts[at : at + TEXTS])]  # noqa: B023, E731
         coded = every(pieces)
         columns = [
             batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(c) // 4 for c in coded], pa.int64()),
