@@ -85,7 +85,7 @@ def _losses(rows: DataFrame, by: Sequence[str], lines: DataFrame) -> DataFrame:
 _LINE = ("slope", "intercept", "loss")
 
 
-def lad_line(df: DataFrame, by: Sequence[str], x: str, y: str, passes: int = 14) -> DataFrame:
+def lad_line(df: DataFrame, by: Sequence[str], x: str, y: str, passes: int = 9) -> DataFrame:
     """by, n, slope, intercept, loss of the least absolute residuals.
 
     The loss, with the best intercept for each slope (a median), is convex in the slope. Each pass
