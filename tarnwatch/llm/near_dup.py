@@ -8,9 +8,10 @@
    classes are still in different components are gone through in blocks: pairs across
    components are compared by signature, then by 32-bit sets, and what links two components
    is confirmed on the full sets too. A member of such a bucket goes once to each block of
-   BLOCK others that it must meet (the largest component never meets itself), so rows grow
+   others that it must meet (the largest component never meets itself), so rows grow
    with the members times the blocks on the other side, and only there; no pairs are emitted
-   but links. The result is that of all pairs which share a bucket, less those of a block whose
+   but links. A block has about BLOCK members and BLOCK_SHINGLES shingles at most, so that two
+   of them fit in a task however long their texts are (a longer text is a block of its own size). The result is that of all pairs which share a bucket, less those of a block whose
    signatures rule them out: 160 bins that estimate SLACK below the limit, five standard
    errors, which a pair at the limit does with a chance of about 2e-7.
 
@@ -41,6 +42,8 @@ PERCENT = 80
 BANDS, ROWS = 32, 5
 #: Classes of one bucket that are compared by signature in one go.
 BLOCK = 1000
+#: Shingles (4 bytes each) of the members of a block.
+BLOCK_SHINGLES = 4_000_000
 #: The estimate from 160 bins has a standard error of at most 0.032 near 0.8: five of them.
 SLACK = 0.16
 #: Up to so many ids (8 bytes each) are broadcast to pick their texts; more meet them in a shuffle.
@@ -202,7 +205,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     members = sigs.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(members.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n")), "classes")
     heads = members.join(classes.select("s1", "s2", F.col("id").alias("doc_id")), ["s1", "s2", "doc_id"], "left_semi")
-    buckets = heads.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
+    buckets = heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("weight"), F.explode("bands").alias("bucket"))
     stars = buckets.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).filter("centre < last").select("bucket", "centre")
     shared = stored(buckets.join(stars, "bucket"), "buckets")
     first = stored(shared.filter("id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v")).distinct(), "stars")
@@ -216,11 +219,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     # The links that stars missed, between classes of a bucket that are still apart. The
     # bucket's largest component need not be compared with itself: its blocks only meet the
     # blocks of the others.
-    apart = stored(shared.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp")), "apart")
-    held = apart.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = held.groupBy("bucket").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("main")).filter("size > 2 AND main.c < size")
-    mixed = mixed.select("bucket", F.col("main.comp").alias("main"), F.ceil((F.col("size") - F.col("main.c")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("main.c") / BLOCK).cast("int").alias("many"))
-    rows = stored(apart.join(mixed, "bucket"), "mixed")
+    apart = stored(shared.join(found, "id", "left").select("bucket", "id", "weight", F.coalesce("component", "id").alias("comp")), "apart")
+    held = apart.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("weight").alias("w"))
+    mixed = held.groupBy("bucket").agg(F.sum("c").alias("size"), F.sum("w").alias("weight"), F.max(F.struct("c", "comp", "w")).alias("main")).filter("size > 2 AND main.c < size")
+    blocks = lambda c, w: F.least(F.greatest(F.ceil(c / BLOCK), F.ceil(w / BLOCK_SHINGLES)), c).cast("int")
+    few = blocks(F.col("size") - F.col("main.c"), F.col("weight") - F.col("main.w"))
+    mixed = mixed.select("bucket", F.col("main.comp").alias("main"), few.alias("few"), blocks(F.col("main.c"), F.col("main.w")).alias("many"))
+    rows = stored(apart.drop("weight").join(mixed, "bucket"), "mixed")
     ids = stored(rows.select(F.col("id").alias("doc_id")).distinct(), "mixed-ids")
     outlines = _texts_of(ids, texts).select("doc_id", "text").mapInArrow(lambda it: _outlined(it, shingle), "id long, n long, bands binary, sig binary, set binary")
     main = F.col("comp") == F.col("main")

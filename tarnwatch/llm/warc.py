@@ -37,11 +37,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, read, stored
+from .common import discard, new_folder, read, skew_join, stored
 
 BLOCK_LINES = 1000
 FILE_BYTES = 256 << 20
 READ_BYTES = 1 << 20
+#: Up to so many payloads that repeat (20 bytes and a page_id each) are broadcast to tell revisits.
+BROADCAST_DIGESTS = 1_000_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURES = "key string, file string, at long, size long"
@@ -74,9 +76,10 @@ def capture_key(url: str | None, page_id: int | None) -> str:
     return f"{url_key(url)} {'-' if page_id is None else f'{page_id + (1 << 63):020d}'}"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None) -> bytes:
-    """A response, or a revisit of the page first, as one gzip member."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, first: int | None) -> bytes:
+    """A response, or (without its payload of size bytes) a revisit of the page first, as one
+    gzip member."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if first is not None else http + payload
     head = [
         "WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}",
@@ -118,8 +121,10 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Reco
     out = _Output(folder, "warc.gz")
     for batch in batches:
         rows = []
-        for page, url, payload, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            member = record(page, url, payload, base32_sha1(payload), first)
+        columns = [batch.column(i) for i in range(6)]
+        columns[2] = columns[2].cast(pa.binary())
+        for page, url, payload, size, digest, first in zip(*[c.to_pylist() for c in columns], strict=True):
+            member = record(page, url, payload, size, base64.b32encode(digest).decode(), first)
             at = out.write(member)
             rows.append((capture_key(url, page), out.name, at, len(member)))
             if out.at >= FILE_BYTES:
@@ -130,16 +135,37 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Reco
 
 def write_archive(pages: DataFrame, folder: str, revisit_from: int = 0) -> DataFrame:
     """Writes pages (page_id, url, html) and returns their captures (key, file, at, size),
-    already stored. Payloads of fewer than revisit_from bytes are always responses."""
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("payload")).withColumn("digest", F.sha1(F.col("payload").cast("binary")))
+    already stored. Payloads of fewer than revisit_from bytes are always responses.
+
+    html is read twice, to be hashed and to be written; a revisit takes its length and digest only."""
+    payload = F.coalesce("html", F.lit(""))
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("bytes"), F.unhex(F.sha1(payload.cast("binary"))).alias("digest"))
+    seen = stored(base.select("page_id", "url", "bytes", "digest"), "payloads")
+    able = seen.filter(F.col("bytes") >= revisit_from)
     # One row for each payload from each task; then only what repeats goes on.
-    ids = base.filter(F.octet_length("payload") >= revisit_from).select("page_id", "digest")
-    first = ids.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND first IS NOT NULL").select("digest", "first")
-    again = ids.join(first, "digest").filter("page_id IS NULL OR page_id <> first").distinct()
-    again = again.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first")
-    joined = base.join(again, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
-    rows = joined.select("page_id", "url", "payload", "first")
-    return stored(rows.mapInArrow(lambda it: _written(it, folder), CAPTURES), "captures")
+    first = stored(able.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND first IS NOT NULL"), "repeated")
+    again = skew_join(able, first, ["digest"], "n", ["page_id", "url"]).filter("page_id IS NULL OR page_id <> first")
+    again = stored(again.select("page_id", "url", "bytes", "digest", "first"), "revisits")
+    rows = responses(base, first, again).withColumn("first", F.lit(None).cast("long")).unionByName(again, allowMissingColumns=True)
+    rows = rows.select("page_id", "url", "payload", "bytes", "digest", "first")
+    captures = stored(rows.mapInArrow(lambda it: _written(it, folder), CAPTURES), "captures")
+    discard(seen, first, again)
+    return captures
+
+
+def responses(base: DataFrame, first: DataFrame, again: DataFrame) -> DataFrame:
+    """The rows of base (page_id, url, payload, bytes, digest) that are no revisits, by the stored
+    payloads that repeat (digest, first) and their revisits (page_id, url, digest).
+
+    Up to BROADCAST_DIGESTS such payloads are broadcast, and html stays where it was read. Beyond
+    that, rows meet the revisits in a shuffle by page_id, url and digest, where a payload with
+    very many pages has as many keys."""
+    if first.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:
+        met = base.join(F.broadcast(first.select("digest", "first")), "digest", "left")
+        return met.filter("first IS NULL OR page_id <=> first").select(*base.columns)
+    gone = again.select(F.col("page_id").alias("_page"), F.col("url").alias("_url"), F.col("digest").alias("_digest")).distinct()
+    same = F.col("page_id").eqNullSafe(F.col("_page")) & F.col("url").eqNullSafe(F.col("_url")) & (F.col("digest") == F.col("_digest"))
+    return base.join(gone, same, "left_anti")
 
 
 class _Output:

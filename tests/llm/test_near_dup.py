@@ -100,3 +100,27 @@ def test_parts_of_a_centre_and_ids_beyond_the_broadcast_bound(spark, monkeypatch
     rows = corpus(3)
     got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect())
     assert got == brute(rows)
+
+
+def test_blocks_of_few_very_long_sets(spark, monkeypatch):
+    """Several long texts in one bucket, apart after the stars, are cut into blocks by their shingles."""
+    from tarnwatch.llm import near_dup
+
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(6000)]
+    texts = []
+    for i in range(24):  # all share buckets; a text is near to its twin only
+        copy = list(base)
+        for k in range(0, 6000, 24):
+            copy[k + i // 2] = f"t{i // 2}k{k}"
+        if i % 2:
+            copy[-1] = "twin"
+        texts.append(" ".join(copy))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, percent=97)
+    assert len({c for _, _, c, _ in want}) == 12
+    for bound in (4_000_000, 13_000, 1):
+        monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", bound)
+        got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, shingle=2, percent=97).collect())
+        assert got == want

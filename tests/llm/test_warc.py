@@ -108,3 +108,29 @@ def test_a_bare_path_is_one_of_the_default_file_system(spark, tmp_path):
     finally:
         conf.set("fs.defaultFS", before)
     assert qualified(spark, str(tmp_path)) == f"file:{tmp_path}"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_html_stays_where_it_is_read(spark, monkeypatch):
+    """Both ways to tell revisits give the same records; the broadcast one shuffles no html."""
+    data = rows() + [(None, "http://n.com/", "same page"), (None, None, "same page"), (100, "http://other.org/", "same page")]
+    df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(5)
+    seen, made = [], warc.responses
+
+    def watched(*tables):
+        seen.append(made(*tables))
+        return seen[-1]
+
+    monkeypatch.setattr(warc, "responses", watched)
+    digests = []
+    for bound in (1_000_000, 1):
+        monkeypatch.setattr(warc, "BROADCAST_DIGESTS", bound)
+        out = read_back(spark, df)[3].collect()
+        digests.append(sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out), key=str))
+    assert digests[0] == digests[1] == brute(data)
+    source = plan(df).count("Exchange")
+    assert "BroadcastHashJoin" in plan(seen[0]) and plan(seen[0]).count("Exchange hashpartitioning") == 0 and source == 1
+    assert "Exchange hashpartitioning" in plan(seen[1])
