@@ -68,6 +68,11 @@ def evidence(resid: DataFrame, p: Detection = Detection()) -> DataFrame:
         df = meet(seen, fitted.select("leaf", "t_susp", "t_atk", "t_base"), ["leaf"]).filter("t_susp IS NOT NULL")
     else:
         df = tails.with_thresholds(seen, ["leaf"], "resid", F.col("calib"), p.q_susp, p.q_atk).filter("t_susp IS NOT NULL")
+    return summed_evidence(df, p)
+
+
+def summed_evidence(df: DataFrame, p: Detection = Detection()) -> DataFrame:
+    """evidence() of residuals that have their thresholds."""
     mass = O.trapezoid(F.col("resid"), F.col("t_susp"), F.col("t_atk"), F.col("t_base"))
     df = df.select("leaf", "grp", "calib", F.window("win_start", f"{p.day_seconds} seconds")["start"].alias("day"), *[m.alias(n) for m, n in zip(mass, ("p", "s", "n"), strict=True)])
     return df.groupBy("leaf", "grp", "day").agg(F.min("calib").alias("calib"), F.count(F.lit(1)).alias("n_obs"), F.sum("p").alias("ev_p"), F.sum("s").alias("ev_s"), F.sum("n").alias("ev_n"))
@@ -85,10 +90,15 @@ def group_opinions(leaf: DataFrame, p: Detection = Detection()) -> DataFrame:
     return fusion.fuse(leaf, ["day", "calib", "grp"], p.mode)
 
 
+def system_opinions(groups: DataFrame, p: Detection = Detection()) -> DataFrame:
+    """The fused opinion of each day, with proj_atk."""
+    system = fusion.fuse_methods(groups, ["day", "calib"], p.mode)
+    return system.withColumn("proj_atk", O.Opinion.of().projected()[2])
+
+
 def decisions(groups: DataFrame, p: Detection = Detection()) -> DataFrame:
     """One row for each day: the system's opinion, proj_atk, delta and gate_open."""
-    system = fusion.fuse_methods(groups, ["day", "calib"], p.mode)
-    system = system.withColumn("proj_atk", O.Opinion.of().projected()[2])
+    system = system_opinions(groups, p)
     every = Window.partitionBy(F.lit(1))  # a row for each day: as few as there are days
     delta = F.percentile(F.when(F.col("calib"), F.col("proj_atk")), F.lit(p.q_gate)).over(every)
     return system.withColumn("delta", delta).withColumn("gate_open", F.col("proj_atk") >= F.col("delta"))
