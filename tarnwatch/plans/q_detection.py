@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import opinions as O
+from ..functions.lineage import shared_folder
 from ..operators import forecast, tails
 from . import detection as D
 from .registry import query, r6, table
@@ -126,3 +129,17 @@ MODELLED = D.Detection(forecaster=forecast.Forecaster(day_terms=2, hour_terms=0,
 def decision_modelled(spark, sf):
     """Tests hold its residuals against dense solves and its thresholds against those of the chain."""
     return r6(D.detect(spark, sf, MODELLED).select("day", "proj_atk", "delta", "gate_open"))
+
+
+@query("q_stream_decision", SPINE + "SELECT day, round(b_safe, 6) AS b_safe, round(b_susp, 6) AS b_susp, round(b_atk, 6) AS b_atk, round(u, 6) AS u, round(proj_atk, 6) AS proj_atk, round(delta, 6) AS delta, proj_atk >= delta - 1e-12 AS gate_open FROM sp, dl WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 12 HOURS")
+def stream_decision(spark, sf):
+    """All events replayed through the stream: the days that its watermark closes."""
+    from ..streaming import decisions as S
+
+    run = f"{shared_folder(spark)}/streams/decisions-{uuid.uuid4().hex}"
+    learned, out = f"{run}/learned", f"{run}/out"
+    S.learn(_events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), learned)
+    stream = S.table_stream(spark, sf, "events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    S.start(stream, learned, out, f"{run}/checkpoint", late="12 hours", availableNow=True).awaitTermination()
+    done = S.read_decisions(spark, out).withColumn("gate_open", F.col("proj_atk") >= F.col("delta") - 1e-12)
+    return r6(done.select(F.col("day").cast("timestamp_ntz").alias("day"), "b_safe", "b_susp", "b_atk", "u", "proj_atk", "delta", "gate_open"))

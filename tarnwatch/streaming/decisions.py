@@ -56,6 +56,15 @@ def learn(events: DataFrame, folder: str, p: D.Detection = D.Detection()) -> Non
         replace(spark, f"{folder}/{name}", df.write.parquet)
 
 
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A Parquet table of a folder as a stream of its files, be it a folder of its own or one file."""
+    reader = spark.readStream.schema(spark.read.parquet(f"{folder}/{name}").schema)
+    there = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    if there.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(there).isDirectory():
+        return reader.parquet(f"{folder}/{name}")
+    return reader.option("pathGlobFilter", name).parquet(folder)
+
+
 def closed_cells(events: DataFrame, p: D.Detection = D.Detection(), late: str = "1 day") -> DataFrame:
     """(event_type, day, win_start, n_obs, mean) of a stream of events (ts, event_type, value), as
     days close."""

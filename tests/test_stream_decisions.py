@@ -85,6 +85,7 @@ def test_a_repeated_batch_replaces_its_own(spark, tmp_path):
 def test_replay_of_the_events_table(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", F.col("value").cast("double").alias("value"))
     S.learn(events, str(tmp_path / "learned"))
-    stream = in_files(spark, events, str(tmp_path / "in"), 2)
+    in_files(spark, events, str(tmp_path / "in" / "events.parquet"), 2)
+    stream = S.table_stream(spark, str(tmp_path / "in"), "events.parquet")
     S.start(stream, str(tmp_path / "learned"), str(tmp_path / "out"), str(tmp_path / "cp"), availableNow=True).awaitTermination()
     close(S.read_decisions(spark, str(tmp_path / "out")), D.detect(spark, SF), 1)
