@@ -191,6 +191,10 @@ def faulty_events(events: DataFrame, split: str) -> DataFrame:
 
 
 def schedule(events: DataFrame) -> DataFrame:
-    """(line): one line of text for each event, by start and name."""
-    text = F.format_string("%s  %s  %.2f h  %s", F.date_format("start", "yyyy-MM-dd HH:mm"), F.date_format("end", "yyyy-MM-dd HH:mm"), (F.unix_seconds(F.col("end").cast("timestamp")) - F.unix_seconds(F.col("start").cast("timestamp"))) / 3600, F.col("name"))
+    """(line): one line of text for each event, by start and name. Hours are rounded by the exact value
+    of the double, as C's printf does (format_string rounds its shortest decimal, half up); an event
+    without a name or span has no line's text."""
+    span = F.unix_seconds(F.col("end").cast("timestamp")) - F.unix_seconds(F.col("start").cast("timestamp"))
+    time = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm")
+    text = F.concat(time("start"), F.lit("  "), time("end"), F.lit("  "), F.call_function("format_number", span / 3600, F.lit("0.00")), F.lit(" h  "), F.col("name"))
     return events.orderBy("start", "name").select(text.alias("line"))

@@ -75,3 +75,10 @@ def test_a_write_that_dies_leaves_the_old_table(spark, tmp_path):
     store.save_models(one.withColumn("r2", F.lit(0.9)), folder, "x")
     assert store.load_models(spark, folder, "x").first().r2 == 0.9 and [p.name for p in tmp_path.iterdir()] == ["models"]
     assert store.read_runs(spark, folder).count() == 0
+
+
+def test_hours_of_a_schedule_are_rounded_as_printf_does(spark):
+    df = spark.range(1, 60_000).selectExpr("timestamp '2024-01-02 12:00:00' AS start", "timestamp '2024-01-02 12:00:00' + make_interval(0, 0, 0, 0, 0, 0, 18 * id) AS end", "'U' || id AS name")
+    got = {r.line.split("  ")[3]: r.line.split("  ")[2] for r in store.schedule(df).collect()}
+    assert got == {f"U{i}": f"{18 * i / 3600:.2f} h" for i in range(1, 60_000)}
+    assert [r.line for r in store.schedule(df.limit(1).withColumn("name", F.lit(None).cast("string"))).collect()] == [None]
