@@ -46,6 +46,19 @@ def test_overlaps_beyond_the_broadcast_bound_are_the_same(spark, monkeypatch):
     assert [(r.period, r.iou) for r in joins.best_overlap(lone, b).collect()] == [(None, 0.0)]
 
 
+def test_overlaps_meet_once_at_the_later_start(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    spans = [(f"b{i % 50}", int(s), int(s) + int(rng.integers(-3, 90))) for i, s in enumerate(rng.integers(0, 40, 60))] + [("long", -900_000, 900_000), ("late", 39, 10**6)]
+    b = events(spark, spans)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(joins, "MEET", 7)
+    want = sorted((m, n) for m, s, e in spans for n, t, f in spans if m < n and s < f and t < e)
+    assert sorted(map(tuple, A.overlapping(b).select("name_1", "name_2").collect())) == want
+    a, c = (b.toDF(*[f"{x}_{k}" for x in b.columns]) for k in (1, 2))
+    met = joins.started_inside(a, c, ("start_1", "end_1"), ("start_2", "end_2"), F.expr("start_2 >= start_1"))
+    assert met.count() == sum(s <= t and s < f and t < e for _, s, e in spans for _, t, f in spans)
+
+
 def test_sweep_counts_each_row_once(spark):
     rng = np.random.default_rng(1)
     rows = [(int(y), float(s)) for y, s in zip(rng.integers(0, 2, 500), np.round(rng.random(500), 2))] + [(1, None), (None, 0.5)]
