@@ -4,12 +4,17 @@ A word's embedding is the sum of two hashed rows, one for the word and one for i
 four letters, so that words not met in training share what their relatives taught; some word
 rows are left out at random in training. Filters of several widths slide over the embedded
 words, and each filter's maximum over the whole text goes through a rectifier into one
-linear unit. Training is by Adam on a bounded sample of labelled rows (at most SAMPLE of them, half of
-each class where there are enough, by smallest hash of doc_id, with SAMPLE_CHARS code points
-together at most: a text that would go beyond is left out of training, not cut). Each half of it
-is scored by a network that the other half trained; those scores calibrate (Platt scaling, weighted
-back to the classes' share among all labels) and give a threshold for each language, and all of the
-sample trains the network that scores. A language's threshold is its own best cut drawn towards that
+linear unit. Training is by Adam on all labelled rows. It starts on the driver with at most SAMPLE of them
+(half of each class where there are enough, by smallest hash of doc_id, with SAMPLE_CHARS code
+points together at most). All other rows are dealt to ROUNDS rounds: in each, groups of rows go on
+from the network of the round before in tasks of their own, and the mean of their changes, weighted
+by rows, is the next network (a word's row changes by the groups that have it).
+
+Every labelled row calibrates (Platt scaling) and counts for the thresholds by a score of a network
+that it didn't train: the first rows in halves scored by each other, the others by the network of
+the round before theirs; those logits are counted in steps of 1 / STEPS. A caller of fit who gives
+sample or chars trains on that many rows or code points only (a text that would go beyond is left
+out), weighted back to the classes' share among all labels. A language's threshold is its own best cut drawn towards that
 of all languages: m rows of its rarer class weigh m against LANG_PRIOR. A language without rows of
 both classes, or not met in training, has the common one. threshold_of says whose threshold it
 is, own_weight how much of it is the language's own. Scoring covers every whole text.
@@ -39,10 +44,14 @@ from .common import read
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 8
 STEM, DROP = 4, 0.4
-#: Most labelled rows that training sees.
+#: Most labelled rows that training starts with.
 SAMPLE = 4000
-#: Most code points that training sees.
+#: Most code points that training starts with.
 SAMPLE_CHARS = 64_000_000
+#: The other labelled rows train in so many rounds, in groups of about so many rows and code points.
+ROUNDS, GROUP_ROWS, GROUP_CHARS = 4, 2000, 8_000_000
+#: Their learning rate, the steps of a logit, and what changes are multiplied by so that sums are exact.
+LATER_RATE, STEPS, UNIT = 0.005, 32, 1 << 20
 EPOCHS, BATCH, RATE = 12, 64, 0.02
 #: Small samples are gone through more often, up to this many steps.
 LEAST_STEPS = 400
@@ -90,6 +99,12 @@ class Network:
         self.thresholds: dict[str | None, float] = {None: 0.5}
         self.own_weights: dict[str, float] = {}
         self.constant: float | None = None
+        #: Labelled rows that it was trained and calibrated on.
+        self.rows = 0
+
+    def values(self) -> list[np.ndarray]:
+        """All that training changes, as views of DIM columns."""
+        return [x.reshape(-1, DIM) for x in (self.embedding, *self.filters, self.bias, self.out)]
 
     def prepare(self) -> None:
         """Each word's share of each filter, so that scoring only looks up and adds."""
@@ -112,12 +127,14 @@ class Network:
         sizes = np.cumsum([1 + len(t) // 4 for t in texts])
         while at < len(texts):
             end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHUNK_WORDS)))
-            x = self.pooled(*hashed(texts[at:end], rows))
-            # Row by row, so that a text's score doesn't depend on its neighbours.
-            out.append((np.maximum(x + self.bias.reshape(-1), 0) * self.out).astype(np.float64).sum(axis=1) + self.out_bias)
+            out.append(self.summed(self.pooled(*hashed(texts[at:end], rows))))
             at = end
         return np.concatenate(out) if out else np.empty(0, np.float32)
 
+    def summed(self, x: np.ndarray) -> np.ndarray:
+        # Row by row, so that a text's score doesn't depend on its neighbours.
+        return (np.maximum(x + self.bias.reshape(-1), 0) * self.out).astype(np.float64).sum(axis=1) + self.out_bias
+
     def score(self, texts: list[str], rows: _Rows) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
@@ -125,27 +142,34 @@ class Network:
 
 
 class _Adam:
-    def __init__(self, value: np.ndarray):
-        self.value, self.m, self.v = value, np.zeros_like(value), np.zeros_like(value)
+    def __init__(self, value: np.ndarray, rate: float = RATE):
+        self.value, self.m, self.v, self.rate = value, np.zeros_like(value), np.zeros_like(value), rate
 
     def step(self, grad: np.ndarray, t: int, at: np.ndarray | slice = slice(None)) -> None:
         """at: only these rows change (lazily, for the embedding)."""
         m = self.m[at] = 0.9 * self.m[at] + 0.1 * grad
         v = self.v[at] = 0.99 * self.v[at] + 0.01 * grad * grad
-        self.value[at] -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+        self.value[at] -= self.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
 
 
 def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
-    net, rng, rows = Network(seed), np.random.default_rng(seed), _Rows()
-    ids, stems, starts = hashed(texts, rows)
+    net = Network(seed)
+    descend(net, hashed(texts, _Rows()), labels, float(labels.mean()), max(EPOCHS, -(-LEAST_STEPS * BATCH // len(texts))), RATE, seed)
+    return net
+
+
+def descend(net: Network, words: tuple[np.ndarray, np.ndarray, np.ndarray], labels: np.ndarray, share: float, epochs: int, rate: float, seed: int) -> None:
+    """Trains net on hashed texts; share: of label 1 among all rows."""
+    rng = np.random.default_rng(seed)
+    ids, stems, starts = words
     ends = np.append(starts[1:], len(ids))
-    opt = [_Adam(net.embedding), *map(_Adam, net.filters), _Adam(net.bias), _Adam(net.out), _Adam(net.out_bias)]
+    opt = [_Adam(x, rate) for x in (net.embedding, *net.filters, net.bias, net.out, net.out_bias)]
     # Both classes weigh the same.
-    share = float(np.clip(labels.mean(), 0.02, 0.98))
+    share = float(np.clip(share, 0.02, 0.98))
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
     t = 0
-    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(texts)))):
-        order = rng.permutation(len(texts))
+    for _ in range(epochs):
+        order = rng.permutation(len(starts))
         for k in range(0, len(order), BATCH):
             batch = order[k : k + BATCH]
             t += 1
@@ -187,7 +211,6 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
             opt[-3].step(back.sum(axis=0).reshape(net.bias.shape), t)
             opt[-2].step(hidden.T @ error + 1e-4 * net.out, t)
             opt[-1].step(error.sum(keepdims=True), t)
-    return net
 
 
 def _trained(texts: list[str], labels: np.ndarray) -> Network:
@@ -198,7 +221,7 @@ def _trained(texts: list[str], labels: np.ndarray) -> Network:
 
 def _platt(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
     """Scale and shift by Newton's method, with Platt's smoothed targets."""
-    n1, n0 = labels.sum(), (1 - labels).sum()
+    n1, n0 = (weights * labels).sum(), (weights * (1 - labels)).sum()
     target = np.where(labels == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     x = np.stack([logits, np.ones_like(logits)], axis=1)
     beta = np.array([1.0, 0.0])
@@ -223,14 +246,17 @@ def _threshold(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> f
     return float((s[best] + (s[best + 1] if best + 1 < len(s) else 0.0)) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Network:
-    """docs: doc_id, text, lang; labels: doc_id, toxic. At most sample rows and chars code points
-    come to the driver.
+def fit(docs: DataFrame, labels: DataFrame, sample: int | None = None, chars: int | None = None) -> Network:
+    """docs: doc_id, text, lang; labels: doc_id, toxic. At most SAMPLE rows and SAMPLE_CHARS code points
+    (or sample and chars) come to the driver; the other labelled rows train in their tasks, unless
+    sample or chars is given.
 
     The sample is drawn from ids alone; its ids (at most sample rows) are broadcast, so that
     texts are read in place and only the sampled ones move. Of rows that repeat a doc_id, the
     smallest label and text count.
     """
+    bounded = sample is not None or chars is not None
+    sample, chars = SAMPLE if sample is None else sample, SAMPLE_CHARS if chars is None else chars
     known = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
     known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     counts = {int(r["toxic"]): r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -249,8 +275,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = S
     w = Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # sample rows at most, without their texts
     sizes = data.select("doc_id", hash_.alias("h"), F.char_length("t.text").cast("long").alias("n")).filter(F.col("n") <= chars)
     fits = sizes.withColumn("upto", F.sum("n").over(w)).filter(F.col("upto") <= chars).select("doc_id")
-    data = data.join(F.broadcast(fits), "doc_id").select(hash_.alias("h"), "t.text", "toxic", "t.lang").collect()
+    data = data.join(F.broadcast(fits), "doc_id").select(hash_.alias("h"), "t.text", "toxic", "t.lang", "doc_id").collect()
     data.sort(key=lambda r: (r["h"], r["text"] or ""))
+    started = [(r["doc_id"],) for r in data]
     texts, labels = [r["text"] or "" for r in data], np.array([r["toxic"] for r in data], dtype=np.float32)
     some = lambda keep: [t for t, k in zip(texts, keep, strict=True) if k]
     half = np.zeros(len(data), bool)
@@ -260,23 +287,100 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = S
     for part in (half, ~half):
         if len(set(labels[~part])) == 2 and part.any():
             logits[part] = _trained(some(~part), labels[~part]).logits(some(part), _Rows())
-    net = _trained(texts, labels)
-    y = labels.astype(np.float64)
-    weights = np.where(y == 1, n1 / take1, n0 / take0)
-    weights *= len(y) / weights.sum()
+    net = _trained(texts, labels) if texts else Network()
+    y, langs = labels.astype(np.float64), np.array([r["lang"] or "" for r in data], dtype=object)
+    weights = np.where(y == 1, n1 / take1, n0 / take0) if bounded else np.ones(len(y))
+    if not bounded and n0 + n1 > len(data):
+        rest = known.join(F.broadcast(docs.sparkSession.createDataFrame(started, known.select("doc_id").schema)), "doc_id", "left_anti")
+        more = _rounds(net, docs, rest, n0 + n1 - len(data), n1 / (n0 + n1))
+        logits, y, weights, langs = (np.concatenate([a, b]) for a, b in zip((logits, y, weights, langs), more, strict=True))
+    net.rows = int(round(weights.sum()))
+    weights = weights * (len(y) / weights.sum()) if bounded else weights
     net.scale, net.shift = _platt(logits, y, weights)
     scores = 1 / (1 + np.exp(-np.clip(net.scale * logits + net.shift, -40, 40)))
     net.thresholds = {None: _threshold(scores, y, weights)}
-    langs = np.array([r["lang"] or "" for r in data])
     for lang in sorted(set(langs)):
         own = langs == lang
-        rarer = min(y[own].sum(), (1 - y[own]).sum())
+        count = np.ones(own.sum()) if bounded else weights[own]
+        rarer = min((count * y[own]).sum(), (count * (1 - y[own])).sum())
         if rarer:
             share = net.own_weights[lang] = float(rarer / (rarer + LANG_PRIOR))
             net.thresholds[lang] = share * _threshold(scores[own], y[own], weights[own]) + (1 - share) * net.thresholds[None]
     return net
 
 
+def _rounds(net: Network, docs: DataFrame, rest: DataFrame, n: int, share: float) -> tuple[np.ndarray, ...]:
+    """Trains net on the n labelled rows of rest (doc_id, toxic). Returns logits of networks that the
+    rows didn't train, in steps of 1 / STEPS, labels, numbers of rows and languages."""
+    size = docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    groups = max(1, -(-n // (ROUNDS * GROUP_ROWS)), -(-size // (ROUNDS * GROUP_CHARS)))
+    part = lambda k, m: F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(m))
+    dealt = lambda df, k: df.filter(part(1, ROUNDS) == k).withColumn("_group", part(2, groups))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
+    sums = [f"v{i}" for i in range(DIM)]
+    names = ["lang", "key", "n", *sums]
+    context, found = docs.sparkSession.sparkContext, []
+    for k in range(ROUNDS):
+        net.tables = []
+        shared = context.broadcast(net)  # of a fixed size, about 1 MB
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            """Changes of the network's rows by one group (lang null, key the row), and its counts by
+            language, label and step of the logit."""
+            import copy
+
+            kinds = [pa.string()] + [pa.int64()] * (2 + DIM)
+            toxic = dict(zip(right["_doc"].to_pylist(), right["toxic"].to_pylist(), strict=True))
+            own: dict = {}
+            for doc, *row in zip(*(left[c].to_pylist() for c in ("doc_id", "text", "lang")), strict=True):
+                if doc in toxic:
+                    own[doc] = min(own.get(doc, row), row, key=lambda r: (r[0], r[1] is not None, r[1] or ""))
+            if not own:
+                return pa.table([pa.array([], t) for t in kinds], names=names)
+            order = sorted(own)
+            y = np.array([toxic[d] for d in order], dtype=np.float32)
+            start = shared.value  # noqa: B023
+            now = copy.deepcopy(start)
+            words = hashed([own[d][0] for d in order], _Rows())
+            now.prepare()
+            steps = np.floor(np.clip(now.summed(now.pooled(*words)), -40, 40) * STEPS).astype(np.int64) * 2 + y.astype(np.int64)
+            counts: dict[tuple[str, int], int] = {}
+            for d, step in zip(order, steps.tolist(), strict=True):
+                at = (own[d][1] or "", step)
+                counts[at] = counts.get(at, 0) + 1
+            descend(now, words, y, share, 1, LATER_RATE, 7)
+            last = np.zeros((1, DIM), np.float32)
+            last[0, 0] = now.out_bias[0] - start.out_bias[0]
+            change = np.concatenate([*(a - b for a, b in zip(now.values(), start.values(), strict=True)), last])
+            rows = np.flatnonzero(change.any(axis=1))
+            exact = np.rint(change[rows].astype(np.float64) * (len(y) * UNIT)).astype(np.int64)
+            pad = np.zeros(len(counts), np.int64)
+            columns = [
+                pa.array([None] * len(rows) + [c[0] for c in counts], pa.string()), pa.array(np.concatenate([rows, [c[1] for c in counts]]).astype(np.int64)),
+                pa.array(np.concatenate([np.full(len(rows), len(y)), list(counts.values())]).astype(np.int64)), *(pa.array(np.concatenate([exact[:, i], pad])) for i in range(DIM)),
+            ]
+            return pa.table(columns, names=names)
+
+        marked = dealt(rest, k).select(F.col("doc_id").alias("_doc"), "toxic", F.col("_group").alias("_group_of"))
+        met = dealt(texts, k).groupBy("_group").cogroup(marked.groupBy("_group_of"))
+        out = met.applyInArrow(run, "lang string, key long, n long, " + ", ".join(f"{v} long" for v in sums))
+        out = out.groupBy("lang", "key").agg(F.sum("n").alias("n"), *[F.sum(v).alias(v) for v in sums]).toArrow()  # the network's rows, and steps by language
+        lang, key, rows = out["lang"].to_pylist(), out["key"].to_numpy(), out["n"].to_numpy()
+        moves = np.array([x is None for x in lang], dtype=bool)
+        change = np.zeros((sum(len(x) for x in net.values()) + 1, DIM))
+        change[key[moves]] = np.stack([out[v].to_numpy() for v in sums], axis=1)[moves] / (rows[moves, None] * float(UNIT))
+        at = 0
+        for x in net.values():
+            x += change[at : at + len(x)].astype(np.float32)
+            at += len(x)
+        net.out_bias += np.float32(change[-1, 0])
+        found += [(x, c, m) for x, c, m in zip(lang, key.tolist(), rows.tolist(), strict=True) if x is not None]
+        shared.unpersist()
+    found.sort()
+    steps = np.array([c for _, c, _ in found], dtype=np.int64)
+    return (steps // 2 + 0.5) / STEPS, (steps % 2).astype(np.float64), np.array([m for _, _, m in found], dtype=np.float64), np.array([x for x, _, _ in found], dtype=object)
+
+
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """docs (doc_id, text, lang) with score, threshold, threshold_of (the language, or all),
     own_weight (the part of the threshold that is the language's own cut) and flagged."""
@@ -303,7 +407,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     third = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    net = fit(docs, labels.filter(~third))
+    net = fit(docs.filter(~third), labels.filter(~third))
     out = score(docs, net)
     return out.select("doc_id", third.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "threshold", "threshold_of", "own_weight", "flagged")
 

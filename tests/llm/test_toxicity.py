@@ -124,3 +124,20 @@ def test_a_language_of_few_rows_is_drawn_to_the_common_threshold_and_texts_are_b
     huge = df.unionByName(spark.createDataFrame([(9999, "vile " * 200_000, 1, "en")], df.schema))
     again = fit(huge.drop("toxic"), huge.select("doc_id", "toxic"), chars=900_000)
     assert np.array_equal(again.out, net.out)  # the text beyond the bound is not trained on
+
+
+def test_all_labelled_rows_train_and_calibrate(spark, monkeypatch):
+    from tarnwatch.llm import toxicity
+
+    rows = corpus(600, 8)
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, lang string")
+    twice = df.unionByName(df.filter("doc_id < 20"))
+    monkeypatch.setattr(toxicity, "SAMPLE", 100)
+    monkeypatch.setattr(toxicity, "GROUP_ROWS", 60)
+    net = fit(twice.drop("toxic"), twice.filter("doc_id % 3 <> 1").select("doc_id", "toxic"))
+    few = fit(df.drop("toxic"), df.filter("doc_id % 3 <> 1").select("doc_id", "toxic"), sample=100)
+    assert net.rows == 400 and not np.array_equal(net.out, few.out)
+    got = {r.doc_id: r.score for r in score(df, net).collect()}
+    assert np.mean([(got[i] >= 0.7) == bool(y) for i, _, y, _ in rows if i % 3 == 1]) > 0.9
+    again = fit(twice.repartition(3).drop("toxic"), twice.filter("doc_id % 3 <> 1").select("doc_id", "toxic"))
+    assert np.array_equal(again.out, net.out) and again.thresholds == net.thresholds
