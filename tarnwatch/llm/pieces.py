@@ -26,6 +26,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -319,6 +320,12 @@ def pieces_of(path: str) -> Pieces:
     return Merges(path) if kind == _BPE else Pieces(path)
 
 
+@lru_cache(maxsize=1)
+def encoders(path: str, searched: bool) -> tuple[Pieces, Pieces | None]:
+    """One for each Python worker: its next task finds the model loaded and the caches filled."""
+    return pieces_of(path), Pieces(path) if searched else None
+
+
 SCHEMA = "doc_id long, n_chars long, n_ids long, ids_crc32 long, decoded_equal boolean"
 
 
@@ -327,8 +334,7 @@ SEARCHED = ", viterbi_n_ids long, viterbi_crc32 long"
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool, searched: bool) -> Iterator[pa.RecordBatch]:
-    pieces = pieces_of(path)
-    search = Pieces(path) if searched else None
+    pieces, search = encoders(path, searched)
     for batch in batches:
         texts = [t or "" for t in batch.column(1).to_pylist()]
         every = lambda p: [x for at in range(0, len(texts), TEXTS) for x in p.encode(texts[at : at + TEXTS])]  # noqa: B023, E731

@@ -140,3 +140,17 @@ def test_a_very_long_word_is_cut_where_no_piece_lies_across():
         assert ids == model.encode(text) and own.decode(np.array(ids, dtype="<u4").tobytes()) == text
     parts = own._parts("".join(rng.choice("aeиж漢字") for _ in range(10_000)))
     assert len(parts) > 1000 and not any(a[-1] + b[0] in own.pairs for a, b in zip(parts, parts[1:]))
+
+
+def test_a_worker_loads_its_models_once_and_keeps_their_words():
+    import pyarrow as pa
+
+    from tarnwatch.llm.pieces import _encoded, encoders
+
+    path = default_model()
+    batch = lambda first: pa.record_batch([pa.array([1, 2], pa.int64()), pa.array([first, None])], names=["doc_id", "text"])
+    a = next(_encoded(iter([batch("some words here")]), path, True, True)).to_pydict()
+    kept = encoders(path, True)
+    assert len(kept[0].cache) >= 3 and len(kept[1].cache) >= 3
+    b = next(_encoded(iter([batch("some words here")]), path, True, True)).to_pydict()
+    assert a == b and encoders(path, True) is kept
